@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """About how many bytes ``df`` holds: the optimizer's figure (file sizes for a scan), else a sum."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 1 << 50:
         return size
     return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.llm import bpe, decontaminate, langid, quality, sharding, toxicity, urlfilter
+from marlow.llm import bpe, decontaminate, langid, quality, sharding, suffix_dedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, rules)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -53,4 +57,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: f for n, f in vars(sys.modules[__name__]).items() if n.startswith("op") and callable(f)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM n WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+           SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (
+             SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit))
+         GROUP BY doc_id, r),
+kept AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+parts AS (SELECT k.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last,
+                 sum(b - a) AS removed, count(*) AS spans
+          FROM kept k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN parts p ON n.doc_id = p.doc_id
+""",
+}
