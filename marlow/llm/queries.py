@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.llm import bpe, decontaminate, langid, ngram_lm, quality, sharding, suffix_dedup, toxicity, urlfilter
+from marlow.llm import bpe, decontaminate, jaccard_join, langid, ngram_lm, quality, sharding, suffix_dedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, ngram_lm.train(docs))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +67,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {n: f for n, f in vars(sys.modules[__name__]).items() if n.startswith("op") and callable(f)}
 ORACLES: dict[str, str] = {
+    "op7_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\v\\f]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+        ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS t FROM w),
+k AS (SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY t)) AS h, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT h, min(doc_id) AS first_id, any_value(n) AS n FROM k GROUP BY h),
+r AS (SELECT s.doc_id, t FROM s JOIN c ON s.doc_id = c.first_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM r a JOIN r b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c cx ON x = cx.first_id JOIN c cy ON y = cy.first_id WHERE common >= 0.8 * (cx.n + cy.n - common) - 1e-9),
+reach(x, y) AS (SELECT first_id, first_id FROM c UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+m AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+g AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, coalesce(c.first_id, d.doc_id) AS copy_of, coalesce(g.n_links, 0) AS n_links
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON k.h = c.h LEFT JOIN m ON m.x = c.first_id LEFT JOIN g ON g.x = c.first_id
+""",
     "op4_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
