@@ -66,12 +66,14 @@ class _Hits(dict):
         return {c for hit in filter(None, map(self.__getitem__, words_of(text))) for c in hit}
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative PU risk with the logistic loss, by Adam on all rows.
 
     Risk: prior * mean loss(+|P) + max(0, mean loss(-|U) - prior * mean loss(-|P)). Where the second
-    term is below zero, its gradient is reversed, as the method has it.
+    term is below zero, its gradient is reversed, as the method has it. The penalty on weights is weaker
+    the more positives there are.
     """
+    l2 = 0.4 / len(positive) if l2 is None else l2
     n = positive.shape[1]
     theta, m, v = (np.zeros(n + 1, np.float32) for _ in range(3))
     theta[-1] = np.log(prior / (1 - prior))
