@@ -1,8 +1,8 @@
 """All registered queries of the engine."""
 
-from marlow.plans import core  # noqa: F401  registers
+from marlow.plans import core, domain  # noqa: F401  they register
 from marlow.plans.registry import REGISTER
 
-FLAGSHIP = "p01_problem_list"
+FLAGSHIP = "r07_hybrid_search"
 
 __all__ = ["FLAGSHIP", "REGISTER"]
