@@ -24,7 +24,8 @@ def number(raw: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    # least and greatest pass over nulls
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def to_ten(platform: Column, raw: Column) -> Column:
@@ -76,4 +77,4 @@ def from_pass_rate(rate: Column) -> Column:
 
 def simple_cf(raw: Column) -> Column:
     """The offline adapter's own scale: rating / 350 * 10, 10 at most; 5 without a rating."""
-    return F.coalesce(F.least(number(raw) / 350 * 10, F.lit(10.0)), F.lit(5.0))
+    return F.coalesce(F.when(number(raw).isNotNull(), F.least(number(raw) / 350 * 10, F.lit(10.0))), F.lit(5.0))

@@ -100,7 +100,7 @@ def commit_snapshot(df: DataFrame, root: str) -> str:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(conf)
-    part, final = jvm.org.apache.hadoop.fs.Path(root, f"_pointer.{name}"), jvm.org.apache.hadoop.fs.Path(root, "_pointer")
+    part, final = jvm.org.apache.hadoop.fs.Path(root, f"CURRENT.{name}"), jvm.org.apache.hadoop.fs.Path(root, "CURRENT")
     out = fs.create(part)
     out.write(bytearray(name.encode()))
     out.close()
@@ -110,5 +110,5 @@ def commit_snapshot(df: DataFrame, root: str) -> str:
 
 
 def read_snapshot(spark, root: str) -> DataFrame:
-    name = spark.read.text(f"{root}/_pointer").first()[0]
+    name = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.parquet(f"{root}/{name}")

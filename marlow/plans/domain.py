@@ -278,8 +278,8 @@ def raw_difficulty(spark, d):
 
 
 @query("f07_difficulty_ten", "F-07 F-33", f"""WITH r AS ({RAW}) SELECT id, round(CASE platform WHEN 'luogu' THEN CASE raw WHEN '入门' THEN 1 ELSE 5 END WHEN 'leetcode' THEN CASE raw WHEN 'Easy' THEN 3 WHEN 'Hard' THEN 8 ELSE 5 END
-WHEN 'codeforces' THEN coalesce(greatest(1, least(10, (TRY_CAST(raw AS DOUBLE) - 800) / 300 + 1)), 5) WHEN 'atcoder' THEN coalesce(greatest(1, least(10, (TRY_CAST(raw AS DOUBLE) - 100) / 300 + 1)), 5)
-ELSE coalesce(greatest(1, least(10, TRY_CAST(raw AS DOUBLE) / 5)), 5) END, 6)::DOUBLE AS ten, coalesce(least(TRY_CAST(raw AS DOUBLE) / 350 * 10, 10), 5) AS simple FROM r""")
+WHEN 'codeforces' THEN CASE WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN 5 ELSE greatest(1, least(10, (TRY_CAST(raw AS DOUBLE) - 800) / 300 + 1)) END WHEN 'atcoder' THEN CASE WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN 5 ELSE greatest(1, least(10, (TRY_CAST(raw AS DOUBLE) - 100) / 300 + 1)) END
+ELSE CASE WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN 5 ELSE greatest(1, least(10, TRY_CAST(raw AS DOUBLE) / 5)) END END, 6)::DOUBLE AS ten, CASE WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN 5 ELSE least(TRY_CAST(raw AS DOUBLE) / 350 * 10, 10) END AS simple FROM r""")
 def f07(spark, d):
     return raw_difficulty(spark, d).select("id", F.round(D.to_ten(F.col("platform"), F.col("raw")), 6).alias("ten"), D.simple_cf(F.col("raw")).alias("simple"))
 
@@ -288,7 +288,7 @@ def f07(spark, d):
 WHEN 'luogu' THEN CASE WHEN n IS NULL OR n <= 0 THEN 1500 WHEN n = floor(n) AND n BETWEEN 1 AND 7 THEN ([600, 1000, 1400, 1800, 2200, 2700, 3200])[CAST(n AS INTEGER)] WHEN n <= 5 THEN 600 WHEN n <= 12 THEN 1000 WHEN n <= 20 THEN 1400 WHEN n <= 35 THEN 1800 WHEN n <= 45 THEN 2200 WHEN n <= 70 THEN 2700 ELSE 3200 END
 WHEN 'nowcoder' THEN CASE WHEN raw = '中等' THEN 1700 WHEN n > 5 THEN least(3500, greatest(0, floor(n + 0.5))) WHEN n <= 1 THEN 600 WHEN n = 2 THEN 1000 WHEN n = 3 THEN 1700 WHEN n = 4 THEN 2200 WHEN n IS NOT NULL THEN 2800 ELSE 1500 END
 WHEN 'leetcode' THEN CASE lower(raw) WHEN 'easy' THEN 900 WHEN 'medium' THEN 1700 WHEN 'hard' THEN 2500 ELSE CASE WHEN n <= 1 THEN 900 WHEN n = 2 THEN 1700 WHEN n IS NOT NULL THEN 2500 ELSE 1500 END END
-ELSE coalesce(least(3500, greatest(0, floor(n + 0.5))), 1500) END AS DOUBLE) AS elo FROM r)
+ELSE CASE WHEN n IS NULL THEN 1500 ELSE least(3500, greatest(0, floor(n + 0.5))) END END AS DOUBLE) AS elo FROM r)
 SELECT id, elo, CASE WHEN elo <= 999 THEN '入门' WHEN elo <= 1699 THEN '普及' WHEN elo <= 2399 THEN '提高' WHEN elo <= 3499 THEN '省选' ELSE 'NOI' END AS band FROM e""")
 def f08(spark, d):
     return raw_difficulty(spark, d).select("id", D.to_elo(F.col("platform"), F.col("raw")).alias("elo")).withColumn("band", D.elo_band(F.col("elo")))

@@ -20,11 +20,18 @@ def read_json_files(spark: SparkSession, folder: str, schema: str, date: str | N
 
     Work lists of crawls are skipped, malformed documents dropped; ``date`` keeps files of that prefix.
     """
-    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
-    df = reader.option("pathGlobFilter", f"{date}*.json" if date else "*.json").json(folder)
-    df = df.withColumn("file_name", F.col("_metadata.file_name"))
-    keep = ~F.col("file_name").startswith("bulk_list_") & ~F.col("file_name").startswith("bulk_detail_progress_") & F.col("_corrupt_record").isNull()
-    return df.where(keep).drop("_corrupt_record").withColumn("file_key", file_key(F.col("file_name")))
+    glob = f"{date}*.json" if date else "*.json"
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder, wholetext=True).withColumn("file_name", F.col("_metadata.file_name"))
+    files = files.where(~F.col("file_name").startswith("bulk_list_") & ~F.col("file_name").startswith("bulk_detail_progress_"))
+    # an object is read as a list of one; what is no JSON is null and explodes to nothing
+    rows = files.select("file_name", F.explode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("r"))
+    return rows.select("r.*", "file_name", file_key(F.col("file_name")).alias("file_key"))
+
+
+def _fields(schema: str) -> str:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).simpleString()[len("struct<"):-1]
 
 
 def read_kinds(spark: SparkSession, root: str, platform: str, schema: str, kinds=("problems", "profiles", "records", "solutions")) -> DataFrame:
