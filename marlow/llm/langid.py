@@ -57,7 +57,7 @@ class LanguageModel:
     def __init__(self, languages: list[str], counts: np.ndarray, docs: np.ndarray, smooth: float = 0.5):
         self.languages = languages
         self.matrix = np.log(counts + smooth) - np.log(counts.sum(0) + smooth * BUCKETS)
-        self.prior = np.log(docs + 1.0) - np.log((docs + 1.0).sum())
+        self.prior = np.log(docs + 1.0) - np.log((docs + 1.0).sum() or 1.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior; ``und`` and 0 without a letter or a language."""
