@@ -87,6 +87,13 @@ def record(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in cols.items()], schema=schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Each text as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -11,6 +11,7 @@ windows share one, so a run of windows travels as one piece of text.
    written as sorted arrays to the shared folder.
 2. Each task maps those arrays into memory, keeps the runs whose anchor is in them, merges equal runs
    (the smallest document stands for them) and deals them out by anchor.
+   Windows of an anchor that very many texts hold go one by one, by their own hash.
 3. A bucket settles anchors with one distinct run at once and sorts the windows of the others.
 4. Removed spans meet their documents in a join by id.
 """
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import buckets_for, local_path, scratch, utf8, write_file
+from marlow.llm.common import buckets_for, local_path, scratch, slices, utf8, write_file
 
 CHUNK = 1 << 19  # tokens that are hashed at a time
 POS_BITS = 24
@@ -114,7 +115,11 @@ def runs_of(tokens: np.ndarray, lengths: np.ndarray, threshold: int) -> tuple[np
     first, count = first[live], count[live]
     at = anchor[first]
     number = text[first]
-    return h[at] >> np.uint64(16), number, first, count, at - first, first - (ends - lengths)[number]
+    # the smallest hashes are all small: mixed again, they spread over the buckets
+    x = h[at]
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (x ^ (x >> np.uint64(33))) >> np.uint64(16), number, first, count, at - first, first - (ends - lengths)[number]
 
 
 def chunks(raws: list[bytes], tokens_of: Callable[[bytes], np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -161,13 +166,17 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-FLUSH_ANCHORS = 6_000_000
-FLUSH_RUNS = 700_000
-FLUSH_BYTES = 120_000_000
+SLICE = 1000
+FLUSH_ANCHORS = 2_000_000
+FLUSH_RUNS = 200_000
+FLUSH_BYTES = 40_000_000
+#: Texts with one anchor from which its windows are dealt out one by one, by their own hash.
+CROWDED = 10_000
 
 
 def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: int) -> None:
-    """Writes, for each bucket, the sorted hashes of anchors that two texts or more hold."""
+    """Writes, for each bucket, the sorted hashes of anchors that two texts or more hold, and of those
+    that more than CROWDED hold."""
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of = tokenizer(unit)
@@ -176,28 +185,29 @@ def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.argsort(h, kind="stable")
+            order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+            h = h[new]
             at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            shared = np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)
-            h = h[at]
+            texts = np.diff(np.r_[at, len(h)]).astype(np.uint32)
+            h, shared = h[at], texts > 1
             b = bucket_of(h, buckets)
             cuts = np.searchsorted(b, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            parts = [(int(i), slice(cuts[i], cuts[i + 1])) for i in some]
+            parts = [(int(i), slice(cuts[i], cuts[i + 1])) for i in np.flatnonzero(np.diff(cuts))]
             yield pa.RecordBatch.from_arrays([
                 pa.array([i for i, _ in parts], pa.int32()),
                 pa.array([six(h[s][~shared[s]]) for _, s in parts], pa.binary()),
                 pa.array([six(h[s][shared[s]]) for _, s in parts], pa.binary()),
-            ], ["bucket", "one", "more"])
+                pa.array([texts[s][shared[s]].tobytes() for _, s in parts], pa.binary()),
+            ], ["bucket", "one", "more", "texts"])
 
-        for b in batches:
-            raws = utf8(b.column(0))
-            for start, _, (h, number, *_) in batch_runs(raws, tokens_of, threshold):
+        for part in slices(batches, SLICE):
+            for start, _, (h, number, *_) in batch_runs(utf8(part.column(0)), tokens_of, threshold):
                 if len(h):
                     kept.append((h, number + (base + start)))
                     size += len(h)
-            base += len(raws)
+            base += part.num_rows
             if size > FLUSH_ANCHORS:
                 yield from flush()
                 kept, size = [], 0
@@ -205,15 +215,22 @@ def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets
             yield from flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        more = [unsix(x) for x in table.column("more").to_pylist()]
-        every = np.sort(np.concatenate([*(unsix(x) for x in table.column("one").to_pylist()), *more]))
-        hot = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *more]))
+        one = [unsix(x) for x in table.column("one").to_pylist()]
+        every = np.concatenate([*one, *(unsix(x) for x in table.column("more").to_pylist())])
+        texts = np.concatenate([np.ones(sum(map(len, one)), np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("texts").to_pylist())])
+        order = np.argsort(every, kind="stable")
+        every, texts = every[order], texts[order]
+        at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        texts = np.add.reduceat(texts, at)
+        hot, crowded = every[at][texts > 1], every[at][texts > CROWDED]
         bucket = table.column("bucket")[0].as_py()
         if len(hot):
             write_file(f"{folder}/{bucket}", hot.tobytes())
+        if len(crowded):
+            write_file(f"{folder}/{bucket}.crowded", crowded.tobytes())
         return pa.table({"n": pa.array([len(hot)], pa.int64())})
 
-    rows.select("text").mapInArrow(list_anchors, "bucket int, one binary, more binary").groupBy("bucket").applyInArrow(merge, "n long").agg(F.sum("n")).collect()
+    rows.select("text").mapInArrow(list_anchors, "bucket int, one binary, more binary, texts binary").groupBy("bucket").applyInArrow(merge, "n long").agg(F.sum("n")).collect()
 
 
 class HotAnchors:
@@ -221,25 +238,27 @@ class HotAnchors:
 
     def __init__(self, folder: str, buckets: int):
         self.folder, self.buckets = folder, buckets
-        self.open: dict[int, np.ndarray] = {}
+        self.open: dict[str, np.ndarray] = {}
+
+    def table(self, name: str) -> np.ndarray:
+        if name not in self.open:
+            try:
+                self.open[name] = np.memmap(f"{self.folder}/{name}", np.uint64, "r")
+            except FileNotFoundError:
+                self.open[name] = np.zeros(0, np.uint64)
+        return self.open[name]
 
     def among(self, h: np.ndarray) -> np.ndarray:
-        """Which of the hashes are hot."""
+        """0, 1 for hot, 2 for crowded hashes."""
         values, back = np.unique(h, return_inverse=True)
-        b = bucket_of(values, self.buckets).astype(np.int64)
-        cuts = np.searchsorted(b, np.arange(self.buckets + 1))
-        out = np.zeros(len(values), bool)
-        for i in np.flatnonzero(np.diff(cuts)):
-            if i not in self.open:
-                try:
-                    self.open[i] = np.memmap(f"{self.folder}/{i}", np.uint64, "r")
-                except FileNotFoundError:
-                    self.open[i] = np.zeros(0, np.uint64)
-            table = self.open[i]
-            if len(table):
-                some = values[cuts[i]:cuts[i + 1]]
-                at = np.searchsorted(table, some)
-                out[cuts[i]:cuts[i + 1]] = table[np.minimum(at, len(table) - 1)] == some
+        cuts = np.searchsorted(bucket_of(values, self.buckets).astype(np.int64), np.arange(self.buckets + 1))
+        out = np.zeros(len(values), np.int8)
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            some = values[cuts[i]:cuts[i + 1]]
+            for name in (f"{i}", f"{i}.crowded"):
+                table = self.table(name)
+                if len(table):
+                    out[cuts[i]:cuts[i + 1]] += table[np.minimum(np.searchsorted(table, some), len(table) - 1)] == some
         return out[back]
 
 
@@ -260,7 +279,20 @@ def hot_runs(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: i
         hot = HotAnchors(folder, buckets)
         seen: dict[bytes, list] = {}
         gone: list[tuple[int, int, int, int]] = []
-        held = 0
+        held = [0]
+
+        def add(x: int, piece: bytes, doc: int, key: int, s: int, c: int, a: int) -> None:
+            entry = seen.get(piece)
+            if entry is None:
+                seen[piece] = [x, doc, a, [(key, s)]]
+                held[0] += len(piece)
+            elif doc > entry[1]:
+                gone.append((doc, key, s, s + c + threshold - 1))
+            elif doc == entry[1]:
+                entry[3].append((key, s))
+            else:
+                gone.extend((entry[1], k, t, t + c + threshold - 1) for k, t in entry[3])
+                entry[1], entry[3] = doc, [(key, s)]
 
         def flush() -> Iterator[pa.RecordBatch]:
             by_bucket: dict[int, list] = {}
@@ -275,31 +307,26 @@ def hot_runs(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: i
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(payload)], pa.binary())], ["bucket", "payload"])
 
-        for b in batches:
-            ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            raws = utf8(b.column(2))
-            for start, tokens, found in batch_runs(raws, tokens_of, threshold):
+        for part in slices(batches, SLICE):
+            ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for start, tokens, found in batch_runs(utf8(part.column(2)), tokens_of, threshold):
                 if not len(found[0]):
                     continue
-                is_hot = hot.among(found[0])
+                kind = hot.among(found[0])
                 raw, width = tokens.tobytes(), tokens.itemsize
-                for x, i, f, c, a, s in zip(*(part[is_hot].tolist() for part in found), strict=True):
-                    piece = raw[f * width:(f + c + threshold - 1) * width]
+                for x, i, f, c, a, s, k in zip(*(part[kind > 0].tolist() for part in (*found, kind)), strict=True):
                     doc, key = ids[start + i], keys[start + i]
-                    entry = seen.get(piece)
-                    if entry is None:
-                        seen[piece] = [x, doc, a, [(key, s)]]
-                        held += len(piece) + 250
-                    elif doc > entry[1]:
-                        gone.append((doc, key, s, s + c + threshold - 1))
-                    elif doc == entry[1]:
-                        entry[3].append((key, s))
-                    else:
-                        gone.extend((entry[1], k, t, t + c + threshold - 1) for k, t in entry[3])
-                        entry[1], entry[3] = doc, [(key, s)]
-            if len(seen) > FLUSH_RUNS or held > FLUSH_BYTES or len(gone) > 4 * FLUSH_RUNS:
-                yield from flush()
-                seen, gone, held = {}, [], 0
+                    if k == 1:
+                        add(x, raw[f * width:(f + c + threshold - 1) * width], doc, key, s, c, a)
+                        continue
+                    for j in range(c):
+                        window = raw[(f + j) * width:(f + j + threshold) * width]
+                        add(xxhash.xxh3_64_intdigest(window) >> 16, window, doc, key, s + j, 1, 0)
+                if len(seen) > FLUSH_RUNS or held[0] > FLUSH_BYTES or len(gone) > FLUSH_RUNS:
+                    yield from flush()
+                    seen.clear()
+                    gone.clear()
+                    held[0] = 0
         if seen or gone:
             yield from flush()
 
@@ -398,7 +425,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes") ->
     spark = docs.sparkSession
     width = 1 if unit == "bytes" else 8
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    buckets = buckets_for(docs, 12.0)
+    buckets = buckets_for(docs, 3.0)
     folder = local_path(scratch(spark, "anchors"))
     hot_anchors(rows, folder, unit, threshold, buckets)
 
