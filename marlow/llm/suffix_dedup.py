@@ -420,8 +420,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes") -> DataFrame:
-    """``doc_id, text_key, spans``: token spans of each text that repeat a text of a smaller doc_id, as
-    blobs of int32 pairs (several rows for a text). ``text_key`` is xxhash64 of the text."""
+    """``doc_id, text_key, spans``: the maximal token spans of each text that repeat a text of a smaller
+    doc_id, as a blob of int32 pairs; a row for each text that has any. ``text_key`` is xxhash64 of the text."""
     spark = docs.sparkSession
     width = 1 if unit == "bytes" else 8
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -430,23 +430,35 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes") ->
     hot_anchors(rows, folder, unit, threshold, buckets)
 
     def reduce(table: pa.Table) -> pa.Table:
+        """Spans of an anchor bucket, dealt to buckets of documents."""
         found = settle(table.column("payload").to_pylist(), threshold, width)
+        to = bucket_of((found[:, 0].astype(np.uint64) * np.uint64(BASE)) >> np.uint64(16), buckets)
+        order = np.lexsort((found[:, 1], found[:, 0], to))
+        found, to = found[order], to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        ends = np.r_[cuts[1:], len(to)] if len(to) else cuts
+        return pa.table({"part": pa.array(to[cuts], pa.int32()), "spans": pa.array([zstandard.compress(found[a:b].tobytes(), 1) for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """All spans of the documents of a bucket, merged."""
+        found = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64).reshape(-1, 4) for x in table.column("spans").to_pylist()])
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
-        cuts = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(1)]) if len(found) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(found)] if len(found) else cuts
+        cuts = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(1)])
+        ends = np.r_[cuts[1:], len(found)]
         return pa.table({
             "doc_id": pa.array(found[cuts, 0], pa.int64()), "text_key": pa.array(found[cuts, 1], pa.int64()),
             "spans": pa.array([merged(found[a:b, 2:]).astype(np.int32).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         })
 
-    return hot_runs(rows, folder, unit, threshold, buckets).groupBy("bucket").applyInArrow(reduce, "doc_id long, text_key long, spans binary")
+    dealt = hot_runs(rows, folder, unit, threshold, buckets).groupBy("bucket").applyInArrow(reduce, "part int, spans binary")
+    return dealt.groupBy("part").applyInArrow(gather, "doc_id long, text_key long, spans binary")
 
 
-def byte_spans(raw: bytes, blobs: list[bytes] | None, unit: str) -> np.ndarray:
+def byte_spans(raw: bytes, blob: bytes | None, unit: str) -> np.ndarray:
     """Maximal removed byte spans of a text."""
-    if not blobs:
+    if not blob:
         return np.zeros((0, 2), np.int64)
-    spans = merged(np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in blobs]).astype(np.int64))
+    spans = np.frombuffer(blob, np.int32).reshape(-1, 2).astype(np.int64)
     if unit == "bytes":
         return spans
     where = [m.span() for m in WORD.finditer(raw)]
@@ -463,9 +475,8 @@ def without(raw: bytes, spans: np.ndarray) -> bytes:
 
 
 def with_spans(docs: DataFrame, threshold: int, unit: str) -> DataFrame:
-    """``docs`` with two more columns: ``__text_key`` and ``__spans`` (blobs, null if nothing repeats)."""
-    spans = repeated_spans(docs, threshold, unit).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__spans")
+    """``docs`` with two more columns: ``__text_key`` and ``__spans`` (a blob, null if nothing repeats)."""
+    spans = repeated_spans(docs, threshold, unit).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     return keyed.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left").drop("__id", "__key")
 
