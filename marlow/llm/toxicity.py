@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
                         f = cache[w] = features_of(w)
                     seen.update(f)
                 df[is_pos][list(seen)] += 1
-        some = np.flatnonzero(df[True])
+        some = np.flatnonzero(df[True] | df[False])
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[True][some], pa.int64()), pa.array(df[False][some], pa.int64())], ["f", "p", "u"])
 
     n_pos, n_unl = (int(x or 0) for x in sample.agg(F.sum(F.col("pos").cast("int")), F.sum((~F.col("pos")).cast("int"))).first())
