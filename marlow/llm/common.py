@@ -74,6 +74,13 @@ def buckets_for(df: DataFrame, mb_each: float, least: int = 12, most: int = 1 <<
     return int(min(most, max(least, text_bytes(df) / (mb_each * 1e6))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a file of one row group is one task
+    otherwise. Larger inputs have more partitions than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def id_remainder(col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

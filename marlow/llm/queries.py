@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlow.llm import bpe, decontaminate, jaccard_join, langid, ngram_lm, quality, sharding, suffix_dedup, toxicity, urlfilter
+from marlow.llm.common import spread
+from marlow.ship import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -21,12 +28,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs))
 
 
@@ -37,28 +44,28 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_report(documents(spark, sf_dir))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(documents(spark, sf_dir))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return ngram_lm.score(docs, ngram_lm.train(docs))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_map(table(spark, sf_dir, "documents"), tokenizer_path(), bpe.digests, bpe.DIGESTS)
+    return bpe.bpe_map(documents(spark, sf_dir), tokenizer_path(), bpe.digests, bpe.DIGESTS)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
