@@ -27,7 +27,7 @@ from marlow.llm.components import connected_components
 WORDS, SIMILAR = 5, 0.8
 RATE = 0.7  # below the similarity: more tokens are taken than the threshold alone asks for
 DEPTH = 3
-SMALL = 256  # sets that a bucket compares at once before it is split
+SMALL = 2048  # sets that a bucket compares at once before it is split: 128 KB of sketches for each set
 BLOCK = 512  # sets in a block of exact comparison
 SKETCH, SKETCH_LEAST = 64, 0.5  # five standard deviations below 0.8
 TINY = 96  # sets of fewer shingles aren't judged by the sketch
@@ -153,9 +153,9 @@ def cuts_of(t: pa.Table, keys: list[str]) -> np.ndarray:
 def roots(near: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix, the smallest index of each row's component."""
     n = len(near)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        new = np.minimum(label, np.where(near, label[None, :], n).min(1))
+        new = np.minimum(label, np.where(near, label[None, :], np.int32(n)).min(1))
         new = new[new]
         if (new == label).all():
             return label
@@ -215,7 +215,7 @@ def candidate_edges(sets: DataFrame, depth: int) -> DataFrame:
         last = k == depth
         live = level.join(counts if last else counts.where(F.col("n") <= SMALL), "path")
         members = live.join(sets.select("node", "size", "sketch"), "node")
-        members = in_blocks(members, "path", 4 * SMALL)
+        members = in_blocks(members, "path", SMALL)
         dealt = members.select("path", "bi", "bj", "node", "size", "sketch").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "node")
         edges = dealt.mapInArrow(bucket_edges, "u long, v long")
         found = edges if found is None else found.union(edges)
