@@ -13,6 +13,7 @@ between two sets of a component is found, also one that no bucket showed.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import utf8, written
+from marlow.llm.common import buckets_for, local_path, scratch, slices, utf8, write_file, written
 from marlow.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 0.8
@@ -110,7 +111,7 @@ def profile(docs: DataFrame, trees: int, depth: int = DEPTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for b in batches:
+        for b in slices(batches, 1000):
             rows = []
             for raw in utf8(b.column(1)):
                 s = shingles(raw, hashes)
@@ -270,6 +271,48 @@ def similar_matrix(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarr
     return both >= similar * (size[:, None] + size[None, :] - both) - 1e-4
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, root, n, shingles`` of the wanted documents (``doc_id, node, root, n``).
+
+    Most documents are in no component: instead of sending every text to a join, the wanted rows are
+    written as arrays sorted by id to the shared folder, by buckets, and each task that reads documents
+    maps them into memory and cuts only the texts that are in them.
+    """
+    folder = local_path(scratch(docs.sparkSession, "wanted"))
+    buckets = buckets_for(docs, 64.0)
+
+    def write(table: pa.Table) -> pa.Table:
+        b = table.column("bucket")[0].as_py()
+        rows = np.stack([table.column(c).to_numpy() for c in ("doc_id", "node", "root", "n")], 1)
+        write_file(f"{folder}/{b}", np.ascontiguousarray(rows[np.argsort(rows[:, 0], kind="stable")]).tobytes())
+        return pa.table({"n": pa.array([len(rows)], pa.int64())})
+
+    keyed = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "node", "root", F.col("n").cast("long").alias("n"))
+    keyed.groupBy("bucket").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        tables: dict[int, np.ndarray] = {}
+        for b in slices(batches, 1000):
+            ids, bucket = b.column(0).to_numpy(), b.column(1).to_numpy()
+            out = []
+            for k in np.unique(bucket).tolist():
+                if k not in tables:
+                    path = f"{folder}/{k}"
+                    tables[k] = np.memmap(path, np.int64, "r").reshape(-1, 4) if os.path.exists(path) else np.zeros((0, 4), np.int64)
+                t = tables[k]
+                mine = np.flatnonzero(bucket == k)
+                first, last = (np.searchsorted(t[:, 0], ids[mine], side) for side in ("left", "right"))
+                out += [(i, t[k]) for i, a, z in zip(mine.tolist(), first.tolist(), last.tolist(), strict=True) for k in range(a, z)]
+            raws = utf8(b.column(2).take(pa.array([i for i, _ in out], pa.int64())))
+            rows = [(row[1], row[2], row[3], s.tobytes()) for (_, row), s in zip(out, (shingles(r, hashes) for r in raws), strict=True) if len(s) and set_hash(s) == row[1]]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["node", "root", "n", "shingles"])
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int"), "text")
+    return known.mapInArrow(cut, "node long, root long, n long, shingles binary")
+
+
 def near_duplicates(docs: DataFrame, recall: float = 0.999, depth: int = DEPTH) -> DataFrame:
     """``doc_id, class_id, copy_of, n_links`` of each row.
 
@@ -288,18 +331,9 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999, depth: int = DEPTH)
     coarse = connected_components(candidate_edges(sets, depth))
     coarse = written(coarse.join(sets.select("node", "first_id"), "node"), "coarse")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for b in batches:
-            found = [shingles(raw, hashes) for raw in utf8(b.column(1))]
-            right = [len(s) > 0 and set_hash(s) == n for s, n in zip(found, b.column(0).to_pylist(), strict=True)]
-            b = pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "root", "n", "shingles"])
-            yield b.filter(pa.array(right, pa.bool_()))
-
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
     wanted = coarse.join(sizes, "root").select("node", "root", "n", F.col("first_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text", "root", "n")
-    whole = texts.mapInArrow(cut, "node long, root long, n long, shingles binary")
+    whole = sets_of(docs, wanted)
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")).cast("int")
     blocks = in_blocks(whole.withColumn("own", own), "root", BLOCK).select("root", "bi", "bj", "own", "node", "shingles")
     dealt = blocks.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
