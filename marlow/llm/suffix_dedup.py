@@ -174,9 +174,9 @@ FLUSH_BYTES = 40_000_000
 CROWDED = 10_000
 
 
-def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: int) -> None:
+def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: int, crowd: int = CROWDED) -> None:
     """Writes, for each bucket, the sorted hashes of anchors that two texts or more hold, and of those
-    that more than CROWDED hold."""
+    that more than ``crowd`` hold."""
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of = tokenizer(unit)
@@ -222,7 +222,7 @@ def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets
         every, texts = every[order], texts[order]
         at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         texts = np.add.reduceat(texts, at)
-        hot, crowded = every[at][texts > 1], every[at][texts > CROWDED]
+        hot, crowded = every[at][texts > 1], every[at][texts > crowd]
         bucket = table.column("bucket")[0].as_py()
         if len(hot):
             write_file(f"{folder}/{bucket}", hot.tobytes())
@@ -419,7 +419,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at)], 1)
 
 
-def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes") -> DataFrame:
+def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes", crowd: int = CROWDED) -> DataFrame:
     """``doc_id, text_key, spans``: the maximal token spans of each text that repeat a text of a smaller
     doc_id, as a blob of int32 pairs; a row for each text that has any. ``text_key`` is xxhash64 of the text."""
     spark = docs.sparkSession
@@ -427,7 +427,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes") ->
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     buckets = buckets_for(docs, 3.0)
     folder = local_path(scratch(spark, "anchors"))
-    hot_anchors(rows, folder, unit, threshold, buckets)
+    hot_anchors(rows, folder, unit, threshold, buckets, crowd)
 
     def reduce(table: pa.Table) -> pa.Table:
         """Spans of an anchor bucket, dealt to buckets of documents."""
@@ -474,14 +474,14 @@ def without(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
-def with_spans(docs: DataFrame, threshold: int, unit: str) -> DataFrame:
+def with_spans(docs: DataFrame, threshold: int, unit: str, crowd: int = CROWDED) -> DataFrame:
     """``docs`` with two more columns: ``__text_key`` and ``__spans`` (a blob, null if nothing repeats)."""
-    spans = repeated_spans(docs, threshold, unit).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(docs, threshold, unit, crowd).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     return keyed.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left").drop("__id", "__key")
 
 
-def dedup_report(docs: DataFrame, threshold: int = 50) -> DataFrame:
+def dedup_report(docs: DataFrame, threshold: int = 50, crowd: int = CROWDED) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row.
 
     A byte goes if a ``threshold``-byte string over it also starts in a document of a smaller doc_id,
@@ -500,7 +500,7 @@ def dedup_report(docs: DataFrame, threshold: int = 50) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs.select("doc_id", "text"), threshold, "bytes").select("doc_id", "text", "__spans").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select("doc_id", "text"), threshold, "bytes", crowd).select("doc_id", "text", "__spans").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50, unit: str = "words") -> DataFrame:

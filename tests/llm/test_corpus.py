@@ -210,14 +210,12 @@ def dedup_brute(rows, t):
 
 
 @pytest.mark.parametrize(("threshold", "crowded"), [(50, 10_000), (50, 1), (7, 3), (12, 10_000)])
-def test_suffix_dedup_equals_brute_force(spark, odd, monkeypatch, threshold, crowded):
+def test_suffix_dedup_equals_brute_force(spark, odd, threshold, crowded):
     rng = random.Random(threshold)
     shared = [words(rng, 30, 9) for _ in range(4)]
     rows = [(i, " ".join([words(rng, rng.randrange(20), 9), rng.choice(shared)[rng.randrange(40):], words(rng, 5, 9)]), "en") for i in range(60)] + odd
     rows = [(i, t[:3000] if t else t, la) for i, t, la in rows]
-    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
-    # workers are forked from the session's daemon: the constant travels in the closure of the module only on this machine
-    got = sorted((tuple(r) for r in suffix_dedup.dedup_report(frame(spark, rows), threshold).collect()), key=repr)
+    got = sorted((tuple(r) for r in suffix_dedup.dedup_report(frame(spark, rows), threshold, crowded).collect()), key=repr)
     assert got == dedup_brute(rows, threshold)
 
 
