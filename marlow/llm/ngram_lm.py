@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from marlow.llm.common import Numbering, buckets_for, id_remainder, local_path, scratch, utf8, write_file
 
 END = b"\n"  # no word holds white space
-RANGE = 1 << 20  # ids in a dense file
+RANGE = 1 << 17  # ids in a dense file
 CHUNK_TEXTS, CHUNK_BYTES = 2000, 8_000_000
 FLUSH_KEYS, FLUSH_WORDS = 5_000_000, 1_000_000
 OPEN_FILES = 400
