@@ -11,7 +11,7 @@ from marlow.functions import queries as QA
 from marlow.functions import scores as S
 from marlow.functions import text as T
 from marlow.operators import dedup, matching, profile, reports, retrieval, training, upsert
-from marlow.plans.registry import query
+from marlow.plans.registry import query, whole_query
 from marlow.sources import catalog as C
 from marlow.sources import dims
 
@@ -157,7 +157,15 @@ c AS (SELECT u.user_id, z.category, coalesce(n / size, 0) AS coverage FROM u CRO
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coverage DESC, category) AS b, row_number() OVER (PARTITION BY user_id ORDER BY coverage, category DESC) AS w FROM c)
 SELECT user_id, coalesce(list(category ORDER BY b) FILTER (b <= 5 AND coverage > 0), []) AS strong, coalesce(list(category ORDER BY w) FILTER (w <= 5 AND coverage < 1), []) AS weak FROM k GROUP BY user_id""")
 def a32(spark, d):
-    r = C.practice_records(spark, d).where("id % 7 = 0")
+    return _strengths(spark, C.practice_records(spark, d).where("id % 7 = 0"))
+
+
+@whole_query("a32_strengths_whole", "a32_strengths", " WHERE id % 7 = 0")
+def a32_whole(spark, d):
+    return _strengths(spark, C.practice_records(spark, d))
+
+
+def _strengths(spark, r):
     s = profile.strengths_weaknesses(profile.category_coverage(r, taxonomy(spark)))
     return s.select("user_id", F.col("strengths.category").alias("strong"), F.col("weaknesses.category").alias("weak"))
 
@@ -368,7 +376,15 @@ def f29(spark, d):
 
 @query("f36_imputed_difficulty", "F-36 F-38 F-39", "SELECT l_orderkey AS o, l_linenumber AS l, CASE WHEN l_tax * 12 >= 0.8 THEN '简单' WHEN l_tax * 12 >= 0.5 THEN '中等' WHEN l_tax * 12 >= 0.2 THEN '较难' ELSE '困难' END AS level, l_linenumber AS n FROM lineitem WHERE l_orderkey < 2000")
 def f36(spark, d):
-    li = C.read_table(spark, d, "lineitem").where("l_orderkey < 2000")
+    return _levels(C.read_table(spark, d, "lineitem").where("l_orderkey < 2000"))
+
+
+@whole_query("f36_imputed_difficulty_whole", "f36_imputed_difficulty", " WHERE l_orderkey < 2000")
+def f36_whole(spark, d):
+    return _levels(C.read_table(spark, d, "lineitem"))
+
+
+def _levels(li):
     n = T.digits_only(F.concat(F.lit("共 "), F.col("l_linenumber").cast("string"), F.lit(" 人")))
     return li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), D.from_pass_rate(F.col("l_tax") * 12).alias("level"), n.alias("n"))
 
@@ -398,6 +414,11 @@ def t08(spark, d):
     return docs.select("doc_id", T.normalise_unicode(F.concat(F.lit("​"), "text")).alias("text"))
 
 
+@query("t08_unicode_whole", "T-08", f"SELECT doc_id, translate(text, '{T.BLANKS}{T.QUOTES}{T.NO_WIDTH}', '{' ' * len(T.BLANKS)}' || repeat(chr(39), {len(T.QUOTES)})) AS text FROM documents")
+def t08_whole(spark, d):
+    return C.read_table(spark, d, "documents").select("doc_id", T.normalise_unicode(F.col("text")).alias("text"))
+
+
 @query("t09_sections", "T-09 T-10 T-21", "SELECT id, '[背景]' || chr(10) || lang || chr(10) || chr(10) || '[描述]' || chr(10) || '**时限**: 1000ms / **内存**: ?' || chr(10) || chr(10) || title || chr(10) || chr(10) || '[样例]' || chr(10) || '输入 #1' || chr(10) || '```' || chr(10) || '1 2' || chr(10) || '```' || chr(10) || chr(10) || '输出 #1' || chr(10) || '```' || chr(10) || '3' || chr(10) || '```' AS body FROM problems WHERE title <> ''")
 def t09(spark, d):
     r = {"background": F.col("lang"), "description": F.col("title"), "time_limit": F.lit("1000"), "samples": F.array(F.array(F.lit("1 2"), F.lit("3"))), "input_format": F.lit(None).cast("string")}
@@ -431,7 +452,16 @@ def w05(spark, d):
 s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-E]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM l)
 SELECT id, CAST(part AS BIGINT) AS part, count(*) AS n, min(pos) AS begins FROM s WHERE part > 0 GROUP BY ALL""")
 def w11(spark, d):
-    lines = C.problems(spark, d).where("id < 200").select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    return _sections(C.problems(spark, d).where("id < 200"))
+
+
+@whole_query("w11_sections_whole", "w11_sections", " WHERE id < 200")
+def w11_whole(spark, d):
+    return _sections(C.problems(spark, d))
+
+
+def _sections(problems):
+    lines = problems.select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
     w = Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     s = lines.withColumn("part", F.sum(F.col("line").rlike("^[A-E]").cast("long")).over(w)).where("part > 0")
     return s.groupBy("id", "part").agg(F.count("*").alias("n"), (F.min("i") + 1).cast("long").alias("begins"))
