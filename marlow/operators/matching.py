@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlow.functions.scores import compatibility, level_proximity, round3, skill_complement, style_match
+from marlow.functions.scores import STYLE_PAIRS, compatibility, level_proximity, round3, skill_complement, style_match
 
 
 def side(prefix: str) -> dict[str, Column]:
@@ -29,6 +31,64 @@ def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame |
     return scored.withColumn("rk", rk).where(F.col("rk") <= keep)
 
 
+def _hits(of: list[np.ndarray], among: list[np.ndarray]) -> np.ndarray:
+    """[i, j]: entries of ``of[i]`` that ``among[j]`` has; repeats in ``of[i]`` count."""
+    number = {t: k for k, t in enumerate(sorted({t for x in of for t in x}))}
+    a, b = np.zeros((len(of), len(number))), np.zeros((len(number), len(among)))
+    for i, x in enumerate(of):
+        for t in x:
+            a[i, number[t]] += 1
+    for j, x in enumerate(among):
+        b[[number[t] for t in x if t in number], j] = 1
+    return a @ b
+
+
+def block_scores(u: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """``compatibility`` of each row of ``u`` with each of ``c``."""
+    size = lambda p: np.array([len(x) for x in p.strong], dtype=float)
+    skill = (_hits(list(u.strong), list(c.weak)) + _hits(list(c.strong), list(u.weak)).T) / np.maximum(size(u)[:, None] + size(c)[None, :], 1)
+    level = np.fmax(0.0, 1 - np.abs(u.score.to_numpy(float)[:, None] - c.score.to_numpy(float)[None, :]) * 2)
+    pairs = STYLE_PAIRS | {(y, x): v for (x, y), v in STYLE_PAIRS.items()}
+    a, styles_u = pd.factorize(u["style"].fillna("").str.strip(" ").str.lower())
+    b, styles_c = pd.factorize(c["style"].fillna("").str.strip(" ").str.lower())
+    style = np.array([[pairs.get((x, y), 0.5) for y in styles_c] for x in styles_u])[a[:, None], b[None, :]]
+    return np.floor((0.5 * skill + 0.3 * level + 0.2 * style) * 1000 + 0.5) / 1000
+
+
+def all_pair_scores(profiles: DataFrame, keep: int = 10, rows: int = 1000) -> DataFrame:
+    """The columns of ``pair_scores`` where every user asks and every other is a candidate.
+
+    Users are dealt into blocks of about ``rows`` by a hash of the id; each pair of blocks is one group, from which only the ``keep`` best of each seeker leave. The work is n^2 pairs, in n^2 / rows^2 groups.
+    """
+    ids = profiles.where("user_id is not null")
+    n = max(1, -(-ids.count() // rows))
+    dealt = ids.select("user_id", F.coalesce("strong", F.array().cast("array<string>")).alias("strong"), F.coalesce("weak", F.array().cast("array<string>")).alias("weak"), F.col("score").cast("double").alias("score"), "style")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(n)))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    u = dealt.withColumn("other", F.explode(every)).withColumn("asks", F.lit(True))
+    c = dealt.withColumn("other", F.explode(every)).select("user_id", "strong", "weak", "score", "style", F.col("other").cast("long").alias("block"), F.col("block").alias("other"), F.lit(False).alias("asks"))
+    both = u.withColumn("other", F.col("other").cast("long")).unionByName(c)
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.asks].reset_index(drop=True), pdf[~pdf.asks].sort_values("user_id").reset_index(drop=True)
+        if a.empty or b.empty:
+            return pd.DataFrame({"u_id": [], "c_id": [], "pair": []})
+        pair = block_scores(a, b)
+        ua, cb = a.user_id.to_numpy(), b.user_id.to_numpy()
+        pair[ua[:, None] == cb[None, :]] = -np.inf
+        # candidates are in the order of ids, and the sort is stable
+        top = np.argsort(-pair, axis=1, kind="stable")[:, :keep]
+        got = np.take_along_axis(pair, top, axis=1)
+        out = pd.DataFrame({"u_id": np.repeat(ua, top.shape[1]), "c_id": cb[top].ravel(), "pair": got.ravel()})
+        return out[out.pair > -np.inf]
+
+    kind = profiles.schema["user_id"].dataType.simpleString()
+    found = both.groupBy("block", "other").applyInPandas(best, f"u_id {kind}, c_id {kind}, pair double")
+    rk = F.row_number().over(Window.partitionBy("u_id").orderBy(F.col("pair").desc(), "c_id"))
+    found = found.withColumn("rk", rk).where(F.col("rk") <= keep)
+    return found.join(prefixed(profiles, "u"), "u_id").join(prefixed(profiles, "c"), "c_id")
+
+
 def mean3(f, *sides: dict[str, Column]) -> Column:
     a, b, c = sides
     return (f(a, b) + f(a, c) + f(b, c)) / 3
@@ -41,7 +101,16 @@ def team_score(a: dict[str, Column], b: dict[str, Column], c: dict[str, Column])
 
 def recommend(seekers: DataFrame, candidates: DataFrame, top_k: int = 5, exclude: DataFrame | None = None) -> DataFrame:
     """``user_id, first_id, second_id, team_score, skill, level, style_div, coverage, place``."""
-    best = pair_scores(seekers, candidates, exclude)
+    return trios_of(pair_scores(seekers, candidates, exclude), top_k)
+
+
+def recommend_all(profiles: DataFrame, top_k: int = 5) -> DataFrame:
+    """``recommend`` where every user asks."""
+    return trios_of(all_pair_scores(profiles), top_k)
+
+
+def trios_of(best: DataFrame, top_k: int) -> DataFrame:
+    """The best teams of each seeker and two of the candidates that ``pair_scores`` kept."""
     rename = lambda df, p: df.select("u_id", *(F.col(f"c_{k}").alias(f"{p}_{k}") for k in ("id", "strong", "weak", "score", "style")), F.col("rk").alias(f"{p}_rk"))
     users = best.select("u_id", "u_strong", "u_weak", "u_score", "u_style").dropDuplicates(["u_id"])
     # ten rows a seeker on either side: 45 trios

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The basic tags.
@@ -89,3 +89,34 @@ def arrange(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> D
         return pd.DataFrame(rows, columns=["user_id", "day", "slot", "position", "problem_id"])
 
     return candidates.join(plans, "user_id").groupBy("user_id").applyInPandas(week, "user_id long, day int, slot string, position int, problem_id long")
+
+
+def pools(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> DataFrame:
+    """``candidates`` that ``arrange`` can pick, for each user of ``plans``: the same week comes out as from all of them.
+
+    A pick takes the first unused of the fitting candidates in its order, and a week uses ``daily_target`` a day
+    at most, or the five of the slots; so the first of each order, as many as a week uses, are enough.
+    """
+    none = F.array().cast("array<string>")
+    tags = lambda c: F.coalesce(F.col(c), none)
+    lists = F.array(tags("primary"), tags("secondary"), tags("explore"), F.concat(tags("primary"), tags("secondary")))
+    wanted = plans.select("user_id", F.size("curve").alias("days"), F.explode("curve").alias("target"), lists.alias("l")).select("user_id", "days", "target", F.explode("l").alias("want")).distinct()
+    fits = (F.size("want") == 0) | F.arrays_overlap("want", "tags")
+    near = F.when(F.size("want") > 0, -F.col("score")).otherwise(0.0)
+    # wanted lists are a few for each plan
+    both = candidates.crossJoin(F.broadcast(wanted)).where(fits)
+    k = F.row_number().over(Window.partitionBy("user_id", "target", "want").orderBy(near, F.abs(F.col("difficulty") - F.col("target")), "problem_id"))
+    kept = both.withColumn("k", k).where(F.col("k") <= F.col("days") * max(daily_target, 5))
+    return kept.select("user_id", *candidates.columns).dropDuplicates(["user_id", "problem_id"])
+
+
+def arrange_all(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> DataFrame:
+    """``arrange`` where every candidate (problem_id, tags, difficulty, score) is there for every user.
+
+    Users with equal plans get equal weeks, which are arranged once.
+    """
+    parts = ["primary", "secondary", "explore", "curve"]
+    leads = plans.groupBy(*parts).agg(F.min("user_id").alias("user_id"))
+    weeks = arrange(pools(candidates, leads, daily_target), leads, daily_target)
+    same = plans.join(leads.select(*parts, F.col("user_id").alias("lead")), parts).select("user_id", "lead")
+    return same.join(weeks.withColumnRenamed("user_id", "lead"), "lead").drop("lead")

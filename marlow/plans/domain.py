@@ -202,6 +202,11 @@ def r15(spark, d):
     return matching.pair_scores(p.where("user_id <= 20"), p).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
 
 
+@whole_query("r15_pair_scores_whole", "r15_pair_scores", " WHERE u.user_id <= 20")
+def r15_whole(spark, d):
+    return matching.all_pair_scores(match_profiles(spark, d)).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
+
+
 @query("r17_teammates", "R-16 R-17 R-18 J-09", f"""WITH p AS ({PROFILES}), b AS (SELECT u.user_id AS uid, c.*, row_number() OVER (PARTITION BY u.user_id ORDER BY {_pair_sql('u', 'c')} DESC, c.user_id) AS rk FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id <= 12 QUALIFY rk <= 10),
 t AS (SELECT u.user_id, x.user_id AS first_id, y.user_id AS second_id, floor((({_pair_sql('u', 'x')} + {_pair_sql('u', 'y')} + {_pair_sql('x', 'y')}) / 3 * 0.7 + least(len(list_distinct(list_concat(list_concat(u.strong, x.strong), y.strong))) / 10, 1.0) * 0.3) * 1000 + 0.5) / 1000 AS team_score
 FROM b x JOIN b y ON x.uid = y.uid AND x.rk < y.rk JOIN p u ON u.user_id = x.uid)
@@ -212,6 +217,13 @@ def r17(spark, d):
     return matching.recommend(p.where("user_id <= 12"), p).join(names, "first_id").select("user_id", "first_id", "second_id", "team_score", "name", F.col("place").cast("long").alias("place"))
 
 
+@whole_query("r17_teammates_whole", "r17_teammates", " WHERE u.user_id <= 12")
+def r17_whole(spark, d):
+    names = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("first_id"), F.col("c_name").alias("name"))
+    best = matching.recommend_all(match_profiles(spark, d))
+    return best.join(names, "first_id").select("user_id", "first_id", "second_id", "team_score", "name", F.col("place").cast("long").alias("place"))
+
+
 @query("r19_pair_detail", "R-19", f"WITH p AS ({PROFILES}) SELECT u.user_id, c.user_id AS other_id, {_pair_sql('u', 'c')} AS total, floor(greatest(0.0, 1 - abs(u.score - c.score) * 2) * 1000 + 0.5) / 1000 AS level FROM p u JOIN p c ON c.user_id = u.user_id + 7")
 def r19(spark, d):
     p = match_profiles(spark, d)
@@ -271,6 +283,15 @@ def r21(spark, d):
     return training.arrange(c, plans)
 
 
+@query("r21_week_plan_whole", "R-21 K-06")
+def r21_whole(spark, d):
+    c = C.problems(spark, d).select(F.col("id").alias("problem_id"), "tags", (F.col("difficulty") / 350).alias("difficulty"), (F.col("id") % 10 / 10).alias("score"))
+    lits = lambda *x: F.array(*map(F.lit, x))
+    users = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    plans = users.select("user_id", lits("tag_1", "tag_2").alias("primary"), lits("tag_3").alias("secondary"), lits("tag_4").alias("explore"), training.curve(F.lit("topic_breakthrough")).alias("curve"))
+    return training.arrange_all(c, plans)
+
+
 # --- scales, ids, tags ---------------------------------------------------------------------------
 
 RAW = """SELECT doc_id AS id, (['luogu','leetcode','nowcoder','codeforces','atcoder'])[CAST(doc_id % 5 + 1 AS INTEGER)] AS platform,

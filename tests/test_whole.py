@@ -5,6 +5,7 @@ import os
 import pytest
 from oracle import assert_equal, duck
 
+from marlow.operators import matching, training
 from marlow.plans.all_queries import REGISTER
 
 SF = os.environ.get("MARLOW_TEST_SF_WHOLE", "/root/testdata/sf0.01")
@@ -39,3 +40,37 @@ def test_unicode_marks(spark, tmp_path):
     spark.createDataFrame([(500, text, "fr")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = REGISTER["t08_unicode_whole"].run(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.text) for r in got] == [(500, "caf\u00e9 'a' 'b' c'   d")]
+
+
+@pytest.mark.parametrize(("name", "asks"), [("r15_pair_scores", 20), ("r17_teammates", 12)])
+def test_every_user_asks(spark, con, name, asks):
+    whole, part = check(spark, con, f"{name}_whole", name)
+    users = {r.user_id for r in whole.select("user_id").distinct().collect()}
+    assert len(users) == con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert rows(whole.where(f"user_id <= {asks}")) == rows(part)
+
+
+def test_blocks_of_pairs(spark):
+    rows = [(i, [f"c{i % 3}", f"c{i % 3}"] if i % 4 else None, [f"c{i % 2}"], i % 7 / 7 if i % 9 else None, [" Grinder", "balanced", None, "specialist"][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, strong array<string>, weak array<string>, score double, style string")
+    cols = ["u_id", "c_id", "pair", "rk", "u_strong", "c_style"]
+    want = matching.pair_scores(df, df).select(*cols).collect()
+    assert sorted(map(str, matching.all_pair_scores(df, rows=7).select(*cols).collect())) == sorted(map(str, want)) and len(want) == 400
+
+
+def test_week_of_all_problems(spark):
+    rows = [(i, [f"t{i % 5}"] if i % 3 else [f"t{i % 4}", "t9"], i * 37 % 101 / 10, i * 7 % 11 / 10) for i in range(600)]
+    c = spark.createDataFrame(rows, "problem_id long, tags array<string>, difficulty double, score double")
+    plans = [(1, ["t1"], ["t2"], ["t9"], [2.0, 5.0, 8.0]), (2, ["t1"], ["t2"], ["t9"], [2.0, 5.0, 8.0]), (3, ["none"], [], ["t3"], [4.0, 4.0])]
+    p = spark.createDataFrame(plans, "user_id long, primary array<string>, secondary array<string>, explore array<string>, curve array<double>")
+    want = training.arrange(c.crossJoin(p.select("user_id")), p)
+    got = training.arrange_all(c, p)
+    assert got.select(*want.columns).orderBy(*want.columns).collect() == want.orderBy(*want.columns).collect()
+    assert got.where("problem_id >= 400").count() and got.select("user_id").distinct().count() == 3
+
+
+def test_week_plan_reads_all(spark, con):
+    got = REGISTER["r21_week_plan_whole"].run(spark, SF).cache()
+    assert got.select("user_id").distinct().count() == con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert got.where("problem_id >= 400").count()
