@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlow.operators import filters
-from marlow.plans.registry import query
+from marlow.plans.registry import query, whole_query
 from marlow.sources import catalog as C
 
 AS_OF = "2024-01-30"
@@ -195,8 +195,17 @@ def p30(spark, d):
 
 @query("j01_include_many", "J-01 A-24", """SELECT id, (SELECT list(solution_index ORDER BY solution_index) FROM solutions s WHERE s.problem_id = p.id) AS solutions, (SELECT count(*) FROM solutions s WHERE s.problem_id = p.id) AS n FROM problems p WHERE id < 300""")
 def j01(spark, d):
-    s = C.solutions(spark, d).groupBy(F.col("problem_id").alias("id")).agg(F.sort_array(F.collect_list("solution_index")).alias("solutions"), F.count("*").alias("n"))
-    return C.problems(spark, d).where("id < 300").join(s, "id", "left").select("id", "solutions", F.coalesce("n", F.lit(0)).alias("n"))
+    return _with_solutions(C.problems(spark, d).where("id < 300"), C.solutions(spark, d))
+
+
+@whole_query("j01_include_many_whole", "j01_include_many", " WHERE id < 300")
+def j01_whole(spark, d):
+    return _with_solutions(C.problems(spark, d), C.solutions(spark, d))
+
+
+def _with_solutions(problems, solutions):
+    s = solutions.groupBy(F.col("problem_id").alias("id")).agg(F.sort_array(F.collect_list("solution_index")).alias("solutions"), F.count("*").alias("n"))
+    return problems.join(s, "id", "left").select("id", "solutions", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("j03_anti", "J-03", "SELECT id FROM problems p WHERE NOT EXISTS (SELECT 1 FROM solutions s WHERE s.problem_id = p.id AND votes > 10)")
@@ -229,7 +238,16 @@ def j06(spark, d):
 @query("j07_fallback_resolution", "J-07", """SELECT s.l_orderkey AS k, s.l_linenumber AS line, coalesce(a.id, b.id, c.id) AS problem FROM lineitem s LEFT JOIN problems a ON a.id = s.l_orderkey
 LEFT JOIN problems b ON b.id = s.l_suppkey LEFT JOIN problems c ON c.source_id = 'P' || (s.l_partkey % 1000) WHERE s.l_orderkey < 3000""")
 def j07(spark, d):
-    li, p = C.read_table(spark, d, "lineitem").where("l_orderkey < 3000"), C.problems(spark, d).select("id", "source_id")
+    return _resolved(C.read_table(spark, d, "lineitem").where("l_orderkey < 3000"), C.problems(spark, d))
+
+
+@whole_query("j07_fallback_resolution_whole", "j07_fallback_resolution", " WHERE s.l_orderkey < 3000")
+def j07_whole(spark, d):
+    return _resolved(C.read_table(spark, d, "lineitem"), C.problems(spark, d))
+
+
+def _resolved(li, problems):
+    p = problems.select("id", "source_id")
     a, b, c = p.select(F.col("id").alias("ka"), F.col("id").alias("a")), p.select(F.col("id").alias("kb"), F.col("id").alias("b")), p.select("source_id", F.col("id").alias("c"))
     out = li.join(a, F.col("l_orderkey") == F.col("ka"), "left").join(b, F.col("l_suppkey") == F.col("kb"), "left")
     out = out.join(c, F.concat(F.lit("P"), (F.col("l_partkey") % 1000).cast("string")) == F.col("source_id"), "left")
@@ -385,8 +403,17 @@ def a22(spark, d):
 
 @query("a24_team_sizes", "A-24 U-07", "SELECT s_suppkey AS team, count(c_custkey) AS members, count(c_custkey) >= 3 AS is_full FROM supplier LEFT JOIN customer ON c_custkey % 100 = s_suppkey AND c_custkey < 250 GROUP BY s_suppkey")
 def a24(spark, d):
-    m = C.read_table(spark, d, "customer").where("c_custkey < 250").select((F.col("c_custkey") % 100).alias("s_suppkey"), "c_custkey")
-    g = C.read_table(spark, d, "supplier").join(m, "s_suppkey", "left").groupBy(F.col("s_suppkey").alias("team")).agg(F.count("c_custkey").alias("members"))
+    return _team_sizes(C.read_table(spark, d, "supplier"), C.read_table(spark, d, "customer").where("c_custkey < 250"))
+
+
+@whole_query("a24_team_sizes_whole", "a24_team_sizes", " AND c_custkey < 250")
+def a24_whole(spark, d):
+    return _team_sizes(C.read_table(spark, d, "supplier"), C.read_table(spark, d, "customer"))
+
+
+def _team_sizes(supplier, customer):
+    m = customer.select((F.col("c_custkey") % 100).alias("s_suppkey"), "c_custkey")
+    g = supplier.join(m, "s_suppkey", "left").groupBy(F.col("s_suppkey").alias("team")).agg(F.count("c_custkey").alias("members"))
     return g.withColumn("is_full", F.col("members") >= 3)
 
 

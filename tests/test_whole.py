@@ -74,3 +74,15 @@ def test_week_plan_reads_all(spark, con):
     got = REGISTER["r21_week_plan_whole"].run(spark, SF).cache()
     assert got.select("user_id").distinct().count() == con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     assert got.where("problem_id >= 400").count()
+
+
+@pytest.mark.parametrize("name", ["j01_include_many", "j07_fallback_resolution"])
+def test_joins_of_all_rows(spark, con, name):
+    whole, part = check(spark, con, f"{name}_whole", name)
+    assert whole.count() > part.count()
+
+
+def test_team_sizes_of_all_members(spark, con):
+    whole, part = check(spark, con, "a24_team_sizes_whole", "a24_team_sizes")
+    members = lambda df: df.groupBy().sum("members").first()[0]
+    assert members(whole) > members(part)
