@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlow.functions import scraped
 from marlow.functions import text as T
-from marlow.plans.registry import query
+from marlow.plans.registry import query, whole_query
 from marlow.sources import catalog as C
 from marlow.sources import dims, landing
 
@@ -53,15 +53,23 @@ def s13(spark, d):
     return landing.atcoder_problems(p.select(F.col("p_partkey").alias("id")), contests, models)
 
 
-def _pages_of(spark, df, html):
-    df.select(html.alias("html")).createOrReplaceTempView("marlow_pages")
+def _pages_of(spark, df, html, *keep):
+    df.select(*keep, html.alias("html")).createOrReplaceTempView("marlow_pages")
     spark.udtf.register("marlow_html_rows", landing.HtmlTableRows)
-    return spark.sql("SELECT t.* FROM marlow_pages, LATERAL marlow_html_rows(html) t")
+    return spark.sql(f"SELECT {''.join(f'{k}, ' for k in keep)}t.* FROM marlow_pages, LATERAL marlow_html_rows(html) t")
 
 
 @query("s16_submission_table", "S-16", "SELECT event_id AS submission_id, event_type AS verdict_raw FROM events WHERE event_id < 2000")
 def s16(spark, d):
-    e = C.read_table(spark, d, "events").where("event_id < 2000")
+    return _submissions(spark, C.read_table(spark, d, "events").where("event_id < 2000"))
+
+
+@whole_query("s16_submission_table_whole", "s16_submission_table", " WHERE event_id < 2000")
+def s16_whole(spark, d):
+    return _submissions(spark, C.read_table(spark, d, "events"))
+
+
+def _submissions(spark, e):
     cells = F.concat_ws("</td><td>", F.col("event_id").cast("string"), F.lit("<a href='/p/1'>P</a>"), "event_type", F.lit("C++"), F.lit("now"))
     html = F.concat(F.lit("<table><tr><th>id</th></tr><tr><td>"), cells, F.lit("</td></tr></table>"))
     return landing.submission_table(_pages_of(spark, e, html)).select("submission_id", "verdict_raw")
@@ -74,12 +82,21 @@ def s21(spark, d):
 
 @query("s23_problem_table", "S-23", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS difficulty, [lower(p_brand), 'x'] AS tags FROM part WHERE p_partkey <= 200")
 def s23(spark, d):
-    p = C.read_table(spark, d, "part").where("p_partkey <= 200")
-    row = F.concat(F.lit("<tr><td><a href='/acm/problem/"), F.col("p_partkey").cast("string"), F.lit("'>t</a></td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>"), F.lower("p_brand"), F.lit("，x</td></tr>"))
     # one list page
+    return _problem_pages(spark, C.read_table(spark, d, "part").where("p_partkey <= 200"), F.lit(0))
+
+
+@whole_query("s23_problem_table_whole", "s23_problem_table", " WHERE p_partkey <= 200")
+def s23_whole(spark, d):
+    # list pages of a hundred rows
+    return _problem_pages(spark, C.read_table(spark, d, "part"), F.floor(F.col("p_partkey") / 100))
+
+
+def _problem_pages(spark, p, page):
+    row = F.concat(F.lit("<tr><td><a href='/acm/problem/"), F.col("p_partkey").cast("string"), F.lit("'>t</a></td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>"), F.lower("p_brand"), F.lit("，x</td></tr>"))
     html = F.concat(F.lit("<table><tr><th>题目</th><th>难度</th><th>标签</th></tr>"), F.col("rows"), F.lit("</table>"))
-    page = p.agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
-    return landing.problem_table(_pages_of(spark, page, html))
+    pages = p.groupBy(page.alias("page")).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
+    return landing.problem_table(_pages_of(spark, pages, html, "page"), page="page")
 
 
 @query("t03_leetcode_samples", "T-03", "SELECT id, [['a = ' || id, lang], ['b', source]] AS samples FROM problems")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -171,13 +171,18 @@ def submission_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def problem_table(rows: DataFrame, most: int = 0) -> DataFrame:
-    """Problems of a list page: header cells 难度 and 标签 tell the columns, a link the id; one row an id."""
-    header = rows.where(F.exists("cells", lambda x: x.contains("难度"))).select(F.array_position(F.transform("cells", lambda x: x.contains("难度")), True).alias("d"), F.array_position(F.transform("cells", lambda x: x.contains("标签")), True).alias("t")).limit(1)
+def problem_table(rows: DataFrame, most: int = 0, page: str | None = None) -> DataFrame:
+    """Problems of list pages: header cells 难度 and 标签 tell the columns, a link the id; one row an id, from
+    its first row. ``page`` is the column that tells pages apart, whose rows meet their own header; without it
+    all rows are of one page."""
+    rows = rows.withColumn("__page", F.col(page) if page else F.lit(0))
+    at = lambda word: F.array_position(F.transform("cells", lambda x: x.contains(word)), True)
+    header = rows.where(F.exists("cells", lambda x: x.contains("难度"))).groupBy("__page").agg(F.min_by(F.struct(at("难度").alias("d"), at("标签").alias("t")), "row").alias("h")).select("__page", "h.*")
     pid = F.regexp_extract(F.array_join("links", " "), r"/problem/(\d+)", 1)
     cell = lambda i: F.get("cells", (i - 1).cast("int"))
-    out = rows.crossJoin(F.broadcast(header)).where(pid != "").select("row", pid.alias("id"), F.when(F.col("d") > 0, cell(F.col("d"))).alias("difficulty"), F.when(F.col("t") > 0, F.split(cell(F.col("t")), r"[,，\s]+")).alias("tags"))
-    out = out.dropDuplicates(["id"]).orderBy("row").drop("row")
+    out = rows.where(pid != "").join(header, "__page").select("__page", "row", pid.alias("id"), F.when(F.col("d") > 0, cell(F.col("d"))).alias("difficulty"), F.when(F.col("t") > 0, F.split(cell(F.col("t")), r"[,，\s]+")).alias("tags"))
+    k = F.row_number().over(Window.partitionBy("id").orderBy("__page", "row"))
+    out = out.withColumn("__k", k).where("__k = 1").orderBy("__page", "row").drop("__page", "row", "__k")
     return out.limit(most) if most else out
 
 

@@ -7,6 +7,7 @@ from oracle import assert_equal, duck
 
 from marlow.operators import matching, training
 from marlow.plans.all_queries import REGISTER
+from marlow.sources import landing
 
 SF = os.environ.get("MARLOW_TEST_SF_WHOLE", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
@@ -86,3 +87,21 @@ def test_team_sizes_of_all_members(spark, con):
     whole, part = check(spark, con, "a24_team_sizes_whole", "a24_team_sizes")
     members = lambda df: df.groupBy().sum("members").first()[0]
     assert members(whole) > members(part)
+
+
+@pytest.mark.parametrize("name", ["s16_submission_table", "s23_problem_table"])
+def test_all_pages(spark, con, name):
+    whole, part = check(spark, con, f"{name}_whole", name)
+    assert whole.count() > part.count()
+
+
+def test_pages_meet_their_own_header(spark):
+    link = lambda i: f"/acm/problem/{i}"
+    rows = [
+        (1, 0, ["题目", "难度", "标签"], ["", "", ""]), (1, 1, ["a", "3", "dp,x"], [link(7), "", ""]), (1, 2, ["b", "4", "y"], [link(8), "", ""]),
+        (2, 0, ["标签", "题目", "难度"], ["", "", ""]), (2, 1, ["graph", "c", "5"], ["", link(9), ""]), (2, 2, ["z", "a", "6"], ["", link(7), ""]),
+    ]
+    df = spark.createDataFrame(rows, "page int, row int, cells array<string>, links array<string>")
+    got = landing.problem_table(df, page="page").collect()
+    assert [(r.id, r.difficulty, r.tags) for r in got] == [("7", "3", ["dp", "x"]), ("8", "4", ["y"]), ("9", "5", ["graph"])]
+    assert [r.id for r in landing.problem_table(df.where("page = 2")).collect()] == ["9", "7"]
