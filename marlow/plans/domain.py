@@ -453,6 +453,15 @@ def t14(spark, d):
     return p.select("id", T.normalise_space(c).alias("body"))
 
 
+_WRAPPED = r"regexp_replace(regexp_replace(body, '(\\[a-zA-Z\s](?:\{[^}]*\})*)', '$\1$', 'g'), '([A-Za-z0-9]+[_^]\s*(?:\{[^}]*\}|[A-Za-z0-9]+))', '$\1$', 'g')"
+
+
+@query("t14_whitespace_whole", "T-14", rf"""SELECT id, trim(CASE WHEN contains(body, '$') THEN body ELSE {_WRAPPED} END, ' ') AS body
+FROM (SELECT id, regexp_replace(regexp_replace(regexp_replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '\n[ \t]+\n', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g') AS body FROM problems)""")
+def t14_whole(spark, d):
+    return C.problems(spark, d).select("id", T.normalise_space(F.col("content")).alias("body"))
+
+
 @query("t15_headings", "T-15 T-17", "SELECT id, '### 描述' || chr(10) || lang AS body FROM problems")
 def t15(spark, d):
     return C.problems(spark, d).select("id", T.section_headings(F.concat(F.lit("[描述]\n"), "lang")).alias("body"))

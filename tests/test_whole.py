@@ -1,6 +1,7 @@
 """Queries over whole tables: equal to their SQL on tables and rows that lie beyond the slices of the others."""
 
 import os
+import re
 
 import pytest
 from oracle import assert_equal, duck
@@ -105,3 +106,29 @@ def test_pages_meet_their_own_header(spark):
     got = landing.problem_table(df, page="page").collect()
     assert [(r.id, r.difficulty, r.tags) for r in got] == [("7", "3", ["dp", "x"]), ("8", "4", ["y"]), ("9", "5", ["graph"])]
     assert [r.id for r in landing.problem_table(df.where("page = 2")).collect()] == ["9", "7"]
+
+
+def spaces(t):
+    """T-14, row by row."""
+    for pattern, to in ((r"\r\n|\r", "\n"), (r"\n{3,}", "\n\n"), (r"\n[ \t]+\n", "\n\n"), (r"[ \t]{2,}", " ")):
+        t = re.sub(pattern, to, t)
+    if "$" not in t:
+        t = re.sub(r"(\\[a-zA-Z\s](?:\{[^}]*\})*)", r"$\g<1>$", t, flags=re.ASCII)
+        t = re.sub(r"([A-Za-z0-9]+[_^]\s*(?:\{[^}]*\}|[A-Za-z0-9]+))", r"$\g<1>$", t, flags=re.ASCII)
+    return t.strip(" ")
+
+
+def test_whitespace_of_all_texts(spark, con):
+    whole, part = check(spark, con, "t14_whitespace_whole", "t14_whitespace")
+    assert whole.count() == con.sql("SELECT count(*) FROM documents WHERE doc_id % 17 <> 0").fetchall()[0][0] >= part.count()
+    content = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
+    assert all(r.body == spaces(content[r.id]) for r in whole.collect())
+
+
+def test_whitespace_wraps_latex(spark, tmp_path):
+    texts = [r"A_i and x^{2}  \ldots{a} \, z", "a $x_1$\r\n\r\n\r\nb_2", "x_ {ab}\\ y\n \t\nq", "n\rm^2_k", r"\frac{a}{b}_c"]
+    df = spark.createDataFrame([(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.body for r in REGISTER["t14_whitespace_whole"].run(spark, str(tmp_path)).collect()}
+    assert got == {i + 1: spaces(t) for i, t in enumerate(texts)} and "$A_i$" in got[1]
+    assert not REGISTER["t14_whitespace"].run(spark, str(tmp_path)).count()
