@@ -98,7 +98,9 @@ def section_headings(c: Column) -> Column:
 
 
 def drop_metadata_header(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)\A\s*time limit per test.*?standard output\s*", "")
+    """Without the limits and streams that head a Codeforces statement."""
+    header = r"(?i)\A\d+\s*seconds?\s*\n+\s*memory limit per test\s*\n+\d+\s*megabytes\s*\n+\s*input\s*\n+\s*standard input\s*\n+\s*output\s*\n+\s*standard output\s*\n+"
+    return regex_chain(c, [(header, ""), (r"\A\s+|\s+\z", "")])
 
 
 def limit_ms(c: Column) -> Column:
@@ -163,6 +165,28 @@ def build_content(platform: Column, r: dict[str, Column]) -> Column:
     )
 
 
+#: Fields of raw detail that content is built from.
+RAW_DETAIL = ", ".join(f"{x} string" for x in "background description content constraints input_format output_format inputSpec outputSpec hint note time_limit memory_limit sampleTestCase exampleTestcases".split()) + ", samples array<array<string>>"
+
+
+def once(c: Column) -> Column:
+    """A short name that stands in three paragraphs is one line."""
+    return F.replace(F.regexp_replace(c, r"\n\n([a-zA-Z0-9]{1,3})\n\n\1\n\n\1(\n|\z)", "\n$1$2"), F.lit("\n\n\n"), F.lit("\n\n"))
+
+
+def rebuild_content(platform: Column, raw: Column) -> Column:
+    """``build_content`` from a problem's stored raw detail (JSON); null where that is no JSON."""
+    x = F.from_json(raw, RAW_DETAIL)
+    full = lambda *names: F.coalesce(*(F.nullif(x[n], F.lit("")) for n in names))
+    r = {k: once(full(k)) for k in ("background", "description", "constraints", "hint")}
+    r |= {"content": full("content"), "input_format": once(full("input_format", "inputSpec")), "output_format": once(full("output_format", "outputSpec"))}
+    r |= {k: full(k) for k in ("note", "time_limit", "memory_limit")}
+    clean = F.transform(F.filter(x["samples"], lambda s: F.size(s) >= 2), lambda s: F.transform(s, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+\z", "")))
+    bare = (platform == "leetcode") & (F.coalesce(F.size(clean), F.lit(0)) <= 0) & F.coalesce(full("sampleTestCase"), full("exampleTestcases")).isNotNull()
+    r["samples"] = F.when(bare, F.array(F.array(x["sampleTestCase"], x["exampleTestcases"]))).otherwise(clean)
+    return F.when(x.isNotNull(), build_content(platform, r))
+
+
 def format_summary(r: dict[str, Column]) -> Column:
     """Labelled parts of a summary, joined by blank lines; empty ones are left out."""
     line = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))

@@ -395,7 +395,7 @@ def f29(spark, d):
     return reports.card(reports.daily_report(C.practice_records(spark, d), "2024-01-30"), "Daily").select("markdown")
 
 
-@query("f36_imputed_difficulty", "F-36 F-38 F-39", "SELECT l_orderkey AS o, l_linenumber AS l, CASE WHEN l_tax * 12 >= 0.8 THEN '简单' WHEN l_tax * 12 >= 0.5 THEN '中等' WHEN l_tax * 12 >= 0.2 THEN '较难' ELSE '困难' END AS level, l_linenumber AS n FROM lineitem WHERE l_orderkey < 2000")
+@query("f36_imputed_difficulty", "F-36 F-38", "SELECT l_orderkey AS o, l_linenumber AS l, CASE WHEN l_tax * 12 >= 0.8 THEN '简单' WHEN l_tax * 12 >= 0.5 THEN '中等' WHEN l_tax * 12 >= 0.2 THEN '较难' ELSE '困难' END AS level, l_linenumber AS n FROM lineitem WHERE l_orderkey < 2000")
 def f36(spark, d):
     return _levels(C.read_table(spark, d, "lineitem").where("l_orderkey < 2000"))
 
@@ -446,7 +446,7 @@ def t09(spark, d):
     return C.problems(spark, d).where("title <> ''").select("id", T.build_content(F.col("source_platform"), r).alias("body"))
 
 
-@query("t14_whitespace", "T-14 T-16 T-20", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(content, chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\n[ \t]+\n', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')) AS body FROM problems WHERE NOT contains(content, '$') AND NOT contains(content, '_') AND NOT contains(content, '^') AND NOT contains(content, '\')")
+@query("t14_whitespace", "T-14", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(content, chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\n[ \t]+\n', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')) AS body FROM problems WHERE NOT contains(content, '$') AND NOT contains(content, '_') AND NOT contains(content, '^') AND NOT contains(content, '\')")
 def t14(spark, d):
     c = F.col("content")
     p = C.problems(spark, d).where(~c.contains("$") & ~c.contains("_") & ~c.contains("^") & ~c.contains("\\"))
@@ -462,17 +462,54 @@ def t14_whole(spark, d):
     return C.problems(spark, d).select("id", T.normalise_space(F.col("content")).alias("body"))
 
 
-@query("t15_headings", "T-15 T-17", "SELECT id, '### 描述' || chr(10) || lang AS body FROM problems")
+@query("t15_headings", "T-15", "SELECT id, '### 描述' || chr(10) || lang AS body FROM problems")
 def t15(spark, d):
     return C.problems(spark, d).select("id", T.section_headings(F.concat(F.lit("[描述]\n"), "lang")).alias("body"))
 
 
-@query("t19_diagnostics", "T-19", r"SELECT id, CAST(len(regexp_extract_all(content, '\$\$\$ ')) AS BIGINT) AS marks, CAST(len(list_distinct(string_split(content, chr(10)))) AS BIGINT) AS lines FROM problems")
+@query("t19_diagnostics", "", r"SELECT id, CAST(len(regexp_extract_all(content, '\$\$\$ ')) AS BIGINT) AS marks, CAST(len(list_distinct(string_split(content, chr(10)))) AS BIGINT) AS lines FROM problems")
 def t19(spark, d):
     c = F.col("content")
     return C.problems(spark, d).select("id", F.regexp_count(c, F.lit(r"\$\$\$ ")).cast("long").alias("marks"), F.size(F.array_distinct(F.split(c, "\n"))).cast("long").alias("lines"))
 
 
+@query("t16_spacing", "T-16")
+def t16(spark, d):
+    c = F.concat(F.lit("$$\\hspace{1cm}$$\na\\,b\n"), "content")
+    return C.problems(spark, d).select("id", T.drop_space_lines(T.drop_spacing_commands(c)).alias("body"))
+
+
+@query("t17_metadata_header", "T-17")
+def t17(spark, d):
+    header = F.when(F.col("id") % 2 == 0, "2 seconds\nMemory limit per test\n256 megabytes\ninput\nstandard input\noutput\nstandard output\n").otherwise("")
+    return C.problems(spark, d).select("id", T.drop_metadata_header(F.concat(header, "content")).alias("body"))
+
+
+@query("t18_rebuilt_content", "T-18")
+def t18(spark, d):
+    p = C.problems(spark, d)
+    fields = [F.col("content").alias("description"), F.col("lang").alias("background"), F.col("title").alias("inputSpec"), F.col("source").alias("exampleTestcases"), F.array(F.array("lang", "source")).alias("samples")]
+    # what an import stored
+    raw = F.when(F.col("id") % 2 == 0, F.to_json(F.struct(*fields))).otherwise(F.to_json(F.struct(*fields[:4])))
+    return p.select("id", T.rebuild_content(F.col("source_platform"), raw).alias("body"))
+
+
+@query("t19_repeats", "T-19")
+def t19_repeats(spark, d):
+    c = F.concat("content", F.lit("\n$a_1$\n$a_1$\n$a_1$\n$b$"))
+    return C.problems(spark, d).select("id", T.repeat_diagnostics(c).alias("r")).select("id", "r.*")
+
+
+@query("t20_list_markers", "T-20", r"SELECT id, regexp_replace(content || ' is:- one', '(?i)([a-z0-9:;])- ', '\1' || chr(10) || '- ', 'g') AS body FROM problems")
+def t20(spark, d):
+    return C.problems(spark, d).select("id", T.repair_list_markers(F.concat("content", F.lit(" is:- one"))).alias("body"))
+
+
+@query("f39_titles", "F-39", "SELECT id, trim(lang || ' & ' || source) AS title FROM problems")
+def f39(spark, d):
+    return C.problems(spark, d).select("id", T.title_after_dash(F.concat(F.lit("A - "), "lang", F.lit(" &amp; "), "source")).alias("title"))
+
+
 @query("w05_repeated_lines", "W-05")
 def w05(spark, d):
     return C.problems(spark, d).select("id", T.drop_repeated_lines(F.col("content")).alias("body"))
@@ -574,7 +611,7 @@ def u10(spark, d):
     return upsert.work_log(log.where("item % 2 = 0"), log).select("item", "stage", "at")
 
 
-@query("u11_backfill", "U-11 T-18", "SELECT id, CASE WHEN id % 3 = 0 THEN upper(lang) ELSE lang END AS v FROM problems")
+@query("u11_backfill", "U-11", "SELECT id, CASE WHEN id % 3 = 0 THEN upper(lang) ELSE lang END AS v FROM problems")
 def u11(spark, d):
     p = C.problems(spark, d).select("id", "lang", F.when(F.col("id") % 3 != 0, F.col("lang")).alias("v"))
     return upsert.backfill(p, "v", F.upper("lang")).select("id", "v")

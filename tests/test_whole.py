@@ -132,3 +132,48 @@ def test_whitespace_wraps_latex(spark, tmp_path):
     got = {r.id: r.body for r in REGISTER["t14_whitespace_whole"].run(spark, str(tmp_path)).collect()}
     assert got == {i + 1: spaces(t) for i, t in enumerate(texts)} and "$A_i$" in got[1]
     assert not REGISTER["t14_whitespace"].run(spark, str(tmp_path)).count()
+
+
+@pytest.fixture(scope="module")
+def content(con):
+    return dict(con.sql("SELECT doc_id, text FROM documents WHERE doc_id % 17 <> 0").fetchall())
+
+
+def bodies(spark, name):
+    return {r.id: r.body for r in REGISTER[name].run(spark, SF).collect()}
+
+
+def test_spacing(spark, content):
+    def brute(t):
+        lines = [x for x in re.sub(r"\\[,!;:]", "", t).split("\n") if not re.match(r"\$?\$?\\[hv]space\{", x.strip(" "))]
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip(" ")
+
+    assert bodies(spark, "t16_spacing") == {i: brute(f"ab\n{t}") for i, t in content.items()}
+
+
+def test_metadata_header(spark, content):
+    assert bodies(spark, "t17_metadata_header") == {i: t.strip(" \t\n\x0b\f\r") for i, t in content.items()}
+
+
+def test_rebuilt_content(spark, con):
+    def brute(i, t, lang, source):
+        block = lambda *io: "[样例]\n" + "\n\n".join(f"{n} #1\n```\n{x}\n```" for n, x in zip(("输入", "输出"), io, strict=True))
+        leetcode = i % 5 == 1
+        parts = [f"[背景]\n{lang}", f"[描述]\n{t}" if t else "", "" if leetcode or not t[:40] else f"[输入]\n{t[:40]}", block(lang, source) if i % 2 == 0 else block("", source) if leetcode else ""]
+        return "\n\n".join(x for x in parts if x)
+
+    rows = con.sql("SELECT doc_id, text, lang, source FROM documents WHERE doc_id % 17 <> 0").fetchall()
+    fold = lambda t: re.sub(r"\n\n([a-zA-Z0-9]{1,3})\n\n\1\n\n\1(\n|$)", r"\n\1\2", t).replace("\n\n\n", "\n\n")
+    assert bodies(spark, "t18_rebuilt_content") == {i: brute(i, fold(t), lang, source) for i, t, lang, source in rows}
+
+
+def test_repeats(spark, content):
+    found = lambda t: re.findall(r"\$[^$\n]+\$", t)
+    more = {i: f"{t}\n$a_1$\n$a_1$\n$a_1$\n$b$" for i, t in content.items()}
+    want = {i: (len(found(t)), len(set(found(t))), len(re.findall(r"(?m)^(.+)\n\1\n\1$", t))) for i, t in more.items()}
+    assert {r.id: (r.formulas, r.distinct_formulas, r.triple_lines) for r in REGISTER["t19_repeats"].run(spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["t20_list_markers", "f39_titles"])
+def test_text_steps(spark, con, name):
+    assert_equal(REGISTER[name].run(spark, SF), REGISTER[name].sql, con)
