@@ -1,13 +1,14 @@
-"""URL filtering by association rules that FP-growth mines from labelled pages."""
+"""URL filtering by the smallest association rules of labelled pages, mined level by level."""
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations, groupby
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +66,10 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5, l
     """Rules ``tokens -> bad`` of at least this support (and on ``least_rows`` bad pages) and confidence,
     the smallest that do.
 
-    ``labelled`` has ``url`` and ``bad`` (boolean); null labels teach nothing. FP-growth runs in Spark;
-    a rule's support is relative, so their number is bounded by token combinations of a URL / support
-    and does not grow with the rows. A rule is dropped if one with fewer of its tokens is kept.
+    ``labelled`` has ``url`` and ``bad`` (boolean); null labels teach nothing. Token sets grow level by level, of
+    any length: a set is extended while it has the support, is no rule and is on fewer pages than each set with a
+    token less (else those give the same rules, shorter). A rule's support is relative, so the sets are bounded by
+    token combinations of a URL / support and do not grow with the rows.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,35 +77,62 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5, l
             got = [url_tokens(u) + [BAD] * bool(bad) for u, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string()))], ["items"])
 
-    known = labelled.where(F.col("bad").isNotNull()).select("url", "bad").mapInArrow(tokens, "items array<string>")
-    # Baskets without the consequent matter only for confidence: mine the bad ones, then count their antecedents over all.
-    total, bad = known.agg(F.count("*"), F.coalesce(F.sum(F.array_contains("items", BAD).cast("long")), F.lit(0))).first()
-    if bad < least_rows:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_rows, support * total) / bad), minConfidence=0.0).fit(known.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items")))
-    frequent = {frozenset(r["items"]): r.freq for r in model.freqItemsets.where(F.size("items") <= 3).collect()}
-    sets = sorted(frequent, key=lambda s: (len(s), sorted(s)))
-    index = inverted_index([(s, 0.0) for s in sets])
-    shared = labelled.sparkSession.sparkContext.broadcast((sets, index))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, index = shared.value
-        n: dict[int, int] = defaultdict(int)
-        for b in batches:
-            for items in b.column(0).to_pylist():
-                for k in fitting(set(items), sets, index):
-                    n[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["k", "n"])
-
-    seen = {r.k: r.n for r in known.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    known = labelled.where(F.col("bad").isNotNull()).select("url", "bad").mapInArrow(tokens, "items array<string>").persist(StorageLevel.DISK_ONLY)
+    try:
+        total, bad = known.agg(F.count("*"), F.coalesce(F.sum(F.array_contains("items", BAD).cast("long")), F.lit(0))).first()
+        if bad < least_rows:
+            return []
+        return _smallest(known, (bad, total), min(bad, max(least_rows, support * total)), confidence)
+    finally:
+        known.unpersist()
+
+
+def _smallest(known: DataFrame, every: tuple[int, int], need: float, confidence: float) -> list[tuple[frozenset[str], float]]:
+    """``mine`` on token lists that have BAD on bad pages; ``every`` counts (bad pages, pages), ``need`` is the least number of bad pages."""
+    ones = known.select(F.array_contains("items", BAD).cast("long").alias("b"), F.explode(F.array_remove("items", BAD)).alias("t"))
+    found = ones.groupBy("t").agg(F.sum("b").alias("b"), F.count("*").alias("n")).where(F.col("b") >= need)
+    level = {(r.t,): (r.b, r.n) for r in found.collect()}
+    before: dict[tuple[str, ...], tuple[int, int]] = {(): every}
     rules: list[tuple[frozenset[str], float]] = []
-    for k, s in enumerate(sets):
-        sure = frequent[s] / max(1, seen.get(k, 0))
-        if sure >= confidence and not any(r <= s for r, _ in rules):
-            rules.append((s, sure))
+    while level:
+        open_: dict[tuple[str, ...], tuple[int, int]] = {}
+        for s in sorted(level):
+            b, n = level[s]
+            if b / n >= confidence:
+                rules.append((frozenset(s), b / n))
+            elif all(before.get(s[:i] + s[i + 1 :]) != (b, n) for i in range(len(s))):
+                open_[s] = (b, n)
+        if len(open_) < 2:
+            break
+        level, before = _longer(known, list(open_), need), open_
     return rules
 
 
+def _longer(known: DataFrame, sets: list[tuple[str, ...]], need: float) -> dict[tuple[str, ...], tuple[int, int]]:
+    """Sets of a token more, all of whose parts are in ``sets``, on ``need`` bad pages: (bad pages, pages) of each."""
+    shared = known.sparkSession.sparkContext.broadcast((sets, [frozenset(s) for s in sets], inverted_index([(frozenset(s), 0.0) for s in sets])))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, plain, index = shared.value
+        for batch in batches:
+            n: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+            for items in batch.column(0).to_pylist():
+                has = set(items)
+                here = sorted(sets[k] for k in fitting(has, plain, index))
+                fit, sign = set(here), int(BAD in has)
+                for _, group in groupby(here, key=lambda s: s[:-1]):
+                    for x, y in combinations(group, 2):
+                        new = (*x, y[-1])
+                        if all(new[:i] + new[i + 1 :] in fit for i in range(len(new) - 2)):
+                            n[new][0] += sign
+                            n[new][1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in n], pa.list_(pa.string())), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], ["s", "b", "n"])
+
+    found = known.mapInArrow(count, "s array<string>, b long, n long").groupBy("s").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).where(F.col("b") >= need).collect()
+    shared.unpersist()
+    return {tuple(r.s): (r.b, r.n) for r in found}
+
+
 def inverted_index(rules: list[tuple[frozenset[str], float]]) -> dict[str, list[int]]:
     """token -> numbers of the rules filed under it; a rule is filed under its token in fewest rules."""
     uses: dict[str, int] = defaultdict(int)
