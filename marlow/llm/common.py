@@ -9,8 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -19,11 +20,15 @@ _OWN_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where the setting is absent and all run in one process (tests) a temporary folder takes its
+    place; on a cluster the absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="marlow-")
@@ -69,9 +74,53 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
-def buckets_for(df: DataFrame, mb_each: float, least: int = 12, most: int = 1 << 16) -> int:
-    """How many hash buckets keep each near ``mb_each`` MB of input; grows with the input."""
-    return int(min(most, max(least, text_bytes(df) / (mb_each * 1e6))))
+def buckets_for(df: DataFrame, mb_each: float, least: int = 12) -> int:
+    """How many hash buckets keep each near ``mb_each`` MB of input; grows with the input, without a bound."""
+    return int(max(least, text_bytes(df) / (mb_each * 1e6)))
+
+
+#: More tasks than this help no cluster; a task then takes several buckets, one after the other.
+MOST_TASKS = 50_000
+
+
+def by_bucket(df: DataFrame, buckets: int, key: str = "bucket") -> GroupedData:
+    """``df`` grouped by the number of its bucket, a bucket a task (up to MOST_TASKS): where buckets met in a
+    task by a hash, some tasks would have several and others none."""
+    return df.repartitionById(min(buckets, MOST_TASKS), F.col(key)).groupBy(key)
+
+
+def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each distinct value of a sorted array and the slice that holds it."""
+    if not len(sorted_values):
+        return
+    at = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(sorted_values)], strict=True):
+        yield int(sorted_values[a]), slice(a, b)
+
+
+def bucket_path(folder: str, bucket: int) -> str:
+    """Where a bucket's arrays are: at most 4096 folders, so that none holds all files."""
+    return f"{folder}/{bucket % 4096}/{bucket}"
+
+
+class Mapped:
+    """Arrays in files, mapped into memory as they are asked for; at most ``most`` are open, the one unused
+    for longest is closed. A missing file is an error, never an empty array."""
+
+    def __init__(self, most: int = 400):
+        self.most = most
+        self.open: dict[str, np.ndarray] = {}
+
+    def __call__(self, path: str, dtype) -> np.ndarray:
+        got = self.open.pop(path, None)
+        if got is None:
+            if not os.path.getsize(path):
+                return np.zeros(0, dtype)
+            if len(self.open) >= self.most:
+                self.open.pop(next(iter(self.open)))
+            got = np.memmap(path, dtype, "r")
+        self.open[path] = got
+        return got
 
 
 def spread(df: DataFrame) -> DataFrame:

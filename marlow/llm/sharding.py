@@ -8,76 +8,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlow.llm.common import written
+
 OVERHEAD = 16
+U32 = 1 << 32
 
 
-def shard_by_splitters(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 8, samples_per_range: int = 25, leaf_rows: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_splitters(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 8, samples_per_range: int = 25, leaf_rows: int = 16, leaves: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row.
 
-    The key is (crc32 of the text, a hash of the id): equal texts lie side by side, so a group of copies
-    stays in one shard or in neighbours, and a group larger than a shard is divided by the second part.
+    Texts are read once: what sharding needs of them is written to the shared folder as rows of four
+    numbers. The key is (crc32 of the text, a hash of the id and of the row's place): equal texts lie side
+    by side, so a group of copies stays in one shard or in neighbours, and a group larger than a shard is
+    divided by the second part, also where ids repeat or are null.
     1. A row is sampled with a chance in proportion to its size (from a hash, so a rerun draws the same).
     2. The quantiles of the sample are boundaries of shards * ranges_per_shard ranges.
     3. Each range is cut into slices of equal width, more where it holds more, and slices that are still
-       overfull are subdivided by the second hash: a leaf has about leaf_rows rows, whatever shares one key.
-    4. The exact bytes of the leaves, in key order, give the shard of each leaf (middle of its bytes by
-       quantile); a leaf is some tens of rows, so shards differ by about a leaf and a text.
-    Slots count from 0 in key order within the shard: leaf offset plus rank in the leaf.
+       overfull are subdivided by the second hash. A leaf has about ``leaf_rows`` rows, more where that
+       would make over ``leaves`` of them, so sums over leaves stay small at any size.
+    4. The bytes before a row, of the leaves before its own and within it, give its shard: the one in which
+       the middle of the row lies. So shards differ from the mean by no more than the largest row.
+    Slots count from 0 in key order within the shard.
 
-    Size is UTF-8 bytes plus 16, null text counts as none. Null ids, repeated rows and ties are ordered
-    by their own columns; rows that are equal in all get neighbouring slots. An empty table gives no rows.
+    Size is UTF-8 bytes plus 16, null text counts as none. Rows of one text, whatever their ids, may be
+    dealt otherwise if the table is read in other pieces; all else depends on the rows alone. Further
+    columns are not read. An empty table gives no rows.
     """
-    u32 = float(1 << 32)
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + OVERHEAD).cast("long")
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    tie = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 32))
-    rows = docs.select(F.col(id_col), size.alias("size"), crc.alias("text_crc32"), tie.alias("tie"))
+    tie = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(U32))
+    rows = written(docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), tie.alias("tie")), "sizes")
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     n_ranges = shards * ranges_per_shard
-    if not total.n:
-        boundaries = []
-    else:
+    boundaries: list[int] = []
+    if total.n:
+        leaf_rows = max(leaf_rows, -(-total.n // leaves))
         chance = F.col("size") * (samples_per_range * n_ranges / total.b)
-        drawn = F.pmod(F.xxhash64("text_crc32", "tie", F.lit(11)), F.lit(1 << 32)) / u32
+        drawn = F.pmod(F.xxhash64("text_crc32", "tie", F.lit(11)), F.lit(U32)) / float(U32)
         # at most samples_per_range * n_ranges keys are expected, whatever the input holds
-        sample = rows.where(drawn < chance).select("text_crc32")
         points = [i / n_ranges for i in range(1, n_ranges)]
-        got = sample.agg(F.percentile_approx("text_crc32", points, 10_000)).first()[0]
+        got = rows.where(drawn < chance).agg(F.percentile_approx("text_crc32", points, 10_000)).first()[0]
         # each boundary key gets a range of its own, so that a hot key can be divided by the second hash
         boundaries = sorted({b for k in got or [] for b in (k - 1, k) if b >= 0})
     rows = rows.withColumn("range", _range_of(F.col("text_crc32"), boundaries))
     counts = rows.groupBy("range").agg(F.count("*").alias("n"))
-    # counts holds n_ranges rows at most (n_ranges is a parameter), so it may be broadcast
+    # a row a range, 2 * n_ranges at most, so it may be broadcast; so may all sums by range below
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / leaf_rows)).cast("long")
     rows = rows.join(F.broadcast(counts.select("range", slices.alias("slices"))), "range")
     # A range that is more than one key is cut by key first: the slice follows the key's place in the range.
-    rows = rows.withColumn("leaf", F.floor(_place(boundaries) * F.col("slices")).cast("long"))
-    full = rows.groupBy("range", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows)
-    parts_of = full.select("range", "leaf", F.ceil(F.col("n") / leaf_rows).alias("parts"))
-    rows = rows.join(parts_of, ["range", "leaf"], "left")
-    inner = F.coalesce(F.floor(F.col("tie") / u32 * F.col("parts")), F.lit(0))
-    rows = rows.withColumn("leaf", F.struct("leaf", inner.cast("long").alias("part")))
-    leaves = rows.groupBy("range", "leaf").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    by_range = leaves.groupBy("range").agg(F.sum("bytes").alias("rb"))
-    w_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_range.select("range", F.coalesce(F.sum("rb").over(w_range), F.lit(0)).alias("base"))
-    w_leaf = Window.partitionBy("range").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    leaves = leaves.join(F.broadcast(base), "range").withColumn("start", F.col("base") + F.coalesce(F.sum("bytes").over(w_leaf), F.lit(0)))
-    middle = F.col("start") + F.col("bytes") / 2
+    rows = rows.withColumn("slice", F.floor(_place(boundaries) * F.col("slices")).cast("long"))
+    full = rows.groupBy("range", "slice").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows)
+    rows = rows.join(full.select("range", "slice", F.ceil(F.col("n") / leaf_rows).alias("parts")), ["range", "slice"], "left")
+    part = F.coalesce(F.floor(F.col("tie") / float(U32) * F.col("parts")), F.lit(0)).cast("long")
+    rows = rows.select("id", "size", "text_crc32", "tie", "range", "slice", part.alias("part"))
+    leaf = ["range", "slice", "part"]
+    sums = rows.groupBy(*leaf).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = sums.groupBy("range").agg(F.sum("bytes").alias("b"), F.sum("n").alias("n"))
+    by_range = by_range.select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"r{c}") for c in "bn"))
+    inside = Window.partitionBy("range").orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.join(F.broadcast(by_range), "range").select(
+        *leaf, (F.col("rb") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))).alias("start"), (F.col("rn") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"),
+    )
+    in_leaf = Window.partitionBy(*leaf).orderBy("text_crc32", "tie", "id", "size")
+    ranked = rows.withColumn("rank", F.row_number().over(in_leaf) - 1).withColumn("upto", F.sum("size").over(in_leaf.rowsBetween(Window.unboundedPreceding, 0)))
+    middle = F.col("start") + F.col("upto") - F.col("size") / 2
     shard = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(total.b or 1)))).cast("int")
-    leaves = leaves.withColumn("shard", shard)
-    parts = leaves.groupBy("shard", "range").agg(F.sum("n").alias("pn"))
-    w_part = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("shard", "range", F.coalesce(F.sum("pn").over(w_part), F.lit(0)).alias("pfirst"))
-    w_in = Window.partitionBy("shard", "range").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    # a part (shard, range) is at most n_ranges + shards rows in all
-    leaves = leaves.join(F.broadcast(parts), ["shard", "range"]).withColumn("first", F.col("pfirst") + F.coalesce(F.sum("n").over(w_in), F.lit(0)))
-    w_row = Window.partitionBy("range", "leaf").orderBy("text_crc32", "tie", F.col(id_col), "size")
-    ranked = rows.withColumn("rank", F.row_number().over(w_row) - 1)
-    out = ranked.join(leaves.select("range", "leaf", "shard", "first"), ["range", "leaf"])
-    return out.select(
-        id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    placed = ranked.join(starts, leaf).select("id", "size", "text_crc32", shard.alias("shard"), (F.col("first") + F.col("rank")).alias("place"))
+    placed = written(placed, "placed")
+    # shards follow the order of places, so a shard's places are without a gap
+    firsts = placed.groupBy("shard").agg(F.min("place").alias("least"))
+    return placed.join(F.broadcast(firsts), "shard").select(
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("place") - F.col("least")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
@@ -96,7 +99,6 @@ def _range_of(key: Column, boundaries: list[int]) -> Column:
 
 def _place(boundaries: list[int]) -> Column:
     """In [0, 1): the row's place in its range, by key, or by the second hash where the range is one key."""
-    u32 = float(1 << 32)
     lo = F.element_at(F.array(*map(F.lit, [-1, *boundaries])), F.col("range") + 1)
-    hi = F.element_at(F.array(*map(F.lit, [*boundaries, (1 << 32) - 1])), F.col("range") + 1)
-    return (F.col("text_crc32") - lo - 1 + F.col("tie") / u32) / F.greatest(hi - lo, F.lit(1))
+    hi = F.element_at(F.array(*map(F.lit, [*boundaries, U32 - 1])), F.col("range") + 1)
+    return (F.col("text_crc32") - lo - 1 + F.col("tie") / float(U32)) / F.greatest(hi - lo, F.lit(1))

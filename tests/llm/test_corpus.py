@@ -79,7 +79,8 @@ def test_bpe_piece_equals_plain_merging():
 # --- 10 ------------------------------------------------------------------------------------------
 
 
-def check_shards(df, shards, tolerance):
+def check_shards(df, shards):
+    """The law: no shard is further from the mean than the largest row; slots have no gap."""
     rows = sharding.shard_by_splitters(df, shards=shards).collect()
     assert len(rows) == df.count()
     size, slots = Counter(), {}
@@ -88,7 +89,8 @@ def check_shards(df, shards, tolerance):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(size.values()) / shards
-    assert max(size.values()) - mean <= tolerance and mean - min(size[k] for k in range(shards)) <= tolerance
+    largest = max(r.size for r in rows)
+    assert max(size.values()) - mean <= largest and mean - min(size[k] for k in range(shards)) <= largest
     return rows
 
 
@@ -96,15 +98,28 @@ def test_sharding(spark, odd):
     rng = random.Random(1)
     hot = words(rng, 40)
     rows = [(i, hot if i % 3 == 0 else words(rng, rng.randrange(5, 80)), "en") for i in range(4000)]
-    got = check_shards(frame(spark, rows), 8, 16 * 600)
+    got = check_shards(frame(spark, rows), 8)
     texts = dict((i, t) for i, t, _ in rows)
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 16 for r in got)
     assert all(r.law == "bytes" and r.grown_shard is None for r in got)
-    few = sharding.shard_by_splitters(frame(spark, odd)).collect()
-    assert len(few) == len(odd) and all(0 <= r.shard < 40 for r in few)
+    few = check_shards(frame(spark, odd), 40)
+    assert all(0 <= r.shard < 40 for r in few)
+    assert Counter((r.doc_id, r.size) for r in few) == Counter((i, len((t or "").encode()) + 16) for i, t, _ in odd)
     assert sharding.shard_by_splitters(frame(spark, [])).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Equal rows, and null ids with one text, in number: they are divided, too."""
+    rng = random.Random(3)
+    equal = frame(spark, [(1, "twenty-five bytes of text", "en")]).crossJoin(spark.range(30_000)).drop("id")
+    small = frame(spark, [(i, words(rng, 3), "en") for i in range(1000)])
+    assert len({r.shard for r in check_shards(equal.unionByName(small), 40)}) == 40
+    nulls = frame(spark, [(None, "a text", "en")]).crossJoin(spark.range(20_000)).drop("id")
+    assert len({r.shard for r in check_shards(nulls, 40)}) == 40
+    few_leaves = sharding.shard_by_splitters(small, shards=4, leaves=10).collect()
+    assert sorted(r.slot for r in few_leaves if r.shard == 2) == list(range(sum(r.shard == 2 for r in few_leaves)))
+
+
 # --- 1 -------------------------------------------------------------------------------------------
 
 
