@@ -1,17 +1,19 @@
-"""URL filtering by the smallest association rules of labelled pages, mined level by level."""
+"""URL filtering by association rules of labelled pages: FP-growth, pruned, matched by an inverted index."""
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from math import ceil
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlow.llm.common import written
+
 BAD = "label=bad"
 #: Fixed rules of the query: (host, path, verdict).
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -62,75 +64,63 @@ def url_tokens(url: str | None) -> list[str]:
     return sorted(out)
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5, least_rows: int = 12) -> list[tuple[frozenset[str], float]]:
-    """Rules ``tokens -> bad`` of at least this support (and on ``least_rows`` bad pages) and confidence,
-    the smallest that do.
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5, lift: float = 1.2, errors: float = 3.0, least_rows: int = 12) -> list[tuple[frozenset[str], float]]:
+    """Rules ``tokens -> bad``, the smallest that hold, with their confidence, by FP-growth.
 
-    ``labelled`` has ``url`` and ``bad`` (boolean); null labels teach nothing. Token sets grow level by level, of
-    any length: a set is extended while it has the support, is no rule and is on fewer pages than each set with a
-    token less (else those give the same rules, shorter). A rule's support is relative, so the sets are bounded by
-    token combinations of a URL / support and do not grow with the rows.
+    ``labelled`` has ``url`` and ``bad`` (boolean); null labels teach nothing. A rule holds with this support
+    (its bad pages over all pages, and ``least_rows`` of them), this confidence and a confidence that is, less
+    ``errors`` standard errors of a share of so many pages, ``lift`` times the share of bad pages or more. So
+    chance patterns don't block, whatever the base rate is. Token sets have any length; of rules that hold, those
+    that contain another are dropped. Tokens that are on the same pages only count as one item, which
+    keeps the sets few. Their number is bounded by the support, not by the rows.
     """
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = labelled.where(F.col("bad").isNotNull()).select("url", "bad")
+    known = written(known.mapInArrow(_tokenised, "items array<string>, bad boolean"), "url-tokens")
+    total, bad = known.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    if bad < least_rows:
+        return []
+    need = max(least_rows, ceil(support * total - 1e-9))
+    same = _equivalent(known, need)
+    if not same:
+        return []
+    stands_for = known.sparkSession.sparkContext.broadcast(same)
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = stands_for.value
         for b in batches:
-            got = [url_tokens(u) + [BAD] * bool(bad) for u, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            got = [sorted({of[t] for t in some if t in of}) + [BAD] * sign for some, sign in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string()))], ["items"])
 
-    known = labelled.where(F.col("bad").isNotNull()).select("url", "bad").mapInArrow(tokens, "items array<string>").persist(StorageLevel.DISK_ONLY)
-    try:
-        total, bad = known.agg(F.count("*"), F.coalesce(F.sum(F.array_contains("items", BAD).cast("long")), F.lit(0))).first()
-        if bad < least_rows:
-            return []
-        return _smallest(known, (bad, total), min(bad, max(least_rows, support * total)), confidence)
-    finally:
-        known.unpersist()
-
-
-def _smallest(known: DataFrame, every: tuple[int, int], need: float, confidence: float) -> list[tuple[frozenset[str], float]]:
-    """``mine`` on token lists that have BAD on bad pages; ``every`` counts (bad pages, pages), ``need`` is the least number of bad pages."""
-    ones = known.select(F.array_contains("items", BAD).cast("long").alias("b"), F.explode(F.array_remove("items", BAD)).alias("t"))
-    found = ones.groupBy("t").agg(F.sum("b").alias("b"), F.count("*").alias("n")).where(F.col("b") >= need)
-    level = {(r.t,): (r.b, r.n) for r in found.collect()}
-    before: dict[tuple[str, ...], tuple[int, int]] = {(): every}
+    baskets = known.mapInArrow(items, "items array<string>")
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / total, minConfidence=confidence).fit(baskets)
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
+    pages = F.round(F.col("support") / F.col("confidence") * total)  # on which the tokens are
+    sure = F.col("confidence") - errors * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / pages)
+    found = found.where(sure >= lift * bad / total).select("antecedent", "confidence").collect()
     rules: list[tuple[frozenset[str], float]] = []
-    while level:
-        open_: dict[tuple[str, ...], tuple[int, int]] = {}
-        for s in sorted(level):
-            b, n = level[s]
-            if b / n >= confidence:
-                rules.append((frozenset(s), b / n))
-            elif all(before.get(s[:i] + s[i + 1 :]) != (b, n) for i in range(len(s))):
-                open_[s] = (b, n)
-        if len(open_) < 2:
-            break
-        level, before = _longer(known, list(open_), need), open_
+    kept: list[frozenset[str]] = []
+    for r in sorted(found, key=lambda r: (len(r.antecedent), sorted(r.antecedent))):
+        tokens = frozenset(r.antecedent)
+        if not any(k <= tokens for k in kept):
+            kept.append(tokens)
+            rules.append((tokens, r.confidence))
     return rules
 
 
-def _longer(known: DataFrame, sets: list[tuple[str, ...]], need: float) -> dict[tuple[str, ...], tuple[int, int]]:
-    """Sets of a token more, all of whose parts are in ``sets``, on ``need`` bad pages: (bad pages, pages) of each."""
-    shared = known.sparkSession.sparkContext.broadcast((sets, [frozenset(s) for s in sets], inverted_index([(frozenset(s), 0.0) for s in sets])))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, plain, index = shared.value
-        for batch in batches:
-            n: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
-            for items in batch.column(0).to_pylist():
-                has = set(items)
-                here = sorted(sets[k] for k in fitting(has, plain, index))
-                fit, sign = set(here), int(BAD in has)
-                for _, group in groupby(here, key=lambda s: s[:-1]):
-                    for x, y in combinations(group, 2):
-                        new = (*x, y[-1])
-                        if all(new[:i] + new[i + 1 :] in fit for i in range(len(new) - 2)):
-                            n[new][0] += sign
-                            n[new][1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in n], pa.list_(pa.string())), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], ["s", "b", "n"])
-
-    found = known.mapInArrow(count, "s array<string>, b long, n long").groupBy("s").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).where(F.col("b") >= need).collect()
-    shared.unpersist()
-    return {tuple(r.s): (r.b, r.n) for r in found}
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_tokens(u) for u in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], ["items", "bad"])
+
+
+def _equivalent(known: DataFrame, need: int) -> dict[str, str]:
+    """Tokens on ``need`` bad pages at least (so their number is bounded by tokens of a URL / support), each
+    with the one that stands for all on exactly the same pages: the least of equal sums of page hashes."""
+    once = known.withColumn("page", F.monotonically_increasing_id()).select(F.explode("items").alias("t"), F.xxhash64("page").cast("decimal(38,0)").alias("h"), F.col("bad").cast("long").alias("b"))
+    found = once.groupBy("t").agg(F.sum("h").alias("h"), F.count("*").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= need).select("t", "h", "n").collect()
+    least: dict[tuple, str] = {}
+    for r in sorted(found, key=lambda r: r.t):
+        least.setdefault((r.h, r.n), r.t)
+    return {r.t: least[r.h, r.n] for r in found}
 
 
 def inverted_index(rules: list[tuple[frozenset[str], float]]) -> dict[str, list[int]]:
