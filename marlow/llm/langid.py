@@ -59,20 +59,45 @@ class LanguageModel:
         self.matrix = np.log(counts + smooth) - np.log(counts.sum(0) + smooth * BUCKETS)
         self.prior = np.log(docs + 1.0) - np.log((docs + 1.0).sum() or 1.0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; ``und`` and 0 without a letter or a language."""
-        grams = ngrams(text) if text and self.languages else None
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language and its posterior for each text; ``und`` and 0 without a letter or a language."""
+        names, sure = ["und"] * len(texts), [0.0] * len(texts)
+        for rows, data, bucket, offset in sparse_batches(texts) if self.languages else ():
+            z = np.stack([np.add.reduceat(column[bucket] * data, offset[:-1]) for column in self.matrix.T], 1) + self.prior
+            best = z.argmax(1)
+            p = 1 / np.exp(z - z[np.arange(len(z)), best][:, None]).sum(1)
+            for i, k, x in zip(rows, best.tolist(), p.tolist(), strict=True):
+                names[i], sure[i] = self.languages[k], x
+        return names, sure
+
+
+def sparse_batches(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Compressed sparse rows (data, bucket, offset) of n-gram counts of the texts that have a letter, with their
+    numbers; about ``most`` entries at a time. A long text has an entry for each bucket, not for each n-gram."""
+    rows: list[int] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def packed():
+        return rows, np.concatenate([d for d, _ in held]), np.concatenate([b for _, b in held]), np.cumsum([0, *(len(b) for _, b in held)])
+
+    for i, text in enumerate(texts):
+        grams = ngrams(text) if text else None
         if grams is None:
-            return "und", 0.0
-        if len(grams) < BUCKETS // 8:
-            z = self.matrix[grams].sum(0)
-        else:
+            continue
+        if len(grams) > BUCKETS:
             counts = np.bincount(grams, minlength=BUCKETS)
-            some = np.flatnonzero(counts)
-            z = counts[some] @ self.matrix[some]
-        z = z + self.prior
-        best = int(z.argmax())
-        return self.languages[best], float(1 / np.exp(z - z[best]).sum())
+            bucket = np.flatnonzero(counts)
+            held.append((counts[bucket].astype(float), bucket))
+        else:
+            held.append((np.ones(len(grams)), grams))
+        rows.append(i)
+        size += len(held[-1][1])
+        if size >= most:
+            yield packed()
+            rows, held, size = [], [], 0
+    if rows:
+        yield packed()
 
 
 def train(docs: DataFrame, per_language: int = 4000, hold_out: tuple[int, int] = (3, 1)) -> LanguageModel:
@@ -115,8 +140,8 @@ def identify(docs: DataFrame, model: LanguageModel, hold_out: tuple[int, int] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            names, sure = m.predict(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = (id_remainder(F.col("doc_id"), hold_out[0]) == hold_out[1]).alias("held_out")
     return docs.select("doc_id", "text", held).mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import id_remainder
+from marlow.llm.common import id_remainder, written
 
 BUCKETS = 1 << 20
 CACHE_WORDS = 400_000
@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), mod) != rest))
     pos = texts.join(F.broadcast(pos_ids), "doc_id").select("text", F.lit(True).alias("pos"))
     unl = texts.where(drawn(unlabelled, texts.select("doc_id").count(), 2)).select("text", F.lit(False).alias("pos"))
-    sample = pos.unionByName(unl)
+    # a bounded number of rows, read three times below: written once, so that the corpus is not read again
+    sample = written(pos.unionByName(unl), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = {True: np.zeros(BUCKETS, np.int32), False: np.zeros(BUCKETS, np.int32)}

@@ -142,6 +142,7 @@ def test_toxicity_holds_out(spark, odd):
     assert kept.columns == docs.columns and 1200 <= kept.count() <= 1290
     none = toxicity.train(docs.where("false"), lab.where("false"))
     assert {r.predicted for r in toxicity.score(frame(spark, odd), none).collect()} == {0}
+    assert toxicity.score(frame(spark, []), model).count() == 0 == toxicity.drop_toxic(frame(spark, []), model).count()
 
 
 def test_nnpu_risk_stays_non_negative():
@@ -152,6 +153,30 @@ def test_nnpu_risk_stays_non_negative():
     assert w[0] == w.max() and w[0] + b + np.abs(w[1:]).max() > 0 > b
 
 
+def test_nnpu_equals_brute_force():
+    """Adam by a gradient that is found row by row, through steps in which the negative risk is below zero."""
+    rng = np.random.default_rng(4)
+    p, u = (rng.random((12, 4)) < 0.5).astype(np.float32), (rng.random((20, 4)) < 0.4).astype(np.float32)
+    p[:, 0], u[:4, 0], u[4:, 0] = 1, 1, 0  # a prior of 0.6 claims more positives than one row in five shows
+    prior, rate, l2, steps = 0.6, 0.3, 0.01, 40
+    theta, m, v, below = np.r_[np.zeros(4), np.log(prior / (1 - prior))], np.zeros(5), np.zeros(5), 0
+    for step in range(1, steps + 1):
+        sums = {"p+": 0.0, "p-": 0.0, "u-": 0.0}
+        slope = {k: np.zeros(5) for k in sums}
+        for kind, rows, y in (("p+", p, 1), ("p-", p, -1), ("u-", u, -1)):
+            for r in rows:
+                x = np.r_[r, 1.0]
+                sums[kind] += np.log(1 + np.exp(-y * (x @ theta))) / len(rows)
+                slope[kind] += -y * x / (1 + np.exp(y * (x @ theta))) / len(rows)
+        negative, g_negative = sums["u-"] - prior * sums["p-"], slope["u-"] - prior * slope["p-"]
+        below += negative < 0
+        g = (prior * slope["p+"] + g_negative if negative >= 0 else -g_negative) + l2 * np.r_[theta[:-1], 0]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    w, b = toxicity.fit_nnpu(p, u, prior, steps=steps, rate=rate, l2=l2)
+    assert 0 < below < steps and np.allclose(np.r_[w, b], theta, atol=5e-3)
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
@@ -173,6 +198,30 @@ def test_ngrams_are_all_counted():
     assert len(langid.ngrams(text)) == want and langid.ngrams("12 3") is None
 
 
+def test_language_posterior_equals_brute_force(spark, odd):
+    rng = random.Random(41)
+    rows = [(i, words(rng, 12, 30) if i % 2 else "Ünï " + words(rng, 9, 20), "aa" if i % 2 else "bb") for i in range(60)]
+    model = langid.train(frame(spark, rows))
+    counts, docs = {"aa": Counter(), "bb": Counter()}, Counter()
+    for i, t, la in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[la].update(langid.ngrams(t).tolist())
+            docs[la] += 1
+    texts = [t for _, t, _ in [*rows, *odd]] + ["w1 " * 20_000]
+    names, sure = model.predict(texts)
+    for t, name, x in zip(texts, names, sure, strict=True):
+        grams = langid.ngrams(t) if t else None
+        if grams is None:
+            assert (name, x) == ("und", 0.0)
+            continue
+        z = {la: np.log((docs[la] + 1) / (sum(docs.values()) + 2)) + sum(np.log((counts[la][g] + 0.5) / (sum(counts[la].values()) + 0.5 * langid.BUCKETS)) for g in grams.tolist()) for la in counts}
+        best = max(z, key=z.get)
+        assert name == best and x == pytest.approx(1 / sum(np.exp(v - z[best]) for v in z.values()))
+    small = list(langid.sparse_batches(texts, most=50))
+    assert len(small) > 20 and sum(len(rows) for rows, *_ in small) == sum(n != "und" for n in names)
+    assert langid.identify(frame(spark, []), model).count() == 0
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
@@ -282,6 +331,29 @@ def test_em_trusts_good_rules():
     assert (good == truth).mean() > 0.93
 
 
+def test_em_posterior_equals_brute_force(spark):
+    """Plain EM over documents, one by one, gives what the counts of patterns give."""
+    rng = random.Random(15)
+    texts = [words(rng, rng.randrange(5, 150), rng.choice([8, 400])) + rng.choice(["", ". ", "\n# $ % *\n" * 9]) for _ in range(120)]
+    votes = [quality.votes_of(quality.measure(t)[5]) for t in texts]
+    good = [min(max(((v.count(2) + 0.5) / (8 - v.count(1) + 1) if v.count(1) < 8 else 0.5) ** 2, 0.02), 0.98) for v in votes]
+    for _ in range(60):
+        prior = min(max(sum(good) / len(good), 0.05), 0.98)
+        share = [[[1 + sum(g if side else 1 - g for g, v in zip(good, votes, strict=True) if v[r] == x) for x in range(3)] for r in range(8)] for side in (0, 1)]
+        tell = [[log10(share[1][r][x] / sum(share[1][r])) - log10(share[0][r][x] / sum(share[0][r])) for x in range(3)] for r in range(8)]
+        tell = [[min(max(x * np.log(10), -3), 3) for x in row] for row in tell]
+        tell = [[min(row[0], 0), row[1], max(row[2], 0)] for row in tell]
+        new = [1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(tell[r][x] for r, x in enumerate(v))))) for v in votes]
+        done = max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9
+        if done:
+            break
+        good = new
+    got = {r.doc_id: r for r in quality.judge(frame(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    for i, g in enumerate(good):
+        assert got[i].quality == pytest.approx(g, abs=1e-7)
+        assert got[i].kept == (not got[i].base_failed and g >= 0.5)
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 
 
