@@ -2,8 +2,11 @@
 
 Each text is the set of its word shingles. A set walks down random trees: at the node with path p it takes
 every token t whose hash under p is below 1 / (rate * size of the set), so similar sets take the same
-tokens. Sets that meet in a small bucket are compared; large buckets are split by the next token; the
-deepest are compared in blocks. Trees are repeated until the target recall.
+tokens. Sets that meet in a small bucket are compared; a large bucket is split by the next token, as often
+as it takes: until its parts are small, or until splitting no longer tells its sets apart (then they are
+similar on the whole, and are compared in blocks). Each split leaves at most SPLITS of the pairs, so the
+number of levels is bounded by log(pairs of the largest bucket) / log(1 / SPLITS). Trees are repeated until
+the target recall, which holds at any depth.
 
 Compared at first by 64 one-byte minima (a sketch); what may be similar is linked in stars, and connected
 sets are then compared exactly, whole, in blocks. So nothing lists all pairs of a group, and every link
@@ -13,8 +16,7 @@ between two sets of a component is found, also one that no bucket showed.
 from __future__ import annotations
 
 import math
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +24,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import buckets_for, local_path, scratch, slices, utf8, write_file, written
-from marlow.llm.components import connected_components
+from marlow.llm.common import Mapped, bucket_path, buckets_for, by_bucket, fresh, local_path, scratch, slices, utf8, write_file, written
+from marlow.llm.components import connected_components, hub_anti, hub_join, hub_semi
 
 WORDS, SIMILAR = 5, 0.8
-RATE = 0.7  # below the similarity: more tokens are taken than the threshold alone asks for
-DEPTH = 3
+RATE = 0.6  # below the similarity: more tokens are taken than the threshold alone asks for
+SPLITS = 0.75  # a bucket is split on while that leaves at most so much of its pairs
 SMALL = 2048  # sets that a bucket compares at once before it is split: 128 KB of sketches for each set
 BLOCK = 512  # sets in a block of exact comparison
-SKETCH, SKETCH_LEAST = 64, 0.5  # five standard deviations below 0.8
+SKETCH, SKETCH_LEAST = 64, 0.58  # more than four standard deviations below 0.8
 TINY = 96  # sets of fewer shingles aren't judged by the sketch
 CACHE_WORDS = 300_000
+FLUSH_BYTES = 16_000_000
 
 
-def repeats_for(recall: float, similar: float = SIMILAR, rate: float = RATE, depth: int = DEPTH) -> int:
-    """Trees after which a pair at the threshold has met at full depth with this probability."""
+def repeats_for(recall: float, similar: float = SIMILAR, rate: float = RATE) -> int:
+    """Trees after which a pair at the threshold has met with this probability, however deep the trees are."""
     miss = 0.0
-    for _ in range(depth):
+    for _ in range(1000):
         miss = math.exp(-similar / rate * (1 - miss))
     return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
 
@@ -83,50 +86,45 @@ def sketch(s: np.ndarray) -> bytes:
     return (s[np.where(at < len(s), at, 0)] & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def chosen_paths(s: np.ndarray, trees: int, rate: float = RATE, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level, the paths of the set and the paths that they continue."""
-    paths = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    limit = np.uint64(min((1 << 64) - 1, int((1 << 64) / (rate * len(s)))))
-    out = []
-    for _ in range(depth):
-        kids, parents = [], []
-        step = max(1, (1 << 20) // len(s))
-        for i in range(0, len(paths), step):
-            h = mix(paths[i:i + step, None] ^ s[None, :])
-            row, col = np.nonzero(h < limit)
-            parent = paths[i:i + step][row]
-            kids.append(mix(h[row, col] + parent * np.uint64(0xA24BAED4963EE407)))
-            parents.append(parent)
-        kid, parent = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (kids, parents))
-        out.append((kid, parent))
-        paths = np.unique(kid)
-    return out
+def tree_roots(trees: int) -> np.ndarray:
+    return mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def profile(docs: DataFrame, trees: int, depth: int = DEPTH) -> DataFrame:
-    """``doc_id, node, size, sketch, p1, p2, q2, p3, q3 ...`` of each row: node is the hash of the set
-    (null: no words), p the paths of a level and q those they continue."""
+def chosen_paths(s: np.ndarray, paths: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """The paths by which the set goes on from ``paths``, and which of them each continues."""
+    limit = np.uint64(min((1 << 64) - 1, int((1 << 64) / (rate * len(s)))))
+    kids, parents = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    step = max(1, (1 << 20) // len(s))
+    for i in range(0, len(paths), step):
+        h = mix(paths[i:i + step, None] ^ s[None, :])
+        row, col = np.nonzero(h < limit)
+        parent = paths[i:i + step][row]
+        kids.append(mix(h[row, col] + parent * np.uint64(0xA24BAED4963EE407)))
+        parents.append(parent)
+    return np.concatenate(kids), np.concatenate(parents)
+
+
+def profile(docs: DataFrame, trees: int) -> DataFrame:
+    """``doc_id, text_key, node, size, sketch, paths`` of each row: text_key is xxhash64 of the text, node the
+    hash of the set (null: no words), paths those of the first level."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["p1", *(x for k in range(2, depth + 1) for x in (f"p{k}", f"q{k}"))]
+    names = ["doc_id", "text_key", "node", "size", "sketch", "paths"]
+    roots_ = tree_roots(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for b in slices(batches, 1000):
             rows = []
-            for raw in utf8(b.column(1)):
+            for raw in utf8(b.column(2)):
                 s = shingles(raw, hashes)
-                if not len(s):
-                    rows.append((None, 0, None, *[None] * len(names)))
-                    continue
-                levels = [x.view(np.int64) for pair in chosen_paths(s, trees, depth=depth) for x in pair]
-                rows.append((set_hash(s), len(s), sketch(s), levels[0], *levels[2:]))
-            cols = list(zip(*rows, strict=True)) or [[]] * (3 + len(names))
+                rows.append((set_hash(s), len(s), sketch(s), chosen_paths(s, roots_)[0].view(np.int64)) if len(s) else (None, 0, None, None))
+            node, size, sk, paths = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()),
-                *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:]),
-            ], ["doc_id", "node", "size", "sketch", *names])
+                b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sk, pa.binary()), pa.array(paths, pa.list_(pa.int64())),
+            ], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, size int, sketch binary, " + ", ".join(f"{n} array<long>" for n in names))
+    schema = f"doc_id {id_type}, text_key long, node long, size int, sketch binary, paths array<long>"
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -207,24 +205,48 @@ def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
     return rows.withColumn("bi", F.least("__own", "__other")).withColumn("bj", F.greatest("__own", "__other")).drop("__parts", "__own", "__other")
 
 
-def candidate_edges(sets: DataFrame, depth: int) -> DataFrame:
-    """Edges between sets that a bucket finds alike. ``sets`` has a row for each node."""
-    found = None
-    level = sets.select("node", F.explode("p1").alias("path"))
-    for k in range(1, depth + 1):
-        counts = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        last = k == depth
-        live = level.join(counts if last else counts.where(F.col("n") <= SMALL), "path")
-        members = live.join(sets.select("node", "size", "sketch"), "node")
-        members = in_blocks(members, "path", SMALL)
-        dealt = members.select("path", "bi", "bj", "node", "size", "sketch").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "node")
-        edges = dealt.mapInArrow(bucket_edges, "u long, v long")
-        found = edges if found is None else found.union(edges)
-        if not last:
-            large = counts.where(F.col("n") > SMALL).select(F.col("path").alias("parent"))
-            kids = sets.select("node", F.explode(F.arrays_zip(F.col(f"p{k + 1}").alias("path"), F.col(f"q{k + 1}").alias("parent"))).alias("x")).select("node", "x.path", "x.parent")
-            level = kids.join(large, "parent", "left_semi").select("node", "path").distinct()
-    return found
+def compared(members: DataFrame, sets: DataFrame, small: int) -> DataFrame:
+    """Edges between alike sets of buckets (``node, path, n``), in blocks of ``small`` sets."""
+    members = in_blocks(members.join(sets.select("node", "size", "sketch"), "node"), "path", small)
+    dealt = members.select("path", "bi", "bj", "node", "size", "sketch").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "node")
+    return dealt.mapInArrow(bucket_edges, "u long, v long")
+
+
+def candidate_edges(docs: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
+    """Edges between sets that a bucket finds alike. ``sets`` has a row for each node, ``docs`` their texts."""
+    found = []
+    level = sets.select("node", F.explode("paths").alias("path"))
+    while True:
+        sizes = written(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+        members = hub_join(level, sizes, ["path"])
+        found.append(compared(members.where(F.col("n") <= small), sets, small))
+        if sizes.where(F.col("n") > small).isEmpty():
+            break
+        large = written(hub_join(level, sizes.where(F.col("n") > small), ["path"]).join(sets.select("node", F.col("first_id").alias("doc_id")), "node").select("doc_id", "node", "path", "n"), "large")
+        kids = written(next_paths(docs, large.drop("n")), "kids")
+        # pairs that a split leaves: where they are most of a bucket's pairs, its sets are alike
+        parts = kids.groupBy("parent", "path").agg(F.count("*").alias("c"))
+        parts = parts.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("left"), F.sum("c").alias("kids"))
+        judged = sizes.where(F.col("n") > small).join(parts, F.col("path") == F.col("parent"), "left")
+        stays = F.coalesce(F.col("left") > SPLITS * F.col("n") * F.col("n"), F.lit(False))
+        judged = written(judged.select("path", "n", F.coalesce("kids", F.lit(0)).alias("kids"), stays.alias("alike")), "judged")
+        found.append(compared(hub_join(large.select("node", "path"), judged.where("alike").select("path", "n"), ["path"]), sets, small))
+        going = judged.where("not alike").select(F.col("path").alias("parent"), F.col("kids").alias("n"))
+        level = written(hub_join(kids, going, ["parent"]).select("node", "path").distinct(), "level")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def next_paths(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, parent, path``: how each set of ``wanted`` (doc_id, node, path) goes on from its path."""
+
+    def derive(s: np.ndarray, rows: np.ndarray) -> tuple:
+        kid, parent = chosen_paths(s, rows[:, 2].astype(np.int64).view(np.uint64))
+        return np.full(len(kid), rows[0, 1]), parent.view(np.int64), kid.view(np.int64)
+
+    return cut_wanted(docs, wanted, derive, {"node": pa.int64(), "parent": pa.int64(), "path": pa.int64()}, "node long, parent long, path long")
 
 
 def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,49 +293,101 @@ def similar_matrix(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarr
     return both >= similar * (size[:, None] + size[None, :] - both) - 1e-4
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, root, n, shingles`` of the wanted documents (``doc_id, node, root, n``).
+def cut_wanted(docs: DataFrame, wanted: DataFrame, derive: Callable[[np.ndarray, np.ndarray], tuple], types: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """``derive(shingles, rows)``, as columns, for each text that ``wanted`` names; rows are those of the text in
+    ``wanted``: doc_id, node and further longs.
 
-    Most documents are in no component: instead of sending every text to a join, the wanted rows are
-    written as arrays sorted by id to the shared folder, by buckets, and each task that reads documents
-    maps them into memory and cuts only the texts that are in them.
+    Most documents are not wanted: instead of sending every text to a join, the wanted rows are written as
+    arrays sorted by id to the shared folder, by buckets, and each task that reads documents maps them into
+    memory and cuts only the texts that are in them.
     """
     folder = local_path(scratch(docs.sparkSession, "wanted"))
     buckets = buckets_for(docs, 64.0)
+    names = wanted.columns
 
     def write(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        rows = np.stack([table.column(c).to_numpy() for c in ("doc_id", "node", "root", "n")], 1)
-        write_file(f"{folder}/{b}", np.ascontiguousarray(rows[np.argsort(rows[:, 0], kind="stable")]).tobytes())
-        return pa.table({"n": pa.array([len(rows)], pa.int64())})
+        rows = np.stack([table.column(c).to_numpy() for c in names], 1)
+        write_file(bucket_path(folder, b), np.ascontiguousarray(rows[np.lexsort((rows[:, 1], rows[:, 0]))]).tobytes())
+        return pa.table({"bucket": pa.array([b], pa.int32())})
 
-    keyed = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "node", "root", F.col("n").cast("long").alias("n"))
-    keyed.groupBy("bucket").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int")
+    keyed = wanted.select(place.alias("bucket"), *(F.col(c).cast("long").alias(c) for c in names))
+    filled = {r.bucket for r in by_bucket(keyed, buckets).applyInArrow(write, "bucket int").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(filled)  # a number for each 64 MB of documents
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        tables: dict[int, np.ndarray] = {}
+        hashes, mapped, filled = _WordHashes(), Mapped(), shared.value
+        out: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = ([x for part in c for x in part] if pa.types.is_binary(t) else np.concatenate(c) for c, t in zip(zip(*out, strict=True), types.values(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], list(types))
+
         for b in slices(batches, 1000):
             ids, bucket = b.column(0).to_numpy(), b.column(1).to_numpy()
-            out = []
             for k in np.unique(bucket).tolist():
-                if k not in tables:
-                    path = f"{folder}/{k}"
-                    tables[k] = np.memmap(path, np.int64, "r").reshape(-1, 4) if os.path.exists(path) else np.zeros((0, 4), np.int64)
-                t = tables[k]
+                if k not in filled:
+                    continue
+                t = mapped(bucket_path(folder, k), np.int64).reshape(-1, len(names))
                 mine = np.flatnonzero(bucket == k)
                 first, last = (np.searchsorted(t[:, 0], ids[mine], side) for side in ("left", "right"))
-                out += [(i, t[k]) for i, a, z in zip(mine.tolist(), first.tolist(), last.tolist(), strict=True) for k in range(a, z)]
-            raws = utf8(b.column(2).take(pa.array([i for i, _ in out], pa.int64())))
-            rows = [(row[1], row[2], row[3], s.tobytes()) for (_, row), s in zip(out, (shingles(r, hashes) for r in raws), strict=True) if len(s) and set_hash(s) == row[1]]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["node", "root", "n", "shingles"])
+                for i, a, z in zip(mine.tolist(), first.tolist(), last.tolist(), strict=True):
+                    if a == z:
+                        continue
+                    s = shingles(utf8(b.column(2).slice(i, 1))[0], hashes)
+                    rows = t[a:z]
+                    if len(s) and len(rows := rows[rows[:, 1] == set_hash(s)]):
+                        out.append(derive(s, rows))
+                        size += s.nbytes
+                        if size > FLUSH_BYTES:
+                            yield flush()
+                            out, size = [], 0
+        if out:
+            yield flush()
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), place, "text")
+    return known.mapInArrow(cut, schema)
 
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int"), "text")
-    return known.mapInArrow(cut, "node long, root long, n long, shingles binary")
 
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, root, n, shingles`` of the wanted documents (``doc_id, node, root, n``)."""
+    types = {"node": pa.int64(), "root": pa.int64(), "n": pa.int64(), "shingles": pa.binary()}
+    return cut_wanted(docs, wanted, lambda s, rows: (rows[:, 1], rows[:, 2], rows[:, 3], [s.tobytes()] * len(rows)), types, "node long, root long, n long, shingles binary")
 
-def near_duplicates(docs: DataFrame, recall: float = 0.999, depth: int = DEPTH) -> DataFrame:
+
+def classified(docs: DataFrame, recall: float, small: int, block: int) -> DataFrame:
+    """``doc_id, text_key, node, root, class_id, copy_of, n_links`` of each row; the last four are null where
+    the row takes no part. root tells classes apart, also where they share a doc_id."""
+    seen = written(profile(docs, repeats_for(recall)), "sets")
+    known = seen.where("node is not null and doc_id is not null")
+    # n: rows of the set
+    sets = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "paths"))), "classes")
+    coarse = connected_components(candidate_edges(docs, sets, small))
+    coarse = written(coarse.join(sets.select("node", F.col("first_id").alias("doc_id")), "node"), "coarse")
+
+    sizes = written(coarse.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    whole = sets_of(docs, hub_join(coarse, sizes, ["root"]).select("doc_id", "node", "root", "n"))
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")).cast("int")
+    blocks = in_blocks(whole.withColumn("own", own), "root", block).select("root", "bi", "bj", "own", "node", "shingles")
+    dealt = blocks.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    links = written(dealt.mapInArrow(exact_links, "node long, links long, root long"), "links")
+    classes = written(connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "classes")
+    counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
+    linked = classes.join(counts, "node", "left").join(sets.select("node", "first_id"), "node")
+    linked = written(linked.select("node", "root", "first_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked")
+    least = written(linked.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")), "least")
+    linked = hub_join(linked, least, ["root"]).select("node", "root", "class_id", "n_links")
+    ids = sets.select("node", F.col("first_id").alias("copy_of"), "n").join(linked, "node", "left")
+    ids = ids.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = seen.select("doc_id", "text_key", "node")
+    part = hub_join(rows.where("node is not null and doc_id is not null"), written(ids, "ids"), ["node"]).drop("n")
+    rest = rows.where("node is null or doc_id is null").withColumn("node", F.lit(None).cast("long"))
+    return part.unionByName(rest, allowMissingColumns=True)
+
+
+def near_duplicates(docs: DataFrame, recall: float = 0.99, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """``doc_id, class_id, copy_of, n_links`` of each row.
 
     Links are pairs of different shingle sets (five words, words split at ASCII white space) of Jaccard
@@ -321,45 +395,34 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999, depth: int = DEPTH)
     smallest doc_id with an equal set, ``n_links`` the number of different sets that the row's set is
     linked with. Texts under five words are one shingle; null texts and texts without words are alone
     (class_id is their own). Rows with a null doc_id take no part: class_id is null. Repeated rows share
-    all. Further columns are not read; an empty table gives no rows.
+    all; an id with several texts has a row for each. Further columns are not read; an empty table gives
+    no rows. ``recall`` is that of a pair at the threshold to meet in a bucket, ``small`` the sets that a
+    bucket compares at once, ``block`` those that are compared exactly at once.
     """
-    trees = repeats_for(recall, depth=depth)
-    seen = written(profile(docs, trees, depth), "sets")
-    paths = [c for c in seen.columns if c[0] in "pq"]
-    known = seen.where("node is not null and doc_id is not null")
-    sets = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "sketch", *paths))), "classes")
-    coarse = connected_components(candidate_edges(sets, depth))
-    coarse = written(coarse.join(sets.select("node", "first_id"), "node"), "coarse")
-
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = coarse.join(sizes, "root").select("node", "root", "n", F.col("first_id").alias("doc_id"))
-    whole = sets_of(docs, wanted)
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")).cast("int")
-    blocks = in_blocks(whole.withColumn("own", own), "root", BLOCK).select("root", "bi", "bj", "own", "node", "shingles")
-    dealt = blocks.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    links = written(dealt.mapInArrow(exact_links, "node long, links long, root long"), "links")
-    classes = connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    ids = sets.select("node", "first_id").join(classes, "node", "left").join(counts, "node", "left")
-    ids = ids.select("node", "first_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    least = ids.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    ids = ids.join(least, "root").select("node", "class_id", F.col("first_id").alias("copy_of"), "n_links")
-    out = seen.select("doc_id", "node").join(ids, "node", "left")
-    alone = F.col("doc_id").isNotNull()
-    return out.select(
-        "doc_id", F.when(alone, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(alone, F.coalesce("copy_of", "doc_id")).alias("copy_of"), F.when(alone, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    return classified(docs, recall, small, block).select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, recall: float = 0.999) -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest doc_id. Rows with a null doc_id and
-    texts without words stay; of repeated rows with that id, one stays."""
-    found = near_duplicates(docs, recall)
-    extra = written(found.where("doc_id <> class_id").select("doc_id").distinct(), "extra")
-    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
-    # Only where an id stands more than once, those rows are compared as rows.
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), "again")
+def keep_one(docs: DataFrame, recall: float = 0.99, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest doc_id, and where that id has several texts of
+    the class, one of them (by a hash of the text). Rows are told apart by id and text, so an id that stands
+    over texts of two classes loses none of the other class. Rows with a null doc_id and texts without words
+    stay; of repeated rows (equal id and text, whatever their other columns) one stays. The
+    result has the columns of ``docs``; an empty table gives no rows."""
+    seen = classified(docs, recall, small, block).where("class_id is not null").select("doc_id", "text_key", "root", "class_id")
+    rows = written(seen.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.first("class_id").alias("class_id"), F.count("*").alias("n")), "rows")
+    # ids that are the least of their class with more than one text of it
+    several = rows.where("doc_id = class_id").groupBy("root").agg(F.min("text_key").alias("keep"), F.count("*").alias("texts")).where("texts > 1")
+    others = rows.where("doc_id = class_id").join(several, "root").where("text_key <> keep").select("doc_id", "text_key", "n")
+    id_name, key = fresh(docs, "class_doc_id", "text_key")
+    named: Callable[[DataFrame], DataFrame] = lambda df: df.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key), "n")
+    extra = written(named(rows.where("doc_id <> class_id").select("doc_id", "text_key", "n").union(others)), "extra")
+    again = written(hub_anti(named(rows.where("n > 1")), extra.withColumn("n", F.lit(1)), [id_name, key]), "again")
+    keyed = docs.withColumn(id_name, F.col("doc_id")).withColumn(key, F.xxhash64("text"))
+    kept = hub_anti(keyed, extra, [id_name, key])
     if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        return kept.select(*docs.columns)
+    # only where a row stands more than once, rows are compared as rows
+    once = hub_semi(kept, again, [id_name, key]).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return hub_anti(kept, again, [id_name, key]).select(*docs.columns).unionByName(once)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import buckets_for, local_path, scratch, slices, utf8, write_file
+from marlow.llm.common import Mapped, bucket_path, buckets_for, by_bucket, fresh, local_path, runs, scratch, slices, utf8, write_file
 
 CHUNK = 1 << 19  # tokens that are hashed at a time
 POS_BITS = 24
@@ -192,9 +192,7 @@ def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets
             at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             texts = np.diff(np.r_[at, len(h)]).astype(np.uint32)
             h, shared = h[at], texts > 1
-            b = bucket_of(h, buckets)
-            cuts = np.searchsorted(b, np.arange(buckets + 1))
-            parts = [(int(i), slice(cuts[i], cuts[i + 1])) for i in np.flatnonzero(np.diff(cuts))]
+            parts = list(runs(bucket_of(h, buckets)))
             yield pa.RecordBatch.from_arrays([
                 pa.array([i for i, _ in parts], pa.int32()),
                 pa.array([six(h[s][~shared[s]]) for _, s in parts], pa.binary()),
@@ -223,42 +221,30 @@ def hot_anchors(rows: DataFrame, folder: str, unit: str, threshold: int, buckets
         at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         texts = np.add.reduceat(texts, at)
         hot, crowded = every[at][texts > 1], every[at][texts > crowd]
-        bucket = table.column("bucket")[0].as_py()
-        if len(hot):
-            write_file(f"{folder}/{bucket}", hot.tobytes())
-        if len(crowded):
-            write_file(f"{folder}/{bucket}.crowded", crowded.tobytes())
+        write_file(bucket_path(folder, table.column("bucket")[0].as_py()), np.r_[np.array([len(hot)], np.uint64), hot, crowded].tobytes())
         return pa.table({"n": pa.array([len(hot)], pa.int64())})
 
-    rows.select("text").mapInArrow(list_anchors, "bucket int, one binary, more binary, texts binary").groupBy("bucket").applyInArrow(merge, "n long").agg(F.sum("n")).collect()
+    listed = rows.select("text").mapInArrow(list_anchors, "bucket int, one binary, more binary, texts binary")
+    by_bucket(listed, buckets).applyInArrow(merge, "n long").agg(F.sum("n")).collect()
 
 
 class HotAnchors:
-    """The sorted arrays, mapped into memory as they are asked for."""
+    """The sorted arrays, mapped into memory as they are asked for. Every anchor of the texts has been dealt to a
+    bucket and every bucket has a file, so one that is missing is an error."""
 
     def __init__(self, folder: str, buckets: int):
-        self.folder, self.buckets = folder, buckets
-        self.open: dict[str, np.ndarray] = {}
-
-    def table(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            try:
-                self.open[name] = np.memmap(f"{self.folder}/{name}", np.uint64, "r")
-            except FileNotFoundError:
-                self.open[name] = np.zeros(0, np.uint64)
-        return self.open[name]
+        self.folder, self.buckets, self.mapped = folder, buckets, Mapped()
 
     def among(self, h: np.ndarray) -> np.ndarray:
         """0, 1 for hot, 2 for crowded hashes."""
         values, back = np.unique(h, return_inverse=True)
-        cuts = np.searchsorted(bucket_of(values, self.buckets).astype(np.int64), np.arange(self.buckets + 1))
         out = np.zeros(len(values), np.int8)
-        for i in np.flatnonzero(np.diff(cuts)).tolist():
-            some = values[cuts[i]:cuts[i + 1]]
-            for name in (f"{i}", f"{i}.crowded"):
-                table = self.table(name)
-                if len(table):
-                    out[cuts[i]:cuts[i + 1]] += table[np.minimum(np.searchsorted(table, some), len(table) - 1)] == some
+        for i, some in runs(bucket_of(values, self.buckets)):
+            table = self.mapped(bucket_path(self.folder, i), np.uint64)
+            hot = int(table[0])
+            for part in (table[1:1 + hot], table[1 + hot:]):
+                if len(part):
+                    out[some] += part[np.minimum(np.searchsorted(part, values[some]), len(part) - 1)] == values[some]
         return out[back]
 
 
@@ -271,8 +257,9 @@ def unpack(raw: bytes):
 
 
 def hot_runs(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: int) -> DataFrame:
-    """``bucket, payload``: the distinct hot runs of a task with the smallest document that has each, and
-    spans that are already known to be repeats of a smaller document of the same task."""
+    """``bucket, payload, spans``: the distinct hot runs of a task with the smallest document that has each, by
+    buckets of anchors, and spans that are already known to repeat a smaller document of the same task, merged,
+    by buckets of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of = tokenizer(unit)
@@ -295,17 +282,19 @@ def hot_runs(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: i
                 entry[1], entry[3] = doc, [(key, s)]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            by_bucket: dict[int, list] = {}
+            at: dict[int, list] = {}
             b = bucket_of(np.array([x[0] for x in seen.values()], np.uint64), buckets).tolist()
             for (piece, entry), i in zip(seen.items(), b, strict=True):
-                by_bucket.setdefault(i, []).append((piece, entry))
-            for n, i in enumerate(sorted(by_bucket) or [0]):
-                entries = by_bucket.get(i, [])
+                at.setdefault(i, []).append((piece, entry))
+            for i, entries in sorted(at.items()):
                 payload = (
                     [p for p, _ in entries], np.array([e[0] for _, e in entries], np.uint64), np.array([e[1] for _, e in entries], np.int64),
-                    [e[2] for _, e in entries], [e[3] for _, e in entries], np.array(gone if n == 0 else [], np.int64).reshape(-1, 4),
+                    [e[2] for _, e in entries], [e[3] for _, e in entries],
                 )
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(payload)], pa.binary())], ["bucket", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(payload)], pa.binary()), pa.array([None], pa.binary())], ["bucket", "payload", "spans"])
+            if gone:
+                parts, blobs = by_document(np.array(gone, np.int64), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.nulls(len(parts), pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "payload", "spans"])
 
         for part in slices(batches, SLICE):
             ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -330,7 +319,16 @@ def hot_runs(rows: DataFrame, folder: str, unit: str, threshold: int, buckets: i
         if seen or gone:
             yield from flush()
 
-    return rows.mapInArrow(run, "bucket int, payload binary")
+    return rows.mapInArrow(run, "bucket int, payload binary, spans binary")
+
+
+def by_document(spans: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Spans (document, key, first, end), merged and dealt to buckets of documents: a blob for each."""
+    spans = merged(spans)
+    to = bucket_of((spans[:, 0].astype(np.uint64) * np.uint64(BASE)) >> np.uint64(16), buckets)
+    order = np.argsort(to, kind="stable")
+    parts = list(runs(to[order]))
+    return [i for i, _ in parts], [zstandard.compress(spans[order[some]].tobytes(), 1) for _, some in parts]
 
 
 def equal_windows(pieces: list[bytes], group: np.ndarray, place: np.ndarray, counts: np.ndarray, smallest: np.ndarray, threshold: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,10 +369,8 @@ def settle(payloads: list[bytes], threshold: int, width: int) -> np.ndarray:
     number: dict[bytes, int] = {}
     anchors, places, counts, smallest = [], [], [], []
     holders: list[list[tuple[int, list]]] = []
-    gone = []
     for raw in payloads:
-        pieces, h, docs, place, starts, more = unpack(raw)
-        gone.append(more)
+        pieces, h, docs, place, starts = unpack(raw)
         for piece, x, doc, a, where in zip(pieces, h.tolist(), docs.tolist(), place, starts, strict=True):
             i = number.setdefault(piece, len(number))
             if i == len(anchors):
@@ -407,16 +403,20 @@ def settle(payloads: list[bytes], threshold: int, width: int) -> np.ndarray:
                 for doc, where in holders[i]:
                     if doc == smallest[i]:
                         spans.extend((doc, k, s + a, s + b + threshold - 1) for k, s in where for a, b in edges)
-    return np.concatenate([np.array(spans, np.int64).reshape(-1, 4), *gone])
+    return np.array(spans, np.int64).reshape(-1, 4)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
-    """Maximal spans of [first, end) pairs; spans that touch are one."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.r_[True, spans[1:, 0] > reach[:-1]]
-    at = np.flatnonzero(new)
-    return np.stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at)], 1)
+    """Maximal spans of rows (document, key, first, end), in order; spans of a text that touch are one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    # each text gets a range of 2**32 places of its own, so that one running maximum serves all
+    base = np.cumsum(np.r_[0, (spans[1:, :2] != spans[:-1, :2]).any(1)]) << 32
+    reach = np.maximum.accumulate(spans[:, 3] + base)
+    at = np.flatnonzero(np.r_[True, spans[1:, 2] + base[1:] > reach[:-1]])
+    ends = reach[np.r_[at[1:], len(spans)] - 1] - base[at]
+    return np.c_[spans[at, :3], ends]
 
 
 def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes", crowd: int = CROWDED) -> DataFrame:
@@ -430,28 +430,25 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes", cr
     hot_anchors(rows, folder, unit, threshold, buckets, crowd)
 
     def reduce(table: pa.Table) -> pa.Table:
-        """Spans of an anchor bucket, dealt to buckets of documents."""
-        found = settle(table.column("payload").to_pylist(), threshold, width)
-        to = bucket_of((found[:, 0].astype(np.uint64) * np.uint64(BASE)) >> np.uint64(16), buckets)
-        order = np.lexsort((found[:, 1], found[:, 0], to))
-        found, to = found[order], to[order]
-        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(to)] if len(to) else cuts
-        return pa.table({"part": pa.array(to[cuts], pa.int32()), "spans": pa.array([zstandard.compress(found[a:b].tobytes(), 1) for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+        """Spans of an anchor bucket, dealt to buckets of documents; what is dealt already is passed on."""
+        payloads = [x for x in table.column("payload").to_pylist() if x is not None]
+        parts, blobs = by_document(settle(payloads, threshold, width), buckets)
+        known = [x for x in table.column("spans").to_pylist() if x is not None]
+        parts += [table.column("bucket")[0].as_py()] * len(known)
+        return pa.table({"part": pa.array(parts, pa.int32()), "spans": pa.array(blobs + known, pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         """All spans of the documents of a bucket, merged."""
-        found = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64).reshape(-1, 4) for x in table.column("spans").to_pylist()])
-        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        found = merged(np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64).reshape(-1, 4) for x in table.column("spans").to_pylist()]))
         cuts = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(1)])
         ends = np.r_[cuts[1:], len(found)]
         return pa.table({
             "doc_id": pa.array(found[cuts, 0], pa.int64()), "text_key": pa.array(found[cuts, 1], pa.int64()),
-            "spans": pa.array([merged(found[a:b, 2:]).astype(np.int32).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+            "spans": pa.array([found[a:b, 2:].astype(np.int32).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         })
 
-    dealt = hot_runs(rows, folder, unit, threshold, buckets).groupBy("bucket").applyInArrow(reduce, "part int, spans binary")
-    return dealt.groupBy("part").applyInArrow(gather, "doc_id long, text_key long, spans binary")
+    dealt = by_bucket(hot_runs(rows, folder, unit, threshold, buckets), buckets).applyInArrow(reduce, "part int, spans binary")
+    return by_bucket(dealt, buckets, "part").applyInArrow(gather, "doc_id long, text_key long, spans binary")
 
 
 def byte_spans(raw: bytes, blob: bytes | None, unit: str) -> np.ndarray:
@@ -474,11 +471,13 @@ def without(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
-def with_spans(docs: DataFrame, threshold: int, unit: str, crowd: int = CROWDED) -> DataFrame:
-    """``docs`` with two more columns: ``__text_key`` and ``__spans`` (a blob, null if nothing repeats)."""
-    spans = repeated_spans(docs, threshold, unit, crowd).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    return keyed.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left").drop("__id", "__key")
+def with_spans(docs: DataFrame, threshold: int, unit: str, crowd: int = CROWDED) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name, which none of its columns has: a blob of spans, null if
+    nothing repeats."""
+    name, key, other, text_key = fresh(docs, "spans", "span_id", "span_key", "text_key")
+    spans = repeated_spans(docs, threshold, unit, crowd).select(F.col("doc_id").alias(key), F.col("text_key").alias(other), F.col("spans").alias(name))
+    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+    return keyed.join(spans, (F.col("doc_id") == F.col(key)) & (F.col(text_key) == F.col(other)), "left").select(*docs.columns, name), name
 
 
 def dedup_report(docs: DataFrame, threshold: int = 50, crowd: int = CROWDED) -> DataFrame:
@@ -500,7 +499,8 @@ def dedup_report(docs: DataFrame, threshold: int = 50, crowd: int = CROWDED) ->
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs.select("doc_id", "text"), threshold, "bytes", crowd).select("doc_id", "text", "__spans").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, _ = with_spans(docs.select("doc_id", "text"), threshold, "bytes", crowd)
+    return found.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50, unit: str = "words") -> DataFrame:
@@ -526,4 +526,4 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, unit: str = "words") ->
                     out[n_chars] = pa.array([len(t) if x else o for t, x, o in zip(texts, blobs, old, strict=True)], out[n_chars].type)
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    return with_spans(docs, threshold, unit).select(*columns, "__spans").mapInArrow(run, docs.schema)
+    return with_spans(docs, threshold, unit)[0].mapInArrow(run, docs.schema)

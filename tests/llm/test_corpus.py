@@ -436,35 +436,123 @@ def near_rows(seed=11):
     return rows
 
 
-def test_jaccard_join_equals_brute_force(spark, odd):
+@pytest.mark.parametrize(("small", "block"), [(2048, 512), (8, 16), (2, 2)])
+def test_jaccard_join_equals_brute_force(spark, odd, small, block):
     rows = near_rows() + [(None if i is None else i + 1000, t, la) for i, t, la in odd]
-    got = sorted((tuple(r) for r in jaccard_join.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    # an id that stands over texts of two classes
+    rows += [(5000, rows[0][1], "en"), (5000, "of a class of its own " + words(random.Random(1), 50), "en")]
+    got = sorted((tuple(r) for r in jaccard_join.near_duplicates(frame(spark, rows), small=small, block=block).collect()), key=repr)
     assert got == joined_brute(rows)
 
 
-def test_jaccard_join_splits_large_buckets(spark):
-    """A hot passage and a large group of near copies: more sets than a bucket or a block takes."""
-    rng = random.Random(12)
+def passages_and_copies(n, vocabulary=5000, seed=12):
+    """A hot passage in n texts, and n near copies of one text."""
+    rng = random.Random(seed)
     passage, base = words(rng, 40), words(rng, 150).split()
-    rows = [(i, passage + " " + words(rng, 60, 5000), "en") for i in range(700)]
-    for i in range(700, 1400):
+    rows = [(i, passage + " " + words(rng, 60, vocabulary), "en") for i in range(n)]
+    for i in range(n, 2 * n):
         x = list(base)
         x[rng.randrange(len(x))] = f"e{i}"
         rows.append((i, " ".join(x), "en"))
-    got = {r.doc_id: r for r in jaccard_join.near_duplicates(frame(spark, rows)).collect()}
-    assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(700))
-    assert all(got[i].class_id == 700 and got[i].n_links == 699 for i in range(700, 1400))
+    return rows
+
+
+@pytest.mark.parametrize(("small", "block", "n"), [(2048, 512, 700), (16, 32, 300)])
+def test_jaccard_join_splits_large_buckets(spark, small, block, n):
+    """More sets than a block takes, and than a bucket takes: the passage's buckets are split by further tokens,
+    those of the copies can't be told apart and are compared in blocks."""
+    rows = passages_and_copies(n)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(frame(spark, rows), small=small, block=block).collect()}
+    assert all(got[i].class_id == i and got[i].n_links == 0 for i in range(n))
+    assert all(got[i].class_id == n and got[i].n_links == n - 1 for i in range(n, 2 * n))
+
+
+def test_recall_where_buckets_split(spark):
+    """Pairs at and above the threshold in texts that share a passage: meetings in buckets that are split."""
+    rng = random.Random(21)
+    passage = words(rng, 30).split()
+    rows = []
+    for k in range(150):
+        own = words(rng, 90, 9000).split()
+        other = list(own)
+        for _ in range(rng.randrange(1, 4)):
+            other[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(passage + own), "en"), (2 * k + 1, " ".join(passage + other), "en")]
+    docs = frame(spark, rows)
+    levels = []
+    sets = jaccard_join.profile(docs, jaccard_join.repeats_for(0.99)).withColumnRenamed("doc_id", "first_id").cache()
+    plain = jaccard_join.next_paths
+    try:
+        jaccard_join.next_paths = lambda *a: levels.append(1) or plain(*a)
+        edges = {frozenset((r.u, r.v)) for r in components.connected_components(jaccard_join.candidate_edges(docs, sets, small=8)).selectExpr("node as u", "root as v").collect()}
+    finally:
+        jaccard_join.next_paths = plain
+    node = {r.first_id: r.node for r in sets.collect()}
+    root = {}
+    for e in edges:
+        for x in e:
+            root[x] = min(min(e), root.get(x, x))
+    hashes = jaccard_join._WordHashes()
+    s = {i: set(jaccard_join.shingles(t.encode(), hashes).tolist()) for i, t, _ in rows}
+    near = [(i, i + 1) for i in range(0, 300, 2) if len(s[i] & s[i + 1]) >= 0.8 * len(s[i] | s[i + 1])]
+    met = [root.get(node[a]) is not None and root.get(node[a]) == root.get(node[b]) for a, b in near]
+    assert levels and len(near) > 100 and np.mean(met) >= 0.99
+
+
+def kept_brute(rows):
+    """Rows, not ids: one of each class, all rows without id or words."""
+    hashes = jaccard_join._WordHashes()
+    classes = {}
+    label = {}
+    sets = {}
+    for i, t, _ in rows:
+        s = frozenset(jaccard_join.shingles((t or "").encode(), hashes).tolist())
+        if i is not None and s:
+            sets[i, t] = s
+    for key, s in sets.items():
+        near = {label[o] for o, x in sets.items() if o in label and len(s & x) >= 0.8 * len(s | x) - 1e-9}
+        label[key] = key
+        for o in list(label):
+            if label[o] in near:
+                label[o] = key
+    for key in sets:
+        classes.setdefault(label[key], []).append(key)
+    return [sorted({i for i, _ in c})[0] for c in classes.values()], [(i, t) for i, t, _ in rows if (i, t) not in sets], classes
 
 
 def test_keep_one(spark, odd):
     rows = near_rows(13) + [(None if i is None else i + 1000, t, la) for i, t, la in odd]
+    a, b, c = (words(random.Random(k), 60) for k in (31, 32, 33))
+    near_a = a.replace(a.split()[7], "other", 1)
+    rows += [(2001, a, "en"), (2002, a, "en"), (2002, b, "en"), (2003, c, "en"), (2004, c, "en"), (2004, c, "de"), (2000, near_a, "en"), (2000, a, "en"), (2005, b, "en"), (None, c, "en"), (None, c, "en"), (2006, "", "en"), (2006, "", "en")]
     docs = frame(spark, rows)
     kept = jaccard_join.keep_one(docs)
-    classes = {i: c for i, c, _, _ in joined_brute(rows)}
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert kept.columns == docs.columns and {i for i in ids if i is not None} == {i for i, c in classes.items() if i is not None and i == c}
-    assert ids[1009] == 1 and ids[None] == 2
+    got = kept.collect()
+    ids, alone, classes = kept_brute(rows)
+    assert kept.columns == docs.columns
+    texts = Counter((r.doc_id, r.text) for r in got)
+    assert all(texts[x] == n for x, n in Counter(alone).items())
+    in_class = sorted(r.doc_id for r in got if (r.doc_id, r.text) not in set(alone))
+    assert in_class == sorted(ids)
+    assert all(sum(texts[x] for x in keys) == 1 for keys in classes.values())
+    assert texts[2002, b] == 1 and not texts[2002, a] and not texts[2005, b]
     assert jaccard_join.keep_one(frame(spark, [])).count() == 0
+    again = jaccard_join.keep_one(docs.withColumn("n", F.lit(1)).withColumn("TEXT_key", F.lit(2)).withColumn("class_doc_id", F.lit(3)))
+    assert sorted(r.doc_id or 0 for r in again.collect()) == sorted(r.doc_id or 0 for r in got)
+
+
+def test_hub_joins(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(1 if rng.random() < 0.4 else rng.randrange(50), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    counts = df.groupBy("k").agg(F.count("*").alias("n")).where("k % 3 = 1").cache()
+    for most in (1000, 40):
+        monkeypatch.setattr(components, "HUB_ROWS", most)
+        keys = {k for k, _ in rows if k % 3 == 1}
+        assert (components.hub_limit(counts) is None) == (most == 1000)
+        ids = lambda x: sorted(r.i for r in x.collect())
+        assert ids(components.hub_join(df, counts, ["k"])) == ids(components.hub_semi(df, counts, ["k"])) == sorted(i for k, i in rows if k in keys)
+        assert ids(components.hub_anti(df, counts, ["k"])) == sorted(i for k, i in rows if k not in keys)
 
 
 def test_similar_matrix():
@@ -474,9 +562,11 @@ def test_similar_matrix():
     assert (jaccard_join.similar_matrix(sets) == np.array(want)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub_rows", [1000, 3])
+def test_components(spark, monkeypatch, hub_rows):
+    monkeypatch.setattr(components, "HUB_ROWS", hub_rows)
     rng = random.Random(14)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
     root = {x: x for e in edges if e[0] != e[1] for x in e}
     while any(root[a] != root[b] for a, b in edges if a != b):
         for a, b in edges:
