@@ -1,18 +1,18 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model of any order.
 
 Counted in Spark, stored as sorted hash arrays in the shared folder, mapped into memory by the workers.
 
 * Vocabulary: 64-bit hashes of words, dealt to buckets by their high bits, each a sorted array with
   counts beside it. A word's id is its place in the order of all hashes.
-* Bigrams: keys id1 << 32 | id2, dealt to buckets by a mix of both, each a sorted array with counts.
-* By id, dense arrays in ranges of ids: count, number of distinct words before, and as a context the
-  total and how many followers were seen once, twice, more often.
+* N-grams of the full order are counted as rows of ids and dealt to buckets by a hash of their context (all but
+  the last word). A bucket writes two tables: counts by n-gram, and sums by context (its total, and how many
+  followers were seen once, twice, more often). It sends on the distinct n-grams without their first word,
+  with the number of words that precede them: these are what the next lower order counts, and so on.
+* By id, in ranges of ids: how many distinct words come before a word.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,16 +20,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import Numbering, buckets_for, id_remainder, local_path, scratch, utf8, write_file
+from marlow.llm.common import Mapped, Numbering, bucket_path, buckets_for, by_bucket, id_remainder, local_path, runs, scratch, utf8, write_file
 
 END = b"\n"  # no word holds white space
 RANGE = 1 << 17  # ids in a dense file
 CHUNK_TEXTS, CHUNK_BYTES = 2000, 8_000_000
-FLUSH_KEYS, FLUSH_WORDS = 5_000_000, 1_000_000
-OPEN_FILES = 400
+FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 1_000_000
+SUMS = 256  # groups in which sums of all buckets travel
+ESCAPE = 255
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -56,35 +58,104 @@ def high_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
+def followed_by(prefix: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
+    """Hash of a prefix (by its hash; 0 for none) and the id of the next word."""
+    h = prefix * np.uint64(0x9E3779B97F4A7C15) + (word.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
     h ^= h >> np.uint64(32)
-    return high_bucket(h * np.uint64(0xBF58476D1CE4E5B9), buckets)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(keys) else counts
-
+def grams(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = followed_by(h, c)
+    return h
 
-def blobs(bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: its number and the bytes of its part of each array (order is kept)."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.r_[at[1:], len(bucket)] if len(bucket) else at
-    cols = [pa.array(bucket[at], pa.int32())]
-    for x in arrays:
-        x = x[order]
-        cols.append(pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["bucket", *(f"x{i}" for i in range(len(arrays)))])
 
-
-def joined(table: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype) for x in table.column(column).to_pylist()])
+def by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where each is first found, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])[: len(s)]
+    return s[at], order[at], np.add.reduceat(counts[order], at) if len(s) else counts
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Unsigned 32-bit columns, byte by byte of equal weight, which compresses well."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 1)
+
+
+def unpack_columns(raw: bytes, n: int) -> list[np.ndarray]:
+    x = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(n, 4, -1)
+    return [np.ascontiguousarray(x[i].T).view(np.uint32).reshape(-1) for i in range(n)]
+
+
+def table_key(h: np.ndarray) -> np.ndarray:
+    """Mixed once more: the high bits of ``h`` chose the bucket."""
+    h = h * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def pack_table(h: np.ndarray, values: np.ndarray) -> bytes:
+    """A sorted array of distinct hashes with a row of numbers for each: offsets by the first bits, the next 32 bits
+    in order, and a byte that is the place of the row among the 255 commonest, or says that it stands apart."""
+    key = table_key(h)
+    order = np.argsort(key)
+    key, values = key[order], values[order]
+    bits = max(1, (len(key) // 16).bit_length())
+    starts = np.cumsum(np.r_[0, np.bincount((key >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)]).astype(np.uint32)
+    low = ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    mixed = grams(list(values.T))
+    _, first, code, times = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-times, kind="stable")[:ESCAPE]
+    rank = np.full(len(times), ESCAPE, np.uint8)
+    rank[common] = np.arange(len(common))
+    code = rank[code]
+    apart = np.flatnonzero(code == ESCAPE)
+    head = np.array([len(key), bits, values.shape[1], len(common), len(apart)], np.int64)
+    parts = [head, values[first[common]].astype(np.int64), apart.astype(np.int64), values[apart].astype(np.int64), starts, low, code]
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+
+
+class HashTable:
+    """What ``pack_table`` wrote, in a mapped file."""
+
+    def __init__(self, raw: np.ndarray):
+        n, bits, width, common, apart = raw[:40].view(np.int64).tolist()
+        at = 40
+
+        def take(dtype, count: int) -> np.ndarray:
+            nonlocal at
+            at, start = at + np.dtype(dtype).itemsize * count, at
+            return raw[start:at].view(dtype)
+
+        self.bits, self.width = np.uint64(bits), width
+        self.common = np.zeros((ESCAPE + 1, width), np.int64)
+        self.common[:common] = take(np.int64, common * width).reshape(-1, width)
+        self.apart, self.rows = take(np.int64, apart), take(np.int64, apart * width).reshape(-1, width)
+        self.starts, self.low, self.code = take(np.uint32, (1 << bits) + 1), take(np.uint32, n), take(np.uint8, n)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each hash; zeros where it is not there."""
+        key = table_key(h)
+        first = (key >> (np.uint64(64) - self.bits)).astype(np.int64)
+        want = ((key << self.bits) >> np.uint64(32)).astype(np.uint32)
+        lo, end = self.starts[first].astype(np.int64), self.starts[first + 1].astype(np.int64)
+        hi = end.copy()
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.low[mid] < want[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+        out = np.zeros((len(h), self.width), np.int64)
+        hit = np.flatnonzero(lo < end)
+        hit = hit[self.low[lo[hit]] == want[hit]]
+        code = self.code[lo[hit]]
+        out[hit] = self.common[code]
+        far = hit[code == ESCAPE]
+        out[far] = self.rows[np.searchsorted(self.apart, lo[far])]
+        return out
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -101,130 +172,140 @@ class KneserNey:
 
     folder: str
     buckets: int
-    offsets: list[int] = field(default_factory=list)  # first id of each vocabulary bucket
+    order: int
+    types: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # words in each vocabulary bucket
     vocabulary: int = 0
     tokens: int = 0
     bigrams: int = 0
-    high: list[float] = field(default_factory=list)
-    low: list[float] = field(default_factory=list)
+    high: dict[int, list[float]] = field(default_factory=dict)  # discounts by order, from 2 on
+    low: list[float] = field(default_factory=lambda: discounts([0, 0, 0, 0]))
     low_left: float = 1.0  # share of the unigram mass that the uniform distribution gets
 
     def reader(self) -> Reader:
         return Reader(self)
 
+    def path(self, kind: str, number: int) -> str:
+        return bucket_path(f"{self.folder}/{kind}", number)
+
 
 class Reader:
-    """Looks words and bigrams up in the mapped arrays of a model."""
+    """Looks words and n-grams up in the mapped arrays of a model."""
 
     def __init__(self, model: KneserNey):
         self.m = model
-        self.files: dict[str, np.ndarray] = {}
-        self.offsets = np.array([*model.offsets, model.vocabulary])
-
-    def file(self, name: str, dtype) -> np.ndarray:
-        if name not in self.files:
-            if len(self.files) >= OPEN_FILES:
-                self.files.clear()
-            path = f"{self.m.folder}/{name}"
-            self.files[name] = np.memmap(path, dtype, "r") if os.path.exists(path) else np.zeros(0, dtype)
-        return self.files[name]
+        self.mapped = Mapped()
+        self.offsets = np.cumsum(model.types) - model.types
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1: unknown) and count of each word."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         order = np.argsort(h, kind="stable")
         s = h[order]
-        cuts = np.searchsorted(high_bucket(s, self.m.buckets), np.arange(self.m.buckets + 1))
         ids, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            table = self.file(f"v{b}.h", np.uint64)
-            if not len(table):
+        for b, some in runs(high_bucket(s, self.m.buckets)):
+            if not self.m.vocabulary or not self.m.types[b]:
                 continue
-            some = slice(cuts[b], cuts[b + 1])
+            table = self.mapped(self.m.path("v", b), np.uint64)
+            table, times = table[: len(table) // 2], table[len(table) // 2:]
             at = np.minimum(np.searchsorted(table, s[some]), len(table) - 1)
             hit = table[at] == s[some]
             ids[order[some]] = np.where(hit, at + self.offsets[b], -1)
-            counts[order[some]] = np.where(hit, self.file(f"v{b}.c", np.int64)[at], 0)
+            counts[order[some]] = np.where(hit, times[at], 0)
         return ids, counts
 
-    def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
-        """Entries of a dense array; 0 for id -1."""
+    def preceded(self, ids: np.ndarray) -> np.ndarray:
+        """How many distinct words come before each; 0 for id -1."""
         out = np.zeros(len(ids), np.int64)
         order = np.argsort(ids, kind="stable")
         s = ids[order]
         known = int(np.searchsorted(s, 0))
-        part = s[known:] // RANGE
-        for r in np.unique(part).tolist():
-            a, b = known + np.searchsorted(part, r), known + np.searchsorted(part, r, "right")
-            table = self.file(f"{name}{r}", np.int64)
-            if len(table):
-                out[order[a:b]] = table[s[a:b] - r * RANGE]
+        for r, some in runs(s[known:] // RANGE):
+            out[order[known:][some]] = self.mapped(self.m.path("suffix", r), np.int64)[s[known:][some] - r * RANGE]
         return out
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Count of each bigram key; the keys are distinct."""
-        b = key_bucket(keys, self.m.buckets)
-        order = np.lexsort((keys, b))
-        b, s = b[order], keys[order]
-        cuts = np.searchsorted(b, np.arange(self.m.buckets + 1))
-        out = np.zeros(len(keys), np.int64)
-        for i in np.flatnonzero(np.diff(cuts)).tolist():
-            table = self.file(f"b{i}.k", np.uint64)
-            if len(table):
-                some = slice(cuts[i], cuts[i + 1])
-                at = np.minimum(np.searchsorted(table, s[some]), len(table) - 1)
-                out[order[some]] = np.where(table[at] == s[some], self.file(f"b{i}.n", np.uint32)[at], 0)
+    def rows(self, kind: str, h: np.ndarray, place: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
+        """Rows of a table for hashes whose bucket the hashes ``place`` choose; zeros where not usable or not there."""
+        out = np.zeros((len(h), width), np.int64)
+        distinct, first, back = np.unique(h[usable], return_index=True, return_inverse=True)
+        b = high_bucket(place[usable][first], self.m.buckets)
+        order = np.argsort(b, kind="stable")
+        found = np.zeros((len(distinct), width), np.int64)
+        for i, some in runs(b[order]):
+            found[order[some]] = HashTable(self.mapped(self.m.path(kind, i), np.uint8)).find(distinct[order[some]])
+        out[usable] = found[back]
         return out
 
-    def score(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
-        """For each text: tokens, known tokens, base score, score."""
-        m = self.m
+    def columns(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Lengths of the texts, local numbers of tokens, counts by number, and the ids of each token and of the words
+        before it, farthest first (-1: unknown); the start of a text is a word of its own."""
         number = Numbering()
-        lists = [tokens_of(r) for r in raws]
         lengths = np.array([len(x) for x in lists])
         local = np.fromiter((number[w] for x in lists for w in x), np.int64, int(lengths.sum()))
         ids, counts = self.words(list(number))
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
+        before = self.m.order - 1
+        at = np.arange(len(local)) + before * (1 + np.repeat(np.arange(len(lists)), lengths))
+        padded = np.full(len(local) + before * len(lists), self.m.vocabulary, np.int64)
+        padded[at] = ids[local]
+        return lengths, local, np.c_[ids, counts], [padded[at - before + k] for k in range(self.m.order)]
+
+    def score(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """For each text: tokens, known tokens, base score, score."""
+        m = self.m
+        lengths, local, known, columns = self.columns([tokens_of(r) for r in raws])
+        ids, counts = known.T
+        starts = np.cumsum(lengths) - lengths
         base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
-        token_id = ids[local]
-        before = np.r_[-1, token_id[:-1]]
-        before[starts] = m.vocabulary  # the start of a text is a context of its own
-        followed = self.by_id("suffix", ids).astype(float)
+        preceded = self.preceded(ids)
         low = np.array([0, *m.low])
-        uniform = m.low_left / (m.vocabulary + 1)
-        p_low = np.maximum(followed - low[np.minimum(followed, 3).astype(int)], 0) / max(1, m.bigrams) + uniform
-        contexts, where = np.unique(before, return_inverse=True)
-        total, once, twice, more = (self.by_id(x, contexts).astype(float) for x in ("total", "once", "twice", "more"))
-        left = np.where(total > 0, (m.high[0] * once + m.high[1] * twice + m.high[2] * more) / np.maximum(total, 1), 1.0)
-        key = before.astype(np.uint64) << np.uint64(32) | token_id.astype(np.uint64)
-        usable = (before >= 0) & (token_id >= 0)
-        distinct, back = np.unique(key[usable], return_inverse=True)
-        seen = np.zeros(len(key))
-        seen[usable] = self.pairs(distinct)[back]
-        high = np.array([0, *m.high])
-        p = np.maximum(seen - high[np.minimum(seen, 3).astype(int)], 0) / np.maximum(total, 1)[where] + left[where] * p_low[local]
-        return lengths, np.add.reduceat((token_id >= 0).astype(np.int64), starts), np.add.reduceat(base[local], starts), np.add.reduceat(np.log10(p), starts)
-
-
-def train(docs: DataFrame, hold_out: tuple[int, int] = (5, 1)) -> KneserNey:
+        p = (np.maximum(preceded - low[np.minimum(preceded, 3)], 0) / max(1, m.bigrams) + m.low_left / (m.vocabulary + 1))[local]
+        for k in range(2, m.order + 1):
+            if not m.vocabulary:
+                break
+            context, word = columns[m.order - k:-1], columns[-1]
+            usable = np.all([c >= 0 for c in context], 0)
+            h = grams(context)
+            total, once, twice, more = self.rows(f"c{k}", h, h, usable, 4).T
+            seen = self.rows(f"n{k}", followed_by(h, word), h, usable & (word >= 0), 1)[:, 0]
+            d = np.array([0, *m.high[k]])
+            left = (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1)
+            p = np.where(total > 0, np.maximum(seen - d[np.minimum(seen, 3)], 0) / np.maximum(total, 1) + left * p, p)
+        return lengths, np.add.reduceat((ids[local] >= 0).astype(np.int64), starts), np.add.reduceat(base[local], starts), np.add.reduceat(np.log10(p), starts)
+
+
+def blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """Buckets, and for each a blob of its part of the columns (by the first of them, which then compresses best)."""
+    order = np.lexsort((columns[0], bucket))
+    columns = [c[order] for c in columns]
+    parts = list(runs(bucket[order]))
+    return [b for b, _ in parts], [pack_columns([c[some] for c in columns]) for _, some in parts]
+
+
+def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -> KneserNey:
     """Count over all texts whose id remainder is not held out; null texts count as empty (an end alone).
 
-    Each task sends distinct keys with their counts, so a common word or pair reaches a bucket once for
-    each task. The number of buckets grows with the input. Sums that come to the driver: a row a bucket.
+    ``order`` is 2 or more. Each task sends distinct n-grams with their counts, so a common word or n-gram
+    reaches a bucket once for each task. The number of buckets grows with the input; every bucket of every table has
+    a file, so one that is missing is an error. Sums that come to the driver: a row a vocabulary bucket.
     """
-    folder = local_path(scratch(docs.sparkSession, "lm"))
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    spark = docs.sparkSession
+    folder = local_path(scratch(spark, "lm"))
     rows = docs.where(id_remainder(F.col("doc_id"), hold_out[0]) != hold_out[1]).select("text")
     buckets = buckets_for(docs, 12.0)
-    model = KneserNey(folder, buckets)
+    model = KneserNey(folder, buckets, order)
+    path = model.path
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, counter), np.uint64, len(counter))
-            h, n = summed(h, np.fromiter(counter.values(), np.int64, len(counter)))
-            return blobs(high_bucket(h, buckets), h, n)
+            h, _, n = by_key(h, np.fromiter(counter.values(), np.int64, len(counter)))
+            parts = list(runs(high_bucket(h, buckets)))
+            return pa.RecordBatch.from_arrays([
+                pa.array([b for b, _ in parts], pa.int32()), pa.array([h[s].tobytes() for _, s in parts], pa.binary()), pa.array([n[s].tobytes() for _, s in parts], pa.binary()),
+            ], ["bucket", "h", "n"])
 
         for _, raws in chunks(batches, 0):
             for raw in raws:
@@ -237,99 +318,111 @@ def train(docs: DataFrame, hold_out: tuple[int, int] = (5, 1)) -> KneserNey:
 
     def merge_words(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        h, n = summed(joined(table, "x0", np.uint64), joined(table, "x1", np.int64))
-        write_file(f"{folder}/v{b}.h", h.tobytes())
-        write_file(f"{folder}/v{b}.c", n.tobytes())
+        h, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("h", np.uint64), ("n", np.int64)))
+        h, _, n = by_key(h, n)
+        write_file(path("v", b), h.tobytes() + n.astype(np.uint64).tobytes())
         return pa.table({"b": pa.array([b], pa.int32()), "types": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
-    got = rows.mapInArrow(count_words, "bucket int, x0 binary, x1 binary").groupBy("bucket").applyInArrow(merge_words, "b int, types long, tokens long").collect()
-    types = np.zeros(buckets, np.int64)
+    got = by_bucket(rows.mapInArrow(count_words, "bucket int, h binary, n binary"), buckets).applyInArrow(merge_words, "b int, types long, tokens long").collect()
+    model.types = np.zeros(buckets, np.int64)
     for r in got:
-        types[r.b] = r.types
-    model.offsets = (np.cumsum(types) - types).tolist()
-    model.vocabulary, model.tokens = int(types.sum()), sum(r.tokens for r in got)
+        model.types[r.b] = r.types
+    model.vocabulary, model.tokens = int(model.types.sum()), sum(r.tokens for r in got)
     if not model.vocabulary:
-        model.high = model.low = discounts([0, 0, 0, 0])
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value.reader()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return blobs(key_bucket(keys, buckets), keys, n.astype(np.uint32))
+            h, *columns, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = by_key(h, n)
+            columns = [c[first] for c in columns]
+            parts, packed = blobs(high_bucket(grams(columns[:-1]), buckets), [*columns, n])
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], ["bucket", "grams", "kinds"])
 
         for _, raws in chunks(batches, 0):
-            number = Numbering()
-            lists = [tokens_of(r) for r in raws]
-            lengths = np.array([len(x) for x in lists])
-            local = np.fromiter((number[w] for x in lists for w in x), np.int64, int(lengths.sum()))
-            token_id = reader.words(list(number))[0][local]
-            before = np.r_[0, token_id[:-1]]
-            before[np.cumsum(lengths) - lengths] = reader.m.vocabulary
-            held.append(np.unique(before.astype(np.uint64) << np.uint64(32) | token_id.astype(np.uint64), return_counts=True))
-            size += len(held[-1][0])
+            columns = reader.columns([tokens_of(r) for r in raws])[3]
+            h, first, n = np.unique(grams(columns), return_index=True, return_counts=True)
+            held.append((h, *(c[first].astype(np.uint32) for c in columns), n.astype(np.uint32)))
+            size += len(h)
             if size > FLUSH_KEYS:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
-    def merge_pairs(table: pa.Table) -> pa.Table:
-        b = table.column("bucket")[0].as_py()
-        keys, n = summed(joined(table, "x0", np.uint64), joined(table, "x1", np.uint32).astype(np.int64))
-        write_file(f"{folder}/b{b}.k", keys.tobytes())
-        write_file(f"{folder}/b{b}.n", np.minimum(n, 0xFFFFFFFF).astype(np.uint32).tobytes())
-        first = (keys >> np.uint64(32)).astype(np.int64)
-        at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        by = lambda x: np.add.reduceat(x.astype(np.int64), at)
-        context = np.stack([first[at], by(n), by(n == 1), by(n == 2), by(n > 2)], 1)
-        second, times = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        one, two = blobs(context[:, 0] // RANGE, context), blobs(second // RANGE, np.stack([second, times], 1))
-        kinds = [json.dumps([int((n == k).sum()) for k in (1, 2, 3, 4)])]
-        return pa.table({
-            "range": pa.array([*one.column(0).to_pylist(), *two.column(0).to_pylist(), -1], pa.int32()),
-            "context": pa.array([*one.column(1).to_pylist(), *[None] * two.num_rows, None], pa.binary()),
-            "suffix": pa.array([*[None] * one.num_rows, *two.column(1).to_pylist(), None], pa.binary()),
-            "kinds": pa.array([*[None] * (one.num_rows + two.num_rows), *kinds], pa.string()),
-        })
+    def summed(table: pa.Table) -> list[list[int]]:
+        """Sums of all buckets that travel along: [order, things counted once, twice, 3, 4 times]."""
+        sums: dict[int, np.ndarray] = {}
+        for k, *n in (x for x in table.column("kinds").to_pylist() if x):
+            sums[k] = sums.get(k, 0) + np.array(n, np.int64)
+        return [[k, *n.tolist()] for k, n in sums.items()]
+
+    def merge_of(k: int):
+        """Tables of order ``k``; what is sent on is dealt to buckets of contexts, or of ids at the end."""
+
+        def merge(table: pa.Table) -> pa.Table:
+            b = table.column("bucket")[0].as_py()
+            if b < 0:
+                sums = summed(table)
+                return pa.table({"bucket": pa.array([b] * len(sums), pa.int32()), "grams": pa.nulls(len(sums), pa.binary()), "kinds": pa.array(sums, pa.list_(pa.int64()))})
+            found = [unpack_columns(x, k + 1) for x in table.column("grams").to_pylist() if x]
+            *columns, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.uint32)] * (k + 1)
+            h, first, n = by_key(grams(columns), n.astype(np.int64))
+            columns = [c[first] for c in columns]
+            write_file(path(f"n{k}", b), pack_table(h, n[:, None]))
+            context = grams(columns[:-1])
+            by_context = np.argsort(context, kind="stable")
+            c, m = context[by_context], n[by_context]
+            at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])[: len(c)]
+            sums = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (m, m == 1, m == 2, m > 2)], 1) if len(c) else np.zeros((0, 4), np.int64)
+            write_file(path(f"c{k}", b), pack_table(c[at], sums))
+            rest = columns[1:]
+            _, first, times = by_key(grams(rest), np.ones(len(n), np.int64))
+            rest = [x[first] for x in rest]
+            to = high_bucket(grams(rest[:-1]), buckets) if k > 2 else rest[0].astype(np.int64) // RANGE
+            parts, packed = blobs(to, [*rest, times])
+            if k > 2:  # the bucket of the same number, if only to write empty tables
+                parts, packed = [*parts, b], [*packed, None]
+            kinds = [k, *(int((n == i).sum()) for i in (1, 2, 3, 4))]
+            return pa.table({
+                "bucket": pa.array([*parts, -1 - b % SUMS], pa.int32()), "grams": pa.array([*packed, None], pa.binary()),
+                "kinds": pa.array([*[None] * len(parts), kinds], pa.list_(pa.int64())),
+            })
+
+        return merge
 
     def merge_ids(table: pa.Table) -> pa.Table:
-        r = table.column("range")[0].as_py()
-        kinds = np.zeros(4, np.int64)
-        low, types = np.zeros(4, np.int64), 0
+        r = table.column("bucket")[0].as_py()
         if r < 0:
-            for x in table.column("kinds").to_pylist():
-                kinds += json.loads(x)
+            sums = summed(table)
         else:
-            n = min(RANGE, model.vocabulary + 1 - r * RANGE)
-            arrays = {x: np.zeros(n, np.int64) for x in ("total", "once", "twice", "more", "suffix")}
-            for x in table.column("context").to_pylist():
-                if x is not None:
-                    rows = np.frombuffer(x, np.int64).reshape(-1, 5)
-                    for k, name in enumerate(("total", "once", "twice", "more"), 1):
-                        arrays[name][rows[:, 0] - r * RANGE] += rows[:, k]  # ids are distinct in a blob
-            for x in table.column("suffix").to_pylist():
-                if x is not None:
-                    rows = np.frombuffer(x, np.int64).reshape(-1, 2)
-                    arrays["suffix"][rows[:, 0] - r * RANGE] += rows[:, 1]
-            for name, a in arrays.items():
-                write_file(f"{folder}/{name}{r}", a.tobytes())
-            low, types = np.array([(arrays["suffix"] == k).sum() for k in (1, 2, 3, 4)]), int(arrays["suffix"].sum())
-            discounted = arrays["suffix"]
-            low = np.r_[low, (discounted > 2).sum()]
-        return pa.table({"kinds": pa.array([kinds.tolist()], pa.list_(pa.int64())), "low": pa.array([np.resize(np.r_[low, np.zeros(5, np.int64)], 5).tolist()], pa.list_(pa.int64())), "types": pa.array([types], pa.int64())})
-
-    pairs = rows.mapInArrow(count_pairs, "bucket int, x0 binary, x1 binary").groupBy("bucket").applyInArrow(merge_pairs, "range int, context binary, suffix binary, kinds string")
-    sums = pairs.groupBy("range").applyInArrow(merge_ids, "kinds array<long>, low array<long>, types long").collect()
-    kinds = np.sum([r.kinds for r in sums], 0).tolist()
-    low = np.sum([r.low for r in sums], 0).tolist()
-    model.bigrams = sum(r.types for r in sums)
-    model.high, model.low = discounts(kinds), discounts(low[:4])
-    model.low_left = float(np.dot(model.low, [low[0], low[1], low[4]])) / max(1, model.bigrams)
+            preceded = np.zeros(min(RANGE, model.vocabulary - r * RANGE), np.int64)
+            for x in table.column("grams").to_pylist():
+                ids, times = unpack_columns(x, 2)  # ids are distinct in a blob
+                preceded[ids.astype(np.int64) - r * RANGE] += times
+            write_file(path("suffix", r), preceded.tobytes())
+            sums = [[1, *(int((preceded == i).sum()) for i in (1, 2, 3, 4)), int((preceded > 2).sum()), int(preceded.sum())]]
+        return pa.table({"kinds": pa.array(sums, pa.list_(pa.int64()))})
+
+    link = "bucket int, grams binary, kinds array<long>"
+    every = spark.range(0, buckets, 1, min(buckets, spark.sparkContext.defaultParallelism)).selectExpr("cast(id as int) as bucket", "cast(null as binary) as grams", "cast(null as array<long>) as kinds")
+    level = rows.mapInArrow(count_grams, link).union(every)
+    for k in range(order, 1, -1):
+        level = by_bucket(level, buckets).applyInArrow(merge_of(k), link)
+    ranges = -(-model.vocabulary // RANGE)
+    sums: dict[int, np.ndarray] = {}
+    for row in by_bucket(level, max(ranges, min(buckets, SUMS))).applyInArrow(merge_ids, "kinds array<long>").collect():
+        k, *n = row.kinds
+        sums[k] = sums.get(k, 0) + np.array(n, np.int64)
+    model.high = {k: discounts(sums[k].tolist()) for k in range(2, order + 1)}
+    *low, more, model.bigrams = sums[1].tolist()
+    model.low = discounts(low)
+    model.low_left = float(np.dot(model.low, [low[0], low[1], more])) / max(1, model.bigrams)
     return model
 
 

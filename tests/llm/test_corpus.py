@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 from collections import Counter
 from math import log10
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlow.llm import bpe, components, decontaminate, jaccard_join, langid, ngram_lm, quality, sharding, suffix_dedup, toxicity, urlfilter
+from marlow.llm import bpe, common, components, decontaminate, jaccard_join, langid, ngram_lm, quality, sharding, suffix_dedup, toxicity, urlfilter
 from marlow.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, path string"
@@ -357,47 +358,109 @@ def test_em_posterior_equals_brute_force(spark):
 # --- 6 -------------------------------------------------------------------------------------------
 
 
-def test_language_model_equals_brute_force(spark, odd):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_brute_force(spark, odd, order):
     rng = random.Random(10)
     rows = [(i, words(rng, rng.randrange(40), 30), "en") for i in range(200)] + [(i, t if not t or len(t) < 9000 else t[:3000], la) for i, t, la in odd]
     docs = frame(spark, rows)
-    got = sorted(ngram_lm.score(docs, ngram_lm.train(docs)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score))
+    got = sorted(ngram_lm.score(docs, ngram_lm.train(docs, order)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score))
     tok = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    grams = lambda w: list(zip(*([*[None] * (order - 1), *w][k:] for k in range(order)), strict=False))
     rest = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
-    c, bi = Counter(), Counter()
+    c, level = Counter(), {order: Counter()}
     for i, t, _ in rows:
         if rest(i) != 1:
-            w = tok(t)
-            c.update(w)
-            bi.update(zip([None, *w], w, strict=False))
+            c.update(tok(t))
+            level[order].update(grams(tok(t)))
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
     kinds = lambda x: [sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]
-    suffix, context = Counter(b for _, b in bi), {}
-    for (a, _), n in bi.items():
-        x = context.setdefault(a, [0, 0, 0, 0])
-        x[0] += n
-        x[min(n, 3)] += 1
-    high, low = ngram_lm.discounts(kinds(bi)), ngram_lm.discounts(kinds(suffix))
-    total, vocabulary, types = sum(c.values()), len(c), len(bi)
-    left = sum(low[min(n, 3) - 1] for n in suffix.values()) / types / (vocabulary + 1)
-
-    def p(a, b):
-        n = suffix[b]
-        lower = (max(0, n - low[min(n, 3) - 1]) if n else 0) / types + left
-        if a not in context:
-            return lower
-        x, n = context[a], bi[a, b]
-        return (max(0, n - high[min(n, 3) - 1]) if n else 0) / x[0] + sum(high[k] * x[k + 1] for k in range(3)) / x[0] * lower
+    d = {k: ngram_lm.discounts(kinds(x)) for k, x in level.items()}
+    context = {}
+    for k in range(2, order + 1):
+        for g, n in level[k].items():
+            x = context.setdefault(g[:-1], [0, 0, 0, 0])
+            x[0] += n
+            x[min(n, 3)] += 1
+    total, vocabulary, types = sum(c.values()), len(c), len(level[2])
+    left = sum(d[1][min(n, 3) - 1] for n in level[1].values()) / types / (vocabulary + 1)
+
+    def p(g):
+        n, k = level[len(g)][g], len(g)
+        paid = max(0, n - d[k][min(n, 3) - 1]) if n else 0
+        if k == 1:
+            return paid / types + left
+        x = context.get(g[:-1])
+        return paid / x[0] + sum(d[k][j] * x[j + 1] for j in range(3)) / x[0] * p(g[1:]) if x else p(g[1:])
 
     want = []
     for i, t, _ in rows:
         w = tok(t)
-        want.append((i, rest(i) == 1, len(w), sum(x in c for x in w), total, sum(log10((c[x] + 0.5) / (total + 0.5 * (vocabulary + 1))) for x in w), sum(log10(p(a, b)) for a, b in zip([None, *w], w, strict=False))))
+        want.append((i, rest(i) == 1, len(w), sum(x in c for x in w), total, sum(log10((c[x] + 0.5) / (total + 0.5 * (vocabulary + 1))) for x in w), sum(log10(p(g)) for g in grams(w))))
     want.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2], r[6]))
     for g, x in zip(got, want, strict=True):
         assert tuple(g)[:5] == x[:5] and g.base_score == pytest.approx(x[5]) and g.score == pytest.approx(x[6])
-    assert sum(p(b"w1", b) for b in c) + p(b"w1", b"unseen") == pytest.approx(1)
+    some = tuple(f"w{k}".encode() for k in range(order - 1))
+    assert sum(p((*some, b)) for b in c) + p((*some, b"unseen")) == pytest.approx(1)
     empty = frame(spark, [])
-    assert ngram_lm.score(docs, ngram_lm.train(empty)).count() == len(rows) and ngram_lm.score(empty, ngram_lm.train(empty)).count() == 0
+    assert ngram_lm.score(docs, ngram_lm.train(empty, order)).count() == len(rows) and ngram_lm.score(empty, ngram_lm.train(empty, order)).count() == 0
+
+
+def test_hash_tables():
+    rng = np.random.default_rng(17)
+    for n in (0, 1, 5, 40_000):
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        values = np.c_[rng.zipf(1.3, len(h)) % 10**9, rng.integers(0, 400, len(h))]
+        table = ngram_lm.HashTable(np.frombuffer(ngram_lm.pack_table(h, values), np.uint8))
+        assert (table.find(h) == values).all()
+        assert not table.find(np.setdiff1d(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), h)).any()
+    columns = [rng.integers(0, 1 << 32, 1000, dtype=np.uint32) for _ in range(4)]
+    assert all((a == b).all() for a, b in zip(columns, ngram_lm.unpack_columns(ngram_lm.pack_columns(columns), 4), strict=True))
+
+
+# --- files that are gone -------------------------------------------------------------------------
+
+
+def test_missing_files_are_errors(spark, monkeypatch):
+    """A shared folder that is not there, or not shared, gives an error and never an empty lookup."""
+    docs = frame(spark, [(i, f"the same passage of well over fifty bytes in every one of these texts {i % 2}", "en") for i in range(8)])
+    plain = suffix_dedup.hot_anchors
+    monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda rows, folder, *a: (plain(rows, folder, *a), shutil.rmtree(folder)))
+    with pytest.raises(Exception, match="No such file"):
+        suffix_dedup.dedup_report(docs).collect()
+    model = ngram_lm.train(docs)
+    shutil.rmtree(model.folder)
+    with pytest.raises(Exception, match="No such file"):
+        ngram_lm.score(docs, model).collect()
+    folders = []
+    local = jaccard_join.local_path
+    monkeypatch.setattr(jaccard_join, "local_path", lambda x: folders.append(local(x)) or folders[-1])
+    node = jaccard_join.set_hash(jaccard_join.shingles(docs.first().text.encode(), jaccard_join._WordHashes()))
+    wanted = spark.createDataFrame([(0, node, node, 1)], "doc_id long, node long, root long, n long")
+    assert jaccard_join.sets_of(docs, wanted).count() == 1
+    sets = jaccard_join.sets_of(docs, wanted)
+    shutil.rmtree(folders[-1])
+    with pytest.raises(Exception, match="No such file"):
+        sets.collect()
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster(spark):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    assert common.local_path(common.shared_dir(spark)).startswith("/")
+
+
+def test_fresh_names(spark, odd):
+    rows = [(i, t, la) for i, t, la in odd if not t or len(t) < 9000]
+    docs = frame(spark, rows)
+    assert common.fresh(docs, "Path", "x", "x") == ["_Path", "x", "_x"]
+    more = docs.withColumn("spans", F.lit(1)).withColumn("TEXT_KEY", F.lit(2)).withColumn("span_id", F.lit(3)).withColumn("__spans", F.lit(4))
+    plain, other = suffix_dedup.remove_repeats(docs, 5).collect(), suffix_dedup.remove_repeats(more, 5).collect()
+    assert sorted(map(repr, (r.text for r in plain))) == sorted(map(repr, (r.text for r in other))) and {(r.spans, r.TEXT_KEY, r["__spans"]) for r in other} == {(1, 2, 4)}
 
 
 # --- 7 -------------------------------------------------------------------------------------------
