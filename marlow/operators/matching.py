@@ -20,17 +20,6 @@ def prefixed(profiles: DataFrame, prefix: str) -> DataFrame:
     return profiles.select(F.col("user_id").alias(f"{prefix}_id"), *(F.coalesce(c, empty).alias(f"{prefix}_{c}") for c in ("strong", "weak")), F.col("score").alias(f"{prefix}_score"), F.col("style").alias(f"{prefix}_style"))
 
 
-def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None = None, keep: int = 10) -> DataFrame:
-    """The ``keep`` best candidates of each seeker: ``u_*``, ``c_*``, ``pair``, ``rk``. ``seekers`` are
-    the users that ask (a page of them, not the whole table); excluded (user_id, other_id) pairs are left out."""
-    both = prefixed(candidates, "c").join(F.broadcast(prefixed(seekers, "u")), F.col("u_id") != F.col("c_id"))
-    if exclude is not None:
-        both = both.join(exclude.select(F.col("user_id").alias("u_id"), F.col("other_id").alias("c_id")), ["u_id", "c_id"], "left_anti")
-    scored = both.withColumn("pair", compatibility(side("u"), side("c")))
-    rk = F.row_number().over(Window.partitionBy("u_id").orderBy(F.col("pair").desc(), "c_id"))
-    return scored.withColumn("rk", rk).where(F.col("rk") <= keep)
-
-
 def _hits(of: list[np.ndarray], among: list[np.ndarray]) -> np.ndarray:
     """[i, j]: entries of ``of[i]`` that ``among[j]`` has; repeats in ``of[i]`` count."""
     number = {t: k for k, t in enumerate(sorted({t for x in of for t in x}))}
@@ -55,19 +44,31 @@ def block_scores(u: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
     return np.floor((0.5 * skill + 0.3 * level + 0.2 * style) * 1000 + 0.5) / 1000
 
 
-def all_pair_scores(profiles: DataFrame, keep: int = 10, rows: int = 1000) -> DataFrame:
-    """The columns of ``pair_scores`` where every user asks and every other is a candidate.
+def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None = None, keep: int = 10, rows: int = 1000) -> DataFrame:
+    """The ``keep`` best candidates of each seeker, but for itself: ``u_*``, ``c_*``, ``pair``, ``rk``; excluded
+    (user_id, other_id) pairs are left out. Users with a null id neither ask nor are found.
 
-    Users are dealt into blocks of about ``rows`` by a hash of the id; each pair of blocks is one group, from which only the ``keep`` best of each seeker leave. The work is n^2 pairs, in n^2 / rows^2 groups.
+    Both sides are dealt into blocks of about ``rows`` by a hash of the id; each pair of blocks is one group, from
+    which only the ``keep`` best of each seeker leave. So any number may ask: the work is seekers x candidates, in
+    groups of one size.
     """
-    ids = profiles.where("user_id is not null")
-    n = max(1, -(-ids.count() // rows))
-    dealt = ids.select("user_id", F.coalesce("strong", F.array().cast("array<string>")).alias("strong"), F.coalesce("weak", F.array().cast("array<string>")).alias("weak"), F.col("score").cast("double").alias("score"), "style")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(n)))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    u = dealt.withColumn("other", F.explode(every)).withColumn("asks", F.lit(True))
-    c = dealt.withColumn("other", F.explode(every)).select("user_id", "strong", "weak", "score", "style", F.col("other").cast("long").alias("block"), F.col("block").alias("other"), F.lit(False).alias("asks"))
-    both = u.withColumn("other", F.col("other").cast("long")).unionByName(c)
+    none = F.array().cast("array<string>")
+    kind = candidates.schema["user_id"].dataType.simpleString()
+    seekers, candidates = seekers.where("user_id is not null"), candidates.where("user_id is not null")
+    n_seek, n_found = (max(1, -(-x.count() // rows)) for x in (seekers, candidates))
+
+    def dealt(df: DataFrame, blocks: int) -> DataFrame:
+        cols = [F.coalesce("strong", none).alias("strong"), F.coalesce("weak", none).alias("weak"), F.col("score").cast("double").alias("score"), "style"]
+        return df.select("user_id", *cols, F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("long").alias("own"))
+
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    u = dealt(seekers, n_seek).withColumn("c_block", every(n_found)).withColumnRenamed("own", "u_block").withColumn("asks", F.lit(True))
+    if exclude is not None:
+        skip = exclude.groupBy("user_id").agg(F.collect_set(F.col("other_id").cast(kind)).alias("skip"))
+        u = u.join(skip, "user_id", "left")
+    else:
+        u = u.withColumn("skip", F.array().cast(f"array<{kind}>"))
+    c = dealt(candidates, n_found).withColumn("u_block", every(n_seek)).withColumnRenamed("own", "c_block").withColumn("asks", F.lit(False))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.asks].reset_index(drop=True), pdf[~pdf.asks].sort_values("user_id").reset_index(drop=True)
@@ -76,17 +77,19 @@ def all_pair_scores(profiles: DataFrame, keep: int = 10, rows: int = 1000) -> Da
         pair = block_scores(a, b)
         ua, cb = a.user_id.to_numpy(), b.user_id.to_numpy()
         pair[ua[:, None] == cb[None, :]] = -np.inf
+        for i, skip in enumerate(a["skip"]):
+            if skip is not None and len(skip):
+                pair[i, np.isin(cb, skip)] = -np.inf
         # candidates are in the order of ids, and the sort is stable
         top = np.argsort(-pair, axis=1, kind="stable")[:, :keep]
         got = np.take_along_axis(pair, top, axis=1)
         out = pd.DataFrame({"u_id": np.repeat(ua, top.shape[1]), "c_id": cb[top].ravel(), "pair": got.ravel()})
         return out[out.pair > -np.inf]
 
-    kind = profiles.schema["user_id"].dataType.simpleString()
-    found = both.groupBy("block", "other").applyInPandas(best, f"u_id {kind}, c_id {kind}, pair double")
+    found = u.unionByName(c, allowMissingColumns=True).groupBy("u_block", "c_block").applyInPandas(best, f"u_id {kind}, c_id {kind}, pair double")
     rk = F.row_number().over(Window.partitionBy("u_id").orderBy(F.col("pair").desc(), "c_id"))
     found = found.withColumn("rk", rk).where(F.col("rk") <= keep)
-    return found.join(prefixed(profiles, "u"), "u_id").join(prefixed(profiles, "c"), "c_id")
+    return found.join(prefixed(seekers, "u"), "u_id").join(prefixed(candidates, "c"), "c_id")
 
 
 def mean3(f, *sides: dict[str, Column]) -> Column:
@@ -104,11 +107,6 @@ def recommend(seekers: DataFrame, candidates: DataFrame, top_k: int = 5, exclude
     return trios_of(pair_scores(seekers, candidates, exclude), top_k)
 
 
-def recommend_all(profiles: DataFrame, top_k: int = 5) -> DataFrame:
-    """``recommend`` where every user asks."""
-    return trios_of(all_pair_scores(profiles), top_k)
-
-
 def trios_of(best: DataFrame, top_k: int) -> DataFrame:
     """The best teams of each seeker and two of the candidates that ``pair_scores`` kept."""
     rename = lambda df, p: df.select("u_id", *(F.col(f"c_{k}").alias(f"{p}_{k}") for k in ("id", "strong", "weak", "score", "style")), F.col("rk").alias(f"{p}_rk"))

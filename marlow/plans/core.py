@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlow.operators import filters
-from marlow.plans.registry import query, whole_query
+from marlow.plans.registry import query
 from marlow.sources import catalog as C
 
 AS_OF = "2024-01-30"
@@ -193,13 +193,8 @@ def p30(spark, d):
 # --- joins ---------------------------------------------------------------------------------------
 
 
-@query("j01_include_many", "J-01 A-24", """SELECT id, (SELECT list(solution_index ORDER BY solution_index) FROM solutions s WHERE s.problem_id = p.id) AS solutions, (SELECT count(*) FROM solutions s WHERE s.problem_id = p.id) AS n FROM problems p WHERE id < 300""")
+@query("j01_include_many", "J-01 A-24", """SELECT id, (SELECT list(solution_index ORDER BY solution_index) FROM solutions s WHERE s.problem_id = p.id) AS solutions, (SELECT count(*) FROM solutions s WHERE s.problem_id = p.id) AS n FROM problems p""")
 def j01(spark, d):
-    return _with_solutions(C.problems(spark, d).where("id < 300"), C.solutions(spark, d))
-
-
-@whole_query("j01_include_many_whole", "j01_include_many", " WHERE id < 300")
-def j01_whole(spark, d):
     return _with_solutions(C.problems(spark, d), C.solutions(spark, d))
 
 
@@ -229,20 +224,15 @@ def j05(spark, d):
     return C.users(spark, d).join(F.broadcast(dim), F.col("nation") == F.col("n_nationkey"), "left").select("id", "username", "n_name", "r_name")
 
 
-@query("j06_hydration", "J-06", "SELECT k.id, coalesce(title, '') AS title, coalesce(tags, []) AS tags FROM (SELECT unnest(range(0, 400, 7)) AS id) k LEFT JOIN problems p ON k.id = p.id")
+@query("j06_hydration", "J-06", "SELECT k.id, coalesce(title, '') AS title, coalesce(tags, []) AS tags FROM (SELECT doc_id AS id FROM labels) k LEFT JOIN problems p ON k.id = p.id")
 def j06(spark, d):
-    keys = spark.range(0, 400, 7)
+    keys = C.read_table(spark, d, "labels").select(F.col("doc_id").alias("id"))
     return keys.join(C.problems(spark, d), "id", "left").select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 @query("j07_fallback_resolution", "J-07", """SELECT s.l_orderkey AS k, s.l_linenumber AS line, coalesce(a.id, b.id, c.id) AS problem FROM lineitem s LEFT JOIN problems a ON a.id = s.l_orderkey
-LEFT JOIN problems b ON b.id = s.l_suppkey LEFT JOIN problems c ON c.source_id = 'P' || (s.l_partkey % 1000) WHERE s.l_orderkey < 3000""")
+LEFT JOIN problems b ON b.id = s.l_suppkey LEFT JOIN problems c ON c.source_id = 'P' || (s.l_partkey % 1000)""")
 def j07(spark, d):
-    return _resolved(C.read_table(spark, d, "lineitem").where("l_orderkey < 3000"), C.problems(spark, d))
-
-
-@whole_query("j07_fallback_resolution_whole", "j07_fallback_resolution", " WHERE s.l_orderkey < 3000")
-def j07_whole(spark, d):
     return _resolved(C.read_table(spark, d, "lineitem"), C.problems(spark, d))
 
 
@@ -401,13 +391,8 @@ def a22(spark, d):
     return C.problems(spark, d).join(s, "id").groupBy("source_platform").agg(F.count("*").alias("n"), F.max(F.coalesce("top", F.lit(0))).alias("top"))
 
 
-@query("a24_team_sizes", "A-24 U-07", "SELECT s_suppkey AS team, count(c_custkey) AS members, count(c_custkey) >= 3 AS is_full FROM supplier LEFT JOIN customer ON c_custkey % 100 = s_suppkey AND c_custkey < 250 GROUP BY s_suppkey")
+@query("a24_team_sizes", "A-24 U-07", "SELECT s_suppkey AS team, count(c_custkey) AS members, count(c_custkey) >= 3 AS is_full FROM supplier LEFT JOIN customer ON c_custkey % 100 = s_suppkey GROUP BY s_suppkey")
 def a24(spark, d):
-    return _team_sizes(C.read_table(spark, d, "supplier"), C.read_table(spark, d, "customer").where("c_custkey < 250"))
-
-
-@whole_query("a24_team_sizes_whole", "a24_team_sizes", " AND c_custkey < 250")
-def a24_whole(spark, d):
     return _team_sizes(C.read_table(spark, d, "supplier"), C.read_table(spark, d, "customer"))
 
 

@@ -11,7 +11,7 @@ from marlow.functions import queries as QA
 from marlow.functions import scores as S
 from marlow.functions import text as T
 from marlow.operators import dedup, matching, profile, reports, retrieval, training, upsert
-from marlow.plans.registry import query, whole_query
+from marlow.plans.registry import query
 from marlow.sources import catalog as C
 from marlow.sources import dims
 
@@ -151,17 +151,12 @@ def a09(spark, d):
     return profile.category_coverage(C.practice_records(spark, d), taxonomy(spark)).select("user_id", "category", F.round("coverage", 6).alias("coverage"))
 
 
-@query("a32_strengths", "A-32", f"""WITH t AS ({TAXONOMY}), z AS (SELECT category, count(*) AS size FROM t GROUP BY category), u AS (SELECT DISTINCT user_id FROM records WHERE id % 7 = 0),
-h AS (SELECT user_id, category, count(DISTINCT tag) AS n FROM records JOIN t ON tags[1] = tag WHERE id % 7 = 0 GROUP BY ALL),
+@query("a32_strengths", "A-32", f"""WITH t AS ({TAXONOMY}), z AS (SELECT category, count(*) AS size FROM t GROUP BY category), u AS (SELECT DISTINCT user_id FROM records),
+h AS (SELECT user_id, category, count(DISTINCT tag) AS n FROM records JOIN t ON tags[1] = tag GROUP BY ALL),
 c AS (SELECT u.user_id, z.category, coalesce(n / size, 0) AS coverage FROM u CROSS JOIN z LEFT JOIN h ON h.user_id = u.user_id AND h.category = z.category),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coverage DESC, category) AS b, row_number() OVER (PARTITION BY user_id ORDER BY coverage, category DESC) AS w FROM c)
 SELECT user_id, coalesce(list(category ORDER BY b) FILTER (b <= 5 AND coverage > 0), []) AS strong, coalesce(list(category ORDER BY w) FILTER (w <= 5 AND coverage < 1), []) AS weak FROM k GROUP BY user_id""")
 def a32(spark, d):
-    return _strengths(spark, C.practice_records(spark, d).where("id % 7 = 0"))
-
-
-@whole_query("a32_strengths_whole", "a32_strengths", " WHERE id % 7 = 0")
-def a32_whole(spark, d):
     return _strengths(spark, C.practice_records(spark, d))
 
 
@@ -196,32 +191,20 @@ def _pair_sql(a: str, b: str) -> str:
     return f"floor((0.5 * {skill} + 0.3 * greatest(0.0, 1 - abs({a}.score - {b}.score) * 2) + 0.2 * {_style_sql(a + '.style', b + '.style')}) * 1000 + 0.5) / 1000"
 
 
-@query("r15_pair_scores", "R-15 R-19 F-06", f"WITH p AS ({PROFILES}) SELECT u.user_id, c.user_id AS other_id, {_pair_sql('u', 'c')} AS pair FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id <= 20 QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY pair DESC, c.user_id) <= 10")
+@query("r15_pair_scores", "R-15 R-19 F-06", f"WITH p AS ({PROFILES}) SELECT u.user_id, c.user_id AS other_id, {_pair_sql('u', 'c')} AS pair FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY pair DESC, c.user_id) <= 10")
 def r15(spark, d):
     p = match_profiles(spark, d)
-    return matching.pair_scores(p.where("user_id <= 20"), p).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
-
+    return matching.pair_scores(p.where("user_id % 50 = 0"), p).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
 
-@whole_query("r15_pair_scores_whole", "r15_pair_scores", " WHERE u.user_id <= 20")
-def r15_whole(spark, d):
-    return matching.all_pair_scores(match_profiles(spark, d)).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
 
-
-@query("r17_teammates", "R-16 R-17 R-18 J-09", f"""WITH p AS ({PROFILES}), b AS (SELECT u.user_id AS uid, c.*, row_number() OVER (PARTITION BY u.user_id ORDER BY {_pair_sql('u', 'c')} DESC, c.user_id) AS rk FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id <= 12 QUALIFY rk <= 10),
+@query("r17_teammates", "R-16 R-17 R-18 J-09", f"""WITH p AS ({PROFILES}), b AS (SELECT u.user_id AS uid, c.*, row_number() OVER (PARTITION BY u.user_id ORDER BY {_pair_sql('u', 'c')} DESC, c.user_id) AS rk FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id % 50 = 0 QUALIFY rk <= 10),
 t AS (SELECT u.user_id, x.user_id AS first_id, y.user_id AS second_id, floor((({_pair_sql('u', 'x')} + {_pair_sql('u', 'y')} + {_pair_sql('x', 'y')}) / 3 * 0.7 + least(len(list_distinct(list_concat(list_concat(u.strong, x.strong), y.strong))) / 10, 1.0) * 0.3) * 1000 + 0.5) / 1000 AS team_score
 FROM b x JOIN b y ON x.uid = y.uid AND x.rk < y.rk JOIN p u ON u.user_id = x.uid)
 SELECT t.user_id, first_id, second_id, team_score, c_name AS name, row_number() OVER (PARTITION BY t.user_id ORDER BY team_score DESC, first_id, second_id) AS place FROM t JOIN customer ON c_custkey = first_id QUALIFY place <= 5""")
 def r17(spark, d):
     p = match_profiles(spark, d)
     names = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("first_id"), F.col("c_name").alias("name"))
-    return matching.recommend(p.where("user_id <= 12"), p).join(names, "first_id").select("user_id", "first_id", "second_id", "team_score", "name", F.col("place").cast("long").alias("place"))
-
-
-@whole_query("r17_teammates_whole", "r17_teammates", " WHERE u.user_id <= 12")
-def r17_whole(spark, d):
-    names = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("first_id"), F.col("c_name").alias("name"))
-    best = matching.recommend_all(match_profiles(spark, d))
-    return best.join(names, "first_id").select("user_id", "first_id", "second_id", "team_score", "name", F.col("place").cast("long").alias("place"))
+    return matching.recommend(p.where("user_id % 50 = 0"), p).join(names, "first_id").select("user_id", "first_id", "second_id", "team_score", "name", F.col("place").cast("long").alias("place"))
 
 
 @query("r19_pair_detail", "R-19", f"WITH p AS ({PROFILES}) SELECT u.user_id, c.user_id AS other_id, {_pair_sql('u', 'c')} AS total, floor(greatest(0.0, 1 - abs(u.score - c.score) * 2) * 1000 + 0.5) / 1000 AS level FROM p u JOIN p c ON c.user_id = u.user_id + 7")
@@ -274,17 +257,6 @@ def j11(spark, d):
 
 @query("r21_week_plan", "R-21 K-06")
 def r21(spark, d):
-    p = C.problems(spark, d).where("id < 400")
-    users = C.read_table(spark, d, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("user_id"))
-    pool = p.crossJoin(F.broadcast(users)).where(F.pmod(F.xxhash64("user_id", "id"), F.lit(5)) == 0)
-    c = pool.select("user_id", F.col("id").alias("problem_id"), "tags", (F.col("difficulty") / 350).alias("difficulty"), (F.col("id") % 10 / 10).alias("score"))
-    lits = lambda *x: F.array(*map(F.lit, x))
-    plans = users.select("user_id", lits("tag_1", "tag_2").alias("primary"), lits("tag_3").alias("secondary"), lits("tag_4").alias("explore"), training.curve(F.lit("topic_breakthrough")).alias("curve"))
-    return training.arrange(c, plans)
-
-
-@query("r21_week_plan_whole", "R-21 K-06")
-def r21_whole(spark, d):
     c = C.problems(spark, d).select(F.col("id").alias("problem_id"), "tags", (F.col("difficulty") / 350).alias("difficulty"), (F.col("id") % 10 / 10).alias("score"))
     lits = lambda *x: F.array(*map(F.lit, x))
     users = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
@@ -359,13 +331,13 @@ def f19(spark, d):
     return C.read_table(spark, d, "events").select("event_id", F.from_json(T.json_in_text(chat), "k long")["k"].alias("k"))
 
 
-@query("f22_query_analysis", "F-22 F-23 F-24", """WITH q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '为什么 DP 会 WA ' ELSE '' END || CASE item_id % 3 WHEN 0 THEN 'Prim and graph ' WHEN 1 THEN '最短路 ' ELSE '' END || left(text, 30) AS q FROM benchmark),
+@query("f22_query_analysis", "F-22 F-23 F-24", """WITH q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '为什么 DP 会 WA ' ELSE '' END || CASE item_id % 3 WHEN 0 THEN 'Prim and graph ' WHEN 1 THEN '最短路 ' ELSE '' END || text AS q FROM benchmark),
 t AS (SELECT *, list_filter([CASE WHEN contains(q, '动态规划') OR regexp_matches(q, '(?i)\\bDP\\b|\\bdynamic programming\\b|\\bdyn_prog\\b') OR contains(q, '状态转移') THEN '动态规划' END, CASE WHEN contains(q, '图论') OR regexp_matches(q, '(?i)\\bgraph\\b') THEN '图论' END,
 CASE WHEN contains(q, '最短路') OR regexp_matches(q, '(?i)\\bdijkstra\\b') THEN 'Dijkstra' END, CASE WHEN contains(q, '最小生成树') OR regexp_matches(q, '(?i)\\b(MST|Prim|Kruskal)\\b') THEN '最小生成树' END], lambda x: x IS NOT NULL) AS terms FROM q)
 SELECT item_id, terms, CASE WHEN regexp_matches(q, '为什么.*(错|不对|过不了|WA|TLE)') THEN 'error_reason' WHEN len(terms) = 0 THEN 'problem_semantic' ELSE 'algorithm_intent' END AS query_type FROM t""".replace("\\\\b", "\\b"))
 def f22(spark, d):
     i = F.col("item_id")
-    q = F.concat(F.when(i % 4 == 0, "为什么 DP 会 WA ").otherwise(""), F.when(i % 3 == 0, "Prim and graph ").when(i % 3 == 1, "最短路 ").otherwise(""), F.left("text", F.lit(30)))
+    q = F.concat(F.when(i % 4 == 0, "为什么 DP 会 WA ").otherwise(""), F.when(i % 3 == 0, "Prim and graph ").when(i % 3 == 1, "最短路 ").otherwise(""), "text")
     return C.read_table(spark, d, "benchmark").select("item_id", QA.analyse(q, dims.TERMS).alias("a")).select("item_id", "a.terms", "a.query_type")
 
 
@@ -395,13 +367,8 @@ def f29(spark, d):
     return reports.card(reports.daily_report(C.practice_records(spark, d), "2024-01-30"), "Daily").select("markdown")
 
 
-@query("f36_imputed_difficulty", "F-36 F-38", "SELECT l_orderkey AS o, l_linenumber AS l, CASE WHEN l_tax * 12 >= 0.8 THEN '简单' WHEN l_tax * 12 >= 0.5 THEN '中等' WHEN l_tax * 12 >= 0.2 THEN '较难' ELSE '困难' END AS level, l_linenumber AS n FROM lineitem WHERE l_orderkey < 2000")
+@query("f36_imputed_difficulty", "F-36 F-38", "SELECT l_orderkey AS o, l_linenumber AS l, CASE WHEN l_tax * 12 >= 0.8 THEN '简单' WHEN l_tax * 12 >= 0.5 THEN '中等' WHEN l_tax * 12 >= 0.2 THEN '较难' ELSE '困难' END AS level, l_linenumber AS n FROM lineitem")
 def f36(spark, d):
-    return _levels(C.read_table(spark, d, "lineitem").where("l_orderkey < 2000"))
-
-
-@whole_query("f36_imputed_difficulty_whole", "f36_imputed_difficulty", " WHERE l_orderkey < 2000")
-def f36_whole(spark, d):
     return _levels(C.read_table(spark, d, "lineitem"))
 
 
@@ -429,14 +396,8 @@ def t01(spark, d):
     return C.read_table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query("t08_unicode", "T-08", "SELECT doc_id, translate(text, 'éèêç’', 'eeec''') AS text FROM documents WHERE lang = 'zz' OR doc_id < 100 AND lang <> 'fr' AND NOT regexp_matches(text, '[éèêç’`]') OR doc_id = -1")
+@query("t08_unicode", "T-08", f"SELECT doc_id, translate(text, '{T.BLANKS}{T.QUOTES}{T.NO_WIDTH}', '{' ' * len(T.BLANKS)}' || repeat(chr(39), {len(T.QUOTES)})) AS text FROM documents")
 def t08(spark, d):
-    docs = C.read_table(spark, d, "documents").where("doc_id < 100 AND lang <> 'fr'").where(~F.col("text").rlike("[éèêç’`]"))
-    return docs.select("doc_id", T.normalise_unicode(F.concat(F.lit("​"), "text")).alias("text"))
-
-
-@query("t08_unicode_whole", "T-08", f"SELECT doc_id, translate(text, '{T.BLANKS}{T.QUOTES}{T.NO_WIDTH}', '{' ' * len(T.BLANKS)}' || repeat(chr(39), {len(T.QUOTES)})) AS text FROM documents")
-def t08_whole(spark, d):
     return C.read_table(spark, d, "documents").select("doc_id", T.normalise_unicode(F.col("text")).alias("text"))
 
 
@@ -446,19 +407,12 @@ def t09(spark, d):
     return C.problems(spark, d).where("title <> ''").select("id", T.build_content(F.col("source_platform"), r).alias("body"))
 
 
-@query("t14_whitespace", "T-14", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(content, chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\n[ \t]+\n', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')) AS body FROM problems WHERE NOT contains(content, '$') AND NOT contains(content, '_') AND NOT contains(content, '^') AND NOT contains(content, '\')")
-def t14(spark, d):
-    c = F.col("content")
-    p = C.problems(spark, d).where(~c.contains("$") & ~c.contains("_") & ~c.contains("^") & ~c.contains("\\"))
-    return p.select("id", T.normalise_space(c).alias("body"))
-
-
 _WRAPPED = r"regexp_replace(regexp_replace(body, '(\\[a-zA-Z\s](?:\{[^}]*\})*)', '$\1$', 'g'), '([A-Za-z0-9]+[_^]\s*(?:\{[^}]*\}|[A-Za-z0-9]+))', '$\1$', 'g')"
 
 
-@query("t14_whitespace_whole", "T-14", rf"""SELECT id, trim(CASE WHEN contains(body, '$') THEN body ELSE {_WRAPPED} END, ' ') AS body
+@query("t14_whitespace", "T-14", rf"""SELECT id, trim(CASE WHEN contains(body, '$') THEN body ELSE {_WRAPPED} END, ' ') AS body
 FROM (SELECT id, regexp_replace(regexp_replace(regexp_replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '\n[ \t]+\n', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g') AS body FROM problems)""")
-def t14_whole(spark, d):
+def t14(spark, d):
     return C.problems(spark, d).select("id", T.normalise_space(F.col("content")).alias("body"))
 
 
@@ -515,15 +469,10 @@ def w05(spark, d):
     return C.problems(spark, d).select("id", T.drop_repeated_lines(F.col("content")).alias("body"))
 
 
-@query("w11_sections", "W-11", r"""WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM problems WHERE id < 200),
+@query("w11_sections", "W-11", r"""WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM problems),
 s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-E]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM l)
 SELECT id, CAST(part AS BIGINT) AS part, count(*) AS n, min(pos) AS begins FROM s WHERE part > 0 GROUP BY ALL""")
 def w11(spark, d):
-    return _sections(C.problems(spark, d).where("id < 200"))
-
-
-@whole_query("w11_sections_whole", "w11_sections", " WHERE id < 200")
-def w11_whole(spark, d):
     return _sections(C.problems(spark, d))
 
 

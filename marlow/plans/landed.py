@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlow.functions import scraped
 from marlow.functions import text as T
-from marlow.plans.registry import query, whole_query
+from marlow.plans.registry import query
 from marlow.sources import catalog as C
 from marlow.sources import dims, landing
 
@@ -59,13 +59,8 @@ def _pages_of(spark, df, html, *keep):
     return spark.sql(f"SELECT {''.join(f'{k}, ' for k in keep)}t.* FROM marlow_pages, LATERAL marlow_html_rows(html) t")
 
 
-@query("s16_submission_table", "S-16", "SELECT event_id AS submission_id, event_type AS verdict_raw FROM events WHERE event_id < 2000")
+@query("s16_submission_table", "S-16", "SELECT event_id AS submission_id, event_type AS verdict_raw FROM events")
 def s16(spark, d):
-    return _submissions(spark, C.read_table(spark, d, "events").where("event_id < 2000"))
-
-
-@whole_query("s16_submission_table_whole", "s16_submission_table", " WHERE event_id < 2000")
-def s16_whole(spark, d):
     return _submissions(spark, C.read_table(spark, d, "events"))
 
 
@@ -80,14 +75,8 @@ def s21(spark, d):
     return dims.tag_category(spark).join(dims.prerequisites(spark), "tag", "left").groupBy("category").agg(F.count_distinct("tag").alias("tags"), F.count("needs").alias("needs"))
 
 
-@query("s23_problem_table", "S-23", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS difficulty, [lower(p_brand), 'x'] AS tags FROM part WHERE p_partkey <= 200")
+@query("s23_problem_table", "S-23", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS difficulty, [lower(p_brand), 'x'] AS tags FROM part")
 def s23(spark, d):
-    # one list page
-    return _problem_pages(spark, C.read_table(spark, d, "part").where("p_partkey <= 200"), F.lit(0))
-
-
-@whole_query("s23_problem_table_whole", "s23_problem_table", " WHERE p_partkey <= 200")
-def s23_whole(spark, d):
     # list pages of a hundred rows
     return _problem_pages(spark, C.read_table(spark, d, "part"), F.floor(F.col("p_partkey") / 100))
 

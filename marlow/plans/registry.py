@@ -60,17 +60,3 @@ def query(name: str, covers: str, sql: str | None = None):
 
     return put
 
-
-def whole_query(name: str, of: str, *cuts: str):
-    """A query over whole tables beside ``of``, which reads a slice: its SQL without the conditions ``cuts``."""
-    sql = REGISTER[of].sql
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{of} has no {cut!r}")
-        sql = sql.replace(cut, "")
-
-    def put(f):
-        REGISTER[name] = Query(f, sql, REGISTER[of].covers)
-        return f
-
-    return put
