@@ -85,9 +85,9 @@ MOST_TASKS = 50_000
 
 def by_bucket(df: DataFrame, buckets: int, key: str = "bucket") -> GroupedData:
     """``df`` grouped by the number of its bucket, a bucket a task (up to MOST_TASKS): where buckets met in a
-    task by a hash, some tasks would have several and others none."""
-    tasks = min(buckets, MOST_TASKS)
-    return df.repartitionById(tasks, F.pmod(F.col(key), F.lit(tasks))).groupBy(key)
+    task by a hash, some tasks would have several and others none. Numbers are not negative; those above take
+    the task that the remainder names. The grouping needs no further shuffle."""
+    return df.repartitionById(min(buckets, MOST_TASKS), F.col(key)).groupBy(key)
 
 
 def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:

@@ -30,7 +30,7 @@ END = b"\n"  # no word holds white space
 RANGE = 1 << 17  # ids in a dense file
 CHUNK_TEXTS, CHUNK_BYTES = 2000, 8_000_000
 FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 1_000_000
-SUMS = 256  # groups in which sums of all buckets travel
+SUMS, SUM_GROUP = 256, 1 << 30  # groups in which sums of all buckets travel, and the number of the first
 ESCAPE = 255
 
 
@@ -367,7 +367,7 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
 
         def merge(table: pa.Table) -> pa.Table:
             b = table.column("bucket")[0].as_py()
-            if b < 0:
+            if b >= SUM_GROUP:
                 sums = summed(table)
                 return pa.table({"bucket": pa.array([b] * len(sums), pa.int32()), "grams": pa.nulls(len(sums), pa.binary()), "kinds": pa.array(sums, pa.list_(pa.int64()))})
             found = [unpack_columns(x, k + 1) for x in table.column("grams").to_pylist() if x]
@@ -390,7 +390,7 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
                 parts, packed = [*parts, b], [*packed, None]
             kinds = [k, *(int((n == i).sum()) for i in (1, 2, 3, 4))]
             return pa.table({
-                "bucket": pa.array([*parts, -1 - b % SUMS], pa.int32()), "grams": pa.array([*packed, None], pa.binary()),
+                "bucket": pa.array([*parts, SUM_GROUP + b % SUMS], pa.int32()), "grams": pa.array([*packed, None], pa.binary()),
                 "kinds": pa.array([*[None] * len(parts), kinds], pa.list_(pa.int64())),
             })
 
@@ -398,7 +398,7 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
 
     def merge_ids(table: pa.Table) -> pa.Table:
         r = table.column("bucket")[0].as_py()
-        if r < 0:
+        if r >= SUM_GROUP:
             sums = summed(table)
         else:
             preceded = np.zeros(min(RANGE, model.vocabulary - r * RANGE), np.int64)

@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -454,6 +455,13 @@ def test_scratch_folder_must_be_shared_on_a_cluster(spark):
     assert common.local_path(common.shared_dir(spark)).startswith("/")
 
 
+def test_buckets_are_shuffled_once(spark):
+    df = spark.range(100).selectExpr("cast(id % 7 as int) as bucket", "id")
+    grouped = common.by_bucket(df, 7).applyInArrow(lambda t: pa.table({"n": pa.array([t.num_rows], pa.int64())}), "n long")
+    assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r.n for r in grouped.collect()) == [14] * 5 + [15] * 2
+
+
 def test_fresh_names(spark, odd):
     rows = [(i, t, la) for i, t, la in odd if not t or len(t) < 9000]
     docs = frame(spark, rows)
