@@ -28,8 +28,8 @@ from marlow.llm.common import Mapped, Numbering, bucket_path, buckets_for, by_bu
 
 END = b"\n"  # no word holds white space
 RANGE = 1 << 17  # ids in a dense file
-CHUNK_TEXTS, CHUNK_BYTES = 2000, 8_000_000
-FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 1_000_000
+CHUNK_TEXTS, CHUNK_BYTES = 2000, 4_000_000
+FLUSH_KEYS, FLUSH_WORDS = 2_000_000, 500_000
 SUMS, SUM_GROUP = 256, 1 << 30  # groups in which sums of all buckets travel, and the number of the first
 ESCAPE = 255
 
@@ -334,24 +334,29 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = shared.value.reader()
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(order + 2)]  # hashes, ids of each place, counts
         size = 0
 
+        def taken(k: int) -> np.ndarray:
+            out = np.concatenate(held[k])
+            held[k].clear()
+            return out
+
         def flush() -> pa.RecordBatch:
-            h, *columns, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, n = by_key(h, n)
-            columns = [c[first] for c in columns]
+            _, first, n = by_key(taken(0), taken(order + 1))
+            columns = [taken(k)[first] for k in range(1, order + 1)]
             parts, packed = blobs(high_bucket(grams(columns[:-1]), buckets), [*columns, n])
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], ["bucket", "grams", "kinds"])
 
         for _, raws in chunks(batches, 0):
             columns = reader.columns([tokens_of(r) for r in raws])[3]
             h, first, n = np.unique(grams(columns), return_index=True, return_counts=True)
-            held.append((h, *(c[first].astype(np.uint32) for c in columns), n.astype(np.uint32)))
+            for one, new in zip(held, (h, *(c[first].astype(np.uint32) for c in columns), n.astype(np.uint32)), strict=True):
+                one.append(new)
             size += len(h)
             if size > FLUSH_KEYS:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if size:
             yield flush()
 
