@@ -68,6 +68,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(ok, dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))), F.lit(0.0))
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """``cosine`` to a fixed vector, in one pass over ``a``."""
+    length = sum(x * x for x in query) ** 0.5
+    if not length:
+        return F.lit(0.0)
+    unit = F.array(*(F.lit(x / length) for x in query))
+    steps = F.zip_with(a, unit, lambda x, y: F.struct((x.cast("double") * y).alias("d"), (x.cast("double") * x.cast("double")).alias("n")))
+    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n"))
+    cos = lambda s: F.when(s["n"] > 0, s["d"] / F.sqrt(s["n"])).otherwise(0.0)
+    sums = F.aggregate(steps, zero, lambda s, x: F.struct((s["d"] + x["d"]).alias("d"), (s["n"] + x["n"]).alias("n")), cos)
+    return F.coalesce(F.when(F.size(a) == len(query), sums), F.lit(0.0))
+
+
 def pad_vector(v: Column, dim: int) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), dim)), 1, dim)
 

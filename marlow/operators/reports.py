@@ -77,3 +77,14 @@ def card(report: DataFrame, title: str) -> DataFrame:
     """A report row as the JSON of a message card and as Markdown."""
     cells = [F.concat(F.lit(f"**{c}**: "), F.col(c).cast("string")) for c in report.columns]
     return report.select(F.to_json(F.struct(F.lit(title).alias("title"), F.struct(*report.columns).alias("fields"))).alias("card"), F.concat_ws("\n", F.lit(f"# {title}"), *cells).alias("markdown"))
+
+
+def progress(steps: DataFrame, key: str, at: str, total: str, over: int = 10) -> DataFrame:
+    """``steps`` (a row for each item that is done, in the order of ``at``, then ``id``) with ``done``, the moving
+    ``rate`` of the last ``over`` items (a second; null until there are so many, or if no time passed) and ``eta``, the seconds that what is left of
+    ``total`` takes at that rate."""
+    w = Window.partitionBy(key).orderBy(at, "id")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    seconds = (micros(F.col(at)) - micros(F.lag(at, over).over(w))) / 1_000_000
+    out = steps.withColumn("done", F.row_number().over(w)).withColumn("rate", F.when(seconds > 0, over / seconds))
+    return out.withColumn("eta", (F.col(total) - F.col("done")) / F.col("rate"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlow.functions.scores import cosine
+from marlow.functions.scores import cosine_to
 
 #: Weight of each recall path by query type.
 WEIGHTS = {
@@ -18,15 +21,11 @@ WEIGHTS = {
 PATHS = ("content", "solution", "keyword")
 
 
-def vector_literal(v: list[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in v))
-
-
 def vector_recall(vectors: DataFrame, query: list[float], k: int = 80, where: Column | None = None) -> DataFrame:
-    """``id, score``: the k nearest by exact cosine, after the filter if there is one. The query vector is a
-    literal; the plan is a scan with a top-k (TakeOrderedAndProject)."""
+    """``id, score``: the k nearest by exact cosine, after the filter if there is one. The query is scaled to length 1
+    here, so that one pass over a row's vector is left; the plan is a scan with a top-k (TakeOrderedAndProject)."""
     df = vectors if where is None else vectors.where(where)
-    return df.select("id", cosine(F.col("vector"), vector_literal(query)).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+    return df.select("id", cosine_to(F.col("vector"), [float(x) for x in query]).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
 def keyword_recall(docs: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
@@ -37,6 +36,31 @@ def keyword_recall(docs: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
     return docs.where(F.length("text") > 0).select("id", score.cast("double").alias("score")).where("score > 0").orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def answered(paths: dict[str, Callable[[], DataFrame]], seconds: float = 3.0) -> dict[str, DataFrame]:
+    """The recall paths that answer in time, each run on its own; one that fails or is late is left out, which
+    ``fuse`` takes as empty. Answers are a recall limit of rows each, so they pass through the driver."""
+
+    def run(name: str, build: Callable[[], DataFrame], group: str) -> tuple[list, str]:
+        df = build()
+        df.sparkSession.sparkContext.setJobGroup(group, f"recall path {name}", True)
+        return df.collect(), df.schema
+
+    out = {}
+    pool = ThreadPoolExecutor(len(paths) or 1)
+    started = {name: (f"recall-{uuid.uuid4().hex}", build) for name, build in paths.items()}
+    waiting = {name: pool.submit(run, name, build, group) for name, (group, build) in started.items()}
+    end = time.monotonic() + seconds
+    for name, answer in waiting.items():
+        spark = SparkSession.active()
+        try:
+            rows, schema = answer.result(max(0.0, end - time.monotonic()))
+            out[name] = spark.createDataFrame(rows, schema)
+        except Exception:  # late, or failed in whatever way
+            spark.sparkContext.cancelJobGroup(started[name][0])
+    pool.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
 def fuse(paths: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
     """``id, content_score, solution_score, keyword_score, rough_score, sources``.
 

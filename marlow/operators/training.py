@@ -25,7 +25,7 @@ def targets(phase_: Column, weak: Column, strong_categories: Column, weak_catego
     none = F.array().cast("array<string>")
     first = lambda a, n: F.slice(a, 1, n)
     basics = first(F.concat(F.filter(weak, lambda t: F.array_contains(basic, t)), F.array_except(basic, weak)), 2)
-    shuffled = F.transform(F.array_sort(F.transform(every, lambda t: F.struct(F.xxhash64(user, t).alias("h"), t.alias("t")))), lambda x: x["t"])
+    shuffled = F.transform(F.array_sort(F.transform(every, lambda t: F.struct(F.md5(F.concat_ws(":", user.cast("string"), t).cast("binary")).alias("h"), t.alias("t")))), lambda x: x["t"])
     weak3 = first(weak, 3)
     near = first(F.array_except(adjacent, weak3), 2)
     mixed = first(F.concat(F.when(F.size(weak_categories) > 0, first(weak_categories, 2)).otherwise(first(weak, 2)), strong_categories), 2)

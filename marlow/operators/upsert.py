@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlow.operators.dedup import keep_one
@@ -47,8 +47,6 @@ def hard_delete(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def conditional_insert(members: DataFrame, requests: DataFrame, capacity: int = 3) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with ``reason``): requests ``team, user, seq`` in order, if the user is no
     member and the team has room."""
-    from pyspark.sql import Window
-
     sizes = members.groupBy("team").agg(F.count("*").alias("held"))
     known = members.select("team", "user").withColumn("__in", F.lit(True))
     r = requests.join(sizes, "team", "left").join(known, ["team", "user"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
@@ -86,26 +84,60 @@ def changed_only(old: DataFrame, new: DataFrame, key: str, column: str) -> DataF
 
 
 def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], most: int, text: str, width: int = 10_000) -> DataFrame:
-    from pyspark.sql import Window
-
     k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__k", k).where(F.col("__k") <= most).drop("__k").withColumn(text, F.left(F.col(text), F.lit(width)))
 
 
+def with_submission_id(records: DataFrame, platform_id: str = "id", uid: str = "uid", at: str = "timestamp") -> DataFrame:
+    """``submission_id``: the judge's id, else user and time joined; rows that have neither are left out."""
+    made = F.when(F.col(uid).isNotNull() & F.col(at).isNotNull(), F.concat_ws("_", F.col(uid).cast("string"), F.col(at).cast("string")))
+    given = F.nullif(F.col(platform_id).cast("string"), F.lit(""))
+    return records.withColumn("submission_id", F.coalesce(given, made)).where("submission_id is not null")
+
+
+def archive(teams: DataFrame, ids: DataFrame, key: str = "team") -> DataFrame:
+    """Status ``archived`` for the listed teams; ids of no team do nothing."""
+    listed = ids.select(F.col(key)).distinct().withColumn("__listed", F.lit(True))
+    return teams.join(listed, key, "left").withColumn("status", F.when(F.col("__listed"), "archived").otherwise(F.col("status"))).drop("__listed")
+
+
+def upsert_settings(settings: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows as they are; of rows that exist, only what the change gives (is not null) is replaced."""
+    rest = [c for c in settings.columns if c not in keys]
+    new = changes.select(*keys, *(F.col(c).alias(f"__{c}") for c in rest))
+    return settings.join(new, keys, "full").select(*keys, *(F.coalesce(f"__{c}", c).alias(c) for c in rest))
+
+
+def bind_accounts(accounts: DataFrame, users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accounts with the new ones, rejected with ``reason``): requests ``user, platform, uid, name, seq`` in order; the
+    user must exist, and the (platform, uid) must be free. The name defaults to the uid."""
+    taken = accounts.select("platform", "uid").distinct().withColumn("__taken", F.lit(True))
+    known = users.select("user").distinct().withColumn("__known", F.lit(True))
+    r = requests.join(taken, ["platform", "uid"], "left").join(known, "user", "left")
+    fits = F.col("__known").isNotNull() & F.col("__taken").isNull()
+    first = F.row_number().over(Window.partitionBy("platform", "uid").orderBy(F.when(fits, 0).otherwise(1), "seq")) == 1
+    r = r.withColumn("reason", F.when(F.col("__known").isNull(), "no user").when(F.col("__taken").isNotNull() | ~first, "bound"))
+    added = r.where("reason is null").select("user", "platform", "uid", F.coalesce("name", "uid").alias("name"))
+    return accounts.unionByName(added), r.where("reason is not null").select("user", "platform", "uid", "reason")
+
+
 def commit_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new snapshot directory, then point to it. Readers see the old or the new one, whole."""
+    """Write a new snapshot directory, then point to it by a rename that replaces the old pointer, in one step where
+    the store has one (HDFS, local files). Readers see the old or the new one, whole."""
     spark = df.sparkSession
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(conf)
-    part, final = jvm.org.apache.hadoop.fs.Path(root, f"CURRENT.{name}"), jvm.org.apache.hadoop.fs.Path(root, "CURRENT")
-    out = fs.create(part)
+    sc = spark.sparkContext
+    fs, conf = sc._jvm.org.apache.hadoop.fs, sc._jsc.hadoopConfiguration()
+    part, final = fs.Path(root, f"CURRENT.{name}"), fs.Path(root, "CURRENT")
+    out = part.getFileSystem(conf).create(part)
     out.write(bytearray(name.encode()))
     out.close()
-    fs.delete(final, False)
-    fs.rename(part, final)
+    kind = getattr(fs, "Options$Rename")
+    replace = sc._gateway.new_array(kind, 1)
+    replace[0] = kind.OVERWRITE
+    files = fs.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf)
+    files.rename(files.makeQualified(part), files.makeQualified(final), replace)
     return name
 
 

@@ -402,7 +402,7 @@ def _team_sizes(supplier, customer):
     return g.withColumn("is_full", F.col("members") >= 3)
 
 
-@query("a26_crawl_summary", "A-26 W-06 W-07", "SELECT user_id, count(*) FILTER (verdict = 'RE') AS errors, CAST(floor(epoch(max(submit_time))) - floor(epoch(min(submit_time))) AS BIGINT) AS seconds, max(submit_time) < TIMESTAMP '2024-01-29 23:30:00' AS stale FROM records GROUP BY user_id")
+@query("a26_crawl_summary", "A-26 W-07", "SELECT user_id, count(*) FILTER (verdict = 'RE') AS errors, CAST(floor(epoch(max(submit_time))) - floor(epoch(min(submit_time))) AS BIGINT) AS seconds, max(submit_time) < TIMESTAMP '2024-01-29 23:30:00' AS stale FROM records GROUP BY user_id")
 def a26(spark, d):
     from marlow.operators.reports import job_summary
 

@@ -48,13 +48,14 @@ KEYWORD = "SELECT id, (({hits})) / (1 + ln(length(content))) AS score FROM probl
 
 @query("r03_keyword_recall", "R-03 R-05", f"SELECT id, round(score, 6) AS score FROM ({KEYWORD}) WHERE score > 0 ORDER BY score DESC, id LIMIT 50")
 def r03(spark, d):
-    p = C.problems(spark, d).select("id", F.col("content").alias("text"))
+    p = C.spread(C.problems(spark, d).select("id", F.col("content").alias("text")))
     return retrieval.keyword_recall(p, ["ation", "ung", "the"]).select("id", F.round("score", 6).alias("score"))
 
 
+_SOLUTION = f"UNION ALL (SELECT vec_id, 'solution', {COS} FROM embeddings WHERE label % 2 = 0 ORDER BY 3 DESC, vec_id LIMIT 80)"
 HYBRID = f"""WITH hits AS (
   (SELECT vec_id AS id, 'content' AS path, {COS} AS score FROM embeddings ORDER BY score DESC, id LIMIT 80)
-  UNION ALL (SELECT vec_id, 'solution', {COS} FROM embeddings WHERE label % 2 = 0 ORDER BY 3 DESC, vec_id LIMIT 80)
+  {_SOLUTION}
   UNION ALL (SELECT id, 'keyword', score FROM ({KEYWORD}) WHERE score > 0 ORDER BY score DESC, id LIMIT 50)),
 n AS (SELECT id, path, CASE WHEN count(*) OVER w < 2 OR max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM hits WINDOW w AS (PARTITION BY path)),
 f AS (SELECT id, max(CASE WHEN path = 'content' THEN s END) AS c, max(CASE WHEN path = 'solution' THEN s END) AS so, max(CASE WHEN path = 'keyword' THEN s END) AS k FROM n GROUP BY id),
@@ -62,7 +63,7 @@ g AS (SELECT f.id, coalesce(c, 0) AS content_score, coalesce(so, 0) AS solution_
   list_filter([CASE WHEN c IS NOT NULL THEN 'content' END, CASE WHEN so IS NOT NULL THEN 'solution' END, CASE WHEN k IS NOT NULL THEN 'keyword' END], lambda x: x IS NOT NULL) AS sources FROM f JOIN problems p ON f.id = p.id)"""
 
 
-@query("r07_hybrid_search", "R-06 R-07 R-08 R-09 R-11 J-06 W-03 D-02", HYBRID + """
+@query("r07_hybrid_search", "R-06 R-07 R-08 R-09 J-06 W-03 D-02", HYBRID + """
 SELECT id, round(content_score, 6) AS content_score, round(keyword_score, 6) AS keyword_score, round(solution_score, 6) AS solution_score, round(rough, 6) AS rough_score, sources, row_number() OVER (ORDER BY rough DESC, id) AS rank FROM g ORDER BY rough DESC, id LIMIT 10""")
 def r07(spark, d):
     return _hybrid(spark, d).select("id", *(F.round(c, 6).alias(c) for c in ("content_score", "keyword_score", "solution_score", "rough_score")), "sources", F.col("rank").cast("long").alias("rank"))
@@ -79,11 +80,25 @@ def _hybrid(spark, d, where=None):
     p = C.problems(spark, d)
     paths = {
         "content": retrieval.vector_recall(v, q), "solution": retrieval.vector_recall(v, q, 80, F.col("label") % 2 == 0),
-        "keyword": retrieval.keyword_recall(p.select("id", F.col("content").alias("text")), ["ation", "ung", "the"]),
+        "keyword": retrieval.keyword_recall(C.spread(p.select("id", F.col("content").alias("text"))), ["ation", "ung", "the"]),
     }
     return retrieval.hybrid_search(paths, p, "algorithm_intent", 10, where)
 
 
+def _refused():
+    raise ConnectionError("no such index")
+
+
+@query("r11_failed_path", "R-11", HYBRID.replace(_SOLUTION, "") + """
+SELECT id, round(content_score, 6) AS content_score, round(keyword_score, 6) AS keyword_score, round(solution_score, 6) AS solution_score, round(rough, 6) AS rough_score, sources FROM g ORDER BY rough DESC, id LIMIT 10""")
+def r11(spark, d):
+    p, v, q = C.problems(spark, d), vectors(spark, d), query_vector(spark, d)
+    words = C.spread(p.select("id", F.col("content").alias("text")))
+    asked = {"content": lambda: retrieval.vector_recall(v, q), "solution": _refused, "keyword": lambda: retrieval.keyword_recall(words, ["ation", "ung", "the"])}
+    found = retrieval.hybrid_search(retrieval.answered(asked, seconds=300), p, "algorithm_intent")
+    return found.select("id", *(F.round(c, 6).alias(c) for c in ("content_score", "keyword_score", "solution_score", "rough_score")), "sources")
+
+
 @query("r10_rerank_document", "R-10 F-21", "SELECT id, concat_ws(' | ', title, left(coalesce(nullif(CASE WHEN id % 2 = 0 THEN content END, ''), source), 250), array_to_string(tags, ',')) AS doc FROM problems")
 def r10(spark, d):
     p = C.problems(spark, d)
@@ -236,21 +251,55 @@ def f12(spark, d):
     return p.select("phase", F.posexplode(training.curve(F.col("phase"))).alias("i", "target")).select("phase", (F.col("i") + 1).cast("long").alias("day"), "target")
 
 
-@query("f11_targets", "F-11 J-10")
+ALL_TAGS = sorted({t for ts in dims.CATEGORIES.values() for t in ts})
+_NEEDS = ", ".join(f"('{t}', '{n}', {i})" for t, ns in dims.PREREQUISITES.items() for i, n in enumerate(ns))
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_FIRST_SEEN = lambda x: f"list_filter({x}, lambda e, i: list_position({x}, e) = i)"
+_WITHOUT = lambda x, y: f"list_filter({x}, lambda e: NOT list_contains({y}, e))"
+WEAK = f"""everyone AS (SELECT {_LIST(ALL_TAGS)} AS every),
+picked AS (SELECT c_custkey AS user_id, {", ".join(f"every[CAST(c_custkey * {m} % {len(ALL_TAGS)} + 1 AS INTEGER)] AS t{m}" for m in (3, 7, 11))} FROM customer, everyone),
+weak AS (SELECT user_id, {_FIRST_SEEN("[t3, t7, t11]")} AS weak FROM picked),
+needed AS (SELECT user_id, i, tag, needs, position FROM (SELECT user_id, unnest(weak) AS tag, generate_subscripts(weak, 1) - 1 AS i FROM weak) JOIN (VALUES {_NEEDS}) n(tag, needs, position) USING (tag))"""
+
+
+def weak_tags(spark, d):
+    """Tags of each user, taken by the user's number."""
+    k = F.col("c_custkey")
+    pick = F.array(*(F.element_at(F.array(*map(F.lit, ALL_TAGS)), ((k * m) % len(ALL_TAGS) + 1).cast("int")) for m in (3, 7, 11)))
+    return C.read_table(spark, d, "customer").withColumn("weak", F.array_distinct(pick))
+
+
+@query("j10_prerequisites", "J-10", f"WITH {WEAK} SELECT user_id, tag, needs, CAST(i AS BIGINT) AS i, CAST(position AS BIGINT) AS position FROM needed")
+def j10(spark, d):
+    users = weak_tags(spark, d).select(F.col("c_custkey").alias("user_id"), F.posexplode("weak").alias("i", "tag"))
+    # the graph is a fixed list of tags
+    return users.join(F.broadcast(dims.prerequisites(spark)), "tag").select("user_id", "tag", "needs", F.col("i").cast("long").alias("i"), F.col("position").cast("long").alias("position"))
+
+
+_BASIC = _LIST(training.BASIC_TAGS)
+_BASICS = f"(list_filter(weak, lambda e: list_contains({_BASIC}, e)) || {_WITHOUT(_BASIC, 'weak')})[1:2]"
+_NEAR = f"({_WITHOUT('adjacent', 'weak[1:3]')})[1:2]"
+
+
+@query("f11_targets", "F-11 J-10", f"""WITH {WEAK}, near AS (SELECT user_id, {_FIRST_SEEN("l")} AS adjacent FROM (SELECT user_id, list(needs ORDER BY i, position) AS l FROM needed GROUP BY user_id)),
+base AS (SELECT user_id, weak, coalesce(adjacent, []) AS adjacent, every, list_transform(list_sort(list_transform(every, lambda t: md5(CAST(user_id AS VARCHAR) || ':' || t) || t)), lambda t: t[33:]) AS shuffled,
+  CASE WHEN user_id % 10 / 10.0 < 0.3 OR user_id % 6 >= 4 THEN 't' WHEN user_id % 11 >= 8 AND user_id % 13 / 13.0 >= 0.7 THEN 'c' WHEN user_id % 11 >= 6 AND user_id % 7 / 7.0 >= 0.5 THEN 'i' ELSE 'b' END AS p FROM weak LEFT JOIN near USING (user_id), everyone)
+SELECT user_id, CASE p WHEN 't' THEN 'template_consolidation' WHEN 'c' THEN 'contest_simulation' WHEN 'i' THEN 'integrated_practice' ELSE 'topic_breakthrough' END AS phase,
+  CASE p WHEN 't' THEN {_BASICS} WHEN 'i' THEN ['数学', '搜索'] WHEN 'c' THEN shuffled[1:3] ELSE weak[1:3] END AS "primary",
+  CASE p WHEN 't' THEN ({_WITHOUT(_WITHOUT('weak', _BASICS), _BASIC)})[1:1] WHEN 'i' THEN ['图论'] WHEN 'c' THEN shuffled[4:4] ELSE {_NEAR} END AS secondary,
+  CASE p WHEN 't' THEN [] WHEN 'i' THEN [] WHEN 'c' THEN shuffled[5:5] ELSE ({_WITHOUT('every', f"(weak[1:3] || {_NEAR})")})[1:1] END AS explore FROM base""")
 def f11(spark, d):
     k = F.col("c_custkey")
-    tags = sorted({t for ts in dims.CATEGORIES.values() for t in ts})
-    pick = F.array(*(F.element_at(F.array(*map(F.lit, tags)), ((k * m) % len(tags) + 1).cast("int")) for m in (3, 7, 11)))
-    base = C.read_table(spark, d, "customer").select("c_custkey", F.array_distinct(pick).alias("weak"), _phase().alias("phase"))
+    base = weak_tags(spark, d).select("c_custkey", "weak", _phase().alias("phase"))
     needs = dims.prerequisites(spark).groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("position", "needs"))).alias("n")).select("tag", F.col("n.needs").alias("needs"))
     # the graph is a fixed list of tags
     near = base.select("c_custkey", F.posexplode("weak").alias("i", "tag")).join(F.broadcast(needs), "tag").groupBy("c_custkey").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "needs"))), lambda x: x["needs"]))).alias("adjacent"))
     none = F.array().cast("array<string>")
-    out = training.targets(F.col("phase"), F.col("weak"), F.array(F.lit("图论")), F.array(F.lit("数学"), F.lit("搜索")), F.coalesce("adjacent", none), tags, k)
+    out = training.targets(F.col("phase"), F.col("weak"), F.array(F.lit("图论")), F.array(F.lit("数学"), F.lit("搜索")), F.coalesce("adjacent", none), ALL_TAGS, k)
     return base.join(near, "c_custkey", "left").select(k.alias("user_id"), "phase", out.alias("t")).select("user_id", "phase", "t.*")
 
 
-@query("j11_prerequisites_known", "J-10 J-11", "SELECT id, len(list_filter(tags, lambda t: NOT list_contains(['tag_1', 'tag_3', 'tag_5', 'tag_7', 'tag_9'], t))) = 0 AS ready FROM problems")
+@query("j11_prerequisites_known", "J-11", "SELECT id, len(list_filter(tags, lambda t: NOT list_contains(['tag_1', 'tag_3', 'tag_5', 'tag_7', 'tag_9'], t))) = 0 AS ready FROM problems")
 def j11(spark, d):
     return C.problems(spark, d).select("id", training.ready(F.col("tags"), F.array(*(F.lit(f"tag_{i}") for i in (1, 3, 5, 7, 9)))).alias("ready"))
 
@@ -393,7 +442,7 @@ def d06(spark, d):
 
 @query("t01_html_to_text", "T-01 T-02")
 def t01(spark, d):
-    return C.read_table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return C.spread(C.read_table(spark, d, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query("t08_unicode", "T-08", f"SELECT doc_id, translate(text, '{T.BLANKS}{T.QUOTES}{T.NO_WIDTH}', '{' ' * len(T.BLANKS)}' || repeat(chr(39), {len(T.QUOTES)})) AS text FROM documents")
@@ -464,7 +513,9 @@ def f39(spark, d):
     return C.problems(spark, d).select("id", T.title_after_dash(F.concat(F.lit("A - "), "lang", F.lit(" &amp; "), "source")).alias("title"))
 
 
-@query("w05_repeated_lines", "W-05")
+@query("w05_repeated_lines", "W-05", """WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM problems),
+s AS (SELECT *, trim(line, ' ') AS t, last_value(nullif(trim(line, ' '), '') IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM l)
+SELECT id, string_agg(line, chr(10) ORDER BY pos) AS body FROM s WHERE t = '' OR last IS NULL OR t <> last GROUP BY id""")
 def w05(spark, d):
     return C.problems(spark, d).select("id", T.drop_repeated_lines(F.col("content")).alias("body"))
 
@@ -507,12 +558,66 @@ def old_new(spark, d):
     return old, new
 
 
-@query("u01_upsert", "U-01 U-02 U-03 U-12", f"SELECT k, status, round(price, 2) AS price FROM (SELECT * FROM ({OLD}) WHERE k NOT IN (SELECT k FROM ({NEW})) UNION ALL {NEW})")
+@query("u01_upsert", "U-01 U-02", f"SELECT k, status, round(price, 2) AS price FROM (SELECT * FROM ({OLD}) WHERE k NOT IN (SELECT k FROM ({NEW})) UNION ALL {NEW})")
 def u01(spark, d):
     old, new = old_new(spark, d)
     return upsert.upsert(old, new.union(new), ["k"]).select("k", "status", F.round("price", 2).alias("price"))
 
 
+@query("u03_submissions", "U-03", """WITH r AS (SELECT platform, CASE WHEN id % 3 <> 0 THEN CAST(id AS VARCHAR) ELSE user_id || '_' || CAST(floor(epoch(submit_time)) AS BIGINT) END AS submission_id, verdict, id FROM records),
+n AS (SELECT platform, submission_id, min(verdict) AS verdict FROM r GROUP BY ALL), o AS (SELECT DISTINCT platform, CAST(id AS VARCHAR) AS submission_id, 'OLD' AS verdict FROM records WHERE id % 2 = 0)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE (platform, submission_id) NOT IN (SELECT (platform, submission_id) FROM n)""")
+def u03(spark, d):
+    r = C.practice_records(spark, d)
+    old = r.where("id % 2 = 0").select("platform", F.col("id").cast("string").alias("submission_id"), F.lit("OLD").alias("verdict"))
+    raw = r.select("platform", F.when(F.col("id") % 3 != 0, F.col("id")).alias("id"), F.col("user_id").alias("uid"), F.unix_seconds(F.col("submit_time").cast("timestamp")).alias("timestamp"), "verdict")
+    return upsert.upsert(old, upsert.with_submission_id(raw).select("platform", "submission_id", "verdict"), ["platform", "submission_id"])
+
+
+@query("u12_archived_teams", "U-12", "SELECT s_suppkey AS team, CASE WHEN s_suppkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status FROM supplier")
+def u12_archive(spark, d):
+    teams = C.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("team"), F.lit("active").alias("status"))
+    # twice asked, and one that is no team
+    asked = teams.where("team % 4 = 0").select("team")
+    return upsert.archive(teams, asked.union(asked).union(spark.range(1).select(F.lit(-1).alias("team"))))
+
+
+@query("u12_settings", "U-12", """SELECT k AS user_id, CASE WHEN k % 2 = 0 THEN 'feishu' ELSE 'qq' END AS channel, CASE WHEN k % 3 = 0 THEN 'new' WHEN k % 5 <> 0 THEN 'old' END AS url, CASE WHEN k % 6 = 0 THEN false WHEN k % 5 <> 0 THEN true END AS enabled
+FROM (SELECT c_custkey AS k FROM customer) WHERE (k % 5 <> 0 OR k % 3 = 0) AND k % 7 <> 0""")
+def u12_settings(spark, d):
+    k = F.col("c_custkey")
+    c = C.read_table(spark, d, "customer").select(k.alias("user_id"), F.when(k % 2 == 0, "feishu").otherwise("qq").alias("channel"))
+    u = F.col("user_id")
+    old = c.where(u % 5 != 0).withColumn("url", F.lit("old")).withColumn("enabled", F.lit(True))
+    new = c.where(u % 3 == 0).withColumn("url", F.lit("new")).withColumn("enabled", F.when(u % 6 == 0, False))
+    keys = ["user_id", "channel"]
+    return upsert.upsert_settings(old, new, keys).join(c.where(u % 7 == 0), keys, "left_anti").select(*keys, "url", "enabled")
+
+
+@query("u12_accounts", "U-12", """WITH a AS (SELECT c_custkey AS "user", c_custkey % 2 AS platform, 'u' || c_custkey AS uid, 'n' AS name FROM customer WHERE c_custkey % 3 = 0),
+q AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN -1 ELSE c_custkey END AS "user", c_custkey % 2 AS platform, 'u' || (c_custkey - c_custkey % 4) AS uid, c_custkey AS seq FROM customer),
+r AS (SELECT q.*, q."user" < 0 AS nobody, a.uid IS NOT NULL AS taken FROM q LEFT JOIN a ON a.platform = q.platform AND a.uid = q.uid),
+w AS (SELECT *, row_number() OVER (PARTITION BY platform, uid ORDER BY CASE WHEN nobody OR taken THEN 1 ELSE 0 END, seq) AS k FROM r)
+SELECT "user", platform, uid, name, NULL AS reason FROM a UNION ALL SELECT "user", platform, uid, CASE WHEN NOT nobody AND NOT taken AND k = 1 THEN uid END, CASE WHEN nobody THEN 'no user' WHEN taken OR k > 1 THEN 'bound' END FROM w""")
+def u12_accounts(spark, d):
+    k = F.col("c_custkey")
+    c = C.read_table(spark, d, "customer")
+    uid = lambda x: F.concat(F.lit("u"), x.cast("string"))
+    accounts = c.where(k % 3 == 0).select(k.alias("user"), (k % 2).alias("platform"), uid(k).alias("uid"), F.lit("n").alias("name"))
+    asked = c.select(F.when(k % 11 == 0, -1).otherwise(k).alias("user"), (k % 2).alias("platform"), uid(k - k % 4).alias("uid"), F.lit(None).cast("string").alias("name"), k.alias("seq"))
+    bound, rejected = upsert.bind_accounts(accounts, c.select(k.alias("user")), asked)
+    return bound.unionByName(rejected, allowMissingColumns=True)
+
+
+@query("w06_progress", "W-06", """SELECT id, user_id, CAST(done AS BIGINT) AS done, round(rate, 6) AS rate, round((total - done) / rate, 3) AS eta FROM (SELECT id, user_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total,
+CASE WHEN submit_time > lag(submit_time, 10) OVER w THEN 10 / ((epoch_us(submit_time) - epoch_us(lag(submit_time, 10) OVER w)) / 1000000) END AS rate FROM records WINDOW w AS (PARTITION BY user_id ORDER BY submit_time, id))""")
+def w06(spark, d):
+    r = C.practice_records(spark, d).select("id", "user_id", "submit_time")
+    r = r.join(r.groupBy("user_id").agg(F.count("*").alias("total")), "user_id")
+    out = reports.progress(r, "user_id", "submit_time", "total")
+    return out.select("id", "user_id", F.col("done").cast("long").alias("done"), F.round("rate", 6).alias("rate"), F.round("eta", 3).alias("eta"))
+
+
 @query("u04_versions", "U-04", "SELECT user_id, CAST(CASE WHEN user_id % 2 = 0 THEN CASE WHEN n >= 60 THEN 4 ELSE 3 END ELSE 1 END AS BIGINT) AS version FROM (SELECT user_id, count(*) AS n FROM records GROUP BY user_id) WHERE user_id % 2 = 0 OR n >= 60")
 def u04(spark, d):
     n = C.practice_records(spark, d).groupBy("user_id").agg(F.count("*").alias("n_records"))
@@ -532,7 +637,10 @@ def u06(spark, d):
     return upsert.hard_delete(p, p.where(F.col("content").contains("!!"))).select("id")
 
 
-@query("u07_conditional_insert", "U-07")
+@query("u07_conditional_insert", "U-07", """WITH m AS (SELECT c_custkey % 100 AS team, c_custkey AS "user" FROM customer WHERE c_custkey < 150), held AS (SELECT team, count(*) AS held FROM m GROUP BY team),
+r AS (SELECT c_custkey % 100 AS team, c_custkey AS "user", c_custkey AS seq FROM customer), t AS (SELECT r.*, coalesce(held, 0) AS held, m."user" IS NOT NULL AS twice FROM r LEFT JOIN held USING (team) LEFT JOIN m ON m.team = r.team AND m."user" = r."user"),
+p AS (SELECT *, sum(CASE WHEN twice THEN 0 ELSE 1 END) OVER (PARTITION BY team ORDER BY seq) AS place FROM t)
+SELECT team, "user", CASE WHEN twice THEN 'duplicate' WHEN held + place > 3 THEN 'full' ELSE 'accepted' END AS reason FROM p""")
 def u07(spark, d):
     c = C.read_table(spark, d, "customer")
     members = c.where("c_custkey < 150").select((F.col("c_custkey") % 100).alias("team"), F.col("c_custkey").alias("user"))

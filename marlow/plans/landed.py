@@ -6,9 +6,80 @@ from pyspark.sql import functions as F
 
 from marlow.functions import scraped
 from marlow.functions import text as T
+from marlow.operators import upsert
 from marlow.plans.registry import query
 from marlow.sources import catalog as C
 from marlow.sources import dims, landing
+from marlow.sources.shared import scratch
+
+
+CRAWLED = "id long, title string, lang string"
+
+
+def _landed(spark, d, problems) -> str:
+    """A landing zone of problem files by platform and day, beside a work list and a broken file."""
+    root = scratch(spark, "zone")
+    rows = problems.select(F.col("source_platform").alias("platform"), F.date_format("created_at", "yyyy-MM-dd").alias("day"), "id", "title", "lang")
+    landing.write_landing(rows, root, "problems")
+    landing.put_file(spark, f"{root}/luogu/problems/bulk_list_luogu.json", '[{"id": -1}]')
+    landing.put_file(spark, f"{root}/luogu/problems/2024-01-01_broken.json", "{oops")
+    return root
+
+
+@query("s02_json_landing", "S-02 S-03 S-04", "SELECT id, title, lang, 'problems' AS kind, source_platform AS file_key FROM problems")
+def s02(spark, d):
+    root = _landed(spark, d, C.problems(spark, d))
+    out = None
+    for platform in C.PLATFORMS:
+        one = landing.read_kinds(spark, root, platform, CRAWLED)
+        out = one if out is None else out.unionByName(one)
+    return out.select("id", "title", "lang", "kind", "file_key")
+
+
+@query("s04_dated_files", "S-02 S-04", "SELECT id, strftime(created_at, '%Y-%m-%d') || '_luogu.json' AS file FROM problems WHERE source_platform = 'luogu' AND strftime(created_at, '%Y-%m-%d') = '2024-01-01'")
+def s04(spark, d):
+    root = _landed(spark, d, C.problems(spark, d))
+    return landing.read_json_files(spark, f"{root}/luogu/problems", CRAWLED, "2024-01-01").select("id", F.col("file_name").alias("file"))
+
+
+@query("s05_date_partition", "S-05 S-06", "SELECT id, title, lang FROM problems WHERE source_platform = 'atcoder' AND CAST(created_at AS DATE) = DATE '2024-01-01'")
+def s05(spark, d):
+    base = scratch(spark, "enriched")
+    rows = C.problems(spark, d).select("id", "title", "lang", F.col("source_platform").alias("platform"), F.date_format("created_at", "yyyy-MM-dd").alias("date"))
+    landing.write_enriched(rows, base)
+    return landing.read_problems(spark, base, "atcoder", "2024-01-01", CRAWLED, order=("id",)).select("id", "title", "lang")
+
+
+@query("s07_bulk_load", "S-07 U-01", "SELECT source_platform AS platform, source_id, CASE WHEN id % 3 = 0 THEN title ELSE 'old' END AS title FROM problems WHERE id % 3 = 0 OR id % 2 = 0")
+def s07(spark, d):
+    p = C.problems(spark, d)
+    old = p.where("id % 2 = 0").select(F.col("source_platform").alias("platform"), "source_id", F.lit("old").alias("title"))
+    root = _landed(spark, d, p.where("id % 3 = 0"))
+    out = None
+    for platform in C.PLATFORMS:
+        raw = landing.read_kinds(spark, root, platform, CRAWLED).withColumn("pid", F.concat(F.lit("P"), F.col("id").cast("string")))
+        one = landing.as_common(raw, platform, {"source_id": "pid", "title": "title"}).select("platform", "source_id", "title")
+        out = one if out is None else out.unionByName(one)
+    return upsert.upsert(old, out, ["platform", "source_id"])
+
+
+@query("s14_page_fallback", "S-14", "SELECT event_id AS submission_id, event_type AS verdict_raw FROM events")
+def s14(spark, d):
+    e = C.read_table(spark, d, "events")
+    island = F.to_json(F.struct(F.array(F.struct(F.col("event_id").alias("submission_id"), F.col("event_type").alias("verdict_raw"))).alias("list")))
+    html = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<p>x</p><script>window.__INITIAL_STATE__="), island, F.lit(";</script>"))).otherwise(_submission_page())
+    return landing.nowcoder_submissions(e.select(html.alias("html")), lambda bare: _pages_of(spark, bare, F.col("html")))
+
+
+def _refuse_fives(row: dict) -> None:
+    if row["user_id"] % 5 == 0:
+        raise ConnectionError("refused")
+
+
+@query("s18_sink_log", "S-18", "SELECT user_id, user_id % 5 <> 0 AS ok, CASE WHEN user_id % 5 = 0 THEN 'refused' END AS error FROM (SELECT DISTINCT user_id FROM records)")
+def s18(spark, d):
+    reports = C.practice_records(spark, d).groupBy("user_id").agg(F.count("*").alias("submits"))
+    return landing.send_and_log(reports, _refuse_fives, "user_id")
 
 
 @query("s09_first_filled_source", "S-09 S-24", "SELECT DISTINCT o_custkey || o_orderstatus AS id FROM orders ORDER BY id")
@@ -35,7 +106,7 @@ def s11(spark, d):
     return landing.leetcode_problems(p).select("source_id", "title", "tags")
 
 
-@query("s12_page_islands", "S-12 S-14 F-19", "SELECT doc_id, n_chars AS luogu, n_chars AS nowcoder FROM documents")
+@query("s12_page_islands", "S-12 F-19", "SELECT doc_id, n_chars AS luogu, n_chars AS nowcoder FROM documents")
 def s12(spark, d):
     docs = C.read_table(spark, d, "documents")
     data = F.to_json(F.struct("n_chars", "lang"))
@@ -64,13 +135,20 @@ def s16(spark, d):
     return _submissions(spark, C.read_table(spark, d, "events"))
 
 
-def _submissions(spark, e):
+def _submission_page():
     cells = F.concat_ws("</td><td>", F.col("event_id").cast("string"), F.lit("<a href='/p/1'>P</a>"), "event_type", F.lit("C++"), F.lit("now"))
-    html = F.concat(F.lit("<table><tr><th>id</th></tr><tr><td>"), cells, F.lit("</td></tr></table>"))
-    return landing.submission_table(_pages_of(spark, e, html)).select("submission_id", "verdict_raw")
+    return F.concat(F.lit("<table><tr><th>id</th></tr><tr><td>"), cells, F.lit("</td></tr></table>"))
+
+
+def _submissions(spark, e):
+    return landing.submission_table(_pages_of(spark, e, _submission_page())).select("submission_id", "verdict_raw")
+
+
+_TAGS = ", ".join(f"('{c}', '{t}')" for c, ts in dims.CATEGORIES.items() for t in ts)
+_NEEDS = ", ".join(f"('{t}', '{n}', {i})" for t, ns in dims.PREREQUISITES.items() for i, n in enumerate(ns))
 
 
-@query("s21_dimensions", "S-21")
+@query("s21_dimensions", "S-21", f"""SELECT category, count(DISTINCT c.tag) AS tags, count(needs) AS needs FROM (VALUES {_TAGS}) c(category, tag) LEFT JOIN (VALUES {_NEEDS}) n(tag, needs, position) ON c.tag = n.tag GROUP BY category""")
 def s21(spark, d):
     return dims.tag_category(spark).join(dims.prerequisites(spark), "tag", "left").groupBy("category").agg(F.count_distinct("tag").alias("tags"), F.count("needs").alias("needs"))
 

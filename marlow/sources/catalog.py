@@ -13,6 +13,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores: a file of one row group is one task otherwise.
+    Larger inputs have more partitions than that and stay as they are. For work that is much per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def live(df: DataFrame, include_deleted: bool = False) -> DataFrame:
     """Without soft-deleted rows, unless they are asked for."""
     return df if include_deleted or "deleted_at" not in df.columns else df.where(F.col("deleted_at").isNull())

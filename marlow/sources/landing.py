@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from marlow.functions.identity import file_key, first_filled
 from marlow.functions.text import INITIAL_STATE, LENTILLE, page_island
+from marlow.sources.shared import scratch
 
 COMMON = ("platform", "source_id", "title", "url", "difficulty_raw", "tags", "content", "raw")
 
@@ -61,13 +63,39 @@ def first_filled_source(*sources: DataFrame | None) -> DataFrame:
     return given[-1]
 
 
-def read_problems(spark: SparkSession, base: str, platform: str, date: str, count: int = 0) -> DataFrame:
-    """A date partition in file order; all rows where ``count`` is 0."""
-    df = spark.read.json(base).where((F.col("platform") == platform) & (F.col("date").cast("string") == date))
-    df = df.withColumn("__file", F.col("_metadata.file_path")).orderBy("__file").drop("__file")
+def read_problems(spark: SparkSession, base: str, platform: str, date: str, schema: str, count: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    """A date partition in file order, within a file by the columns ``order``; all rows where ``count`` is 0.
+    Only the files of that platform and date are read."""
+    df = spark.read.schema(f"{schema}, platform string, date string").json(base).where((F.col("platform") == platform) & (F.col("date") == date))
+    df = df.withColumn("__file", F.col("_metadata.file_path")).orderBy("__file", *order).drop("__file")
     return df.limit(count) if count else df
 
 
+def write_landing(df: DataFrame, root: str, kind: str) -> None:
+    """The files of crawls: of each ``platform`` and ``day`` (yyyy-mm-dd) a JSON list ``root/platform/kind/day_platform.json``
+    of the other columns. A day's crawl of a platform is one group."""
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in ("platform", "day")]
+    lists = df.groupBy("platform", "day").agg(F.to_json(F.collect_list(F.struct(*rest))).alias("value"))
+    staged = scratch(spark, "landing")
+    lists.write.partitionBy("platform", "day").text(staged)
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    store = fs.Path(staged).getFileSystem(conf)
+    for f in store.globStatus(fs.Path(staged, "platform=*/day=*/part-*")):
+        day, platform = (f.getPath().getParent().getName()[4:], f.getPath().getParent().getParent().getName()[9:])
+        folder = fs.Path(f"{root}/{platform}/{kind}")
+        store.mkdirs(folder)
+        store.rename(f.getPath(), fs.Path(folder, f"{day}_{platform}.json"))
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_enriched(df: DataFrame, base: str, mode: str = "append") -> None:
     """JSON by platform and date."""
     df.write.mode(mode).partitionBy("platform", "date").json(base)
@@ -87,6 +115,25 @@ def to_sink(df: DataFrame, send: Callable[[dict], None]) -> None:
     df.foreachPartition(rows)
 
 
+def send_and_log(df: DataFrame, send: Callable[[dict], None], key: str) -> DataFrame:
+    """Hands every row to ``send`` on the executors and returns ``key, ok, error`` of each attempt, for the log. An
+    attempt that fails stops nothing. A task that is run again sends again: receivers must know rows by their key."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            log = []
+            for row in b.to_pylist():
+                try:
+                    send(row)
+                    log.append((row[key], True, None))
+                except Exception as e:  # whatever a sink raises belongs in the log
+                    log.append((row[key], False, str(e)[:500]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in log], b.schema.field(key).type), pa.array([x[1] for x in log], pa.bool_()), pa.array([x[2] for x in log], pa.string())], [key, "ok", "error"])
+
+    return df.mapInArrow(run, f"`{key}` {kind}, ok boolean, error string")
+
+
 def codeforces_envelope(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Rows of ``{status, result: [...]}`` responses with status OK."""
     parsed = raw.select(F.from_json(column, f"status string, result array<struct<{schema}>>").alias("x"))
@@ -109,6 +156,15 @@ def nowcoder_island(pages: DataFrame, schema: str, column: str = "html") -> Data
     return pages.withColumn("island", F.from_json(page_island(F.col(column), INITIAL_STATE), schema))
 
 
+def nowcoder_submissions(pages: DataFrame, table_rows: Callable[[DataFrame], DataFrame], column: str = "html") -> DataFrame:
+    """``submission_id, verdict_raw`` of pages: the list in the page's island, or for pages without one the rows of its
+    HTML table. ``table_rows`` makes rows of cells out of pages (see ``HtmlTableRows``)."""
+    found = nowcoder_island(pages, "list array<struct<submission_id: bigint, verdict_raw: string>>", column)
+    from_island = found.where("island.list is not null").select(F.inline("island.list"))
+    bare = found.where("island.list is null").drop("island")
+    return from_island.unionByName(submission_table(table_rows(bare)).select("submission_id", "verdict_raw"))
+
+
 def atcoder_problems(merged: DataFrame, contests: DataFrame, models: DataFrame) -> DataFrame:
     """Problems with the contest and the difficulty model; both maps hold a row a problem."""
     return merged.join(contests.select(F.col("problem_id").alias("id"), "contest_id"), "id", "left").join(models.select("id", "difficulty"), "id", "left")

@@ -1,12 +1,14 @@
 """Operators over small frames: upserts, inserts, plans, providers, sources, streaming."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from marlow.functions import scores
 from marlow.operators import providers, retrieval, training, upsert
-from marlow.sources import catalog, landing
+from marlow.sources import catalog, landing, shared
 from marlow.streaming import practice
 
 
@@ -101,7 +103,7 @@ def test_html_tables(spark):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("luogu", "2026-06-14", 1)], "platform string, date string, x int")
     landing.write_enriched(df, str(tmp_path / "e"))
-    assert landing.read_problems(spark, str(tmp_path / "e"), "luogu", "2026-06-14").count() == 1
+    assert landing.read_problems(spark, str(tmp_path / "e"), "luogu", "2026-06-14", "x int").count() == 1
     landing.append_failures(df, str(tmp_path / "f"))
     assert spark.read.json(str(tmp_path / "f")).count() == 1
     landing.to_sink(df, print)
@@ -124,3 +126,69 @@ def test_streaming(spark, tmp_path):
 def test_live_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "2024-01-01")], "id int, deleted_at string")
     assert catalog.live(df).count() == 1 and catalog.live(df, include_deleted=True).count() == 2
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster(spark):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+    assert shared.shared_dir(spark)
+
+
+def test_snapshots_replace_each_other(spark, tmp_path):
+    root = str(tmp_path / "table")
+    for n in (3, 5, 7):
+        upsert.commit_snapshot(spark.range(n), root)
+        assert upsert.read_snapshot(spark, root).count() == n
+    assert [f.name for f in (tmp_path / "table").iterdir() if f.name.startswith("CURRENT")] == ["CURRENT"]
+
+
+def test_paths_that_fail_or_are_late_are_left_out(spark):
+    hits = lambda: spark.createDataFrame([(1, 0.5)], "id long, score double")
+
+    def late():
+        time.sleep(4)
+        return hits()
+
+    def broken():
+        return hits().select(F.raise_error(F.lit("gone")).alias("id"))
+
+    began = time.monotonic()
+    got = retrieval.answered({"content": hits, "solution": late, "keyword": broken}, seconds=3)
+    assert set(got) == {"content"} and got["content"].first().score == 0.5 and time.monotonic() - began < 4
+    fused = retrieval.fuse(got, retrieval.WEIGHTS["problem_semantic"]).first()
+    assert (fused.content_score, fused.solution_score, fused.keyword_score, fused.sources) == (1.0, 0.0, 0.0, ["content"])
+
+
+def test_cosine_to_equals_cosine(spark):
+    rows = [([1.0, 2.0, 2.0],), ([0.0, 0.0, 0.0],), ([1.0],), (None,), ([-1.0, 0.5, 3.0],)]
+    df = spark.createDataFrame(rows, "v array<float>")
+    for q in ([0.5, -1.0, 2.0], [0.0, 0.0, 0.0]):
+        a, b = scores.cosine(F.col("v"), F.array(*map(F.lit, q))), scores.cosine_to(F.col("v"), q)
+        assert all(abs(r.a - r.b) < 1e-12 for r in df.select(a.alias("a"), b.alias("b")).collect())
+
+
+def test_every_attempt_is_logged(spark):
+    def send(row):
+        if row["id"] == 2:
+            raise TimeoutError("late")
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, text string")
+    assert sorted(tuple(r) for r in landing.send_and_log(df, send, "id").collect()) == [(1, True, None), (2, False, "late"), (3, True, None)]
+
+
+def test_accounts_and_settings(spark):
+    a = spark.createDataFrame([(1, "luogu", "x", "x")], "user long, platform string, uid string, name string")
+    users = spark.createDataFrame([(1,), (2,)], "user long")
+    asked = spark.createDataFrame([(2, "luogu", "x", None, 1), (9, "luogu", "y", None, 2), (2, "luogu", "y", None, 3), (1, "luogu", "y", None, 4)], "user long, platform string, uid string, name string, seq int")
+    bound, rejected = upsert.bind_accounts(a, users, asked)
+    assert sorted(tuple(r) for r in bound.collect()) == [(1, "luogu", "x", "x"), (2, "luogu", "y", "y")]
+    assert sorted((r.user, r.uid, r.reason) for r in rejected.collect()) == [(1, "y", "bound"), (2, "x", "bound"), (9, "y", "no user")]
+    s = spark.createDataFrame([(1, "qq", "old", True)], "user long, channel string, url string, enabled boolean")
+    new = spark.createDataFrame([(1, "qq", None, False), (2, "qq", "u", None)], s.schema)
+    assert sorted(tuple(r) for r in upsert.upsert_settings(s, new, ["user", "channel"]).collect()) == [(1, "qq", "old", False), (2, "qq", "u", None)]
+    records = spark.createDataFrame([("7", 1, 5), (None, 1, 5), ("", 2, 6), (None, None, 5)], "id string, uid long, timestamp long")
+    assert sorted(r.submission_id for r in upsert.with_submission_id(records).collect()) == ["1_5", "2_6", "7"]
