@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent and all run in one process (tests) a temporary folder takes its
-    place; on a cluster the absence is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="marlow-")
-        atexit.register(shutil.rmtree, _OWN_DIRS[app], True)
-    return f"file://{_OWN_DIRS[app]}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/marlow/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
-
+from marlow.sources.catalog import spread  # noqa: F401
+from marlow.sources.shared import scratch
 
 def local_path(uri: str) -> str:
     """The path of a ``file:`` URI, for files that workers map into memory.
@@ -124,13 +93,6 @@ class Mapped:
         return got
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores: a file of one row group is one task
-    otherwise. Larger inputs have more partitions than that and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def id_remainder(col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

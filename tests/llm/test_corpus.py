@@ -445,16 +445,6 @@ def test_missing_files_are_errors(spark, monkeypatch):
         sets.collect()
 
 
-def test_scratch_folder_must_be_shared_on_a_cluster(spark):
-    class Session:
-        conf = type("C", (), {"get": staticmethod(lambda name, default: default)})
-        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "x"})
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_dir(Session)
-    assert common.local_path(common.shared_dir(spark)).startswith("/")
-
-
 def test_buckets_are_shuffled_once(spark):
     df = spark.range(100).selectExpr("cast(id % 7 as int) as bucket", "id")
     grouped = common.by_bucket(df, 7).applyInArrow(lambda t: pa.table({"n": pa.array([t.num_rows], pa.int64())}), "n long")
