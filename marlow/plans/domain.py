@@ -476,13 +476,14 @@ def t19(spark, d):
     return C.problems(spark, d).select("id", F.regexp_count(c, F.lit(r"\$\$\$ ")).cast("long").alias("marks"), F.size(F.array_distinct(F.split(c, "\n"))).cast("long").alias("lines"))
 
 
-@query("t16_spacing", "T-16")
+@query("t16_spacing", "T-16", r"""SELECT id, trim(regexp_replace(array_to_string(list_filter(string_split(regexp_replace('$$\hspace{1cm}$$' || chr(10) || 'a\,b' || chr(10) || content, '\\[,!;:]', '', 'g'), chr(10)),
+  lambda x: NOT regexp_matches(trim(x, ' '), '^\$?\$?\\[hv]space\{')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS body FROM problems""")
 def t16(spark, d):
     c = F.concat(F.lit("$$\\hspace{1cm}$$\na\\,b\n"), "content")
     return C.problems(spark, d).select("id", T.drop_space_lines(T.drop_spacing_commands(c)).alias("body"))
 
 
-@query("t17_metadata_header", "T-17")
+@query("t17_metadata_header", "T-17", "SELECT id, trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM problems")
 def t17(spark, d):
     header = F.when(F.col("id") % 2 == 0, "2 seconds\nMemory limit per test\n256 megabytes\ninput\nstandard input\noutput\nstandard output\n").otherwise("")
     return C.problems(spark, d).select("id", T.drop_metadata_header(F.concat(header, "content")).alias("body"))
@@ -497,7 +498,10 @@ def t18(spark, d):
     return p.select("id", T.rebuild_content(F.col("source_platform"), raw).alias("body"))
 
 
-@query("t19_repeats", "T-19")
+@query("t19_repeats", "T-19", r"""WITH c AS (SELECT id, content || chr(10) || '$a_1$' || chr(10) || '$a_1$' || chr(10) || '$a_1$' || chr(10) || '$b$' AS c FROM problems),
+l AS (SELECT id, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) AS pos FROM c), g AS (SELECT id, line, pos - row_number() OVER (PARTITION BY id, line ORDER BY pos) AS run FROM l),
+t AS (SELECT id, sum(n // 3) AS triple FROM (SELECT id, count(*) AS n FROM g WHERE line <> '' GROUP BY id, line, run) GROUP BY id)
+SELECT id, len(regexp_extract_all(c, '\$[^$\n]+\$')) AS formulas, len(list_distinct(regexp_extract_all(c, '\$[^$\n]+\$'))) AS distinct_formulas, CAST(triple AS BIGINT) AS triple_lines FROM c JOIN t USING (id)""")
 def t19_repeats(spark, d):
     c = F.concat("content", F.lit("\n$a_1$\n$a_1$\n$a_1$\n$b$"))
     return C.problems(spark, d).select("id", T.repeat_diagnostics(c).alias("r")).select("id", "r.*")
