@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -125,13 +125,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
     id_type = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, budget int, end int"
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
     outs = []
-    for block in range(blocks):
-        # one block: about block_bytes of text
-        items = [(r.item_id, r.text) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").distinct().collect()]
-        shared = spark.sparkContext.broadcast((items, error_rate, min_chars))
+    for shared in _blocks(spark, benchmark, error_rate, min_chars, block_bytes):
         outs.append(docs.select("doc_id", "text").mapInArrow(lambda batches, shared=shared: _match(batches, shared), schema))
     out = outs[0]
     for more in outs[1:]:
@@ -142,13 +137,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def _match(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _matcher(shared) -> Matcher:
+    """The automaton of a broadcast block, built once in a worker."""
     items, rate, least = shared.value
     key = hash((rate, least, tuple(items)))
     if key not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[key] = Matcher(items, rate, least)
-    matcher = _MATCHERS[key]
+    return _MATCHERS[key]
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, error_rate: float, min_chars: int, block_bytes: int) -> Iterator:
+    """Broadcasts of distinct items, of about ``block_bytes`` of text each."""
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    for block in range(blocks):
+        items = [(r.item_id, r.text) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").distinct().collect()]
+        yield spark.sparkContext.broadcast((items, error_rate, min_chars))
+
+
+def _match(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    matcher = _matcher(shared)
     for b in batches:
         rows = [(i, found) for i, t in enumerate(b.column(1).to_pylist()) if t for found in matcher.find(t)]
         yield pa.RecordBatch.from_arrays([
@@ -158,20 +167,20 @@ def _match(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 20, block_bytes: int = 32_000_000, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no benchmark item."""
-    spark = docs.sparkSession
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    """The rows of ``docs``, with all their columns, whose text holds no benchmark item, as ``find_leaks`` finds them.
+
+    An item of a few characters is held by almost any text, also inside words, so it drops nearly all: leave such items
+    out of the benchmark. Null and empty texts hold nothing and stay; null ids, repeated rows and further columns
+    pass; without items all rows stay, an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
-    for block in range(blocks):
-        items = [(r.item_id, r.text) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").distinct().collect()]
-        shared = spark.sparkContext.broadcast((items, error_rate, min_chars))
+    schema = docs.schema
+    for shared in _blocks(docs.sparkSession, benchmark, error_rate, min_chars, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, rate, least = shared.value
-            matcher = Matcher(items, rate, least)
+            matcher = _matcher(shared)
             for b in batches:
                 yield b.filter(pa.array([not (t and matcher.find(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, schema)
     return docs

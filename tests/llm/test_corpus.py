@@ -679,3 +679,7 @@ def test_leaks_equal_brute_force(spark, odd):
     kept = decontaminate.drop_leaked(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum((i, t) not in leaked for i, t, _ in rows)
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0 == decontaminate.find_leaks(docs.where("false"), bench).count()
+    assert decontaminate.drop_leaked(docs, bench.where("false")).count() == len(rows) and decontaminate.drop_leaked(docs.where("false"), bench).count() == 0
+    in_words = decontaminate.drop_leaked(docs, spark.createDataFrame([(1, "w1")], "item_id long, text string")).collect()
+    assert len(in_words) == sum("w1" not in decontaminate.normal(t) for _, t, _ in rows)
+    assert decontaminate.drop_leaked(docs, bench, block_bytes=200).count() == kept.count()
