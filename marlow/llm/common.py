@@ -35,17 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(df: DataFrame, text_col: str = "text") -> int:
-    """About how many bytes ``df`` holds: the optimizer's figure (file sizes for a scan), else a sum."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 50:
-        return size
-    return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-
-
-def buckets_for(df: DataFrame, mb_each: float, least: int = 12) -> int:
-    """How many hash buckets keep each near ``mb_each`` MB of input; grows with the input, without a bound."""
-    return int(max(least, text_bytes(df) / (mb_each * 1e6)))
+def buckets_for(df: DataFrame, mb_each: float, least: int = 12, text_col: str = "text") -> int:
+    """How many hash buckets keep each near ``mb_each`` MB of text; grows with the text, without a bound. The bytes are
+    counted (a pass that reads one column): file sizes would mislead where texts compress well."""
+    size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return int(max(least, size / (mb_each * 1e6)))
 
 
 #: More tasks than this help no cluster; a task then takes several buckets, one after the other.

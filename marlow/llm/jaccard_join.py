@@ -212,8 +212,9 @@ def compared(members: DataFrame, sets: DataFrame, small: int) -> DataFrame:
     return dealt.mapInArrow(bucket_edges, "u long, v long")
 
 
-def candidate_edges(docs: DataFrame, sets: DataFrame, small: int = SMALL) -> DataFrame:
-    """Edges between sets that a bucket finds alike. ``sets`` has a row for each node, ``docs`` their texts."""
+def candidate_edges(docs: DataFrame, sets: DataFrame, buckets: int, small: int = SMALL) -> DataFrame:
+    """Edges between sets that a bucket finds alike. ``sets`` has a row for each node, ``docs`` their texts; for
+    ``buckets`` see ``cut_wanted``."""
     found = []
     level = sets.select("node", F.explode("paths").alias("path"))
     while True:
@@ -223,7 +224,7 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, small: int = SMALL) -> Dat
         if sizes.where(F.col("n") > small).isEmpty():
             break
         large = written(hub_join(level, sizes.where(F.col("n") > small), ["path"]).join(sets.select("node", F.col("first_id").alias("doc_id")), "node").select("doc_id", "node", "path", "n"), "large")
-        kids = written(next_paths(docs, large.drop("n")), "kids")
+        kids = written(next_paths(docs, large.drop("n"), buckets), "kids")
         # pairs that a split leaves: where they are most of a bucket's pairs, its sets are alike
         parts = kids.groupBy("parent", "path").agg(F.count("*").alias("c"))
         parts = parts.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("left"), F.sum("c").alias("kids"))
@@ -239,14 +240,14 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, small: int = SMALL) -> Dat
     return out
 
 
-def next_paths(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def next_paths(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     """``node, parent, path``: how each set of ``wanted`` (doc_id, node, path) goes on from its path."""
 
     def derive(s: np.ndarray, rows: np.ndarray) -> tuple:
         kid, parent = chosen_paths(s, rows[:, 2].astype(np.int64).view(np.uint64))
         return np.full(len(kid), rows[0, 1]), parent.view(np.int64), kid.view(np.int64)
 
-    return cut_wanted(docs, wanted, derive, {"node": pa.int64(), "parent": pa.int64(), "path": pa.int64()}, "node long, parent long, path long")
+    return cut_wanted(docs, wanted, buckets, derive, {"node": pa.int64(), "parent": pa.int64(), "path": pa.int64()}, "node long, parent long, path long")
 
 
 def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +294,7 @@ def similar_matrix(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarr
     return both >= similar * (size[:, None] + size[None, :] - both) - 1e-4
 
 
-def cut_wanted(docs: DataFrame, wanted: DataFrame, derive: Callable[[np.ndarray, np.ndarray], tuple], types: dict[str, pa.DataType], schema: str) -> DataFrame:
+def cut_wanted(docs: DataFrame, wanted: DataFrame, buckets: int, derive: Callable[[np.ndarray, np.ndarray], tuple], types: dict[str, pa.DataType], schema: str) -> DataFrame:
     """``derive(shingles, rows)``, as columns, for each text that ``wanted`` names; rows are those of the text in
     ``wanted``: doc_id, node and further longs.
 
@@ -302,7 +303,6 @@ def cut_wanted(docs: DataFrame, wanted: DataFrame, derive: Callable[[np.ndarray,
     memory and cuts only the texts that are in them.
     """
     folder = local_path(scratch(docs.sparkSession, "wanted"))
-    buckets = buckets_for(docs, 64.0)
     names = wanted.columns
 
     def write(table: pa.Table) -> pa.Table:
@@ -314,7 +314,7 @@ def cut_wanted(docs: DataFrame, wanted: DataFrame, derive: Callable[[np.ndarray,
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int")
     keyed = wanted.select(place.alias("bucket"), *(F.col(c).cast("long").alias(c) for c in names))
     filled = {r.bucket for r in by_bucket(keyed, buckets).applyInArrow(write, "bucket int").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(filled)  # a number for each 64 MB of documents
+    shared = docs.sparkSession.sparkContext.broadcast(filled)  # a number a bucket
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mapped, filled = _WordHashes(), Mapped(), shared.value
@@ -351,24 +351,25 @@ def cut_wanted(docs: DataFrame, wanted: DataFrame, derive: Callable[[np.ndarray,
     return known.mapInArrow(cut, schema)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     """``node, root, n, shingles`` of the wanted documents (``doc_id, node, root, n``)."""
     types = {"node": pa.int64(), "root": pa.int64(), "n": pa.int64(), "shingles": pa.binary()}
-    return cut_wanted(docs, wanted, lambda s, rows: (rows[:, 1], rows[:, 2], rows[:, 3], [s.tobytes()] * len(rows)), types, "node long, root long, n long, shingles binary")
+    return cut_wanted(docs, wanted, buckets, lambda s, rows: (rows[:, 1], rows[:, 2], rows[:, 3], [s.tobytes()] * len(rows)), types, "node long, root long, n long, shingles binary")
 
 
 def classified(docs: DataFrame, recall: float, small: int, block: int) -> DataFrame:
     """``doc_id, text_key, node, root, class_id, copy_of, n_links`` of each row; the last four are null where
     the row takes no part. root tells classes apart, also where they share a doc_id."""
+    buckets = buckets_for(docs, 100.0)
     seen = written(profile(docs, repeats_for(recall)), "sets")
     known = seen.where("node is not null and doc_id is not null")
     # n: rows of the set
     sets = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "paths"))), "classes")
-    coarse = connected_components(candidate_edges(docs, sets, small))
+    coarse = connected_components(candidate_edges(docs, sets, buckets, small))
     coarse = written(coarse.join(sets.select("node", F.col("first_id").alias("doc_id")), "node"), "coarse")
 
     sizes = written(coarse.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    whole = sets_of(docs, hub_join(coarse, sizes, ["root"]).select("doc_id", "node", "root", "n"))
+    whole = sets_of(docs, hub_join(coarse, sizes, ["root"]).select("doc_id", "node", "root", "n"), buckets)
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")).cast("int")
     blocks = in_blocks(whole.withColumn("own", own), "root", block).select("root", "bi", "bj", "own", "node", "shingles")
     dealt = blocks.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")

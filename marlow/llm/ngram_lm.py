@@ -292,7 +292,7 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
     spark = docs.sparkSession
     folder = local_path(scratch(spark, "lm"))
     rows = docs.where(id_remainder(F.col("doc_id"), hold_out[0]) != hold_out[1]).select("text")
-    buckets = buckets_for(docs, 12.0)
+    buckets = buckets_for(docs, 20.0)
     model = KneserNey(folder, buckets, order)
     path = model.path
 

@@ -425,7 +425,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 50, unit: str = "bytes", cr
     spark = docs.sparkSession
     width = 1 if unit == "bytes" else 8
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    buckets = buckets_for(docs, 3.0)
+    buckets = buckets_for(docs, 5.0)
     folder = local_path(scratch(spark, "anchors"))
     hot_anchors(rows, folder, unit, threshold, buckets, crowd)
 

@@ -438,8 +438,8 @@ def test_missing_files_are_errors(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "local_path", lambda x: folders.append(local(x)) or folders[-1])
     node = jaccard_join.set_hash(jaccard_join.shingles(docs.first().text.encode(), jaccard_join._WordHashes()))
     wanted = spark.createDataFrame([(0, node, node, 1)], "doc_id long, node long, root long, n long")
-    assert jaccard_join.sets_of(docs, wanted).count() == 1
-    sets = jaccard_join.sets_of(docs, wanted)
+    assert jaccard_join.sets_of(docs, wanted, 12).count() == 1
+    sets = jaccard_join.sets_of(docs, wanted, 12)
     shutil.rmtree(folders[-1])
     with pytest.raises(Exception, match="No such file"):
         sets.collect()
@@ -545,7 +545,7 @@ def test_recall_where_buckets_split(spark):
     plain = jaccard_join.next_paths
     try:
         jaccard_join.next_paths = lambda *a: levels.append(1) or plain(*a)
-        edges = {frozenset((r.u, r.v)) for r in components.connected_components(jaccard_join.candidate_edges(docs, sets, small=8)).selectExpr("node as u", "root as v").collect()}
+        edges = {frozenset((r.u, r.v)) for r in components.connected_components(jaccard_join.candidate_edges(docs, sets, 12, small=8)).selectExpr("node as u", "root as v").collect()}
     finally:
         jaccard_join.next_paths = plain
     node = {r.first_id: r.node for r in sets.collect()}
