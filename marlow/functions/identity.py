@@ -71,3 +71,8 @@ def file_key(name: Column) -> Column:
 
 def retryable(message: Column) -> Column:
     return F.coalesce(message.rlike("(?i)429|503|502|504|timeout|timed out|connection"), F.lit(False))
+
+
+def backoff(attempt: Column, base: float = 1.0, times: float = 2.0, most: float = 30.0) -> Column:
+    """Seconds to wait before attempt 0, 1, 2 ...; jitter is left to the caller, so that plans stay deterministic."""
+    return F.least(F.lit(base) * F.pow(F.lit(times), attempt.cast("double")), F.lit(most))

@@ -404,6 +404,11 @@ def f26(spark, d):
     return C.read_table(spark, d, "events").select("event_id", I.verdict(raw).alias("verdict"), I.retryable(F.when(t == "error", "HTTP 429").otherwise("fine")).alias("again"))
 
 
+@query("f31_backoff", "F-31", "SELECT l_orderkey AS o, l_linenumber AS attempt, least(1.5 * pow(2, l_linenumber), 30) AS seconds FROM lineitem")
+def f31(spark, d):
+    return C.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("attempt"), I.backoff(F.col("l_linenumber"), 1.5).alias("seconds"))
+
+
 @query("f27_summary_format", "F-27 F-28", "SELECT id, 'Summary: ' || title || chr(10) || chr(10) || 'Key Points:' || chr(10) || '  - ' || lang || chr(10) || '  - ' || source || chr(10) || chr(10) || 'Tags: ' || array_to_string(list_filter(tags, lambda t: t <> 'tag_1'), ', ') || chr(10) || chr(10) || 'Difficulty: 5/10' AS text FROM problems WHERE len(list_filter(tags, lambda t: t <> 'tag_1')) > 0")
 def f27(spark, d):
     tags = F.filter("tags", lambda t: t != "tag_1")

@@ -82,6 +82,18 @@ def s18(spark, d):
     return landing.send_and_log(reports, _refuse_fives, "user_id")
 
 
+def _refuse_short(row: dict) -> None:
+    if len(row["title"] or "") < 20:
+        raise ValueError("title is short")
+
+
+@query("s08_sink_counts", "S-08", "SELECT source_platform AS platform, count(*) FILTER (length(coalesce(title, '')) >= 20) AS sent, count(*) FILTER (length(coalesce(title, '')) < 20) AS failed FROM problems GROUP BY source_platform")
+def s08(spark, d):
+    p = C.problems(spark, d).select("id", "title", "source_platform")
+    log = landing.send_and_log(p, _refuse_short, "id").join(p.select("id", F.col("source_platform").alias("platform")), "id")
+    return log.groupBy("platform").agg(F.count_if("ok").alias("sent"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 @query("s09_first_filled_source", "S-09 S-24", "SELECT DISTINCT o_custkey || o_orderstatus AS id FROM orders ORDER BY id")
 def s09(spark, d):
     o = C.read_table(spark, d, "orders").select(F.col("o_custkey").alias("contestId"), F.col("o_orderstatus").alias("index"))
