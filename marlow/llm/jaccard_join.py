@@ -30,7 +30,7 @@ from marlow.llm.components import connected_components, hub_anti, hub_join, hub_
 WORDS, SIMILAR = 5, 0.8
 RATE = 0.6  # below the similarity: more tokens are taken than the threshold alone asks for
 SPLITS = 0.75  # a bucket is split on while that leaves at most so much of its pairs
-SMALL = 2048  # sets that a bucket compares at once before it is split: 128 KB of sketches for each set
+SMALL = 512  # sets that a bucket compares at once before it is split; a task of two blocks has twice as many rows
 BLOCK = 512  # sets in a block of exact comparison
 SKETCH, SKETCH_LEAST = 64, 0.58  # more than four standard deviations below 0.8
 TINY = 96  # sets of fewer shingles aren't judged by the sketch
