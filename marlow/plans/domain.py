@@ -69,20 +69,40 @@ def r07(spark, d):
     return _hybrid(spark, d).select("id", *(F.round(c, 6).alias(c) for c in ("content_score", "keyword_score", "solution_score", "rough_score")), "sources", F.col("rank").cast("long").alias("rank"))
 
 
+_BY_TYPE = " UNION ALL ".join(
+    f"(SELECT '{t}' AS query_type, id, round({w['content']} * content_score + {w['solution']} * solution_score + {w['keyword']} * keyword_score, 6) AS rough_score FROM g ORDER BY {w['content']} * content_score + {w['solution']} * solution_score + {w['keyword']} * keyword_score DESC, id LIMIT 10)"
+    for t, w in retrieval.WEIGHTS.items()
+)
+
+
+@query("r08_query_types", "R-08", HYBRID + "\n" + _BY_TYPE)
+def r08(spark, d):
+    p = C.problems(spark, d)
+    paths = retrieval.answered({k: lambda x=x: x for k, x in _paths(spark, d, p).items()}, seconds=300)  # each is run once
+    one = lambda t: retrieval.hybrid_search(paths, p, t).select(F.lit(t).alias("query_type"), "id", F.round("rough_score", 6).alias("rough_score"))
+    first, *others = map(one, retrieval.WEIGHTS)
+    for more in others:
+        first = first.unionByName(more)
+    return first
+
+
 @query("r07b_hybrid_post_filter", "R-09 P-20", HYBRID + """
 SELECT g.id, round(rough, 6) AS rough_score FROM (SELECT * FROM g ORDER BY rough DESC, id LIMIT 20) g JOIN problems p ON p.id = g.id WHERE p.lang = 'en' ORDER BY rough DESC, g.id LIMIT 10""")
 def r07b(spark, d):
     return _hybrid(spark, d, F.col("lang") == "en").select("id", F.round("rough_score", 6).alias("rough_score"))
 
 
-def _hybrid(spark, d, where=None):
+def _paths(spark, d, p):
     v, q = vectors(spark, d), query_vector(spark, d)
-    p = C.problems(spark, d)
-    paths = {
+    return {
         "content": retrieval.vector_recall(v, q), "solution": retrieval.vector_recall(v, q, 80, F.col("label") % 2 == 0),
         "keyword": retrieval.keyword_recall(C.spread(p.select("id", F.col("content").alias("text"))), ["ation", "ung", "the"]),
     }
-    return retrieval.hybrid_search(paths, p, "algorithm_intent", 10, where)
+
+
+def _hybrid(spark, d, where=None):
+    p = C.problems(spark, d)
+    return retrieval.hybrid_search(_paths(spark, d, p), p, "algorithm_intent", 10, where)
 
 
 def _refused():
@@ -215,11 +235,13 @@ def r15(spark, d):
 @query("r17_teammates", "R-16 R-17 R-18 J-09", f"""WITH p AS ({PROFILES}), b AS (SELECT u.user_id AS uid, c.*, row_number() OVER (PARTITION BY u.user_id ORDER BY {_pair_sql('u', 'c')} DESC, c.user_id) AS rk FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id % 50 = 0 QUALIFY rk <= 10),
 t AS (SELECT u.user_id, x.user_id AS first_id, y.user_id AS second_id, floor((({_pair_sql('u', 'x')} + {_pair_sql('u', 'y')} + {_pair_sql('x', 'y')}) / 3 * 0.7 + least(len(list_distinct(list_concat(list_concat(u.strong, x.strong), y.strong))) / 10, 1.0) * 0.3) * 1000 + 0.5) / 1000 AS team_score
 FROM b x JOIN b y ON x.uid = y.uid AND x.rk < y.rk JOIN p u ON u.user_id = x.uid)
-SELECT t.user_id, first_id, second_id, team_score, c_name AS name, row_number() OVER (PARTITION BY t.user_id ORDER BY team_score DESC, first_id, second_id) AS place FROM t JOIN customer ON c_custkey = first_id QUALIFY place <= 5""")
+SELECT t.user_id, first_id, second_id, team_score, x.c_name AS first_name, y.c_name AS second_name, row_number() OVER (PARTITION BY t.user_id ORDER BY team_score DESC, first_id, second_id) AS place FROM t JOIN customer x ON x.c_custkey = first_id JOIN customer y ON y.c_custkey = second_id QUALIFY place <= 5""")
 def r17(spark, d):
     p = match_profiles(spark, d)
-    names = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("first_id"), F.col("c_name").alias("name"))
-    return matching.recommend(p.where("user_id % 50 = 0"), p).join(names, "first_id").select("user_id", "first_id", "second_id", "team_score", "name", F.col("place").cast("long").alias("place"))
+    best = matching.recommend(p.where("user_id % 50 = 0"), p)
+    for which in ("first", "second"):
+        best = best.join(C.read_table(spark, d, "customer").select(F.col("c_custkey").alias(f"{which}_id"), F.col("c_name").alias(f"{which}_name")), f"{which}_id")
+    return best.select("user_id", "first_id", "second_id", "team_score", "first_name", "second_name", F.col("place").cast("long").alias("place"))
 
 
 @query("r19_pair_detail", "R-19", f"WITH p AS ({PROFILES}) SELECT u.user_id, c.user_id AS other_id, {_pair_sql('u', 'c')} AS total, floor(greatest(0.0, 1 - abs(u.score - c.score) * 2) * 1000 + 0.5) / 1000 AS level FROM p u JOIN p c ON c.user_id = u.user_id + 7")
@@ -397,11 +419,13 @@ def f25(spark, d):
     return C.read_table(spark, d, "benchmark").select("item_id", QA.checked_expansion(raw, F.col("text"), lits("graph")).alias("x")).select("item_id", "x.intent", "x.terms", "x.expanded")
 
 
-@query("f26_verdicts", "F-26 F-30", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'OK' WHEN 'click' THEN 'WA' WHEN 'view' THEN 'TLE' ELSE 'OTHER' END AS verdict, event_type = 'error' AS again FROM events")
+@query("f26_verdicts", "F-26 F-30", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'OK' WHEN 'click' THEN 'WA' WHEN 'view' THEN 'TLE' ELSE 'OTHER' END AS verdict, event_id % 9 < 7 AS again FROM events")
 def f26(spark, d):
     t = F.col("event_type")
     raw = F.when(t == "purchase", " Accepted").when(t == "click", "wrong_answer").when(t == "view", "Time Limit Exceeded ").otherwise("??")
-    return C.read_table(spark, d, "events").select("event_id", I.verdict(raw).alias("verdict"), I.retryable(F.when(t == "error", "HTTP 429").otherwise("fine")).alias("again"))
+    messages = ["HTTP 429", "502 Bad Gateway", "Error 503", "upstream 504", "Read Timeout", "the request timed out", "Connection reset by peer", "HTTP 404", "no such problem"]
+    said = F.element_at(F.array(*map(F.lit, messages)), (F.col("event_id") % 9 + 1).cast("int"))
+    return C.read_table(spark, d, "events").select("event_id", I.verdict(raw).alias("verdict"), I.retryable(said).alias("again"))
 
 
 @query("f31_backoff", "F-31", "SELECT l_orderkey AS o, l_linenumber AS attempt, least(1.5 * pow(2, l_linenumber), 30) AS seconds FROM lineitem")
@@ -455,10 +479,18 @@ def t08(spark, d):
     return C.read_table(spark, d, "documents").select("doc_id", T.normalise_unicode(F.col("text")).alias("text"))
 
 
-@query("t09_sections", "T-09 T-10 T-21", "SELECT id, '[背景]' || chr(10) || lang || chr(10) || chr(10) || '[描述]' || chr(10) || '**时限**: 1000ms / **内存**: ?' || chr(10) || chr(10) || title || chr(10) || chr(10) || '[样例]' || chr(10) || '输入 #1' || chr(10) || '```' || chr(10) || '1 2' || chr(10) || '```' || chr(10) || chr(10) || '输出 #1' || chr(10) || '```' || chr(10) || '3' || chr(10) || '```' AS body FROM problems WHERE title <> ''")
+@query("t09_sections", "T-09 T-10 T-21", """SELECT id, array_to_string(list_filter([CASE WHEN title = '' THEN '[描述]' || chr(10) || 'plain ' || source END, '[背景]' || chr(10) || lang,
+CASE WHEN id % 3 = 0 THEN '[描述]' || chr(10) || '**时限**: 1000ms / **内存**: ' || CASE WHEN id % 2 = 0 THEN '256MB' ELSE '?' END || CASE WHEN title <> '' THEN chr(10) || chr(10) || title ELSE '' END WHEN title <> '' THEN '[描述]' || chr(10) || title END,
+CASE WHEN id % 4 = 0 THEN '[数据范围]' || chr(10) || source END, CASE WHEN source_platform <> 'leetcode' THEN '[输入]' || chr(10) || lang END, '[样例]' || chr(10) || '输入 #1' || chr(10) || '```' || chr(10) || '1 2' || chr(10) || '```' || chr(10) || chr(10) || '输出 #1' || chr(10) || '```' || chr(10) || '3' || chr(10) || '```'
+  || CASE WHEN id % 5 = 0 THEN chr(10) || chr(10) || '解释 #1' || chr(10) || chr(10) || 'since' ELSE '' END, CASE WHEN id % 2 = 1 THEN '[提示]' || chr(10) || 'h' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS body FROM problems""")
 def t09(spark, d):
-    r = {"background": F.col("lang"), "description": F.col("title"), "time_limit": F.lit("1000"), "samples": F.array(F.array(F.lit("1 2"), F.lit("3"))), "input_format": F.lit(None).cast("string")}
-    return C.problems(spark, d).where("title <> ''").select("id", T.build_content(F.col("source_platform"), r).alias("body"))
+    i = F.col("id")
+    sample = F.array(F.lit("1 2"), F.lit("3"), F.when(i % 5 == 0, " since ").otherwise(" "))
+    r = {
+        "background": F.col("lang"), "description": F.col("title"), "content": F.concat(F.lit("plain "), "source"), "time_limit": F.when(i % 3 == 0, "1000"), "memory_limit": F.when((i % 6 == 0), "256"),
+        "constraints": F.when(i % 4 == 0, F.col("source")), "input_format": F.col("lang"), "samples": F.array(sample), "hint": F.when(i % 2 == 1, "h"),
+    }
+    return C.problems(spark, d).select("id", T.build_content(F.col("source_platform"), r).alias("body"))
 
 
 _WRAPPED = r"regexp_replace(regexp_replace(body, '(\\[a-zA-Z\s](?:\{[^}]*\})*)', '$\1$', 'g'), '([A-Za-z0-9]+[_^]\s*(?:\{[^}]*\}|[A-Za-z0-9]+))', '$\1$', 'g')"
@@ -470,9 +502,11 @@ def t14(spark, d):
     return C.problems(spark, d).select("id", T.normalise_space(F.col("content")).alias("body"))
 
 
-@query("t15_headings", "T-15", "SELECT id, '### 描述' || chr(10) || lang AS body FROM problems")
+@query("t15_headings", "T-15", "SELECT id, '### 描述' || chr(10) || lang || chr(10) || '### 输入格式' || chr(10) || '[' || source || '] x' || chr(10) || '[a name of more than twelve]' || chr(10) || '### ' || CASE WHEN id % 2 = 0 THEN '样例 1' ELSE '提示' END AS body FROM problems")
 def t15(spark, d):
-    return C.problems(spark, d).select("id", T.section_headings(F.concat(F.lit("[描述]\n"), "lang")).alias("body"))
+    last = F.when(F.col("id") % 2 == 0, "[样例 1]").otherwise("[提示]")
+    text = F.concat(F.lit("[描述]\n"), "lang", F.lit("\n[输入格式]  \n["), "source", F.lit("] x\n[a name of more than twelve]\n"), last)
+    return C.problems(spark, d).select("id", T.section_headings(text).alias("body"))
 
 
 @query("t19_diagnostics", "", r"SELECT id, CAST(len(regexp_extract_all(content, '\$\$\$ ')) AS BIGINT) AS marks, CAST(len(list_distinct(string_split(content, chr(10)))) AS BIGINT) AS lines FROM problems")

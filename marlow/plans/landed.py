@@ -118,12 +118,15 @@ def s11(spark, d):
     return landing.leetcode_problems(p).select("source_id", "title", "tags")
 
 
-@query("s12_page_islands", "S-12 F-19", "SELECT doc_id, n_chars AS luogu, n_chars AS nowcoder FROM documents")
+@query("s12_page_islands", "S-12 F-19", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS luogu, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS nowcoder FROM documents")
 def s12(spark, d):
     docs = C.read_table(spark, d, "documents")
     data = F.to_json(F.struct("n_chars", "lang"))
-    html = F.concat(F.lit('<html><script id="lentille-context" type="application/json">'), data, F.lit("</script><p>x</p><script>window.__INITIAL_STATE__ = "), data, F.lit(";</script></html>"))
-    pages = docs.select("doc_id", html.alias("html"))
+    i = F.col("doc_id")
+    # pages without one of the islands, and islands that are no JSON
+    first = F.when(i % 3 != 0, F.concat(F.lit('<html><script type="application/json" id="lentille-context">'), data, F.lit("</script>"))).otherwise("<html>")
+    second = F.when(i % 5 != 0, F.concat(F.lit("<p>x</p><script>window.__INITIAL_STATE__ = "), data, F.lit(";</script></html>"))).otherwise("<script>window.__INITIAL_STATE__={oops};</script></html>")
+    pages = docs.select("doc_id", F.concat(first, second).alias("html"))
     out = landing.luogu_island(pages, "n_chars long").withColumnRenamed("island", "a")
     return landing.nowcoder_island(out, "n_chars long").select("doc_id", F.col("a.n_chars").alias("luogu"), F.col("island.n_chars").alias("nowcoder"))
 
@@ -178,36 +181,61 @@ def _problem_pages(spark, p, page):
     return landing.problem_table(_pages_of(spark, pages, html, "page"), page="page")
 
 
-@query("t03_leetcode_samples", "T-03", "SELECT id, [['a = ' || id, lang], ['b', source]] AS samples FROM problems")
+@query("t03_leetcode_samples", "T-03", """SELECT id, CASE id % 4 WHEN 0 THEN [['a = ' || id, lang], ['b', source]] WHEN 1 THEN [['x', lang]] WHEN 2 THEN [[lang, source], ['1', CAST(id AS VARCHAR)]] ELSE [] END AS samples FROM problems""")
 def t03(spark, d):
-    html = F.concat(F.lit("<p>x</p><pre>\n<strong>输入：</strong>a = "), F.col("id").cast("string"), F.lit("\n<strong>输出：</strong>"), "lang", F.lit("\n<strong>解释：</strong>because\n</pre><pre><strong>Input:</strong> <b>b</b>\n<strong>Output:</strong> "), "source", F.lit("</pre>"))
+    n = F.col("id").cast("string")
+    strong = F.concat(F.lit("<p>x</p><pre>\n<strong>输入：</strong>a = "), n, F.lit("\n<strong>输出：</strong>"), "lang", F.lit("\n<strong>解释：</strong>because\n</pre><pre><strong>Input:</strong> <b>b</b>\n<strong>Output:</strong> "), "source", F.lit("</pre>"))
+    plain = F.concat(F.lit("<pre>Input: x\nOutput: "), "lang", F.lit("\nExplanation: y</pre>"))
+    block = lambda a, b: F.concat(F.lit('<div class="example-block"><p><strong>Input:</strong> <span class="example-io">'), a, F.lit('</span></p>\n<p><strong>输出：</strong><span class="example-io">'), b, F.lit("</span></p></div>"))
+    blocks = F.concat(block(F.col("lang"), F.col("source")), block(F.lit("1"), n))
+    kind = F.col("id") % 4
+    html = F.when(kind == 0, strong).when(kind == 1, plain).when(kind == 2, blocks).otherwise(F.concat(F.lit("<p>none</p><pre>int a;</pre>"), "lang"))
     return C.problems(spark, d).select("id", T.leetcode_samples(html).alias("samples"))
 
 
-@query("t04_sample_strings", "T-04", "SELECT id, [[lang, source], ['1 2', CAST(id AS VARCHAR)]] AS samples FROM problems")
+@query("t04_sample_strings", "T-04", "SELECT id, CASE id % 3 WHEN 0 THEN [[lang, source], ['1 2', CAST(id AS VARCHAR)]] WHEN 1 THEN [[lang, source], ['1', '']] ELSE [] END AS samples FROM problems")
 def t04(spark, d):
-    s = F.concat(F.lit("输入：\n"), "lang", F.lit("\n输出：\n"), "source", F.lit("\n输入: 1 2\n输出: "), F.col("id").cast("string"))
-    return C.problems(spark, d).select("id", T.sample_pairs(s).alias("samples"))
+    n = F.col("id").cast("string")
+    bare = F.concat(F.lit("输入：\n"), "lang", F.lit("\n输出：\n"), "source", F.lit("\n输入: 1 2\n输出: "), n)
+    numbered = F.concat(F.lit("示例 1\n输入: "), "lang", F.lit("\n输出: "), "source", F.lit("\n 示例 2：\n输入：1\n输出：\n"))
+    kind = F.col("id") % 3
+    return C.problems(spark, d).select("id", T.sample_pairs(F.when(kind == 0, bare).when(kind == 1, numbered).otherwise(F.col("lang"))).alias("samples"))
 
 
-@query("t05_html_samples", "T-05", "SELECT id, [[lang || chr(10) || 'x', source]] AS samples FROM problems")
+@query("t05_html_samples", "T-05", "SELECT id, CASE id % 4 WHEN 0 THEN [[lang || chr(10) || 'x', source]] WHEN 1 THEN [[lang, source], ['a & b', CAST(id AS VARCHAR)]] WHEN 2 THEN [['1' || chr(10) || lang, source], ['2', 'y']] ELSE [] END AS samples FROM problems")
 def t05(spark, d):
-    html = F.concat(F.lit('<div class="input"><div>in</div><pre>'), "lang", F.lit('<br/>x</pre></div><div class="output"><pre>'), "source", F.lit("</pre></div>"))
+    n = F.col("id").cast("string")
+    classes = F.concat(F.lit('<div class="input"><div>in</div><pre>'), "lang", F.lit('<br/>x</pre></div><div class="output"><pre>'), "source", F.lit("</pre></div>"))
+    turns = F.concat(F.lit("<pre>"), "lang", F.lit("</pre><p>then</p><pre class='a'>"), "source", F.lit("</pre><pre>a &amp; b</pre><pre>"), n, F.lit("</pre>"))
+    pair = lambda a, b: F.concat(F.lit('<div class="sample-test input"><pre>'), a, F.lit('</pre></div><div class="output"><div class="title">o</div><pre>'), b, F.lit("</pre></div>"))
+    lines = F.concat(F.lit('<div class="line">1</div><div class="line">'), "lang", F.lit("</div>"))
+    kind = F.col("id") % 4
+    html = F.when(kind == 0, classes).when(kind == 1, turns).when(kind == 2, F.concat(pair(lines, F.col("source")), pair(F.lit("2"), F.lit("y")))).otherwise(F.lit("<pre>alone</pre>"))
     return C.problems(spark, d).select("id", scraped.html_samples_col(html).alias("samples"))
 
 
-@query("t06_math_cleaner", "T-06", r"SELECT id, lang || ' 是' || chr(10) || chr(10) || '$x_' || id || ' \le 5$' || chr(10) || chr(10) || '好' AS body FROM problems")
+@query("t06_math_cleaner", "T-06", r"""SELECT id, CASE id % 5 WHEN 0 THEN lang || ' 是' || chr(10) || chr(10) || '$x_' || id || ' \le 5$' || chr(10) || chr(10) || '好' WHEN 1 THEN '题 ' || lang || chr(10) || '```' || chr(10) || 'x' || chr(10) || '≤' || chr(10) || 'x_1' || chr(10) || '```' || chr(10) || '好'
+WHEN 2 THEN '题' || chr(10) || 'x' || chr(10) || '≤' || chr(10) || '好 ' || lang WHEN 3 THEN '$' || lang || ' \le ' || id || '$' || chr(10) || '好' ELSE '题' || chr(10) || 'n_' || id || ' = 10' || chr(10) || '好' END AS body FROM problems""")
 def t06(spark, d):
     n = F.col("id").cast("string")
-    s = F.concat("lang", F.lit(" 是\n\nx\n\n≤\n\nx_"), n, F.lit(" \\le 5\n\n5\n\n好"))
+    kind = F.col("id") % 5
+    thrice = F.concat("lang", F.lit(" 是\n\nx\n\n≤\n\nx_"), n, F.lit(" \\le 5\n\n5\n\n好"))
+    code = F.concat(F.lit("题 "), "lang", F.lit("\n```\nx\n≤\nx_1\n```\n好"))
+    twice = F.concat(F.lit("题\nx\n≤\n好 "), "lang")
+    bare = F.concat("lang", F.lit(" \\le\\, "), n, F.lit("\n好"))
+    no_command = F.concat(F.lit("题\nn\n10\nn_"), n, F.lit(" = 10\n好"))
+    s = F.when(kind == 0, thrice).when(kind == 1, code).when(kind == 2, twice).when(kind == 3, bare).otherwise(no_command)
     return C.problems(spark, d).select("id", scraped.clean_math_col(s).alias("body"))
 
 
-@query("t07_cluster_cleaners", "T-07 W-05", "SELECT id, '题' || chr(10) || 'a_' || id || chr(10) || '尾' AS ascii, '有 ' || lang || ' 行' AS merged FROM problems")
+@query("t07_cluster_cleaners", "T-07 W-05", """SELECT id, CASE id % 3 WHEN 0 THEN '题' || chr(10) || 'a_' || id || chr(10) || '尾' WHEN 1 THEN '题' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || '尾' || lang ELSE '题' || chr(10) || 'x^2' || chr(10) || '尾' END AS ascii,
+CASE id % 3 WHEN 0 THEN '有 ' || lang || ' 行' WHEN 1 THEN '输入' || chr(10) || lang || ' 行' || chr(10) || chr(10) || '尾 部' ELSE repeat('长', 30) || chr(10) || lang || chr(10) || repeat('长', 25) END AS merged FROM problems""")
 def t07(spark, d):
     n = F.col("id").cast("string")
-    a = F.concat(F.lit("题\na\na_"), n, F.lit("\na\n尾"))
-    m = F.concat(F.lit("有\n"), "lang", F.lit("\n行"))
+    kind = F.col("id") % 3
+    a = F.when(kind == 0, F.concat(F.lit("题\na\na_"), n, F.lit("\na\n尾"))).when(kind == 1, F.concat(F.lit("题\na\nb\n尾"), "lang")).otherwise(F.lit("题\nabc\nx^2\nxy2\n尾"))
+    long = lambda k: F.lit("长" * k)
+    m = F.when(kind == 0, F.concat(F.lit("有\n"), "lang", F.lit("\n行"))).when(kind == 1, F.concat(F.lit("输入\n"), "lang", F.lit("\n行\n\n尾\n部"))).otherwise(F.concat(long(30), F.lit("\n"), "lang", F.lit("\n"), long(25)))
     return C.problems(spark, d).select("id", scraped.clean_ascii_clusters_col(a).alias("ascii"), scraped.merge_orphans_col(m).alias("merged"))
 
 
@@ -221,7 +249,13 @@ def t13(spark, d):
     return C.read_table(spark, d, "pages").select("page_id", scraped.html_markdown_col(F.col("html")).alias("markdown"))
 
 
-@query("t22_math_fences", "T-22", "SELECT id, 'let $n_' || id || '$ be ' || lang AS body FROM problems")
+@query("t22_math_fences", "T-22", r"""SELECT id, CASE id % 4 WHEN 0 THEN 'let $n_' || id || '$ be ' || lang WHEN 1 THEN 'let $a b_' || id || ' c$ be ' || lang WHEN 2 THEN 'let n be ' || lang ELSE '$\text{max}$ of ' || lang || ', and $x$; then $y$' END AS body FROM problems""")
 def t22(spark, d):
-    s = F.concat(F.lit("let $$$n_"), F.col("id").cast("string"), F.lit("$$$ be "), "lang")
-    return C.problems(spark, d).select("id", scraped.refence_math_col(s).alias("body"))
+    n = F.col("id").cast("string")
+    kind = F.col("id") % 4
+    one = F.concat(F.lit("let $$$n_"), n, F.lit("$$$ be "), "lang")
+    three = F.concat(F.lit("let $$$a$$$ $$$b_"), n, F.lit("$$$$$$ c$$$ be "), "lang")
+    open_ = F.concat(F.lit("let $$$n be "), "lang")
+    spaced = F.concat(F.lit("$$$\\text{m a x}$$$ of "), "lang", F.lit(",\nand $$$x$$$;\nthen $$$y$$$"))
+    s = F.when(kind == 0, one).when(kind == 1, three).when(kind == 2, open_).otherwise(spaced)
+    return C.problems(spark, d).select("id", scraped.refence_math_col(s).alias("body"))
\ No newline at end of file
