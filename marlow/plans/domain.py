@@ -469,9 +469,31 @@ def d06(spark, d):
 # --- text ----------------------------------------------------------------------------------------
 
 
-@query("t01_html_to_text", "T-01 T-02")
+def _replaced(x: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    return x
+
+
+def _text_sql(x: str, marks: list[tuple[str, str]]) -> str:
+    """``html_to_text`` in SQL; a bare ``<`` is told by the character after it."""
+    x = _replaced(f"coalesce({x}, '')", marks)
+    x = _replaced(x, [(f"(?i)</(?:{T.BLOCK_END})>", "chr(10)"), (r"(?i)<(?:br|hr)\b[^>]*/?>", "chr(10)"), (rf"(?i)</?(?:{T.BLOCK})\b[^>]*>", "chr(10)"), (r"<([^a-zA-Z/]|\z)", r"'&lt;\1'"), (r"<[^>]+>", "''")])
+    for entity, char in T.ENTITIES:
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return _replaced(x, [(r"[ \t]+\n", "chr(10)"), (r"\n[ \t]+", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"\A\s+|\s+\z", "''")])
+
+
+_LATEX = [(r"(?i)([A-Za-z0-9.\-]+)<sup>([^<]+)</sup>", r"'$\1^{\2}$'"), (r"(?i)([A-Za-z0-9.\-]+)<sub>([^<]+)</sub>", r"'$\1_{\2}$'")]
+_PLAIN = [("(?i)<sup>([^<]+)</sup>", r"'^\1'"), ("(?i)<sub>([^<]+)</sub>", r"'_\1'")]
+#: Marks that the pages of the test tables don't have.
+_MARKED = "10<sup>9</sup> + a<sub>i</sub> < b &lt; c &#8217;<BR/>&nbsp;<hr> <h3 class=x>y</h3>"
+
+
+@query("t01_html_to_text", "T-01 T-02", f"SELECT page_id, {_text_sql('h', _LATEX)} AS text, {_text_sql('h', _PLAIN)} AS plain FROM (SELECT page_id, '{_MARKED}' || html AS h FROM pages)")
 def t01(spark, d):
-    return C.spread(C.read_table(spark, d, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    pages = C.spread(C.read_table(spark, d, "pages").select("page_id", F.concat(F.lit(_MARKED), "html").alias("h")))
+    return pages.select("page_id", T.html_to_text(F.col("h")).alias("text"), T.html_to_text(F.col("h"), latex=False).alias("plain"))
 
 
 @query("t08_unicode", "T-08", f"SELECT doc_id, translate(text, '{T.BLANKS}{T.QUOTES}{T.NO_WIDTH}', '{' ' * len(T.BLANKS)}' || repeat(chr(39), {len(T.QUOTES)})) AS text FROM documents")

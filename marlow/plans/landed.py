@@ -244,6 +244,31 @@ def t11(spark, d):
     return C.read_table(spark, d, "pages").select("page_id", F.explode(scraped.html_sections_col(F.col("html"))).alias("s")).select("page_id", "s.title", "s.text")
 
 
+_SECTIONS = """(SELECT id, 0 AS k, 'Statement ' || id AS title, lang || ' $N$ & **' || source || '**' || chr(10) || chr(10) || '- a' || chr(10) || '- ' || lang AS text FROM problems
+UNION ALL SELECT id, 1, 'Input', CASE WHEN id % 2 = 0 THEN '| x | ' || source ELSE '$x^2$ ![pic](' || lang || '.png)' END FROM problems
+UNION ALL SELECT id, 2, 'Sample', '```' || chr(10) || '1  2' || chr(10) || lang || chr(10) || '```' FROM problems WHERE id % 3 <> 0)"""
+
+
+def _statements(spark, d):
+    """Statement pages: headings, lists, variables, tables, images of formulas, code, scripts."""
+    first = F.concat(F.lit("<nav>menu</nav><section><h3>Statement "), F.col("id").cast("string"), F.lit("</h3><p>"), "lang", F.lit("\n  <var>N</var> &amp; <b>"), "source", F.lit("</b></p><ul><li>a</li><li>"), "lang", F.lit("</li></ul></section>"))
+    table = F.concat(F.lit("<table><tr><td>x</td><td>"), "source", F.lit("</td></tr></table>"))
+    images = F.concat(F.lit('<p><img class="equation" alt="x^2"> <img src="'), "lang", F.lit('.png" alt="pic"></p>'))
+    second = F.concat(F.lit("<h3>Input</h3><script>track()</script>"), F.when(F.col("id") % 2 == 0, table).otherwise(images))
+    third = F.when(F.col("id") % 3 != 0, F.concat(F.lit("<h3>Sample</h3><pre>1  2\n"), "lang", F.lit("</pre>"))).otherwise("")
+    return C.problems(spark, d).select("id", F.concat(first, second, third).alias("html"))
+
+
+@query("t12_statement_sections", "T-11 T-12", f"SELECT id, title, text FROM {_SECTIONS}")
+def t12(spark, d):
+    return _statements(spark, d).select("id", F.explode(scraped.html_sections_col(F.col("html"))).alias("s")).select("id", "s.title", "s.text")
+
+
+@query("t13_statement_markdown", "T-13", f"SELECT id, string_agg('### ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS markdown FROM {_SECTIONS} GROUP BY id")
+def t13_statements(spark, d):
+    return _statements(spark, d).select("id", scraped.html_markdown_col(F.col("html")).alias("markdown"))
+
+
 @query("t13_page_markdown", "T-13")
 def t13(spark, d):
     return C.read_table(spark, d, "pages").select("page_id", scraped.html_markdown_col(F.col("html")).alias("markdown"))
