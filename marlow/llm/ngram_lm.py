@@ -28,7 +28,7 @@ from marlow.llm.common import Mapped, Numbering, bucket_path, buckets_for, by_bu
 
 END = b"\n"  # no word holds white space
 RANGE = 1 << 17  # ids in a dense file
-CHUNK_TEXTS, CHUNK_BYTES = 2000, 4_000_000
+CHUNK_TEXTS, CHUNK_BYTES, COUNT_BYTES = 2000, 6_000_000, 4_000_000
 FLUSH_KEYS, FLUSH_WORDS = 2_000_000, 500_000
 SUMS, SUM_GROUP = 256, 1 << 30  # groups in which sums of all buckets travel, and the number of the first
 ESCAPE = 255
@@ -41,13 +41,14 @@ def tokens_of(raw: bytes) -> list[bytes]:
     return out
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with their texts: at most CHUNK_TEXTS, of at most ``most`` bytes; a longer text is alone."""
     for b in batches:
         at = 0
         raws = utf8(b.column(column))
         while at < len(raws):
             n, size = 0, 0
-            while at + n < len(raws) and n < CHUNK_TEXTS and (not n or size + len(raws[at + n]) <= CHUNK_BYTES):
+            while at + n < len(raws) and n < CHUNK_TEXTS and (not n or size + len(raws[at + n]) <= most):
                 size += len(raws[at + n])
                 n += 1
             yield b.slice(at, n), raws[at:at + n]
@@ -92,9 +93,9 @@ def unpack_columns(raw: bytes, n: int) -> list[np.ndarray]:
 
 
 def table_key(h: np.ndarray) -> np.ndarray:
-    """Mixed once more: the high bits of ``h`` chose the bucket."""
-    h = h * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    """The order of a table: by the low half of the hash, as the high bits may have chosen the bucket, then by the
+    high half, mixed, so that its low bits count first."""
+    return h << np.uint64(32) | ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))
 
 
 def pack_table(h: np.ndarray, values: np.ndarray) -> bytes:
@@ -136,9 +137,8 @@ class HashTable:
         self.apart, self.rows = take(np.int64, apart), take(np.int64, apart * width).reshape(-1, width)
         self.starts, self.low, self.code = take(np.uint32, (1 << bits) + 1), take(np.uint32, n), take(np.uint8, n)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The row of each hash; zeros where it is not there."""
-        key = table_key(h)
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The row of each ``table_key``; zeros where it is not there. Keys in order read the file in order."""
         first = (key >> (np.uint64(64) - self.bits)).astype(np.int64)
         want = ((key << self.bits) >> np.uint64(32)).astype(np.uint32)
         lo, end = self.starts[first].astype(np.int64), self.starts[first + 1].astype(np.int64)
@@ -148,7 +148,7 @@ class HashTable:
             less = self.low[mid] < want[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        out = np.zeros((len(h), self.width), np.int64)
+        out = np.zeros((len(key), self.width), np.int64)
         hit = np.flatnonzero(lo < end)
         hit = hit[self.low[lo[hit]] == want[hit]]
         code = self.code[lo[hit]]
@@ -226,7 +226,7 @@ class Reader:
     def rows(self, kind: str, h: np.ndarray, place: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
         """Rows of a table for hashes whose bucket the hashes ``place`` choose; zeros where not usable or not there."""
         out = np.zeros((len(h), width), np.int64)
-        distinct, first, back = np.unique(h[usable], return_index=True, return_inverse=True)
+        distinct, first, back = np.unique(table_key(h[usable]), return_index=True, return_inverse=True)
         b = high_bucket(place[usable][first], self.m.buckets)
         order = np.argsort(b, kind="stable")
         found = np.zeros((len(distinct), width), np.int64)
@@ -348,7 +348,7 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
             parts, packed = blobs(high_bucket(grams(columns[:-1]), buckets), [*columns, n])
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))], ["bucket", "grams", "kinds"])
 
-        for _, raws in chunks(batches, 0):
+        for _, raws in chunks(batches, 0, COUNT_BYTES):
             columns = reader.columns([tokens_of(r) for r in raws])[3]
             h, first, n = np.unique(grams(columns), return_index=True, return_counts=True)
             for one, new in zip(held, (h, *(c[first].astype(np.uint32) for c in columns), n.astype(np.uint32)), strict=True):

@@ -413,8 +413,10 @@ def test_hash_tables():
         h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         values = np.c_[rng.zipf(1.3, len(h)) % 10**9, rng.integers(0, 400, len(h))]
         table = ngram_lm.HashTable(np.frombuffer(ngram_lm.pack_table(h, values), np.uint8))
-        assert (table.find(h) == values).all()
-        assert not table.find(np.setdiff1d(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), h)).any()
+        assert (table.find(ngram_lm.table_key(h)) == values).all()
+        assert not table.find(ngram_lm.table_key(np.setdiff1d(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), h))).any()
+    keys = ngram_lm.table_key(np.arange(1 << 20, dtype=np.uint64) << np.uint64(20) | np.uint64(7) << np.uint64(60))
+    assert len(np.unique(keys)) == 1 << 20
     columns = [rng.integers(0, 1 << 32, 1000, dtype=np.uint32) for _ in range(4)]
     assert all((a == b).all() for a, b in zip(columns, ngram_lm.unpack_columns(ngram_lm.pack_columns(columns), 4), strict=True))
 
