@@ -33,7 +33,8 @@ def keyword_recall(docs: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
     text = F.lower("text")
     hits = sum((F.floor((F.length(text) - F.length(F.replace(text, F.lit(t.lower()), F.lit("")))) / len(t)) for t in terms if t), F.lit(0))
     score = hits / (1 + F.log(F.length("text").cast("double")))
-    return docs.where(F.length("text") > 0).select("id", score.cast("double").alias("score")).where("score > 0").orderBy(F.col("score").desc(), "id").limit(k)
+    # what scores 0 goes after the cut: a filter before it would have the scores computed twice
+    return docs.where(F.length("text") > 0).select("id", score.cast("double").alias("score")).orderBy(F.col("score").desc(), "id").limit(k).where("score > 0")
 
 
 def answered(paths: dict[str, Callable[[], DataFrame]], seconds: float = 3.0) -> dict[str, DataFrame]:
