@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlow.llm.common import slices
+
+SLICE = 1000  # texts that are Python objects at a time
+
 
 def normal(text: str | None) -> str:
     """Lower case, each run of white space one space."""
@@ -158,7 +162,7 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, error_rate: float, min_ch
 
 def _match(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     matcher = _matcher(shared)
-    for b in batches:
+    for b in slices(batches, SLICE):
         rows = [(i, found) for i, t in enumerate(b.column(1).to_pylist()) if t for found in matcher.find(t)]
         yield pa.RecordBatch.from_arrays([
             b.column(0).take(pa.array([i for i, _ in rows], pa.int64())),
@@ -179,7 +183,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared)
-            for b in batches:
+            for b in slices(batches, SLICE):
                 yield b.filter(pa.array([not (t and matcher.find(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ SMALL = 512  # sets that a bucket compares at once before it is split; a task of
 BLOCK = 512  # sets in a block of exact comparison
 SKETCH, SKETCH_LEAST = 64, 0.58  # more than four standard deviations below 0.8
 TINY = 96  # sets of fewer shingles aren't judged by the sketch
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 FLUSH_BYTES = 16_000_000
 
 

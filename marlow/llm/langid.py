@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import id_remainder
+from marlow.llm.common import id_remainder, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: LanguageModel, hold_out: tuple[int, int] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches, 1000):
             names, sure = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import Numbering, written
+from marlow.llm.common import Numbering, slices, written
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\r\x0b\x0c"
@@ -132,7 +132,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1000):
             got = list(zip(*map(measure, b.column(1).to_pylist()), strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in got)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"])
 

@@ -36,7 +36,7 @@ CHUNK = 1 << 19  # tokens that are hashed at a time
 POS_BITS = 24
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASE = 0x9E3779B97F4A7C15
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def power(n: int) -> np.uint64:

@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import id_remainder, written
+from marlow.llm.common import id_remainder, slices, written
 
 BUCKETS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+SLICE = 1000  # texts that are Python objects at a time
 # ASCII letters in lower case and all bytes of longer characters stay, the rest separates words.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = {True: np.zeros(BUCKETS, np.int32), False: np.zeros(BUCKETS, np.int32)}
         cache: dict[bytes, list[int]] = {}
-        for b in batches:
+        for b in slices(batches, SLICE):
             for text, is_pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen: set[int] = set()
                 for w in set(words_of(text)):
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits(column)
-        for b in batches:
+        for b in slices(batches, SLICE):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(hits.of(t)) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["pos", "seen"])
 
     # bounded by positives + unlabelled rows of at most ``columns`` entries
@@ -173,7 +174,7 @@ def score(docs: DataFrame, model: PUModel, hold_out: tuple[int, int] = (5, 0)) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         hits = m.hits()
-        for b in batches:
+        for b in slices(batches, SLICE):
             got = [m.score(hits.of(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -189,7 +190,7 @@ def drop_toxic(docs: DataFrame, model: PUModel, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         hits = m.hits()
-        for b in batches:
+        for b in slices(batches, SLICE):
             yield b.filter(pa.array([m.score(hits.of(t)) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
