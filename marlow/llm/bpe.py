@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-CACHE_PIECES = 150_000  # kept by a worker from task to task
+CACHE_PIECES = 90_000  # of each of two generations, which a worker keeps from task to task
 
 
 def byte_letters() -> dict[int, str]:
@@ -89,7 +89,7 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text. Strings of special tokens in the text are those tokens."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.cache.grow_old()
         if self.at_special and any(t in text for t in self.special):
             out: list[int] = []
             for part in self.at_special.split(text):
@@ -109,15 +109,21 @@ class ByteBPE:
 
 
 class _Pieces(dict):
-    """piece -> ids of recent pieces; emptied when it holds too many."""
+    """piece -> ids, in two generations: when the new one is full, the old one goes and it takes its place. A piece
+    that is met again moves to the new one, so common pieces stay."""
 
     def __init__(self, bpe: ByteBPE):
         self.bpe = bpe
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = self.bpe.encode_piece(piece.encode("utf-8", "replace"))
+        ids = self[piece] = self.old.pop(piece, None) or self.bpe.encode_piece(piece.encode("utf-8", "replace"))
         return ids
 
+    def grow_old(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 _LOADED: dict[str, ByteBPE] = {}
 

@@ -78,6 +78,17 @@ def test_bpe_piece_equals_plain_merging():
         assert model.encode_piece(piece) == plain(piece)
 
 
+def test_bpe_cache_grows_old(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    model = bpe.ByteBPE(tokenizer_path())
+    rng = random.Random(18)
+    for _ in range(60):
+        text = words(rng, 12, 300) + " the the"
+        assert model.encode(text) == bpe.load(tokenizer_path()).encode(text)
+        assert len(model.cache) + len(model.cache.old) < 80
+    assert " the" in model.cache
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 
