@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,12 +77,23 @@ def grams(columns: list[np.ndarray]) -> np.ndarray:
 
 def by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, where each is first found, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])[: len(s)]
     return s[at], order[at], np.add.reduceat(counts[order], at) if len(s) else counts
 
 
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where one of each is found, and the number of each key among them. (np.unique sorts
+    stably for that, which takes several times as long.)"""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.r_[True, s[1:] != s[:-1]][: len(s)]
+    back = np.empty(len(s), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], order[new], back
+
+
 def pack_columns(columns: list[np.ndarray]) -> bytes:
     """Unsigned 32-bit columns, byte by byte of equal weight, which compresses well."""
     return zstandard.compress(b"".join(np.ascontiguousarray(c, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 1)
@@ -223,24 +235,23 @@ class Reader:
             out[order[known:][some]] = self.mapped(self.m.path("suffix", r), np.int64)[s[known:][some] - r * RANGE]
         return out
 
-    def rows(self, kind: str, h: np.ndarray, place: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
-        """Rows of a table for hashes whose bucket the hashes ``place`` choose; zeros where not usable or not there."""
-        out = np.zeros((len(h), width), np.int64)
-        distinct, first, back = np.unique(table_key(h[usable]), return_index=True, return_inverse=True)
-        b = high_bucket(place[usable][first], self.m.buckets)
+    def rows(self, kind: str, h: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a table for the distinct hashes (zeros where one is not there), and the number of each hash among
+        them; the hashes ``place`` choose the bucket."""
+        distinct, first, back = distinct_of(table_key(h))
+        b = high_bucket(place[first], self.m.buckets)
         order = np.argsort(b, kind="stable")
         found = np.zeros((len(distinct), width), np.int64)
         for i, some in runs(b[order]):
             found[order[some]] = HashTable(self.mapped(self.m.path(kind, i), np.uint8)).find(distinct[order[some]])
-        out[usable] = found[back]
-        return out
+        return found, back
 
     def columns(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Lengths of the texts, local numbers of tokens, counts by number, and the ids of each token and of the words
         before it, farthest first (-1: unknown); the start of a text is a word of its own."""
         number = Numbering()
         lengths = np.array([len(x) for x in lists])
-        local = np.fromiter((number[w] for x in lists for w in x), np.int64, int(lengths.sum()))
+        local = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
         ids, counts = self.words(list(number))
         before = self.m.order - 1
         at = np.arange(len(local)) + before * (1 + np.repeat(np.arange(len(lists)), lengths))
@@ -262,13 +273,17 @@ class Reader:
             if not m.vocabulary:
                 break
             context, word = columns[m.order - k:-1], columns[-1]
-            usable = np.all([c >= 0 for c in context], 0)
-            h = grams(context)
-            total, once, twice, more = self.rows(f"c{k}", h, h, usable, 4).T
-            seen = self.rows(f"n{k}", followed_by(h, word), h, usable & (word >= 0), 1)[:, 0]
+            usable = np.flatnonzero(np.all([c >= 0 for c in context], 0))
+            h = grams([c[usable] for c in context])
             d = np.array([0, *m.high[k]])
-            left = (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1)
-            p = np.where(total > 0, np.maximum(seen - d[np.minimum(seen, 3)], 0) / np.maximum(total, 1) + left * p, p)
+            found, back = self.rows(f"c{k}", h, h, 4)
+            share = (found[:, 1:] @ d[1:]) / np.maximum(found[:, 0], 1)
+            total, left, paid = (np.zeros(len(p)) for _ in range(3))
+            total[usable], left[usable] = found[back, 0], share[back]
+            known = word[usable] >= 0
+            found, back = self.rows(f"n{k}", followed_by(h[known], word[usable][known]), h[known], 1)
+            paid[usable[known]] = np.maximum(found[:, 0] - d[np.minimum(found[:, 0], 3)], 0)[back]
+            p = np.where(total > 0, paid / np.maximum(total, 1) + left * p, p)
         return lengths, np.add.reduceat((ids[local] >= 0).astype(np.int64), starts), np.add.reduceat(base[local], starts), np.add.reduceat(np.log10(p), starts)
 
 
@@ -350,7 +365,8 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
 
         for _, raws in chunks(batches, 0, COUNT_BYTES):
             columns = reader.columns([tokens_of(r) for r in raws])[3]
-            h, first, n = np.unique(grams(columns), return_index=True, return_counts=True)
+            h = grams(columns)
+            h, first, n = by_key(h, np.ones(len(h), np.int64))
             for one, new in zip(held, (h, *(c[first].astype(np.uint32) for c in columns), n.astype(np.uint32)), strict=True):
                 one.append(new)
             size += len(h)
@@ -381,7 +397,7 @@ def train(docs: DataFrame, order: int = 3, hold_out: tuple[int, int] = (5, 1)) -
             columns = [c[first] for c in columns]
             write_file(path(f"n{k}", b), pack_table(h, n[:, None]))
             context = grams(columns[:-1])
-            by_context = np.argsort(context, kind="stable")
+            by_context = np.argsort(context)
             c, m = context[by_context], n[by_context]
             at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])[: len(c)]
             sums = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (m, m == 1, m == 2, m > 2)], 1) if len(c) else np.zeros((0, 4), np.int64)
