@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-CACHE_PIECES = 90_000  # of each of two generations, which a worker keeps from task to task
+CACHE_PIECES = 120_000  # of each of two generations, which a worker keeps from task to task
 
 
 def byte_letters() -> dict[int, str]:
