@@ -139,3 +139,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: ``monotonically_increasing_id`` counts rows of a partition below this bit, partitions above it.
+PART_BIT = 33
+
+
+def indexed(rows: DataFrame, order: list[str], rows_each: int) -> DataFrame:
+    """``rows`` as a written table in ranges of ``order``, with ``at``, which ascends in that order, and ``part``, the number
+    of the range. A range has about ``rows_each`` rows; the last column of ``order`` must tell all rows apart, else equal
+    ones are one range. Nulls stand first."""
+    parts = int(min(MOST_TASKS, max(1, -(-rows.count() // rows_each))))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return written(ranged.withColumn("part", F.shiftright("at", PART_BIT).cast("int")), "indexed")
+
