@@ -77,3 +77,17 @@ def skip_known(candidates: DataFrame, known: DataFrame, key: str = "id", width:
 
 def english_first(df: DataFrame, is_english: Column, position: str, limit: int) -> DataFrame:
     return df.withColumn("is_english", is_english).orderBy(F.col("is_english").desc(), position).limit(limit)
+
+
+def not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """SQL's NOT IN: no row if a key is null (unless there are no keys at all), and no row whose own key is null.
+
+    A plain anti join, behind one aggregate that looks for a null; the null-aware join of Spark would broadcast all keys.
+    """
+    some = keys.select(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
+    n, nulls = some.first()
+    if not n:
+        return df
+    if nulls:
+        return df.where(F.lit(False))
+    return df.where(F.col(key).isNotNull()).join(keys.select(key).distinct(), key, "left_anti")

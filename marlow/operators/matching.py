@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlow.functions.scores import STYLE_PAIRS, compatibility, level_proximity, round3, skill_complement, style_match
+from marlow.operators.blocks import dealt
+from marlow.sources.shared import stored
 
 
 def side(prefix: str) -> dict[str, Column]:
@@ -44,36 +46,98 @@ def block_scores(u: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
     return np.floor((0.5 * skill + 0.3 * level + 0.2 * style) * 1000 + 0.5) / 1000
 
 
-def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None = None, keep: int = 10, rows: int = 1000) -> DataFrame:
+#: Cells of candidates: classes of style times levels; their list is on the driver.
+LEVELS = 256
+
+
+def style_class(style: Column) -> Column:
+    """The style if pairs of it have a value of their own, else nothing."""
+    known = sorted({x for pair in STYLE_PAIRS for x in pair})
+    s = F.lower(F.trim(F.coalesce(style, F.lit(""))))
+    return F.when(s.isin(known), s).otherwise("")
+
+
+def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None = None, keep: int = 10, rows: int = 1000, levels: int | None = None) -> DataFrame:
     """The ``keep`` best candidates of each seeker, but for itself: ``u_*``, ``c_*``, ``pair``, ``rk``; excluded
     (user_id, other_id) pairs are left out. Users with a null id neither ask nor are found.
 
-    Both sides are dealt into blocks of about ``rows`` by a hash of the id; each pair of blocks is one group, from
-    which only the ``keep`` best of each seeker leave. So any number may ask: the work is seekers x candidates, in
-    groups of one size.
+    A top-k join with bounds. Candidates lie in cells: a class of style and a band of levels, of which none holds many
+    if levels differ. What a cell can give a seeker at most follows from the style, the nearest level of the band
+    and the seeker's own skills. First each seeker meets one cell, that of its best style and its own level; the score of
+    the last of the ``keep`` found there is what others have to reach. Then it meets the cells whose bound is
+    no less, ties included, and no others. Seekers and candidates of a cell meet in blocks of about ``rows``.
     """
-    none = F.array().cast("array<string>")
-    kind = candidates.schema["user_id"].dataType.simpleString()
+    found, _ = _rounds(seekers, candidates, exclude, keep, rows, levels)
     seekers, candidates = seekers.where("user_id is not null"), candidates.where("user_id is not null")
-    n_seek, n_found = (max(1, -(-x.count() // rows)) for x in (seekers, candidates))
+    return found.join(prefixed(seekers, "u"), "u_id").join(prefixed(candidates, "c"), "c_id")
+
+
+def looked_at(seekers: DataFrame, candidates: DataFrame, keep: int = 10, rows: int = 1000, levels: int | None = None) -> DataFrame:
+    """``seekers, candidates, pairs, looked_at``: how many pairs there are, and how many of them ``pair_scores`` scores."""
+    _, met = _rounds(seekers, candidates, None, keep, rows, levels)
+    n = candidates.where("user_id is not null").count()
+    return met.agg(F.count_distinct("user_id").alias("seekers"), F.sum("held").alias("looked_at")).select(
+        "seekers", F.lit(n).cast("long").alias("candidates"), (F.col("seekers") * n).alias("pairs"), "looked_at",
+    )
 
-    def dealt(df: DataFrame, blocks: int) -> DataFrame:
-        cols = [F.coalesce("strong", none).alias("strong"), F.coalesce("weak", none).alias("weak"), F.col("score").cast("double").alias("score"), "style"]
-        return df.select("user_id", *cols, F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("long").alias("own"))
 
-    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    u = dealt(seekers, n_seek).withColumn("c_block", every(n_found)).withColumnRenamed("own", "u_block").withColumn("asks", F.lit(True))
+def _rounds(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None, keep: int, rows: int, levels: int | None) -> tuple[DataFrame, DataFrame]:
+    """(u_id, c_id, pair, rk; user_id and held of each seeker and cell that met)."""
+    spark = candidates.sparkSession
+    none = F.array().cast("array<string>")
+    kind = candidates.schema["user_id"].dataType.simpleString()
+
+    def plain(df: DataFrame) -> DataFrame:
+        cols = [F.coalesce("strong", none).alias("strong"), F.coalesce("weak", none).alias("weak"), F.nanvl(F.col("score").cast("double"), F.lit(None)).alias("score"), "style"]
+        return df.where("user_id is not null").select("user_id", *cols, style_class(F.col("style")).alias("class"))
+
+    c = plain(candidates)
+    n, low, high = c.agg(F.count("*"), F.min("score"), F.max("score")).first()
+    bands = levels or max(1, min(LEVELS, n // (2 * rows)))
+    width = ((high or 0.0) - (low or 0.0)) / bands or 1.0
+    band = F.when(F.col("score").isNull(), -1).otherwise(F.least(F.lit(bands - 1), F.floor((F.col("score") - (low or 0.0)) / width))).cast("int")
+    c = c.withColumn("band", band)
+    # at most six classes times LEVELS + 1 bands
+    cells = c.groupBy("class", "band").agg(F.count("*").alias("held"), F.min("score").alias("least"), F.max("score").alias("most"), F.max(F.size("strong")).alias("widest")).collect()
+    made = "class string, band int, held long, least double, most double, widest int"
+    cells = F.broadcast(spark.createDataFrame(cells, made))
+    u = plain(seekers)
+    # as many blocks in each cell as all seekers would need
+    sizes = cells.select("class", "band", F.ceil(F.col("held") / rows).cast("int").alias("slices"), F.lit(max(1, -(-u.count() // rows))).alias("blocks"))
+    skip = None
     if exclude is not None:
         skip = exclude.groupBy("user_id").agg(F.collect_set(F.col("other_id").cast(kind)).alias("skip"))
         u = u.join(skip, "user_id", "left")
     else:
         u = u.withColumn("skip", F.array().cast(f"array<{kind}>"))
-    c = dealt(candidates, n_found).withColumn("u_block", every(n_seek)).withColumnRenamed("own", "c_block").withColumn("asks", F.lit(False))
+    # each seeker and each cell (a bounded list): what the cell can give
+    mine, theirs = F.size("strong"), F.col("widest")
+    has_weak = (F.size("weak") > 0).cast("int")
+    skill = F.least(F.lit(1.0), (mine + theirs * has_weak) / F.greatest(mine + theirs * has_weak, F.lit(1)))
+    gap = F.when(F.col("score").isNull() | F.col("least").isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.col("least") - F.col("score"), F.col("score") - F.col("most")))
+    bound = round3(0.5 * skill + 0.3 * F.coalesce(F.greatest(F.lit(0.0), 1 - gap * 2), F.lit(0.0)) + 0.2 * style_match(F.col("style"), F.col("class")))
+    reach = u.join(cells.withColumnRenamed("class", "cell_class"), F.lit(True)).withColumnRenamed("class", "own_class").withColumnRenamed("cell_class", "class").withColumn("bound", bound)
+    first = reach.groupBy("user_id").agg(F.max_by(F.struct("class", "band"), F.struct("bound", F.least("held", F.lit(keep + 1)), -F.abs(F.coalesce(gap, F.lit(9.0))), F.col("class"), F.col("band"))).alias("cell"))
+    first = u.drop("class").join(first, "user_id").select("user_id", "strong", "weak", "score", "style", "skip", "cell.class", "cell.band")
+    begun = stored(_scored(first, c, sizes, keep, rows, kind), "pairs")
+    last = begun.withColumn("rk", F.row_number().over(Window.partitionBy("u_id").orderBy(F.col("pair").desc(), "c_id"))).where(F.col("rk") == keep).select(F.col("u_id").alias("user_id"), F.col("pair").alias("need"))
+    seen = first.select("user_id", F.col("class").alias("seen_class"), F.col("band").alias("seen_band"))
+    more = reach.join(last, "user_id", "left").join(seen, "user_id").where((F.col("bound") >= F.coalesce("need", F.lit(-1.0))) & ((F.col("class") != F.col("seen_class")) | (F.col("band") != F.col("seen_band"))))
+    found = begun.unionByName(_scored(more.select(*first.columns), c, sizes, keep, rows, kind))
+    rk = F.row_number().over(Window.partitionBy("u_id").orderBy(F.col("pair").desc(), "c_id"))
+    met = first.select("user_id", "class", "band").unionByName(more.select("user_id", "class", "band")).join(cells.select("class", "band", "held"), ["class", "band"]).select("user_id", "held")
+    return found.withColumn("rk", rk).where(F.col("rk") <= keep), met
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.asks].reset_index(drop=True), pdf[~pdf.asks].sort_values("user_id").reset_index(drop=True)
+
+def _scored(asking: DataFrame, held: DataFrame, sizes: DataFrame, keep: int, rows: int, kind: str) -> DataFrame:
+    """``u_id, c_id, pair``: the best of each seeker in each slice of the cells it meets."""
+    columns = ["user_id", "strong", "weak", "score", "style"]
+    left, right, key = dealt(asking, held.select("class", "band", *columns), ["class", "band"], "user_id", "user_id", rows, rows, sizes)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"u_id": [], "c_id": [], "pair": []})
+        a, b = a.reset_index(drop=True), b.sort_values("user_id").reset_index(drop=True)
         pair = block_scores(a, b)
         ua, cb = a.user_id.to_numpy(), b.user_id.to_numpy()
         pair[ua[:, None] == cb[None, :]] = -np.inf
@@ -86,10 +150,8 @@ def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame |
         out = pd.DataFrame({"u_id": np.repeat(ua, top.shape[1]), "c_id": cb[top].ravel(), "pair": got.ravel()})
         return out[out.pair > -np.inf]
 
-    found = u.unionByName(c, allowMissingColumns=True).groupBy("u_block", "c_block").applyInPandas(best, f"u_id {kind}, c_id {kind}, pair double")
-    rk = F.row_number().over(Window.partitionBy("u_id").orderBy(F.col("pair").desc(), "c_id"))
-    found = found.withColumn("rk", rk).where(F.col("rk") <= keep)
-    return found.join(prefixed(seekers, "u"), "u_id").join(prefixed(candidates, "c"), "c_id")
+    left = left.select(*key, *columns, "skip")
+    return left.toDF(*left.columns).groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInPandas(best, f"u_id {kind}, c_id {kind}, pair double")
 
 
 def mean3(f, *sides: dict[str, Column]) -> Column:

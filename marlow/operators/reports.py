@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlow.sources.shared import stored
+
 
 def daily_report(records: DataFrame, as_of: str) -> DataFrame:
     """Totals of the day before ``as_of`` and the acceptance rate as text."""
@@ -14,6 +16,42 @@ def daily_report(records: DataFrame, as_of: str) -> DataFrame:
     return g.withColumn("rate", rate)
 
 
+def user_stats(records: DataFrame) -> DataFrame:
+    """``user_id, total, accepted, mean_difficulty, first_rate, mean_retries, n_tags``: a record counts once, however many tags
+    it has, or none; tags are counted apart. The mean difficulty is of six digits' decimals, so that it doesn't depend
+    on the order in which rows are added."""
+    tags = records.select("user_id", F.explode("tags").alias("tag")).groupBy("user_id").agg(F.count_distinct("tag").alias("n_tags"))
+    g = records.groupBy("user_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("verdict") == "OK").alias("accepted"), (F.sum(F.col("difficulty").cast("decimal(20,6)")).cast("double") / F.count("difficulty")).alias("mean_difficulty"),
+        F.avg(F.col("first_ac").cast("int")).alias("first_rate"), F.avg("retries").alias("mean_retries"),
+    )
+    return g.join(tags, "user_id", "left").withColumn("n_tags", F.coalesce("n_tags", F.lit(0)))
+
+
+def by_pattern(df: DataFrame, text: str, pattern: str, id_col: str) -> DataFrame:
+    """``key, n, first, last``: rows by what the pattern's group finds; rows in which it finds nothing are left out."""
+    key = F.regexp_extract(text, pattern, 1)
+    return df.where(key != "").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(id_col).alias("first"), F.max(id_col).alias("last"))
+
+
+def chunks(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """``group, chunk, items``: rows of each group in order, ``size`` to a chunk (the last may have fewer).
+
+    A group's rows are numbered without one task having them all: rows are put in ranges of (group, order), numbered in
+    their range, and a range starts where those before it end. Only rows that are equal in all of ``order`` share a range.
+    """
+    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id())
+    # numbers are read more than once, and ranges are drawn anew each time: so they are written
+    ranged = stored(ranged.withColumn("__part", F.shiftright("__at", 33)), "chunks")
+    parts = ranged.groupBy(group, "__part").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__first", F.coalesce(before, F.lit(0)).alias("__start"))
+    at = ranged.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p"))).withColumn("__place", F.col("__start") + F.col("__at") - F.col("__first"))
+    item = F.struct("__place", *[c for c in rows.columns if c != group])
+    g = at.groupBy(group, F.floor(F.col("__place") / size).alias("chunk")).agg(F.sort_array(F.collect_list(item)).alias("items"))  # ``size`` at most
+    return g.select(group, "chunk", F.transform("items", lambda x: x.dropFields("__place")).alias("items"))
+
+
 def _week(stats: DataFrame, as_of: str) -> DataFrame:
     return stats.where(F.col("stat_date") >= F.date_sub(F.lit(as_of).cast("date"), 7))
 

@@ -1,4 +1,4 @@
-"""Hybrid retrieval: exact vector recall, keyword recall, min-max fusion, weighted rank, rerank, filters."""
+"""Hybrid retrieval: exact vector recall, min-max fusion, weighted rank, rerank, filters."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlow.functions.scores import cosine_to
+from marlow.operators.fulltext import words
 
 #: Weight of each recall path by query type.
 WEIGHTS = {
@@ -28,15 +29,6 @@ def vector_recall(vectors: DataFrame, query: list[float], k: int = 80, where: Co
     return df.select("id", cosine_to(F.col("vector"), [float(x) for x in query]).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def keyword_recall(docs: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
-    """``id, score``: sum over terms of occurrences / (1 + ln(length)), the k best; no terms, no rows."""
-    text = F.lower("text")
-    hits = sum((F.floor((F.length(text) - F.length(F.replace(text, F.lit(t.lower()), F.lit("")))) / len(t)) for t in terms if t), F.lit(0))
-    score = hits / (1 + F.log(F.length("text").cast("double")))
-    # what scores 0 goes after the cut: a filter before it would have the scores computed twice
-    return docs.where(F.length("text") > 0).select("id", score.cast("double").alias("score")).orderBy(F.col("score").desc(), "id").limit(k).where("score > 0")
-
-
 def answered(paths: dict[str, Callable[[], DataFrame]], seconds: float = 3.0) -> dict[str, DataFrame]:
     """The recall paths that answer in time, each run on its own; one that fails or is late is left out, which
     ``fuse`` takes as empty. Answers are a recall limit of rows each, so they pass through the driver."""
@@ -101,6 +93,11 @@ def rerank_document(title: Column, retrieval: Column, solution: Column, full: Co
     return F.concat_ws(" | ", title, F.left(F.coalesce(blank(retrieval), blank(solution), blank(full), F.lit("")), F.lit(250)), F.array_join(tags, ","))
 
 
+def term_share(document: Column, terms: list[str]) -> Column:
+    """A rerank score without a model: the share of the terms that are words of the document."""
+    return F.size(F.array_intersect(F.array(*map(F.lit, terms)), words(document))) / len(terms)
+
+
 def hybrid_search(paths: dict[str, DataFrame], problems: DataFrame, query_type: str, top_k: int = 10, where: Column | None = None, filter_stage: str = "post", scorer=None) -> DataFrame:
     """Fusion, hydration, rerank, filter, top-k. ``post`` filters after the rerank cut (so fewer than
     top_k rows may be left); ``pre`` drops candidates that don't fit before it."""

@@ -91,23 +91,36 @@ def arrange(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> D
     return candidates.join(plans, "user_id").groupBy("user_id").applyInPandas(week, "user_id long, day int, slot string, position int, problem_id long")
 
 
+#: Stands for every problem where a list of tags is empty.
+ANY = ""
+
+
 def pools(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> DataFrame:
     """``candidates`` that ``arrange`` can pick, for each user of ``plans``: the same week comes out as from all of them.
 
     A pick takes the first unused of the fitting candidates in its order, and a week uses ``daily_target`` a day
-    at most, or the five of the slots; so the first of each order, as many as a week uses, are enough.
+    at most, or the five of the slots; so the first of each order, as many as a week uses, are enough. The first of
+    a list of tags are among the first of each of its tags. So the best are found for each tag and target that any
+    plan has, and users meet those alone: no user meets all problems.
+
+    Best rows are cut in two steps, first by score (ties of the last one stay), then by distance to each target; both are
+    ranks under a constant, which Spark applies to each partition before rows are sent. A common tag sends that many rows
+    a partition, not all of its own.
     """
     none = F.array().cast("array<string>")
     tags = lambda c: F.coalesce(F.col(c), none)
     lists = F.array(tags("primary"), tags("secondary"), tags("explore"), F.concat(tags("primary"), tags("secondary")))
-    wanted = plans.select("user_id", F.size("curve").alias("days"), F.explode("curve").alias("target"), lists.alias("l")).select("user_id", "days", "target", F.explode("l").alias("want")).distinct()
-    fits = (F.size("want") == 0) | F.arrays_overlap("want", "tags")
-    near = F.when(F.size("want") > 0, -F.col("score")).otherwise(0.0)
-    # wanted lists are a few for each plan
-    both = candidates.crossJoin(F.broadcast(wanted)).where(fits)
-    k = F.row_number().over(Window.partitionBy("user_id", "target", "want").orderBy(near, F.abs(F.col("difficulty") - F.col("target")), "problem_id"))
-    kept = both.withColumn("k", k).where(F.col("k") <= F.col("days") * max(daily_target, 5))
-    return kept.select("user_id", *candidates.columns).dropDuplicates(["user_id", "problem_id"])
+    asked = plans.select("user_id", F.explode("curve").alias("target"), lists.alias("l")).select("user_id", "target", F.explode("l").alias("want"))
+    asked = asked.select("user_id", "target", F.explode(F.when(F.size("want") > 0, F.col("want")).otherwise(F.array(F.lit(ANY)))).alias("tag")).distinct()
+    most = (plans.agg(F.max(F.size("curve"))).first()[0] or 0) * max(daily_target, 5)
+    tagged = candidates.withColumn("tag", F.explode(F.array_union(F.coalesce("tags", none), F.array(F.lit(ANY)))))
+    tagged = tagged.withColumn("by", F.when(F.col("tag") == ANY, 0.0).otherwise(-F.coalesce("score", F.lit(0.0))))
+    tagged = tagged.join(asked.select("tag").distinct(), "tag", "left_semi")
+    tagged = tagged.withColumn("k", F.rank().over(Window.partitionBy("tag").orderBy("by"))).where(F.col("k") <= most).drop("k")
+    aimed = tagged.join(asked.select("tag", "target").distinct(), "tag")
+    near = F.row_number().over(Window.partitionBy("tag", "target").orderBy("by", F.abs(F.col("difficulty") - F.col("target")), "problem_id"))
+    best = aimed.withColumn("k", near).where(F.col("k") <= most)
+    return asked.join(best.drop("k", "by"), ["tag", "target"]).select("user_id", *candidates.columns).dropDuplicates(["user_id", "problem_id"])
 
 
 def arrange_all(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> DataFrame:

@@ -211,9 +211,13 @@ def j03(spark, d):
 
 @query("j04_null_aware_anti", "J-04", "SELECT count(*) AS n FROM problems WHERE id NOT IN (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END FROM labels)")
 def j04(spark, d):
-    C.problems(spark, d).createOrReplaceTempView("marlow_problems")
-    C.read_table(spark, d, "labels").createOrReplaceTempView("marlow_labels")
-    return spark.sql("SELECT count(*) AS n FROM marlow_problems WHERE id NOT IN (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END FROM marlow_labels)")
+    keys = C.read_table(spark, d, "labels").select(F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("id"))
+    return filters.not_in(C.problems(spark, d).select("id"), keys, "id").agg(F.count("*").alias("n"))
+
+
+@query("j04b_not_in_keys", "J-04", "SELECT id FROM problems WHERE id NOT IN (SELECT doc_id FROM labels)")
+def j04b(spark, d):
+    return filters.not_in(C.problems(spark, d).select("id"), C.read_table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id")
 
 
 @query("j05_cached_map", "J-05 J-15", "SELECT id, username, n_name, r_name FROM users LEFT JOIN nation ON nation = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -254,10 +258,10 @@ def j08(spark, d):
     return top.select("user_id", "ac", name.alias("name"), F.row_number().over(Window.orderBy(F.col("ac").desc(), "user_id")).cast("long").alias("place"))
 
 
-@query("j13_unique_check", "J-13", "SELECT c_custkey AS id FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey < 20) AND c_custkey >= 20")
+@query("j13_unique_check", "J-13", "SELECT c_custkey AS id FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 60 = 7) AND c_custkey % 60 <> 7")
 def j13(spark, d):
     c = C.read_table(spark, d, "customer")
-    return c.where("c_custkey >= 20").join(c.where("c_custkey < 20"), ["c_nationkey", "c_mktsegment"], "left_semi").select(F.col("c_custkey").alias("id"))
+    return c.where("c_custkey % 60 <> 7").join(c.where("c_custkey % 60 = 7"), ["c_nationkey", "c_mktsegment"], "left_semi").select(F.col("c_custkey").alias("id"))
 
 
 @query("j14_fill_from_list", "J-14", "SELECT p.id, coalesce(CASE WHEN p.id % 2 = 0 THEN p.lang END, l.source) AS v FROM problems p LEFT JOIN problems l ON p.id = l.id")
@@ -274,13 +278,12 @@ def j16(spark, d):
 # --- aggregates ----------------------------------------------------------------------------------
 
 
-@query("a01_user_stats", "A-01 A-02 A-05", """SELECT user_id, count(*) AS total, count(*) FILTER (verdict = 'OK') AS accepted, round(avg(difficulty), 6) AS mean_difficulty, round(avg(CAST(first_ac AS INTEGER)), 6) AS first_rate, round(avg(retries), 6) AS mean_retries,
-count(DISTINCT tags[1]) AS n_tags FROM records GROUP BY user_id""")
+@query("a01_user_stats", "A-01 A-02 A-05", """SELECT user_id, count(*) AS total, count(*) FILTER (verdict = 'OK') AS accepted, CAST(sum(CAST(difficulty AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS mean_difficulty, avg(CAST(first_ac AS INTEGER)) AS first_rate, avg(retries) AS mean_retries,
+coalesce(any_value(n), 0) AS n_tags FROM records LEFT JOIN (SELECT user_id, count(DISTINCT tag) AS n FROM (SELECT user_id, unnest(tags) AS tag FROM records) GROUP BY user_id) USING (user_id) GROUP BY user_id""")
 def a01(spark, d):
-    return C.practice_records(spark, d).withColumn("tag", F.explode_outer("tags")).groupBy("user_id").agg(
-        F.count("*").alias("total"), F.count_if(F.col("verdict") == "OK").alias("accepted"), F.round(F.avg("difficulty"), 6).alias("mean_difficulty"),
-        F.round(F.avg(F.col("first_ac").cast("int")), 6).alias("first_rate"), F.round(F.avg("retries"), 6).alias("mean_retries"), F.count_distinct("tag").alias("n_tags"),
-    )
+    from marlow.operators.reports import user_stats
+
+    return user_stats(C.practice_records(spark, d))
 
 
 @query("a03_histograms", "A-03", """SELECT 'tag' AS kind, key, count(*) AS n FROM (SELECT unnest(tags) AS key FROM problems) GROUP BY key UNION ALL SELECT 'platform', coalesce(source_platform, 'unknown'), count(*) FROM problems GROUP BY ALL
@@ -292,7 +295,7 @@ def a03(spark, d):
     return tags.union(one("platform", F.coalesce("source_platform", F.lit("unknown")))).union(one("difficulty", F.expr("cast(cast(difficulty as bigint) div 500 as string)")))
 
 
-@query("a04_top_tags", "A-04", "SELECT user_id, tag, n FROM (SELECT user_id, tags[1] AS tag, count(*) AS n FROM records GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tag) <= 5")
+@query("a04_top_tags", "A-04", "SELECT user_id, tag, n FROM (SELECT user_id, tag, count(*) AS n FROM (SELECT user_id, unnest(tags) AS tag FROM records) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tag) <= 5")
 def a04(spark, d):
     n = C.practice_records(spark, d).select("user_id", F.explode("tags").alias("tag")).groupBy("user_id", "tag").agg(F.count("*").alias("n"))
     w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), "tag")
@@ -397,8 +400,8 @@ def a24(spark, d):
 
 
 def _team_sizes(supplier, customer):
-    m = customer.select((F.col("c_custkey") % 100).alias("s_suppkey"), "c_custkey")
-    g = supplier.join(m, "s_suppkey", "left").groupBy(F.col("s_suppkey").alias("team")).agg(F.count("c_custkey").alias("members"))
+    m = customer.groupBy((F.col("c_custkey") % 100).alias("team")).agg(F.count("*").alias("members"))
+    g = supplier.select(F.col("s_suppkey").alias("team")).join(m, "team", "left").withColumn("members", F.coalesce("members", F.lit(0)))
     return g.withColumn("is_full", F.col("members") >= 3)
 
 
@@ -409,10 +412,11 @@ def a26(spark, d):
     return job_summary(C.practice_records(spark, d), "2024-01-30 00:00:00")
 
 
-@query("a27_regex_groups", "A-27", "SELECT CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER) % 50 AS contest, list(page_id ORDER BY page_id) AS pages FROM pages WHERE regexp_extract(url, '/([0-9]+)', 1) <> '' GROUP BY contest")
+@query("a27_regex_groups", "A-27", "SELECT regexp_extract(url, '/([0-9]+)', 1) AS contest, count(*) AS n, min(page_id) AS first, max(page_id) AS last FROM pages WHERE regexp_extract(url, '/([0-9]+)', 1) <> '' GROUP BY contest")
 def a27(spark, d):
-    n = F.regexp_extract("url", "/([0-9]+)", 1)
-    return C.read_table(spark, d, "pages").where(n != "").groupBy((n.cast("int") % 50).alias("contest")).agg(F.sort_array(F.collect_list("page_id")).alias("pages"))
+    from marlow.operators.reports import by_pattern
+
+    return by_pattern(C.read_table(spark, d, "pages"), "url", "/([0-9]+)", "page_id").withColumnRenamed("key", "contest")
 
 
 @query("a28_heat_map", "A-28", """SELECT CAST(date_trunc('week', day) AS DATE) AS week, day, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n * 4 <= m THEN 1 WHEN n * 4 <= 2 * m THEN 2 WHEN n * 4 <= 3 * m THEN 3 ELSE 4 END AS shade
@@ -455,10 +459,11 @@ def a31b(spark, d):
     return summary(C.practice_records(spark, d))
 
 
-@query("a34_chunks", "A-34", "SELECT CAST((rn - 1) // 7 AS BIGINT) AS week, list(id ORDER BY rn) AS tasks FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM problems WHERE source = 'src3') GROUP BY week")
+@query("a34_chunks", "A-34", "SELECT source, CAST((rn - 1) // 7 AS BIGINT) AS week, list(id ORDER BY rn) AS tasks FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM problems) GROUP BY source, week")
 def a34(spark, d):
-    p = C.problems(spark, d).where("source = 'src3'").select("id", F.row_number().over(Window.partitionBy("source").orderBy("id")).alias("rn"))
-    return p.groupBy(F.expr("(rn - 1) div 7").alias("week")).agg(F.sort_array(F.collect_list(F.struct("rn", "id"))).alias("x")).select("week", F.col("x.id").alias("tasks"))
+    from marlow.operators.reports import chunks
+
+    return chunks(C.problems(spark, d).select("source", "id"), "source", ["id"], 7).select("source", F.col("chunk").alias("week"), F.col("items.id").alias("tasks"))
 
 
 @query("a35_round_summary", "A-35", "SELECT platform, count(*) FILTER (verdict = 'OK') AS fetched, count(*) FILTER (verdict = 'RE') AS errors, count(*) FILTER (verdict NOT IN ('OK', 'RE')) AS skipped FROM records GROUP BY platform")

@@ -10,10 +10,11 @@ from marlow.functions import identity as I
 from marlow.functions import queries as QA
 from marlow.functions import scores as S
 from marlow.functions import text as T
-from marlow.operators import dedup, matching, profile, reports, retrieval, training, upsert
+from marlow.operators import dedup, fulltext, matching, profile, reports, retrieval, training, upsert, vector_index
 from marlow.plans.registry import query
 from marlow.sources import catalog as C
 from marlow.sources import dims
+from marlow.sources.shared import kept
 
 AS_OF_TS = "2024-01-31 00:00:00"
 QUERY_VEC = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
@@ -41,15 +42,71 @@ def r04(spark, d):
     return retrieval.vector_recall(vectors(spark, d), query_vector(spark, d), 20, F.col("label").isin(1, 3, 5)).select("id", F.round("score", 6).alias("score"))
 
 
-KEYWORD = "SELECT id, (({hits})) / (1 + ln(length(content))) AS score FROM problems WHERE length(content) > 0".format(
-    hits=" + ".join(f"(length(content) - length(replace(lower(content), '{t}', ''))) // {len(t)}" for t in ("ation", "ung", "the"))
-)
+def indexed_vectors(spark, d):
+    """The inverted file of all vectors, written once for a session."""
+    path = kept(spark, f"{d}/embeddings.parquet", "cells", lambda path: vector_index.write_index(vectors(spark, d), path))
+    return vector_index.VectorIndex.open(spark, path)
+
+
+def _asked(spark, d):
+    return vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+_NEIGHBOURS = """SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM (
+SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON {where} WHERE q.vec_id % 50 = 0) QUALIFY rank <= {k}"""
+
+
+@query("r01b_indexed_neighbours", "R-01 R-02", _NEIGHBOURS.format(where="true", k=80))
+def r01b(spark, d):
+    """Every cell is probed: exact, for each vector whose id is divisible by 50, against all."""
+    return indexed_vectors(spark, d).search_all(_asked(spark, d), 80, None).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("r01c_index_recall", "R-01 R-02")
+def r01c(spark, d):
+    """Recall of the 80 nearest by the number of probes, against the exact result."""
+    index, asked = indexed_vectors(spark, d), _asked(spark, d)
+    exact = index.search_all(asked, 80, None)
+    out = None
+    for share in (0.1, 0.25, 0.5, 0.75, 0.9):
+        probes = max(1, round(share * len(index.cells)))
+        one = vector_index.recall(index.search_all(asked, 80, probes), exact).select(F.lit(probes).alias("probes"), F.lit(len(index.cells)).alias("cells"), "wanted", "hits", F.round("recall", 4).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("r04b_indexed_filter", "R-04", _NEIGHBOURS.format(where="v.label IN (1, 3, 5)", k=20))
+def r04b(spark, d):
+    """The filter stands before the top-k, inside the index."""
+    found = indexed_vectors(spark, d).search_all(_asked(spark, d), 20, None, F.col("label").isin(1, 3, 5))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+TERMS = ["the", "und", "de la"]
+WORDS = r"regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')"
+_OFTEN = "len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'und')) + len(list_filter(range(1, len(w)), lambda i: w[i] = 'de' AND w[i + 1] = 'la'))"
+KEYWORD = f"SELECT id, ({_OFTEN}) / (1 + ln(length(content))) AS score FROM (SELECT id, content, {WORDS} AS w FROM problems)"
+
+
+def keyword_index(spark, d):
+    """The postings of all live problems, written once for a session."""
+    def build(path):
+        fulltext.write_index(C.spread(C.problems(spark, d).select("id", F.col("content").alias("text"))), path)
+
+    return fulltext.open_index(spark, kept(spark, f"{d}/documents.parquet", "postings", build))
 
 
 @query("r03_keyword_recall", "R-03 R-05", f"SELECT id, round(score, 6) AS score FROM ({KEYWORD}) WHERE score > 0 ORDER BY score DESC, id LIMIT 50")
 def r03(spark, d):
-    p = C.spread(C.problems(spark, d).select("id", F.col("content").alias("text")))
-    return retrieval.keyword_recall(p, ["ation", "ung", "the"]).select("id", F.round("score", 6).alias("score"))
+    return fulltext.search(keyword_index(spark, d), TERMS).select("id", F.round("score", 6).alias("score"))
+
+
+@query("r05_empty_terms", "R-05", f"SELECT id, CAST({_OFTEN} AS BIGINT) AS tf FROM (SELECT id, {WORDS} AS w FROM problems) WHERE tf > 0")
+def r05(spark, d):
+    """Every text that has a term, however the terms are quoted; terms without a word find nothing."""
+    index = keyword_index(spark, d)
+    found = fulltext.matches(index, ["'the'", "und | ''", "de' la"])
+    return found.unionByName(fulltext.matches(index, ["", "'", " | "])).select("id", "tf")
 
 
 _SOLUTION = f"UNION ALL (SELECT vec_id, 'solution', {COS} FROM embeddings WHERE label % 2 = 0 ORDER BY 3 DESC, vec_id LIMIT 80)"
@@ -63,7 +120,7 @@ g AS (SELECT f.id, coalesce(c, 0) AS content_score, coalesce(so, 0) AS solution_
   list_filter([CASE WHEN c IS NOT NULL THEN 'content' END, CASE WHEN so IS NOT NULL THEN 'solution' END, CASE WHEN k IS NOT NULL THEN 'keyword' END], lambda x: x IS NOT NULL) AS sources FROM f JOIN problems p ON f.id = p.id)"""
 
 
-@query("r07_hybrid_search", "R-06 R-07 R-08 R-09 J-06 W-03 D-02", HYBRID + """
+@query("r07_hybrid_search", "R-06 R-07 R-08 J-06 W-03 D-02", HYBRID + """
 SELECT id, round(content_score, 6) AS content_score, round(keyword_score, 6) AS keyword_score, round(solution_score, 6) AS solution_score, round(rough, 6) AS rough_score, sources, row_number() OVER (ORDER BY rough DESC, id) AS rank FROM g ORDER BY rough DESC, id LIMIT 10""")
 def r07(spark, d):
     return _hybrid(spark, d).select("id", *(F.round(c, 6).alias(c) for c in ("content_score", "keyword_score", "solution_score", "rough_score")), "sources", F.col("rank").cast("long").alias("rank"))
@@ -78,7 +135,7 @@ _BY_TYPE = " UNION ALL ".join(
 @query("r08_query_types", "R-08", HYBRID + "\n" + _BY_TYPE)
 def r08(spark, d):
     p = C.problems(spark, d)
-    paths = retrieval.answered({k: lambda x=x: x for k, x in _paths(spark, d, p).items()}, seconds=300)  # each is run once
+    paths = _paths(spark, d)
     one = lambda t: retrieval.hybrid_search(paths, p, t).select(F.lit(t).alias("query_type"), "id", F.round("rough_score", 6).alias("rough_score"))
     first, *others = map(one, retrieval.WEIGHTS)
     for more in others:
@@ -86,23 +143,38 @@ def r08(spark, d):
     return first
 
 
-@query("r07b_hybrid_post_filter", "R-09 P-20", HYBRID + """
+_SEEN = r"len(list_filter(['the', 'und', 'la'], lambda t: list_contains(regexp_extract_all(lower(concat_ws(' | ', title, left(content, 250), array_to_string(tags, ','))), '[\p{L}\p{N}_]+'), t))) / 3"
+
+
+@query("r09_reranked", "R-09 R-10", HYBRID + f""", cut AS (SELECT g.id, rough, {_SEEN} AS seen FROM (SELECT * FROM g ORDER BY rough DESC, id LIMIT 20) g JOIN problems p ON p.id = g.id),
+s AS (SELECT *, CASE WHEN id % 5 <> 0 THEN seen END AS given FROM cut),
+fin AS (SELECT 'scored' AS scorer, id, rough, CASE WHEN max(given) OVER () - min(given) OVER () < 0.01 THEN rough ELSE coalesce(given, rough) END AS final FROM s UNION ALL SELECT 'flat', id, rough, rough FROM s)
+SELECT scorer, id, round(rough, 6) AS rough_score, round(final, 6) AS final_score FROM fin QUALIFY row_number() OVER (PARTITION BY scorer ORDER BY final DESC, id) <= 10""")
+def r09(spark, d):
+    """A scorer that misses every fifth candidate, and one whose scores hardly differ."""
+    p = C.problems(spark, d)
+    full = retrieval.rerank_document(F.col("title"), F.lit(""), F.lit(""), F.col("content"), F.col("tags"))
+    scorers = {
+        "scored": lambda cut: cut.where("id % 5 <> 0").select("id", retrieval.term_share(full, ["the", "und", "la"]).alias("rerank_score")),
+        "flat": lambda cut: cut.select("id", (F.lit(0.5) + F.col("id") % 3 / 1000).alias("rerank_score")),
+    }
+    found = [retrieval.hybrid_search(_paths(spark, d), p, "algorithm_intent", scorer=f).select(F.lit(n).alias("scorer"), "id", *(F.round(c, 6).alias(c) for c in ("rough_score", "final_score"))) for n, f in scorers.items()]
+    return found[0].unionByName(found[1])
+
+
+@query("r07b_hybrid_post_filter", "P-20", HYBRID + """
 SELECT g.id, round(rough, 6) AS rough_score FROM (SELECT * FROM g ORDER BY rough DESC, id LIMIT 20) g JOIN problems p ON p.id = g.id WHERE p.lang = 'en' ORDER BY rough DESC, g.id LIMIT 10""")
 def r07b(spark, d):
     return _hybrid(spark, d, F.col("lang") == "en").select("id", F.round("rough_score", 6).alias("rough_score"))
 
 
-def _paths(spark, d, p):
+def _paths(spark, d):
     v, q = vectors(spark, d), query_vector(spark, d)
-    return {
-        "content": retrieval.vector_recall(v, q), "solution": retrieval.vector_recall(v, q, 80, F.col("label") % 2 == 0),
-        "keyword": retrieval.keyword_recall(C.spread(p.select("id", F.col("content").alias("text"))), ["ation", "ung", "the"]),
-    }
+    return {"content": retrieval.vector_recall(v, q), "solution": retrieval.vector_recall(v, q, 80, F.col("label") % 2 == 0), "keyword": fulltext.search(keyword_index(spark, d), TERMS)}
 
 
 def _hybrid(spark, d, where=None):
-    p = C.problems(spark, d)
-    return retrieval.hybrid_search(_paths(spark, d, p), p, "algorithm_intent", 10, where)
+    return retrieval.hybrid_search(_paths(spark, d), C.problems(spark, d), "algorithm_intent", 10, where)
 
 
 def _refused():
@@ -113,8 +185,7 @@ def _refused():
 SELECT id, round(content_score, 6) AS content_score, round(keyword_score, 6) AS keyword_score, round(solution_score, 6) AS solution_score, round(rough, 6) AS rough_score, sources FROM g ORDER BY rough DESC, id LIMIT 10""")
 def r11(spark, d):
     p, v, q = C.problems(spark, d), vectors(spark, d), query_vector(spark, d)
-    words = C.spread(p.select("id", F.col("content").alias("text")))
-    asked = {"content": lambda: retrieval.vector_recall(v, q), "solution": _refused, "keyword": lambda: retrieval.keyword_recall(words, ["ation", "ung", "the"])}
+    asked = {"content": lambda: retrieval.vector_recall(v, q), "solution": _refused, "keyword": lambda: fulltext.search(keyword_index(spark, d), TERMS)}
     found = retrieval.hybrid_search(retrieval.answered(asked, seconds=300), p, "algorithm_intent")
     return found.select("id", *(F.round(c, 6).alias(c) for c in ("content_score", "keyword_score", "solution_score", "rough_score")), "sources")
 
@@ -158,12 +229,12 @@ def r22(spark, d):
 @query("a06_profile_dimensions", "A-06 A-07 A-08 A-09 A-33 F-01 F-02 F-03 F-04 F-05 W-02", """
 WITH base AS (SELECT user_id, count(*) AS total, count(*) FILTER (verdict = 'OK') AS accepted, avg(difficulty) AS avg_difficulty, avg(CAST(first_ac AS INTEGER)) AS fr, avg(retries) AS ar,
   CASE WHEN count(*) < 5 THEN 0 ELSE quantile_cont(difficulty, 0.9) END AS ceiling, greatest(0, (epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(submit_time)))) / 86400) AS days FROM records GROUP BY user_id),
-tags AS (SELECT user_id, count(*) AS unique_tags, sum(n) FILTER (k <= 3) AS top3 FROM (SELECT user_id, tag, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tag) AS k FROM (SELECT user_id, tags[1] AS tag, count(*) AS n FROM records GROUP BY ALL)) GROUP BY user_id),
+tags AS (SELECT user_id, count(*) AS unique_tags, sum(n) FILTER (k <= 3) AS top3 FROM (SELECT user_id, tag, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tag) AS k FROM (SELECT user_id, tag, count(*) AS n FROM (SELECT user_id, unnest(tags) AS tag FROM records) GROUP BY ALL)) GROUP BY user_id),
 days AS (SELECT user_id, stat_date, count(*) FILTER (verdict = 'OK') AS ac, row_number() OVER (PARTITION BY user_id ORDER BY stat_date DESC) AS k FROM records GROUP BY user_id, stat_date),
 mom AS (SELECT user_id, greatest(-1, least(1, coalesce(regr_slope(ac::DOUBLE, -k::DOUBLE), 0) / 0.5)) AS momentum FROM days WHERE k <= 30 GROUP BY user_id),
-s AS (SELECT *, least(unique_tags / 20.0, 1) AS coverage, 0.4 / (1 + exp(-10 * (accepted / total - 0.5))) + 0.3 * least(avg_difficulty / 10, 1) + 0.2 * least(ln(1 + accepted) / ln(31), 1) + 0.1 * exp(-0.023 * days) AS proficiency,
-  0.6 * fr + 0.4 * (1 - least(ar / 5, 1)) AS efficiency, CASE WHEN accepted >= 200 AND avg_difficulty <= 4 THEN 'grinder' WHEN avg_difficulty >= 7 AND unique_tags <= 8 THEN 'deep_diver' WHEN accepted > 0 AND top3 / accepted >= 0.5 THEN 'specialist' ELSE 'balanced' END AS style
-  FROM base JOIN tags USING (user_id) JOIN mom USING (user_id))
+s AS (SELECT *, least(coalesce(unique_tags, 0) / 20.0, 1) AS coverage, 0.4 / (1 + exp(-10 * (accepted / total - 0.5))) + 0.3 * least(avg_difficulty / 10, 1) + 0.2 * least(ln(1 + accepted) / ln(31), 1) + 0.1 * exp(-0.023 * days) AS proficiency,
+  0.6 * fr + 0.4 * (1 - least(ar / 5, 1)) AS efficiency, CASE WHEN accepted >= 200 AND avg_difficulty <= 4 THEN 'grinder' WHEN avg_difficulty >= 7 AND coalesce(unique_tags, 0) <= 8 THEN 'deep_diver' WHEN accepted > 0 AND top3 / accepted >= 0.5 THEN 'specialist' ELSE 'balanced' END AS style
+  FROM base LEFT JOIN tags USING (user_id) JOIN mom USING (user_id))
 SELECT user_id, style, round(coverage, 4) AS coverage, round(proficiency, 4) AS proficiency, round(ceiling, 4) AS ceiling, round(efficiency, 4) AS efficiency, round(momentum, 4) AS momentum,
   round((0.2 * coverage + 0.25 * proficiency + 0.2 * least(ceiling / 10, 1) + 0.2 * efficiency) * CASE style WHEN 'grinder' THEN 0.6 WHEN 'deep_diver' THEN 0.8 WHEN 'specialist' THEN 0.5 ELSE 1.0 END * (1 + 0.1 * momentum), 4) AS overall FROM s""")
 def a06(spark, d):
@@ -180,14 +251,14 @@ def taxonomy(spark):
 
 
 @query("a09_category_coverage", "A-09 K-05", f"""WITH t AS ({TAXONOMY}), z AS (SELECT category, count(*) AS size FROM t GROUP BY category), u AS (SELECT DISTINCT user_id FROM records),
-h AS (SELECT user_id, category, count(DISTINCT tag) AS n FROM records JOIN t ON tags[1] = tag GROUP BY ALL)
+h AS (SELECT user_id, category, count(DISTINCT tag) AS n FROM (SELECT user_id, unnest(tags) AS tag FROM records) JOIN t USING (tag) GROUP BY ALL)
 SELECT u.user_id, z.category, round(coalesce(n / size, 0), 6) AS coverage FROM u CROSS JOIN z LEFT JOIN h ON h.user_id = u.user_id AND h.category = z.category""")
 def a09(spark, d):
     return profile.category_coverage(C.practice_records(spark, d), taxonomy(spark)).select("user_id", "category", F.round("coverage", 6).alias("coverage"))
 
 
 @query("a32_strengths", "A-32", f"""WITH t AS ({TAXONOMY}), z AS (SELECT category, count(*) AS size FROM t GROUP BY category), u AS (SELECT DISTINCT user_id FROM records),
-h AS (SELECT user_id, category, count(DISTINCT tag) AS n FROM records JOIN t ON tags[1] = tag GROUP BY ALL),
+h AS (SELECT user_id, category, count(DISTINCT tag) AS n FROM (SELECT user_id, unnest(tags) AS tag FROM records) JOIN t USING (tag) GROUP BY ALL),
 c AS (SELECT u.user_id, z.category, coalesce(n / size, 0) AS coverage FROM u CROSS JOIN z LEFT JOIN h ON h.user_id = u.user_id AND h.category = z.category),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coverage DESC, category) AS b, row_number() OVER (PARTITION BY user_id ORDER BY coverage, category DESC) AS w FROM c)
 SELECT user_id, coalesce(list(category ORDER BY b) FILTER (b <= 5 AND coverage > 0), []) AS strong, coalesce(list(category ORDER BY w) FILTER (w <= 5 AND coverage < 1), []) AS weak FROM k GROUP BY user_id""")
@@ -232,13 +303,22 @@ def r15(spark, d):
     return matching.pair_scores(p.where("user_id % 50 = 0"), p).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
 
 
-@query("r17_teammates", "R-16 R-17 R-18 J-09", f"""WITH p AS ({PROFILES}), b AS (SELECT u.user_id AS uid, c.*, row_number() OVER (PARTITION BY u.user_id ORDER BY {_pair_sql('u', 'c')} DESC, c.user_id) AS rk FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id % 50 = 0 QUALIFY rk <= 10),
+@query("r15b_pairs_looked_at", "R-15")
+def r15b(spark, d):
+    p = match_profiles(spark, d)
+    return matching.looked_at(p.where("user_id % 50 = 0"), p)
+
+
+@query("r17_teammates", "R-16 R-17 R-18 J-09", f"""WITH p AS ({PROFILES}), b AS (SELECT u.user_id AS uid, c.*, row_number() OVER (PARTITION BY u.user_id ORDER BY {_pair_sql('u', 'c')} DESC, c.user_id) AS rk FROM p u JOIN p c ON u.user_id <> c.user_id AND NOT (c.user_id - u.user_id BETWEEN 7 AND 70 AND (c.user_id - u.user_id) % 7 = 0) WHERE u.user_id % 50 = 0 QUALIFY rk <= 10),
 t AS (SELECT u.user_id, x.user_id AS first_id, y.user_id AS second_id, floor((({_pair_sql('u', 'x')} + {_pair_sql('u', 'y')} + {_pair_sql('x', 'y')}) / 3 * 0.7 + least(len(list_distinct(list_concat(list_concat(u.strong, x.strong), y.strong))) / 10, 1.0) * 0.3) * 1000 + 0.5) / 1000 AS team_score
 FROM b x JOIN b y ON x.uid = y.uid AND x.rk < y.rk JOIN p u ON u.user_id = x.uid)
 SELECT t.user_id, first_id, second_id, team_score, x.c_name AS first_name, y.c_name AS second_name, row_number() OVER (PARTITION BY t.user_id ORDER BY team_score DESC, first_id, second_id) AS place FROM t JOIN customer x ON x.c_custkey = first_id JOIN customer y ON y.c_custkey = second_id QUALIFY place <= 5""")
 def r17(spark, d):
     p = match_profiles(spark, d)
-    best = matching.recommend(p.where("user_id % 50 = 0"), p)
+    asks = p.where("user_id % 50 = 0")
+    # those who have asked before: every seventh user from the seeker on
+    known = asks.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("i")).select("user_id", (F.col("user_id") + F.col("i") * 7).alias("other_id"))
+    best = matching.recommend(asks, p, exclude=known)
     for which in ("first", "second"):
         best = best.join(C.read_table(spark, d, "customer").select(F.col("c_custkey").alias(f"{which}_id"), F.col("c_name").alias(f"{which}_name")), f"{which}_id")
     return best.select("user_id", "first_id", "second_id", "team_score", "first_name", "second_name", F.col("place").cast("long").alias("place"))
@@ -329,9 +409,12 @@ def j11(spark, d):
 @query("r21_week_plan", "R-21 K-06")
 def r21(spark, d):
     c = C.problems(spark, d).select(F.col("id").alias("problem_id"), "tags", (F.col("difficulty") / 350).alias("difficulty"), (F.col("id") % 10 / 10).alias("score"))
-    lits = lambda *x: F.array(*map(F.lit, x))
-    users = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
-    plans = users.select("user_id", lits("tag_1", "tag_2").alias("primary"), lits("tag_3").alias("secondary"), lits("tag_4").alias("explore"), training.curve(F.lit("topic_breakthrough")).alias("curve"))
+    k = F.col("c_custkey")
+    tag = lambda n: F.concat(F.lit("tag_"), (n % 20).cast("string"))
+    explore = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(tag(k + 4)))
+    plans = C.read_table(spark, d, "customer").select(
+        k.alias("user_id"), F.array(tag(k), tag(k * 7 + 1)).alias("primary"), F.array(tag(k * 3)).alias("secondary"), explore.alias("explore"), training.curve(_phase()).alias("curve"),
+    )
     return training.arrange_all(c, plans)
 
 
@@ -702,13 +785,13 @@ def u06(spark, d):
     return upsert.hard_delete(p, p.where(F.col("content").contains("!!"))).select("id")
 
 
-@query("u07_conditional_insert", "U-07", """WITH m AS (SELECT c_custkey % 100 AS team, c_custkey AS "user" FROM customer WHERE c_custkey < 150), held AS (SELECT team, count(*) AS held FROM m GROUP BY team),
+@query("u07_conditional_insert", "U-07", """WITH m AS (SELECT c_custkey % 100 AS team, c_custkey AS "user" FROM customer WHERE c_custkey % 100 % 4 = c_custkey // 100 % 12), held AS (SELECT team, count(*) AS held FROM m GROUP BY team),
 r AS (SELECT c_custkey % 100 AS team, c_custkey AS "user", c_custkey AS seq FROM customer), t AS (SELECT r.*, coalesce(held, 0) AS held, m."user" IS NOT NULL AS twice FROM r LEFT JOIN held USING (team) LEFT JOIN m ON m.team = r.team AND m."user" = r."user"),
 p AS (SELECT *, sum(CASE WHEN twice THEN 0 ELSE 1 END) OVER (PARTITION BY team ORDER BY seq) AS place FROM t)
 SELECT team, "user", CASE WHEN twice THEN 'duplicate' WHEN held + place > 3 THEN 'full' ELSE 'accepted' END AS reason FROM p""")
 def u07(spark, d):
     c = C.read_table(spark, d, "customer")
-    members = c.where("c_custkey < 150").select((F.col("c_custkey") % 100).alias("team"), F.col("c_custkey").alias("user"))
+    members = c.where("c_custkey % 100 % 4 = c_custkey div 100 % 12").select((F.col("c_custkey") % 100).alias("team"), F.col("c_custkey").alias("user"))
     wanted = c.select((F.col("c_custkey") % 100).alias("team"), F.col("c_custkey").alias("user"), F.col("c_custkey").alias("seq"))
     yes, no = upsert.conditional_insert(members, wanted)
     return yes.withColumn("reason", F.lit("accepted")).unionByName(no)

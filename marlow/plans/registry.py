@@ -21,7 +21,7 @@ REGISTER: dict[str, Query] = {}
 VIEWS = {
     "records": """SELECT event_id AS id, user_id, (['luogu','leetcode','nowcoder','codeforces','atcoder'])[CAST(user_id % 5 + 1 AS INTEGER)] AS platform, event_id % 97 AS problem_id,
   ts AS submit_time, CAST(ts AS DATE) AS stat_date, CASE event_type WHEN 'purchase' THEN 'OK' WHEN 'click' THEN 'WA' WHEN 'view' THEN 'TLE' WHEN 'error' THEN 'RE' WHEN 'signup' THEN 'CE' ELSE 'OTHER' END AS verdict,
-  least(10.0::DOUBLE, 1 + value / 50) AS difficulty, ['tag_' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS VARCHAR)] AS tags, event_id % 3 = 0 AS first_ac, CAST(event_id % 4 AS INTEGER) AS retries FROM events""",
+  least(10.0::DOUBLE, 1 + value / 50) AS difficulty, CASE WHEN event_id % 6 = 0 THEN CAST([] AS VARCHAR[]) WHEN event_id % 6 <= 2 THEN list_distinct(['tag_' || (k % 20), 'tag_' || (k % 20 * 7 % 20), 'tag_' || (k % 20 * 3 % 20)]) WHEN event_id % 6 = 3 THEN list_distinct(['tag_' || (k % 20), 'tag_' || (k % 20 * 7 % 20)]) ELSE ['tag_' || (k % 20)] END AS tags, event_id % 3 = 0 AS first_ac, CAST(event_id % 4 AS INTEGER) AS retries FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
     "allproblems": """SELECT doc_id AS id, (['luogu','leetcode','nowcoder','codeforces','atcoder'])[CAST(doc_id % 5 + 1 AS INTEGER)] AS source_platform, 'P' || doc_id AS source_id, left(text, 40) AS title,
   CAST(n_chars % 3500 AS DOUBLE) AS difficulty, CASE WHEN doc_id % 20 = doc_id * 7 % 20 THEN ['tag_' || (doc_id % 20)] ELSE ['tag_' || (doc_id % 20), 'tag_' || (doc_id * 7 % 20)] END AS tags,
   text AS content, lang, source, n_chars, to_timestamp(1704067200 + doc_id * 60) AT TIME ZONE 'UTC' AS created_at, CASE WHEN doc_id % 17 = 0 THEN to_timestamp(1704067200 + doc_id * 61) AT TIME ZONE 'UTC' END AS deleted_at FROM documents""",

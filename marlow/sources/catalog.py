@@ -33,11 +33,14 @@ def practice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submissions out of ``events``."""
     e = read_table(spark, sf_dir, "events")
     verdict = F.coalesce(F.element_at(F.create_map(*map(F.lit, ("purchase", "OK", "click", "WA", "view", "TLE", "error", "RE", "signup", "CE"))), F.col("event_type")), F.lit("OTHER"))
+    # records have no, one, two or three tags
+    e6, k = F.col("event_id") % 6, F.get_json_object("props", "$.k").cast("int") % 20
+    tag = lambda n: F.concat(F.lit("tag_"), n.cast("string"))
     return e.select(
         F.col("event_id").alias("id"), "user_id", platform_of(F.col("user_id")).alias("platform"), (F.col("event_id") % 97).alias("problem_id"),
         F.col("ts").alias("submit_time"), F.to_date("ts").alias("stat_date"), verdict.alias("verdict"),
         F.least(F.lit(10.0), 1 + F.col("value") / 50).alias("difficulty"),
-        F.array(F.concat(F.lit("tag_"), (F.get_json_object("props", "$.k").cast("int") % 20).cast("string"))).alias("tags"),
+        F.when(e6 == 0, F.array().cast("array<string>")).when(e6 <= 2, F.array_distinct(F.array(tag(k), tag(k * 7 % 20), tag(k * 3 % 20)))).when(e6 == 3, F.array_distinct(F.array(tag(k), tag(k * 7 % 20)))).otherwise(F.array(tag(k))).alias("tags"),
         (F.col("event_id") % 3 == 0).alias("first_ac"), (F.col("event_id") % 4).cast("int").alias("retries"),
     )
 

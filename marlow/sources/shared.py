@@ -6,8 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -34,3 +35,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what must be the same whenever it is read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, table: str, name: str, build: Callable[[str], None]) -> str:
+    """The path of what ``build(path)`` writes from the files of ``table``: built at the first call of the session, and
+    again when the table's files have changed (path, length or time)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hpath, True)
+    state = []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(state)))
+    if key not in _KEPT:
+        path = scratch(spark, name)
+        build(path)
+        _KEPT[key] = path
+    return _KEPT[key]
