@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlow.functions.scores import literal_map
+from marlow.sources.dims import TAG_SLUGS
 
 # Spellings of verdicts.
 VERDICTS = {
@@ -55,6 +56,24 @@ def tag_slugs(tags: Column) -> Column:
     return F.array_distinct(F.transform(tags, slug))
 
 
+def raw_tags(text: Column) -> Column:
+    """Tags of a JSON list whose entries are texts or objects: a text stands for itself, an object for its name, else its
+    slug; what is no list, or no JSON, has no tags. Other entries are as they are written."""
+    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+
+    def tag(t: Column) -> Column:
+        part = lambda name: F.nullif(F.try_variant_get(t, f"$.{name}", "string"), F.lit(""))
+        whole = F.try_variant_get(t, "$", "string")
+        return F.when(F.is_variant_null(t), "null").when(F.schema_of_variant(t).startswith("OBJECT"), F.coalesce(part("name"), part("slug"), F.lit("[object Object]"))).otherwise(whole)
+
+    return F.coalesce(F.transform(items, tag), F.array().cast("array<string>"))
+
+
+def english_slug(tag: Column) -> Column:
+    """The English slug of a tag; of one that isn't known, its small letters with dashes for blanks."""
+    return F.coalesce(F.element_at(literal_map(TAG_SLUGS), tag), F.replace(F.lower(tag), F.lit(" "), F.lit("-")))
+
+
 def verdict(raw: Column) -> Column:
     """One of the nine verdicts; OTHER for what is unknown."""
     return F.coalesce(F.element_at(literal_map(VERDICTS), F.lower(F.trim(raw))), F.lit("OTHER"))

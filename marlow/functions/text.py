@@ -237,3 +237,27 @@ def leetcode_samples(html: Column) -> Column:
         return F.transform(F.arrays_zip(F.regexp_extract_all(html, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(html, F.lit(p), F.lit(2)).alias("b")), lambda x: F.array(text(x["a"]), text(x["b"])))
 
     return F.when(F.size(pairs(pre)) > 0, pairs(pre)).otherwise(pairs(new))
+
+
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def utf16_hex(text: Column, width: int) -> Column:
+    """The first ``width`` UTF-16 units of a text, as four hexadecimal digits each."""
+    return F.left(F.hex(F.encode(F.left(text, F.lit(width)), "UTF-16BE")), F.lit(4 * width))
+
+
+def utf16_units(text: Column, width: int) -> Column:
+    """The first ``width`` UTF-16 units of a text as numbers."""
+    h = utf16_hex(text, width)
+    return F.transform(F.filter(F.split(h, "(?<=\\G....)"), lambda u: u != ""), lambda u: F.conv(u, 16, 10).cast("long"))
+
+
+def utf16_left(text: Column, width: int) -> Column:
+    """The first ``width`` UTF-16 units of a text. A character above U+FFFF is two of them; where the cut would leave
+    its first half, that half is the replacement character, as it is when such a text is written as UTF-8."""
+    h = utf16_hex(text, width)
+    split = F.substring(h, 4 * width - 3, 4).between("D800", "DBFF")
+    cut = F.concat(F.decode(F.unhex(F.when(split, F.left(h, F.lit(4 * width - 4))).otherwise(h)), "UTF-16BE"), F.when(split, F.lit("\ufffd")).otherwise(""))
+    # texts without such characters, and those that are short enough, are cut as they are
+    return F.when(F.length(text) * 2 <= width, text).when(F.left(text, F.lit(width)).rlike(ASTRAL), cut).otherwise(F.left(text, F.lit(width)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlow.functions.text import utf16_units
+
 
 def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in this order."""
@@ -20,8 +22,7 @@ def prefix_groups(df: DataFrame, text: str, width: int, key: str = "id") -> Data
 
 
 def rolling_hash(text: Column, width: int = 200, buckets: int = 100_000) -> Column:
-    """The 32-bit hash h * 31 + unit of the first ``width`` characters, its absolute value modulo
-    ``buckets``. Characters above U+FFFF count by their code point."""
-    units = F.filter(F.split(F.left(text, F.lit(width)), ""), lambda c: c != "")
-    h = F.aggregate(units, F.lit(0).cast("long"), lambda acc, c: F.pmod(acc * 31 + F.ascii(c), F.lit(1 << 32)))
+    """The 32-bit hash h * 31 + unit over the first ``width`` UTF-16 units, its absolute value modulo ``buckets``. A
+    character above U+FFFF is two units, of which the cut may keep one."""
+    h = F.aggregate(utf16_units(text, width), F.lit(0).cast("long"), lambda acc, u: F.pmod(acc * 31 + u, F.lit(1 << 32)))
     return F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)) % buckets

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +93,87 @@ def not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     if nulls:
         return df.where(F.lit(False))
     return df.where(F.col(key).isNotNull()).join(keys.select(key).distinct(), key, "left_anti")
+
+
+#: Prefixes of tutorials and exercises, whose problems are no contest problems.
+TUTORIALS = ["apg4b", "practice", "typical90", "tessoku", "past", "math-and-algorithm", "math_and_algorithm"]
+#: Headings of statements in Japanese.
+JAPANESE_HEADINGS = ["問題文", "制約", "入力例", "出力例", "入力", "出力"]
+#: Titles of pages that a proxy has put in the place of a problem.
+BLOCK_TITLES = ["ERROR: The request could not be satisfied", "Access Denied", "403 ERROR", "404 Not Found"]
+#: Phrases of advertisements among solutions, and of pages that may not be seen.
+ADVERTS = ["扫描二维码", "扫码加入", "下载牛客APP", "扫码添加"]
+DENIED = ["没有查看题目的权限", "没有权限"]
+#: Marks of a complete summary.
+SUMMARY_MARKS = ["【核心考点】", "【推荐解法】", "【易错点】"]
+
+
+def any_of(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(x) for x in parts))
+
+
+def contest_problem(problem_id: Column, contest_id: Column) -> Column:
+    """A problem of a regular contest: no tutorial prefix, and an id of abc, arc or agc with a digit or separator after
+    it, or a contest whose id has a digit and no tutorial prefix. Case doesn't count."""
+    pid, cid = F.lower(problem_id), F.lower(F.coalesce(contest_id, F.lit("")))
+    tutorial = lambda c: reduce(lambda a, b: a | b, (c.startswith(x) for x in TUTORIALS))
+    return ~tutorial(pid) & (pid.rlike(r"^(abc|arc|agc)(\d|[_-])") | ((cid != "") & ~tutorial(cid) & cid.rlike(r"\d")))
+
+
+def has_statement(description: Column, samples: Column) -> Column:
+    """A page that isn't polluted: ten characters of description and a sample at least."""
+    return (F.length(F.coalesce(description, F.lit(""))) >= 10) & (F.size(F.coalesce(samples, F.array())) > 0)
+
+
+def complete_summary(summary: Column) -> Column:
+    return F.coalesce(reduce(lambda a, b: a & b, (summary.contains(x) for x in SUMMARY_MARKS)), F.lit(False))
+
+
+def awaiting_vector(problems: DataFrame, summary: str = "solution_summary", vector: str = "vector") -> DataFrame:
+    """Live rows with a complete summary and no vector, oldest first, then by id."""
+    return problems.where("deleted_at is null").where(complete_summary(F.col(summary)) & F.col(vector).isNull()).orderBy("created_at", "id")
+
+
+def block_page(title: Column, description: Column, constraints: Column, input_format: Column) -> Column:
+    """The title of a proxy's page, and nothing of a problem."""
+    nothing = F.coalesce(*(F.nullif(c, F.lit("")) for c in (description, constraints, input_format))).isNull()
+    return F.coalesce(any_of(title, BLOCK_TITLES), F.lit(False)) & nothing
+
+
+def solution_spam(content: Column) -> Column:
+    """Under 20 characters, or an advertisement; null is spam, too."""
+    c = F.coalesce(content, F.lit(""))
+    return (F.length(c) < 20) | any_of(c, ADVERTS)
+
+
+def permission_denied(html: Column) -> Column:
+    return F.coalesce(any_of(html, DENIED), F.lit(False))
+
+
+def without_markup(html: Column) -> Column:
+    return F.regexp_replace(html, "<[^>]*>", "")
+
+
+def statement_language(source_id: Column, html: Column) -> Column:
+    """Why a page's statement is no use to readers of English, or null. In this order: ids of ``dp_`` and ``tdpc_`` pass,
+    as do pages without a statement; in a statement without language spans, a heading (h3) in Japanese ("headings"),
+    then characters of CJK without an English section word, or with more than 0.15 of all characters ("text"); spans
+    of Japanese alone ("no english"); an English one of less than 20 characters ("short english").
+
+    The English part reaches from its span to the Japanese one, or to the end.
+    """
+    statement = F.split_part(F.coalesce(html, F.lit("")), F.lit('id="task-statement">'), F.lit(2))
+    en, ja = F.lit('<span class="lang-en">'), F.lit('<span class="lang-ja">')
+    has_en, has_ja = F.contains(statement, en), F.contains(statement, ja)
+    headings = F.regexp_extract_all(statement, F.lit("(?s)<h3[^>]*>(.*?)</h3>"), 1)
+    text = without_markup(statement)
+    cjk = text.rlike("[぀-ヿ一-鿿]")
+    section = text.rlike(r"(?i)(^|[^\p{L}\p{N}_])(Problem|Constraints?|Input|Output|Sample)([^\p{L}\p{N}_]|$)")
+    share = F.length(F.regexp_replace(text, "[^぀-呣一-鿿]", "")) / F.greatest(F.length(F.trim(text)), F.lit(1))
+    english = F.trim(without_markup(F.split_part(F.split_part(statement, en, F.lit(2)), ja, F.lit(1))))
+    return (
+        F.when(source_id.startswith("dp_") | source_id.startswith("tdpc_") | (statement == ""), F.lit(None))
+        .when(~has_en & ~has_ja & F.exists(headings, lambda h: any_of(without_markup(h), JAPANESE_HEADINGS)), "headings")
+        .when(~has_en & ~has_ja & cjk & (~section | (share > 0.15)), "text")
+        .when(~has_en & has_ja, "no english").when(has_en & has_ja & (F.length(english) < 20), "short english")
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlow.functions.scores import cosine_to
+from marlow.functions.text import utf16_left
 from marlow.operators.fulltext import words
 
 #: Weight of each recall path by query type.
@@ -90,7 +91,7 @@ def rerank(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame] | Non
 
 def rerank_document(title: Column, retrieval: Column, solution: Column, full: Column, tags: Column) -> Column:
     blank = lambda c: F.nullif(c, F.lit(""))
-    return F.concat_ws(" | ", title, F.left(F.coalesce(blank(retrieval), blank(solution), blank(full), F.lit("")), F.lit(250)), F.array_join(tags, ","))
+    return F.concat_ws(" | ", title, utf16_left(F.coalesce(blank(retrieval), blank(solution), blank(full), F.lit("")), 250), F.array_join(tags, ","))
 
 
 def term_share(document: Column, terms: list[str]) -> Column:

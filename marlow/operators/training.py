@@ -133,3 +133,34 @@ def arrange_all(candidates: DataFrame, plans: DataFrame, daily_target: int = 5)
     weeks = arrange(pools(candidates, leads, daily_target), leads, daily_target)
     same = plans.join(leads.select(*parts, F.col("user_id").alias("lead")), parts).select("user_id", "lead")
     return same.join(weeks.withColumnRenamed("user_id", "lead"), "lead").drop("lead")
+
+
+#: Consecutive positions that are folded as one.
+FOLD = 256
+
+
+def review_states(reviews: DataFrame, key: str, at: str, quality: str) -> DataFrame:
+    """``key, ease, interval``: each key's reviews replayed in the order of ``at`` (whole numbers), then of quality.
+
+    A review takes the ease x to max(c, x + a), and such steps make steps of the same form; it doubles the interval, or
+    sets it to 1. So runs of FOLD positions are folded apart, each to four numbers, and then a key's runs: however
+    long a history is, no row holds all of it. Positions that repeat are in one run.
+    """
+    q = F.col(quality)
+    good = q >= 3
+    step = F.struct(F.when(good, 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)).otherwise(-0.15).alias("a"), F.lit(1.3).alias("c"), (~good).alias("reset"), F.when(good, 1).otherwise(0).cast("long").alias("doubled"))
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("c"), F.lit(False).alias("reset"), F.lit(0).cast("long").alias("doubled"))
+
+    def then(x: Column, y: Column) -> Column:
+        return F.struct(
+            (x["a"] + y["a"]).alias("a"), F.greatest(y["c"], x["c"] + y["a"]).alias("c"), (x["reset"] | y["reset"]).alias("reset"),
+            F.when(y["reset"], y["doubled"]).otherwise(x["doubled"] + y["doubled"]).alias("doubled"),
+        )
+
+    def folded(rows: Column) -> Column:
+        return F.aggregate(F.sort_array(F.collect_list(rows)), none, lambda acc, r: then(acc, r["step"]))
+
+    runs = reviews.where(q.isNotNull()).groupBy(key, F.floor(F.col(at) / FOLD).alias("run")).agg(folded(F.struct(at, quality, step.alias("step"))).alias("step"))
+    # an interval of 1 is doubled once for each success since the last failure, up to the cap of a year
+    done = runs.groupBy(key).agg(folded(F.struct("run", "step")).alias("s"))
+    return done.select(key, F.greatest(F.col("s.c"), 2.5 + F.col("s.a")).alias("ease"), F.least(F.lit(365), F.pow(F.lit(2), F.least(F.col("s.doubled"), F.lit(20))).cast("int")).alias("interval"))

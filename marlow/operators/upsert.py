@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlow.operators.dedup import keep_one
+from marlow.operators.dedup import keep_one, rolling_hash
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
@@ -21,9 +21,40 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], newest: li
     return existing.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def upsert_restoring(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """As ``upsert``; a soft-deleted row of the key is purged, the incoming one is live."""
-    return upsert(existing, incoming.withColumn("deleted_at", F.lit(None).cast("timestamp")), keys)
+def upsert_problems(existing: DataFrame, incoming: DataFrame, new_id: Column, seq: str = "seq") -> DataFrame:
+    """Problems by (source_platform, source_id): the last incoming row of a key, by ``seq``, wins.
+
+    Ids are cut at 50 characters; rows without one are left out. A soft-deleted twin of an incoming row is purged
+    first: what comes in is then a new row, with ``new_id`` and nothing of the old one. A live twin keeps its id and
+    the columns that incoming lacks. Rows that come in are live.
+    """
+    keys = ["source_platform", "source_id"]
+    given = incoming.withColumn("source_id", F.left(F.trim("source_id"), F.lit(50))).where("source_id <> '' and source_platform is not null")
+    last = keep_one(given, keys, [F.col(seq).desc(), *(F.col(c) for c in incoming.columns if c not in (*keys, seq))])
+    kept = [c for c in existing.columns if c not in (*keys, "id", "deleted_at") and c not in last.columns]
+    twin = existing.where("deleted_at is null").select(*keys, F.col("id").alias("__id"), *kept)
+    new = last.withColumn("__new", new_id).join(twin, keys, "left").withColumn("id", F.coalesce("__id", "__new")).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    return existing.join(last.select(*keys), keys, "left_anti").unionByName(new.select(*existing.columns))
+
+
+def upsert_solutions(existing: DataFrame, problems: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
+    """Solutions by (problem_id, solution_index): ``incoming`` has source_platform, source_id, content, author,
+    solution_index (may be null) and ``seq``.
+
+    Without content, or for no problem, a row is left out. The index is, on codeforces, the given one modulo 100000,
+    else 0; elsewhere the rolling hash of the content. Codeforces and atcoder have one solution a problem: the last one
+    that comes in replaces all others, also those stored. Elsewhere the last of an index wins. A missing author is 匿名.
+    """
+    known = problems.where("deleted_at is null").select("source_platform", "source_id", F.col("id").alias("problem_id"))
+    rows = incoming.where(F.length("content") > 0).join(known, ["source_platform", "source_id"])
+    given = F.when(F.col("source_platform") == "codeforces", F.coalesce(F.col("solution_index") % 100_000, F.lit(0))).otherwise(rolling_hash(F.col("content")))
+    rows = rows.withColumn("solution_index", given.cast("long")).withColumn("author", F.coalesce(F.nullif("author", F.lit("")), F.lit("匿名")))
+    one = F.col("source_platform").isin("codeforces", "atcoder")
+    last = keep_one(rows.withColumn("__slot", F.when(one, -1).otherwise(F.col("solution_index"))).withColumn("__one", one), ["problem_id", "__slot"], [F.col(seq).desc(), F.col("content"), F.col("author")])
+    # one row for each problem whose solutions are all replaced, and one for each index that is
+    whole = last.where("__one").select("problem_id")
+    left = existing.join(whole, "problem_id", "left_anti").join(last.select("problem_id", "solution_index"), ["problem_id", "solution_index"], "left_anti")
+    return left.unionByName(last.select(*existing.columns))
 
 
 def versioned_upsert(existing: DataFrame, incoming: DataFrame, key: str, least_rows: int = 10, count_col: str = "n_records") -> DataFrame:
@@ -77,6 +108,30 @@ def backfill(df: DataFrame, column: str, recomputed: Column, force: bool = False
     return df.withColumn(column, F.when(missing, F.coalesce(recomputed, F.col(column))).otherwise(F.col(column)))
 
 
+def rewrite_vectors(df: DataFrame, computed: DataFrame, version: str, as_of: str, key: str = "id") -> DataFrame:
+    """``df`` (vector, embedding_version, embedding_generated_at, updated_at) with the vectors of ``computed`` (key, vector); version
+    and both times are set with them. Empty and missing vectors change nothing."""
+    new = computed.where(F.size("vector") > 0).select(key, F.col("vector").alias("__v"))
+    out = df.join(new, key, "left")
+    there = F.col("__v").isNotNull()
+    put = {"vector": F.col("__v"), "embedding_version": F.lit(version), "embedding_generated_at": F.lit(as_of).cast("timestamp"), "updated_at": F.lit(as_of).cast("timestamp")}
+    return out.withColumns({c: F.when(there, v).otherwise(F.col(c)) for c, v in put.items()}).select(*df.columns)
+
+
+def clear_vectors(df: DataFrame, as_of: str, where: Column | None = None) -> DataFrame:
+    """Vectors to null, and ``updated_at`` to now, where there is a vector (and the condition holds)."""
+    hit = F.col("vector").isNotNull() if where is None else F.col("vector").isNotNull() & F.coalesce(where, F.lit(False))
+    # the time first: it looks at the vector
+    return df.withColumn("updated_at", F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at"))).withColumn("vector", F.when(~hit, F.col("vector")))
+
+
+def fail_stuck(jobs: DataFrame, as_of: str, idle_minutes: int = 30) -> DataFrame:
+    """Running jobs (status, updated_at, finished_at) that have been idle for more than ``idle_minutes`` become failed and get an end."""
+    now = F.lit(as_of).cast("timestamp")
+    stuck = (F.col("status") == "running") & (F.col("updated_at") < now - F.make_dt_interval(mins=F.lit(idle_minutes)))
+    return jobs.withColumn("finished_at", F.when(stuck, now).otherwise(F.col("finished_at"))).withColumn("status", F.when(stuck, "failed").otherwise(F.col("status")))
+
+
 def changed_only(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
     """Rows of ``new`` whose value differs from the old one (null-safe)."""
     o = old.select(key, F.col(column).alias("__old"))

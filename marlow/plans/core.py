@@ -89,7 +89,7 @@ def p09(spark, d):
     return C.problems(spark, d).withColumn("t", t).where(filters.blank(F.col("t"))).select("id")
 
 
-@query("p10_incomplete_summary", "P-10 P-23", r"""SELECT id, n_chars FROM problems WHERE NOT (regexp_matches(content, 'the') AND regexp_matches(content, 'and') AND regexp_matches(content, 'of') AND regexp_matches(content, '[.!?]\s*$')) OR lang IS NULL""")
+@query("p10_incomplete_summary", "P-10", r"""SELECT id, n_chars FROM problems WHERE NOT (regexp_matches(content, 'the') AND regexp_matches(content, 'and') AND regexp_matches(content, 'of') AND regexp_matches(content, '[.!?]\s*$')) OR lang IS NULL""")
 def p10(spark, d):
     c = F.col("content")
     whole = c.rlike("the") & c.rlike("and") & c.rlike("of") & c.rlike(r"[.!?]\s*\z")
@@ -124,12 +124,6 @@ def p15(spark, d):
     return C.solutions(spark, d).where(F.col("content").contains("N")).join(of, "problem_id", "left_semi").select("problem_id", "solution_index")
 
 
-@query("p16_contest_filter", "P-16", r"SELECT page_id FROM pages WHERE NOT starts_with(url, 'http://www') AND regexp_matches(url, '^https?://(blog|m)\.[a-z]+') AND regexp_matches(url, '[0-9]')")
-def p16(spark, d):
-    u = F.col("url")
-    return C.read_table(spark, d, "pages").where(~u.startswith("http://www") & u.rlike(r"^https?://(blog|m)\.[a-z]+") & u.rlike("[0-9]")).select("page_id")
-
-
 @query("p17_english_first", "P-17", "SELECT id, lang FROM problems ORDER BY (lang = 'en') DESC, id LIMIT 40")
 def p17(spark, d):
     return filters.english_first(C.problems(spark, d), F.col("lang") == "en", "id", 40).select("id", "lang")
@@ -147,7 +141,7 @@ def p19(spark, d):
     return C.problems(spark, d).where((F.col("difficulty") < 500) & has & F.arrays_overlap("tags", F.split(F.lit("tag_1,tag_12,tag_19"), ","))).select("id", "difficulty")
 
 
-@query("p21_content_length", "P-21 P-22 P-29", "SELECT id FROM problems WHERE length(trim(content)) >= 50 AND NOT contains(content, 'MIT License')")
+@query("p21_content_length", "P-21", "SELECT id FROM problems WHERE length(trim(content)) >= 50 AND NOT contains(content, 'MIT License')")
 def p21(spark, d):
     return C.problems(spark, d).where((F.length(F.trim("content")) >= 50) & ~F.col("content").contains("MIT License")).select("id")
 
@@ -169,18 +163,6 @@ def p26(spark, d):
     return C.read_table(spark, d, "pages").select("page_id", F.filter(marks, lambda m: F.contains(F.col("html"), m)).alias("present"), F.length("html").alias("size"))
 
 
-@query("p27_language_ratio", "P-27", "SELECT id, round(length(regexp_replace(content, '[^éèêçäöüßñíó]', '', 'g')) / length(trim(content)), 6) AS share FROM problems WHERE length(regexp_replace(content, '[^éèêçäöüßñíó]', '', 'g')) / length(trim(content)) > 0.05")
-def p27(spark, d):
-    share = F.length(F.regexp_replace("content", "[^éèêçäöüßñíó]", "")) / F.length(F.trim("content"))
-    return C.problems(spark, d).select("id", share.alias("share")).where("share > 0.05").select("id", F.round("share", 6).alias("share"))
-
-
-@query("p28_block_pages", "P-28 P-31", "SELECT page_id FROM pages WHERE regexp_matches(html, '<title>[^<]*(the|der)') AND nullif(regexp_extract(html, '<table', 0), '') IS NULL OR contains(html, 'permission denied')")
-def p28(spark, d):
-    h = F.col("html")
-    return C.read_table(spark, d, "pages").where(h.rlike("<title>[^<]*(the|der)") & F.nullif(F.regexp_extract(h, "<table", 0), F.lit("")).isNull() | h.contains("permission denied")).select("page_id")
-
-
 @query("p30_editorial_choice", "P-30", """SELECT source, id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, id) AS rn, content FROM problems WHERE regexp_matches(title, '(?i)the|der|la ') QUALIFY rn <= 20)
 WHERE contains(content, 'and') OR contains(content, 'und') QUALIFY row_number() OVER (PARTITION BY source ORDER BY rn) = 1""")
 def p30(spark, d):

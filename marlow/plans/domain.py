@@ -464,7 +464,7 @@ def f15(spark, d):
     return C.read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), x["contest"].alias("contest"), x["index"].alias("idx"), I.contest_prefix(F.col("p_brand")).alias("prefix"))
 
 
-@query("f17_tag_slugs", "F-16 F-17 F-34", "SELECT p_partkey AS id, list_distinct([replace(lower(p_type), ' ', '-'), replace(lower(p_brand), ' ', '-'), replace(lower(p_type), ' ', '-')]) IS NOT NULL AS some, replace(lower(p_type), ' ', '-') AS slug FROM part")
+@query("f17_tag_slugs", "F-34", "SELECT p_partkey AS id, list_distinct([replace(lower(p_type), ' ', '-'), replace(lower(p_brand), ' ', '-'), replace(lower(p_type), ' ', '-')]) IS NOT NULL AS some, replace(lower(p_type), ' ', '-') AS slug FROM part")
 def f17(spark, d):
     tags = I.tag_slugs(F.array("p_type", "p_brand", "p_type"))
     return C.read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.size(tags) > 0).alias("some"), F.get(tags, F.lit(0)).alias("slug"))
@@ -544,7 +544,7 @@ def j12(spark, d):
     return C.problems(spark, d).select("id", I.normalise_tags(F.col("tags"), F.col("source_platform"), aliases).alias("normal"))
 
 
-@query("d06_rolling_hash", "D-06 U-02", """SELECT id, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 100000 AS BIGINT) AS bucket FROM (SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(left(content, 200), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM problems WHERE length(content) > 0)""")
+@query("d06_rolling_hash", "D-06", """SELECT id, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 100000 AS BIGINT) AS bucket FROM (SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(left(content, 200), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM problems WHERE length(content) > 0)""")
 def d06(spark, d):
     return C.problems(spark, d).where(F.length("content") > 0).select("id", dedup.rolling_hash(F.col("content")).alias("bucket"))
 
@@ -687,10 +687,9 @@ s(conv_id, k, ease, days) AS (SELECT conv_id, 0::BIGINT, 2.5::DOUBLE, 1::BIGINT
  UNION ALL SELECT s.conv_id, h.k, CASE WHEN q >= 3 THEN greatest(1.3, ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)) ELSE greatest(1.3, ease - 0.15) END, CASE WHEN q >= 3 THEN least(days * 2, 1048576) ELSE 1 END FROM s JOIN h ON h.conv_id = s.conv_id AND h.k = s.k + 1)
 SELECT conv_id, round(ease, 1) AS ease, least(days, 365) AS interval_days, DATE '2024-01-31' + CAST(least(days, 365) AS INTEGER) AS next_date FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1""")
 def w10(spark, d):
-    c = C.read_table(spark, d, "conversations")
-    h = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", (F.length("text") % 6).alias("q")))), lambda x: x["q"]).alias("h"))
-    s = h.select("conv_id", S.sm2(F.col("h")).alias("s"))
-    return s.select("conv_id", F.round("s.ease", 1).alias("ease"), F.col("s.interval").cast("long").alias("interval_days"), F.date_add(F.lit("2024-01-31").cast("date"), F.col("s.interval")).alias("next_date"))
+    c = C.read_table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 6).alias("q"))
+    s = training.review_states(c, "conv_id", "turn", "q")
+    return s.select("conv_id", F.round("ease", 1).alias("ease"), F.col("interval").cast("long").alias("interval_days"), F.date_add(F.lit("2024-01-31").cast("date"), F.col("interval")).alias("next_date"))
 
 
 # --- mutations -----------------------------------------------------------------------------------
@@ -706,7 +705,7 @@ def old_new(spark, d):
     return old, new
 
 
-@query("u01_upsert", "U-01 U-02", f"SELECT k, status, round(price, 2) AS price FROM (SELECT * FROM ({OLD}) WHERE k NOT IN (SELECT k FROM ({NEW})) UNION ALL {NEW})")
+@query("u01_upsert", "D-05", f"SELECT k, status, round(price, 2) AS price FROM (SELECT * FROM ({OLD}) WHERE k NOT IN (SELECT k FROM ({NEW})) UNION ALL {NEW})")
 def u01(spark, d):
     old, new = old_new(spark, d)
     return upsert.upsert(old, new.union(new), ["k"]).select("k", "status", F.round("price", 2).alias("price"))
@@ -804,12 +803,6 @@ def u08(spark, d):
     return upsert.partial_update(u, changes, "id").select("id", "nickname", "role")
 
 
-@query("u09_clear_vectors", "U-09", "SELECT vec_id AS id, CASE WHEN label = 3 THEN NULL ELSE len(embedding) END AS n FROM embeddings")
-def u09(spark, d):
-    v = vectors(spark, d).withColumn("vector", F.when(F.col("label") != 3, F.col("vector")))
-    return v.select("id", F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long").alias("n"))
-
-
 @query("u10_work_log", "U-10", "SELECT o_custkey AS item, o_orderstatus AS stage, max(o_orderdate) AS at FROM orders GROUP BY ALL")
 def u10(spark, d):
     log = C.read_table(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("status"), F.col("o_orderdate").alias("at"), F.repeat(F.lit("x"), 600).alias("message"))
@@ -827,11 +820,6 @@ def u13(spark, d):
     return upsert.cap_per_group(C.solutions(spark, d), ["problem_id"], [F.col("votes").desc(), F.col("solution_index")], 3, "content").select("problem_id", "solution_index")
 
 
-@query("u14_mark_failed", "U-14 W-07", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE o_orderstatus END AS status FROM orders")
-def u14(spark, d):
-    return C.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise(F.col("o_orderstatus")).alias("status"))
-
-
 @query("u15_changed_only", "U-15", "SELECT id, replace(content, '!!', '!') AS content FROM problems WHERE replace(content, '!!', '!') <> content")
 def u15(spark, d):
     p = C.problems(spark, d).select("id", "content")

@@ -9,8 +9,8 @@ from marlow.functions import text as T
 from marlow.operators import upsert
 from marlow.plans.registry import query
 from marlow.sources import catalog as C
-from marlow.sources import dims, landing
-from marlow.sources.shared import scratch
+from marlow.sources import dims, landing, paged
+from marlow.sources.shared import kept, scratch
 
 
 CRAWLED = "id long, title string, lang string"
@@ -108,6 +108,32 @@ def s10(spark, d):
     return landing.codeforces_envelope(raw, "id: bigint, verdict: string")
 
 
+_PAGED = """WITH r AS (SELECT platform, user_id, id, verdict, row_number() OVER (PARTITION BY platform, user_id ORDER BY id DESC) AS k FROM records),
+p AS (SELECT *, (k - 1) // 20 + 1 AS page, first_value(id) OVER (PARTITION BY platform, user_id, (k - 1) // 20 ORDER BY k) % 11 <> 0 AS ok FROM r)"""
+
+
+def judge_pages(spark, d):
+    """Records of every user, landed as pages once for a session; the answer of a page whose newest id 11 divides has failed."""
+    def build(root):
+        bad = F.col("id") % 11 == 0
+        paged.land_pages(C.practice_records(spark, d).select("platform", F.col("user_id").alias("uid"), "id", "verdict", F.when(bad, "FAILED").otherwise("OK").alias("status"), F.when(bad, "limit exceeded").alias("comment")), root)
+
+    return paged.read_pages(spark, kept(spark, f"{d}/events.parquet", "pages", build))
+
+
+@query("s10b_paged_answers", "S-10 S-12", _PAGED + """
+SELECT platform, CAST(page AS INTEGER) AS page, count(*) FILTER (ok) AS entries, count(DISTINCT CASE WHEN NOT ok THEN user_id END) AS failed, count(DISTINCT user_id) AS users FROM p WHERE page <= 5 GROUP BY platform, page""")
+def s10b(spark, d):
+    """Five pages of twenty at most; failed answers are counted."""
+    return judge_pages(spark, d).groupBy("platform", "page").agg(F.count_if("ok").alias("entries"), F.count_if(~F.col("ok")).alias("failed"), F.count_distinct("uid").alias("users"))
+
+
+@query("s12b_first_pages", "S-12", _PAGED + " SELECT user_id AS uid, id, verdict FROM p WHERE ok AND page <= 2 AND platform IN ('luogu', 'codeforces')")
+def s12b(spark, d):
+    """Filters on judge and page are pushed into the source."""
+    return judge_pages(spark, d).where((F.col("page") <= 2) & F.col("platform").isin("luogu", "codeforces") & F.col("ok")).select("uid", "id", "verdict")
+
+
 @query("s11_leetcode_adapter", "S-11 S-25", "SELECT source_id, CASE WHEN id % 2 = 0 THEN 'T' || id ELSE title END AS title, tags FROM problems WHERE id % 3 <> 0 AND title <> ''")
 def s11(spark, d):
     i = F.col("id")
