@@ -107,6 +107,48 @@ def check_shards(df, shards):
     return rows
 
 
+def shards_by_force(spark, df, shards):
+    """(id, size, crc, shard, slot) of each row: rows in order of key, shards by their middles, small groups moved whole."""
+    seen, keys = Counter(), []
+    for r in df.collect():
+        t = (r.text or "").encode()
+        k = (r.doc_id, len(t) + 16, zlib.crc32(t))
+        keys.append((*k, seen[k]))
+        seen[k] += 1
+    ties = spark.createDataFrame(keys, "id long, size long, crc long, k long").select("id", "size", "crc", F.pmod(F.xxhash64("id", "crc", "k"), F.lit(1 << 32)).alias("tie")).collect()
+    rows = sorted(((r.crc, r.tie, r.id is not None, r.id or 0, r.size, r.id) for r in ties))
+    total, largest, at = sum(r[4] for r in rows), max((r[4] for r in rows), default=0), 0
+    out, groups = [], {}
+    for r in rows:
+        out.append([r, min(shards - 1, int((at + r[4] / 2) * shards / total))])
+        groups.setdefault(r[0], [at, 0])[1] += r[4]
+        at += r[4]
+    for o in out:
+        began, size = groups[o[0][0]]
+        if size <= largest:
+            o[1] = min(shards - 1, int((began + size / 2) * shards / total))
+    slots = Counter()
+    done = []
+    for r, shard in out:
+        done.append((r[5], r[4], r[0], shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(done, key=str)
+
+
+def test_shards_equal_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 50)
+    rng = random.Random(12)
+    hot = words(rng, 30)
+    rows = [(i, hot if i % 3 == 0 else words(rng, rng.randrange(2, 40)), "en") for i in range(1500)]
+    rows += [(5000 + i, t, "en") for i in range(60) for t in [words(rng, 4)] for _ in range(3)] + [(7, "the same row", "en")] * 120 + [(9000 + i, "copies of one text", "de") for i in range(40)]
+    for some, shards in ((rows, 8), (rows, 40), (odd, 5)):
+        df = frame(spark, some)
+        want = shards_by_force(spark, df, shards)
+        for cut in (df, df.repartition(7)):
+            got = sharding.shard_by_splitters(cut, shards=shards, ranges_per_shard=3, samples_per_range=5, leaf_rows=4).collect()
+            assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=str) == want
+
+
 def test_sharding(spark, odd):
     rng = random.Random(1)
     hot = words(rng, 40)
