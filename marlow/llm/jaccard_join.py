@@ -396,8 +396,8 @@ def near_duplicates(docs: DataFrame, recall: float = 0.99, small: int = SMALL, b
     smallest doc_id with an equal set, ``n_links`` the number of different sets that the row's set is
     linked with. Texts under five words are one shingle; null texts and texts without words are alone
     (class_id is their own). Rows with a null doc_id take no part: class_id is null. Repeated rows share
-    all; an id with several texts has a row for each. Further columns are not read; an empty table gives
-    no rows. ``recall`` is that of a pair at the threshold to meet in a bucket, ``small`` the sets that a
+    all; an id with several texts has a row for each. Ids are whole numbers, or texts of them; another text is an
+    error. Further columns are not read; an empty table gives no rows. ``recall`` is that of a pair at the threshold to meet in a bucket, ``small`` the sets that a
     bucket compares at once, ``block`` those that are compared exactly at once.
     """
     return classified(docs, recall, small, block).select(

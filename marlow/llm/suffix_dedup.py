@@ -486,7 +486,8 @@ def dedup_report(docs: DataFrame, threshold: int = 50, crowd: int = CROWDED) ->
     A byte goes if a ``threshold``-byte string over it also starts in a document of a smaller doc_id,
     judged on the input. Null text counts as empty. A null doc_id is neither smaller nor larger than
     another: its text stays whole. Rows with the same doc_id don't remove from each other; repeated rows
-    get the same result. Further columns are not read; an empty table gives no rows.
+    get the same result. Ids are whole numbers, or texts of them; another text is an error. Further columns are not
+    read; an empty table gives no rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -505,7 +506,11 @@ def dedup_report(docs: DataFrame, threshold: int = 50, crowd: int = CROWDED) ->
 
 def remove_repeats(docs: DataFrame, threshold: int = 50, unit: str = "words") -> DataFrame:
     """``docs``, all rows and columns, with repeated passages cut out of ``text`` (and ``n_chars``, if it is
-    there, counted anew). Cut bytes that would leave half a character take its rest along."""
+    there, counted anew). Cut bytes that would leave half a character take its rest along.
+
+    A null text stays null. Rows with a null doc_id stay whole, as rows of one doc_id do from each other; repeated rows are cut
+    alike. Texts are judged on the input, whatever their length; an empty table gives no rows. Ids as in ``dedup_report``.
+    """
     columns = docs.columns
     at = columns.index("text")
     n_chars = columns.index("n_chars") if "n_chars" in columns else None

@@ -93,11 +93,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, columns: int = 400, hold_out: tuple[int, int] = (5, 0)) -> PUModel:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, columns: int = 400, least: int = 5, hold_out: tuple[int, int] = (5, 0)) -> PUModel:
     """Fit on rows whose id remainder is not held out.
 
     ``positives`` and ``unlabelled`` bound the rows to fit on (both drawn by a hash of the id, about that
-    many); the class prior is the share of toxic labels over all training labels. Without a toxic label
+    many). The model has the ``columns`` features that tell most, of those that ``least`` positives or more have;
+    the class prior is the share of toxic labels over all training labels. Without a toxic label
     in training, the model is the constant score 0. Null ids and labels teach nothing; of several
     labels of an id the highest counts.
     """
@@ -137,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     n_pos, n_unl = (int(x or 0) for x in sample.agg(F.sum(F.col("pos").cast("int")), F.sum((~F.col("pos")).cast("int"))).first())
     if not n_pos or not n_unl:
         return PUModel(bias=-30.0)
-    df = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p > 4")
+    df = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least)
     # two standard errors below the share seen: chance features of few positives stay out
     in_p, in_u = (F.col("p") - 2 * F.sqrt("p")) / n_pos, F.col("u") / n_unl
     in_n = F.greatest((in_u - prior * in_p) / (1 - prior), F.lit(0.0))
