@@ -43,7 +43,8 @@ def tokens_and_text(model: bpe.ByteBPE, ids: list[list[int]]) -> list[pa.Array]:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, token_ids, decoded``: the ids of each text and what they decode to."""
+    """``doc_id, n_tokens, token_ids, decoded``: the ids of each text and what they decode to, a row for each row. A null text
+    counts as empty: no ids, and an empty text. Null and repeated ids stay as they are; other columns are left out."""
     return bpe.bpe_map(docs, tokenizer_path(), tokens_and_text, "n_tokens long, token_ids array<int>, decoded string")
 
 

@@ -52,7 +52,7 @@ def differs(c: Column, current: str) -> Column:
 
 def blank_pairs(text: Column) -> Column:
     """Pairs of line feeds, without overlap."""
-    return F.expr("0") + F.floor((F.length(text) - F.length(F.replace(text, F.lit("\n\n"), F.lit("")))) / 2)
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit("\n\n"), F.lit("")))) / 2)
 
 
 def newer_than_profile(records: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -21,9 +21,13 @@ def s01(spark, d):
     return C.problems(spark, d).select("id", "source_platform", "lang")
 
 
-@query("s19_health", "S-19", "SELECT 1 AS up")
+_PROBED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("s19_health", "S-19", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) = 1 AS up FROM (SELECT 1 FROM {t} LIMIT 1)" for t in _PROBED))
 def s19(spark, d):
-    return spark.sql("SELECT 1 AS up")
+    """A probe of every table: whether a row can be read."""
+    return C.health(spark, d, _PROBED)
 
 
 @query("s20_seed_upsert", "S-20 U-01", "SELECT id, username, role FROM users WHERE id <> 1 UNION ALL SELECT 1, 'seed-admin', 'admin'")
@@ -107,10 +111,10 @@ def p12(spark, d):
     return filters.pending(C.problems(spark, d).select("id", v.alias("version")), "version", "v2", 100, 50)
 
 
-@query("p13_blank_pairs", "P-13", r"SELECT id, pairs FROM (SELECT id, CAST((length(content) - length(replace(content, chr(10), ''))) // 2 AS BIGINT) AS pairs FROM problems) WHERE pairs > 3")
+@query("p13_blank_pairs", "P-13", r"SELECT id, pairs FROM (SELECT id, CAST((length(content) - length(replace(content, chr(10) || chr(10), ''))) // 2 AS BIGINT) AS pairs FROM (SELECT id, replace(content, '. ', chr(10) || chr(10)) AS content FROM problems)) WHERE pairs > 3")
 def p13(spark, d):
-    p = F.expr("(length(content) - length(replace(content, '\\n', ''))) div 2")
-    return C.problems(spark, d).select("id", p.cast("long").alias("pairs")).where("pairs > 3")
+    c = F.replace("content", F.lit(". "), F.lit("\n\n"))
+    return C.problems(spark, d).select("id", filters.blank_pairs(c).cast("long").alias("pairs")).where("pairs > 3")
 
 
 @query("p14_like_counts", "P-14", "SELECT count(*) FILTER (content LIKE '%!!%') AS before, count(*) FILTER (replace(content, '!!', '!') LIKE '%!!%') AS after FROM problems")

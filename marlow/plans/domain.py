@@ -345,12 +345,18 @@ def _phase():
     return training.phase(k % 10 / 10, F.when(k % 6 >= 4, 3).otherwise(0), k % 11, k % 13 / 13, k % 7 / 7)
 
 
-@query("f12_curve", "F-12", """WITH p AS (SELECT unnest(['template_consolidation', 'topic_breakthrough', 'integrated_practice', 'contest_simulation', 'other']) AS phase), d AS (SELECT phase, unnest(range(0, 7)) AS i FROM p)
-SELECT phase, i + 1 AS day, greatest(1.0, least(10.0, round(CASE phase WHEN 'template_consolidation' THEN 2.5 + 0.8 * sin(i / 7 * 2 * pi()) WHEN 'topic_breakthrough' THEN 2 + i / 6 * 4 WHEN 'integrated_practice' THEN 6 + 2 * sin(i / 6 * pi())
+_PHASES = """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 / 10.0 < 0.3 OR c_custkey % 6 >= 4 THEN 'template_consolidation' WHEN c_custkey % 11 >= 8 AND c_custkey % 13 / 13.0 >= 0.7 THEN 'contest_simulation'
+WHEN c_custkey % 11 >= 6 AND c_custkey % 7 / 7.0 >= 0.5 THEN 'integrated_practice' WHEN c_custkey % 17 = 0 THEN 'other' ELSE 'topic_breakthrough' END AS phase FROM customer"""
+
+
+@query("f12_curve", "F-12", f"""WITH p AS ({_PHASES}), d AS (SELECT user_id, phase, unnest(range(0, 7)) AS i FROM p)
+SELECT user_id, phase, i + 1 AS day, greatest(1.0, least(10.0, round(CASE phase WHEN 'template_consolidation' THEN 2.5 + 0.8 * sin(i / 7 * 2 * pi()) WHEN 'topic_breakthrough' THEN 2 + i / 6 * 4 WHEN 'integrated_practice' THEN 6 + 2 * sin(i / 6 * pi())
 WHEN 'contest_simulation' THEN CASE WHEN i < 3 THEN 5 + i / 2 * 3 ELSE 7 + 1.5 * sin((i - 3) / 3 * pi()) END ELSE 3 + i / 6 * 4 END, 2))) AS target FROM d""")
 def f12(spark, d):
-    p = spark.createDataFrame([(x,) for x in ("template_consolidation", "topic_breakthrough", "integrated_practice", "contest_simulation", "other")], "phase string")
-    return p.select("phase", F.posexplode(training.curve(F.col("phase"))).alias("i", "target")).select("phase", (F.col("i") + 1).cast("long").alias("day"), "target")
+    """Every user's week, by the user's phase (a few are in none that is known)."""
+    phase = F.when((_phase() == "topic_breakthrough") & (F.col("c_custkey") % 17 == 0), "other").otherwise(_phase())
+    p = C.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), phase.alias("phase"))
+    return p.select("user_id", "phase", F.posexplode(training.curve(F.col("phase"))).alias("i", "target")).select("user_id", "phase", (F.col("i") + 1).cast("long").alias("day"), "target")
 
 
 ALL_TAGS = sorted({t for ts in dims.CATEGORIES.values() for t in ts})

@@ -76,7 +76,7 @@ def _refuse_fives(row: dict) -> None:
         raise ConnectionError("refused")
 
 
-@query("s18_sink_log", "S-18", "SELECT user_id, user_id % 5 <> 0 AS ok, CASE WHEN user_id % 5 = 0 THEN 'refused' END AS error FROM (SELECT DISTINCT user_id FROM records)")
+@query("s18_sink_log", "-", "SELECT user_id, user_id % 5 <> 0 AS ok, CASE WHEN user_id % 5 = 0 THEN 'refused' END AS error FROM (SELECT DISTINCT user_id FROM records)")
 def s18(spark, d):
     reports = C.practice_records(spark, d).groupBy("user_id").agg(F.count("*").alias("submits"))
     return landing.send_and_log(reports, _refuse_fives, "user_id")
@@ -87,7 +87,7 @@ def _refuse_short(row: dict) -> None:
         raise ValueError("title is short")
 
 
-@query("s08_sink_counts", "S-08", "SELECT source_platform AS platform, count(*) FILTER (length(coalesce(title, '')) >= 20) AS sent, count(*) FILTER (length(coalesce(title, '')) < 20) AS failed FROM problems GROUP BY source_platform")
+@query("s08_sink_counts", "-", "SELECT source_platform AS platform, count(*) FILTER (length(coalesce(title, '')) >= 20) AS sent, count(*) FILTER (length(coalesce(title, '')) < 20) AS failed FROM problems GROUP BY source_platform")
 def s08(spark, d):
     p = C.problems(spark, d).select("id", "title", "source_platform")
     log = landing.send_and_log(p, _refuse_short, "id").join(p.select("id", F.col("source_platform").alias("platform")), "id")
@@ -189,9 +189,19 @@ _TAGS = ", ".join(f"('{c}', '{t}')" for c, ts in dims.CATEGORIES.items() for t i
 _NEEDS = ", ".join(f"('{t}', '{n}', {i})" for t, ns in dims.PREREQUISITES.items() for i, n in enumerate(ns))
 
 
-@query("s21_dimensions", "S-21", f"""SELECT category, count(DISTINCT c.tag) AS tags, count(needs) AS needs FROM (VALUES {_TAGS}) c(category, tag) LEFT JOIN (VALUES {_NEEDS}) n(tag, needs, position) ON c.tag = n.tag GROUP BY category""")
+_TAG_LIST = sorted({t for ts in dims.CATEGORIES.values() for t in ts})
+
+
+@query("s21_dimensions", "S-21", f"""WITH u AS (SELECT ([{", ".join(f"'{t}'" for t in _TAG_LIST)}])[CAST(c_custkey * 3 % {len(_TAG_LIST)} + 1 AS INTEGER)] AS tag FROM customer),
+n AS (SELECT tag, count(*) AS needs FROM (VALUES {_NEEDS}) n(tag, needs, position) GROUP BY tag)
+SELECT category, count(*) AS users, count(DISTINCT u.tag) AS tags, CAST(sum(coalesce(needs, 0)) AS BIGINT) AS needs FROM u JOIN (VALUES {_TAGS}) c(category, tag) ON u.tag = c.tag LEFT JOIN n ON n.tag = u.tag GROUP BY category""")
 def s21(spark, d):
-    return dims.tag_category(spark).join(dims.prerequisites(spark), "tag", "left").groupBy("category").agg(F.count_distinct("tag").alias("tags"), F.count("needs").alias("needs"))
+    """Users by the category of the tag they are at, with what these tags need: the lists are joined as tables."""
+    tag = F.element_at(F.array(*map(F.lit, _TAG_LIST)), (F.col("c_custkey") * 3 % len(_TAG_LIST) + 1).cast("int"))
+    needs = dims.prerequisites(spark).groupBy("tag").agg(F.count("*").alias("needs"))
+    # the lists are fixed
+    u = C.read_table(spark, d, "customer").select(tag.alias("tag")).join(F.broadcast(dims.tag_category(spark)), "tag").join(F.broadcast(needs), "tag", "left")
+    return u.groupBy("category").agg(F.count("*").alias("users"), F.count_distinct("tag").alias("tags"), F.sum(F.coalesce("needs", F.lit(0))).alias("needs"))
 
 
 @query("s23_problem_table", "S-23", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS difficulty, [lower(p_brand), 'x'] AS tags FROM part")

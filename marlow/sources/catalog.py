@@ -13,6 +13,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def health(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """``name, up`` of each table: whether a row of it can be read. A table that can't be opened is an error."""
+    out = None
+    for name in names:
+        one = read_table(spark, sf_dir, name).limit(1).agg(F.lit(name).alias("name"), (F.count("*") == 1).alias("up"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan over at least as many partitions as there are cores: a file of one row group is one task otherwise.
     Larger inputs have more partitions than that and stay as they are. For work that is much per row."""

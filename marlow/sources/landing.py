@@ -73,7 +73,8 @@ def read_problems(spark: SparkSession, base: str, platform: str, date: str, sche
 
 def write_landing(df: DataFrame, root: str, kind: str) -> None:
     """The files of crawls: of each ``platform`` and ``day`` (yyyy-mm-dd) a JSON list ``root/platform/kind/day_platform.json``
-    of the other columns. A day's crawl of a platform is one group."""
+    of the other columns. A day's crawl of a platform is one group. Files get their names from the driver, one rename for
+    each platform and day: some thousands a year, whatever the rows."""
     spark = df.sparkSession
     rest = [c for c in df.columns if c not in ("platform", "day")]
     lists = df.groupBy("platform", "day").agg(F.to_json(F.collect_list(F.struct(*rest))).alias("value"))
