@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-BUCKETS = 64
+#: Buckets of an index; more for a large corpus, so that a word's bucket is a small part of it.
+BUCKETS = 16
 
 
 def words(text: Column) -> Column:
@@ -83,5 +84,5 @@ def search(index: DataFrame, terms: list[str], k: int = 50, buckets: int = BUCKE
     return matches(index, terms, buckets).select("id", score.alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def open_index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    return spark.read.schema(f"word string, id {id_type}, length int, positions array<int>, bucket int").parquet(path)

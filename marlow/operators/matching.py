@@ -58,8 +58,15 @@ def style_class(style: Column) -> Column:
 
 
 def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None = None, keep: int = 10, rows: int = 1000, levels: int | None = None) -> DataFrame:
-    """The ``keep`` best candidates of each seeker, but for itself: ``u_*``, ``c_*``, ``pair``, ``rk``; excluded
-    (user_id, other_id) pairs are left out. Users with a null id neither ask nor are found.
+    """``best_pairs`` with the profiles of both sides: ``u_*``, ``c_*``, ``pair``, ``rk``."""
+    found = best_pairs(seekers, candidates, exclude, keep, rows, levels)
+    seekers, candidates = seekers.where("user_id is not null"), candidates.where("user_id is not null")
+    return found.join(prefixed(seekers, "u"), "u_id").join(prefixed(candidates, "c"), "c_id")
+
+
+def best_pairs(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame | None = None, keep: int = 10, rows: int = 1000, levels: int | None = None) -> DataFrame:
+    """``u_id, c_id, pair, rk``: the ``keep`` best candidates of each seeker, but for itself; excluded (user_id, other_id)
+    pairs are left out. Users with a null id neither ask nor are found.
 
     A top-k join with bounds. Candidates lie in cells: a class of style and a band of levels, of which none holds many
     if levels differ. What a cell can give a seeker at most follows from the style, the nearest level of the band
@@ -67,9 +74,7 @@ def pair_scores(seekers: DataFrame, candidates: DataFrame, exclude: DataFrame |
     the last of the ``keep`` found there is what others have to reach. Then it meets the cells whose bound is
     no less, ties included, and no others. Seekers and candidates of a cell meet in blocks of about ``rows``.
     """
-    found, _ = _rounds(seekers, candidates, exclude, keep, rows, levels)
-    seekers, candidates = seekers.where("user_id is not null"), candidates.where("user_id is not null")
-    return found.join(prefixed(seekers, "u"), "u_id").join(prefixed(candidates, "c"), "c_id")
+    return _rounds(seekers, candidates, exclude, keep, rows, levels)[0]
 
 
 def looked_at(seekers: DataFrame, candidates: DataFrame, keep: int = 10, rows: int = 1000, levels: int | None = None) -> DataFrame:

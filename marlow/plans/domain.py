@@ -300,7 +300,7 @@ def _pair_sql(a: str, b: str) -> str:
 @query("r15_pair_scores", "R-15 R-19 F-06", f"WITH p AS ({PROFILES}) SELECT u.user_id, c.user_id AS other_id, {_pair_sql('u', 'c')} AS pair FROM p u JOIN p c ON u.user_id <> c.user_id WHERE u.user_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY pair DESC, c.user_id) <= 10")
 def r15(spark, d):
     p = match_profiles(spark, d)
-    return matching.pair_scores(p.where("user_id % 50 = 0"), p).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
+    return matching.best_pairs(p.where("user_id % 50 = 0"), p).select(F.col("u_id").alias("user_id"), F.col("c_id").alias("other_id"), "pair")
 
 
 @query("r15b_pairs_looked_at", "R-15")
