@@ -10,7 +10,9 @@ the target recall, which holds at any depth.
 
 Compared at first by 64 one-byte minima (a sketch); what may be similar is linked in stars, and connected
 sets are then compared exactly, whole, in blocks. So nothing lists all pairs of a group, and every link
-between two sets of a component is found, also one that no bucket showed.
+between two sets of a component is found, also one that no bucket showed. A group is sent in parts of some
+MB, each pair of parts to one task, which compares them a block at a time: a set is sent once for each part
+of its group, however many blocks that is.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlow.llm.common import Mapped, bucket_path, buckets_for, by_bucket, fresh, local_path, scratch, slices, utf8, write_file, written
@@ -30,8 +32,10 @@ from marlow.llm.components import connected_components, hub_anti, hub_join, hub_
 WORDS, SIMILAR = 5, 0.8
 RATE = 0.6  # below the similarity: more tokens are taken than the threshold alone asks for
 SPLITS = 0.75  # a bucket is split on while that leaves at most so much of its pairs
-SMALL = 512  # sets that a bucket compares at once before it is split; a task of two blocks has twice as many rows
+SMALL = 512  # sets that a bucket compares at once before it is split
+ALIKE_PART = 16  # a bucket that isn't split any more is sent in parts of so many times SMALL sets (of 84 bytes each)
 BLOCK = 512  # sets in a block of exact comparison
+PART_BYTES = 8_000_000  # of shingles in a part of a group; a task holds two parts
 SKETCH, SKETCH_LEAST = 64, 0.58  # more than four standard deviations below 0.8
 TINY = 96  # sets of fewer shingles aren't judged by the sketch
 CACHE_WORDS = 200_000
@@ -161,6 +165,21 @@ def roots(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def first_alike(m: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smallest index of each one's component among 0 to m - 1: a member meets only those that no component
+    has yet, so where all are alike each is met about once."""
+    label, free = np.arange(m), np.arange(m)
+    while len(free):
+        first, free = free[0], free[1:]
+        waiting = [first]
+        while waiting and len(free):
+            near = alike(np.array([waiting.pop()]), free)
+            found, free = free[near], free[~near]
+            label[found] = first
+            waiting += found.tolist()
+    return label
+
+
 def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars over sets of a bucket whose sketches and sizes allow the threshold."""
     keys = ["path", "bi", "bj"]
@@ -183,12 +202,7 @@ def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u.append(node[start[ok] + i])
                     v.append(node[start[ok] + j])
         for a, m in zip(cuts[:-1][counts > 8].tolist(), counts[counts > 8].tolist(), strict=True):
-            rows = np.arange(a, a + m)
-            near = np.eye(m, dtype=bool)
-            for i in range(m - 1):
-                near[i, i + 1:] = alike(np.array([a + i]), rows[i + 1:])
-            near |= near.T
-            r = roots(near)
+            r = first_alike(m, lambda x, y, a=a: alike(a + x, a + y))  # noqa: B023
             moved = np.flatnonzero(r != np.arange(m))
             u.append(node[a + moved])
             v.append(node[a + r[moved]])
@@ -196,18 +210,21 @@ def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
-def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Adds ``bi, bj``: groups of at most ``size`` rows are one block; others are dealt to blocks by a
-    hash, and each pair of blocks meets once. Needs ``n``, the rows of the group, and ``node``."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / size)).cast("int")
-    rows = rows.withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("__parts")).cast("int"))
+def parts_of(total: str, most: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(total) / most)).cast("int")
+
+
+def in_parts(rows: DataFrame, parts: Column) -> DataFrame:
+    """Adds ``own, bi, bj``: the rows of a group (by ``node``) are dealt to ``parts`` parts by a hash, and each
+    pair of parts meets once."""
+    rows = rows.withColumn("__parts", parts).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("__parts")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    return rows.withColumn("bi", F.least("__own", "__other")).withColumn("bj", F.greatest("__own", "__other")).drop("__parts", "__own", "__other")
+    return rows.withColumn("bi", F.least("own", "__other")).withColumn("bj", F.greatest("own", "__other")).drop("__parts", "__other")
 
 
 def compared(members: DataFrame, sets: DataFrame, small: int) -> DataFrame:
-    """Edges between alike sets of buckets (``node, path, n``), in blocks of ``small`` sets."""
-    members = in_blocks(members.join(sets.select("node", "size", "sketch"), "node"), "path", small)
+    """Edges between alike sets of buckets (``node, path, n``), in parts of ALIKE_PART times ``small`` sets."""
+    members = in_parts(members.join(sets.select("node", "size", "sketch"), "node"), parts_of("n", ALIKE_PART * small))
     dealt = members.select("path", "bi", "bj", "node", "size", "sketch").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "node")
     return dealt.mapInArrow(bucket_edges, "u long, v long")
 
@@ -250,24 +267,98 @@ def next_paths(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     return cut_wanted(docs, wanted, buckets, derive, {"node": pa.int64(), "parent": pa.int64(), "path": pa.int64()}, "node long, parent long, path long")
 
 
-def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each set within its block (pairs of two blocks count across them only) and a star edge."""
+def exact_links(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of each set within its part (pairs of two parts count across them only) and a star edge, by
+    ``block`` sets at a time."""
     keys = ["root", "bi", "bj"]
-    for t in by_group(batches, keys):
-        cuts = cuts_of(t, keys).tolist()
-        node, own, cross = t.column("node").to_numpy(), t.column("own").to_numpy(), t.column("bi").to_numpy() != t.column("bj").to_numpy()
-        blobs = t.column("shingles").to_pylist()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            _, once = np.unique(node[a:b], return_index=True)
-            at = a + once
-            near = similar_matrix([np.frombuffer(blobs[i], np.uint64) for i in at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, keys):
+            cuts = cuts_of(t, keys).tolist()
+            node, own, bi, bj = (t.column(c).to_numpy() for c in ("node", "own", "bi", "bj"))
+            blobs = t.column("shingles").to_pylist()
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                _, once = np.unique(node[a:b], return_index=True)
+                at = a + once
+                sides = [at] if bi[a] == bj[a] else [at[own[at] == bi[a]], at[own[at] == bj[a]]]
+                at = np.concatenate(sides)
+                links, first = links_of([np.frombuffer(blobs[i], np.uint64) for i in at], block, len(sides[0]) if len(sides) > 1 else None)
+                out.append((node[at], links, node[at][first]))
+            n, links, root = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(links), pa.array(root)], ["node", "links", "root"])
+
+    return run
+
+
+def links_of(sets: list[np.ndarray], block: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the others each set is similar to, and one member of its component. With ``left`` only the
+    first so many meet the rest (either may be none), else all meet all."""
+    m = len(sets)
+    links, up = np.zeros(m, np.int64), list(range(m))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def tie(rows: np.ndarray, near: np.ndarray) -> None:
+        for x, r in zip(rows.tolist(), rows[roots(near)].tolist(), strict=True):
+            x, r = top(x), top(r)
+            up[max(x, r)] = min(x, r)
+
+    spans = [(0, m)] if left is None else [(0, left), (left, m)]
+    cuts = [[(i, min(i + block, b)) for i in range(a, b, block)] for a, b in spans]
+    if left is None:
+        for c in cuts[0]:
+            near = similar_matrix(sets[slice(*c)])
             np.fill_diagonal(near, False)
-            if cross[a]:
-                near &= own[at][:, None] != own[at][None, :]
-            out.append((node[at], near.sum(1), node[at][roots(near)]))
-        n, links, root = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(links.astype(np.int64)), pa.array(root)], ["node", "links", "root"])
+            links[slice(*c)] += near.sum(1)
+            tie(np.arange(*c), near)
+    pairs = [(c, d) for k, c in enumerate(cuts[0]) for d in (cuts[0][k + 1:] if left is None else cuts[1])]
+    whose = {c: Incidence(sets[slice(*c)]) for c in {c for pair in pairs for c in pair}}
+    for c, d in pairs:
+        near = whose[c].similar(whose[d])
+        links[slice(*c)] += near.sum(1)
+        links[slice(*d)] += near.sum(0)
+        p, q = near.shape
+        both = np.zeros((p + q, p + q), bool)
+        both[:p, p:], both[p:, :p] = near, near.T
+        tie(np.r_[np.arange(*c), np.arange(*d)], both)
+    return links, np.array([top(x) for x in range(m)], np.int64)
+
+
+class Incidence:
+    """Which of some sets has which shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        self.values, self.column = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.size)
+
+    def of(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``owner, column`` of the given columns, numbered as given and sorted by that number."""
+        number = np.full(len(self.values), -1)
+        number[columns] = np.arange(len(columns))
+        col = number[self.column]
+        order = np.flatnonzero(col >= 0)
+        order = order[np.argsort(col[order], kind="stable")]
+        return self.owner[order], col[order]
+
+    def similar(self, other: Incidence, similar: float = SIMILAR) -> np.ndarray:
+        """Which pairs have a Jaccard similarity of at least ``similar``: see ``similar_matrix``."""
+        shared, mine, theirs = np.intersect1d(self.values, other.values, assume_unique=True, return_indices=True)
+        (a, ca), (b, cb) = self.of(mine), other.of(theirs)
+        both = np.zeros((len(self.size), len(other.size)), np.float32)
+        step = 8192
+        for first in range(0, len(shared), step):
+            width = min(step, len(shared) - first)
+            x, y = np.zeros((len(self.size), width), np.float32), np.zeros((len(other.size), width), np.float32)
+            for z, own, col in ((x, a, ca), (y, b, cb)):
+                i, j = np.searchsorted(col, [first, first + step])
+                z[own[i:j], col[i:j] - first] = 1
+            both += x @ y.T
+        return both >= similar * (self.size[:, None] + other.size[None, :] - both) - 1e-4
 
 
 def similar_matrix(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
@@ -352,12 +443,12 @@ def cut_wanted(docs: DataFrame, wanted: DataFrame, buckets: int, derive: Callabl
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """``node, root, n, shingles`` of the wanted documents (``doc_id, node, root, n``)."""
+    """``node, root, n, shingles`` of the wanted documents (``doc_id, node, root, n``; n: any number of the root)."""
     types = {"node": pa.int64(), "root": pa.int64(), "n": pa.int64(), "shingles": pa.binary()}
     return cut_wanted(docs, wanted, buckets, lambda s, rows: (rows[:, 1], rows[:, 2], rows[:, 3], [s.tobytes()] * len(rows)), types, "node long, root long, n long, shingles binary")
 
 
-def classified(docs: DataFrame, recall: float, small: int, block: int) -> DataFrame:
+def classified(docs: DataFrame, recall: float, small: int, block: int, part_bytes: int) -> DataFrame:
     """``doc_id, text_key, node, root, class_id, copy_of, n_links`` of each row; the last four are null where
     the row takes no part. root tells classes apart, also where they share a doc_id."""
     buckets = buckets_for(docs, 100.0)
@@ -366,14 +457,14 @@ def classified(docs: DataFrame, recall: float, small: int, block: int) -> DataFr
     # n: rows of the set
     sets = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "paths"))), "classes")
     coarse = connected_components(candidate_edges(docs, sets, buckets, small))
-    coarse = written(coarse.join(sets.select("node", F.col("first_id").alias("doc_id")), "node"), "coarse")
-
-    sizes = written(coarse.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    whole = sets_of(docs, hub_join(coarse, sizes, ["root"]).select("doc_id", "node", "root", "n"), buckets)
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")).cast("int")
-    blocks = in_blocks(whole.withColumn("own", own), "root", block).select("root", "bi", "bj", "own", "node", "shingles")
-    dealt = blocks.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    links = written(dealt.mapInArrow(exact_links, "node long, links long, root long"), "links")
+    coarse = written(coarse.join(sets.select("node", F.col("first_id").alias("doc_id"), "size"), "node"), "coarse")
+
+    sizes = written(coarse.groupBy("root").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes")), "sizes")
+    grouped = hub_join(coarse, sizes, ["root"])
+    whole = sets_of(docs, grouped.select("doc_id", "node", "root", parts_of("bytes", part_bytes).alias("n")), buckets)
+    dealt = in_parts(whole, F.col("n").cast("int")).select("root", "bi", "bj", "own", "node", "shingles")
+    dealt = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    links = written(dealt.mapInArrow(exact_links(block), "node long, links long, root long"), "links")
     classes = written(connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))), "classes")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = classes.join(counts, "node", "left").join(sets.select("node", "first_id"), "node")
@@ -388,7 +479,7 @@ def classified(docs: DataFrame, recall: float, small: int, block: int) -> DataFr
     return part.unionByName(rest, allowMissingColumns=True)
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.99, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, recall: float = 0.99, small: int = SMALL, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """``doc_id, class_id, copy_of, n_links`` of each row.
 
     Links are pairs of different shingle sets (five words, words split at ASCII white space) of Jaccard
@@ -398,20 +489,21 @@ def near_duplicates(docs: DataFrame, recall: float = 0.99, small: int = SMALL, b
     (class_id is their own). Rows with a null doc_id take no part: class_id is null. Repeated rows share
     all; an id with several texts has a row for each. Ids are whole numbers, or texts of them; another text is an
     error. Further columns are not read; an empty table gives no rows. ``recall`` is that of a pair at the threshold to meet in a bucket, ``small`` the sets that a
-    bucket compares at once, ``block`` those that are compared exactly at once.
+    bucket compares at once, ``block`` those that are compared exactly at once, ``part_bytes`` the shingles of a
+    group that are sent together.
     """
-    return classified(docs, recall, small, block).select(
+    return classified(docs, recall, small, block, part_bytes).select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, recall: float = 0.99, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, recall: float = 0.99, small: int = SMALL, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id, and where that id has several texts of
     the class, one of them (by a hash of the text). Rows are told apart by id and text, so an id that stands
     over texts of two classes loses none of the other class. Rows with a null doc_id and texts without words
     stay; of repeated rows (equal id and text, whatever their other columns) one stays. The
     result has the columns of ``docs``; an empty table gives no rows."""
-    seen = classified(docs, recall, small, block).where("class_id is not null").select("doc_id", "text_key", "root", "class_id")
+    seen = classified(docs, recall, small, block, part_bytes).where("class_id is not null").select("doc_id", "text_key", "root", "class_id")
     rows = written(seen.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.first("class_id").alias("class_id"), F.count("*").alias("n")), "rows")
     # ids that are the least of their class with more than one text of it
     several = rows.where("doc_id = class_id").groupBy("root").agg(F.min("text_key").alias("keep"), F.count("*").alias("texts")).where("texts > 1")

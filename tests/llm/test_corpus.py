@@ -583,6 +583,30 @@ def test_jaccard_join_splits_large_buckets(spark, small, block, n):
     assert all(got[i].class_id == n and got[i].n_links == n - 1 for i in range(n, 2 * n))
 
 
+@pytest.mark.parametrize("part_bytes", [1_500, 20_000])
+def test_jaccard_join_sends_groups_in_parts(spark, part_bytes):
+    """Groups of several parts: pairs of parts that hold several blocks, and parts that hold one set or none."""
+    rows = passages_and_copies(120)[120:] + near_rows(seed=31)[:40]
+    rows = [(i, t, la) for i, (_, t, la) in enumerate(rows)]
+    got = sorted((tuple(r) for r in jaccard_join.near_duplicates(frame(spark, rows), small=4, block=16, part_bytes=part_bytes).collect()), key=repr)
+    assert got == joined_brute(rows)
+
+
+@pytest.mark.parametrize("left", [None, 0, 13, 40])
+def test_links_by_blocks(left):
+    rng = np.random.default_rng(5)
+    bases = [rng.integers(0, 500, 60) for _ in range(6)]
+    sets = [np.unique(np.r_[bases[i % 6][: 60 - i % 4], rng.integers(0, 500, i % 7)].astype(np.uint64)) for i in range(40)]
+    met = [[i != j and (left is None or (i < left) != (j < left)) and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    least = np.arange(40)
+    for _ in range(40):
+        least = np.array([min([least[i], *(least[j] for j in range(40) if met[i][j])]) for i in range(40)])
+    for block in (1, 7, 64):
+        links, first = jaccard_join.links_of(sets, block, left)
+        assert links.tolist() == np.sum(met, 1).tolist() and first.tolist() == least.tolist()
+    assert jaccard_join.first_alike(40, lambda a, b: np.array(met)[a[0], b]).tolist() == least.tolist()
+
+
 def test_recall_where_buckets_split(spark):
     """Pairs at and above the threshold in texts that share a passage: meetings in buckets that are split."""
     rng = random.Random(21)
