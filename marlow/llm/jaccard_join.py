@@ -35,7 +35,7 @@ SPLITS = 0.75  # a bucket is split on while that leaves at most so much of its p
 SMALL = 512  # sets that a bucket compares at once before it is split
 ALIKE_PART = 16  # a bucket that isn't split any more is sent in parts of so many times SMALL sets (of 84 bytes each)
 BLOCK = 512  # sets in a block of exact comparison
-PART_BYTES = 8_000_000  # of shingles in a part of a group; a task holds two parts
+PART_BYTES, PART_SETS = 8_000_000, 4096  # of shingles, and sets, in a part of a group; a task holds two parts
 SKETCH, SKETCH_LEAST = 64, 0.58  # more than four standard deviations below 0.8
 TINY = 96  # sets of fewer shingles aren't judged by the sketch
 CACHE_WORDS = 200_000
@@ -210,8 +210,9 @@ def bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
-def parts_of(total: str, most: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col(total) / most)).cast("int")
+def parts_of(**most: int) -> Column:
+    """Parts of a group so that none has more than ``most`` of its columns' totals (on average)."""
+    return F.greatest(F.lit(1), *(F.ceil(F.col(c) / m) for c, m in most.items())).cast("int")
 
 
 def in_parts(rows: DataFrame, parts: Column) -> DataFrame:
@@ -224,7 +225,7 @@ def in_parts(rows: DataFrame, parts: Column) -> DataFrame:
 
 def compared(members: DataFrame, sets: DataFrame, small: int) -> DataFrame:
     """Edges between alike sets of buckets (``node, path, n``), in parts of ALIKE_PART times ``small`` sets."""
-    members = in_parts(members.join(sets.select("node", "size", "sketch"), "node"), parts_of("n", ALIKE_PART * small))
+    members = in_parts(members.join(sets.select("node", "size", "sketch"), "node"), parts_of(n=ALIKE_PART * small))
     dealt = members.select("path", "bi", "bj", "node", "size", "sketch").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "node")
     return dealt.mapInArrow(bucket_edges, "u long, v long")
 
@@ -461,7 +462,7 @@ def classified(docs: DataFrame, recall: float, small: int, block: int, part_byte
 
     sizes = written(coarse.groupBy("root").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes")), "sizes")
     grouped = hub_join(coarse, sizes, ["root"])
-    whole = sets_of(docs, grouped.select("doc_id", "node", "root", parts_of("bytes", part_bytes).alias("n")), buckets)
+    whole = sets_of(docs, grouped.select("doc_id", "node", "root", parts_of(n=PART_SETS, bytes=part_bytes).alias("n")), buckets)
     dealt = in_parts(whole, F.col("n").cast("int")).select("root", "bi", "bj", "own", "node", "shingles")
     dealt = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
     links = written(dealt.mapInArrow(exact_links(block), "node long, links long, root long"), "links")
