@@ -122,10 +122,69 @@ def merge_orphans(text: str | None, most: int = 20) -> str | None:
     return "\n".join(out).strip()
 
 
+# Elements without an end; TeX that renderers write for marks.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+TEX_MARKS = {r"^{\text{∗}}": r"^{\ast}", r"^{\text{*}}": r"^{\ast}", r"^{\text{†}}": r"^{\dagger}", r"^{\text{T}}": r"^{\mathsf{T}}"}
+
+
+def plain_tex(tex: str) -> str:
+    """TeX whose marks and indices don't stand in ``\\text``."""
+    for old, new in TEX_MARKS.items():
+        tex = tex.replace(old, new)
+    return re.sub(r"([\^_])\{?\\text\{([^}]*)\}\}?", r"\1{\2}", tex)
+
+
+class _Formula:
+    """A formula that a page holds in several forms, and the one form of it that is kept: for ``katex`` the
+    source, else the MathML's text, else all text; for ``MathJax`` the visible text (in dollars if it has a
+    command), else the source. Other classes are copies, of which nothing is kept."""
+
+    def __init__(self, tag: str, kind: str):
+        self.kind, self.stack, self.parts = kind, [(tag, "other")], {}
+
+    def open(self, tag: str, attrs: dict[str, str | None]) -> None:
+        if tag in VOID:
+            return
+        form = self.stack[-1][1]
+        if tag in ("annotation", "nobr"):
+            form = tag
+        elif tag == "script":
+            form = "source" if (attrs.get("type") or "") == "math/tex" else "script"
+        elif "katex-mathml" in (attrs.get("class") or "").split():
+            form = "mathml"
+        self.stack.append((tag, form))
+
+    def data(self, text: str) -> None:
+        self.parts[self.stack[-1][1]] = self.parts.get(self.stack[-1][1], "") + text.strip()
+
+    def closed_by(self, tag: str) -> bool:
+        at = max((i for i, (t, _) in enumerate(self.stack) if t == tag), default=len(self.stack))
+        del self.stack[at:]
+        return not self.stack
+
+    def text(self) -> str:
+        p = self.parts
+        if self.kind == "katex" and "annotation" in p:
+            tex = re.sub(r"^\\[hv]space\{[^}]*\}", "", p["annotation"]).strip()
+            return f" ${tex}$ " if tex else ""
+        if self.kind == "katex":
+            return p.get("mathml") or p.get("other", "")
+        if self.kind != "MathJax":
+            return ""
+        if shown := plain_tex(p.get("nobr", "")):
+            return f" ${shown}$ " if COMMAND.search(shown) else f" {shown} "
+        tex = plain_tex(p.get("source") or p.get("annotation", ""))
+        return f" ${tex}$ " if tex else ""
+
+
 class _Sections(HTMLParser):
-    """Text under each heading of one level; formulas of ``var`` in dollars, lists and code as Markdown."""
+    """Text under each heading of one level; formulas of ``var`` in dollars, those of KaTeX and MathJax once,
+    lists and code as Markdown."""
 
     SKIP = {"script", "style", "nav"}
+    FORMULAS = ("katex", "MathJax", "MathJax_Preview", "MJX_Assistive_MathML")
+    formula: _Formula | None = None
+    after_space = False
 
     def __init__(self, heading: str = "h3"):
         super().__init__(convert_charrefs=True)
@@ -139,7 +198,13 @@ class _Sections(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in self.SKIP:
+        if self.formula:
+            return self.formula.open(tag, a)
+        kind = next((k for k in self.FORMULAS if k in (a.get("class") or "").split()), None)
+        self.after_space &= tag in self.SKIP
+        if kind and tag not in VOID and not self.skip:
+            self.formula = _Formula(tag, kind)
+        elif tag in self.SKIP:
             self.skip += 1
         elif tag == self.heading:
             self.close_section()
@@ -163,7 +228,22 @@ class _Sections(HTMLParser):
 
     in_title = False
 
+    def put_formula(self, text):
+        before = self.title if self.in_title else "".join(self.buf[-1:])
+        text = text.lstrip() if before[-1:].isspace() else text
+        if self.in_title:
+            self.title += text
+        elif text:
+            self.buf.append(text)
+        self.after_space = (text or before)[-1:].isspace()
+
     def handle_endtag(self, tag):
+        if self.formula:
+            if self.formula.closed_by(tag):
+                done, self.formula = self.formula.text(), None
+                self.put_formula(done)
+            return
+        self.after_space &= tag in self.SKIP
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag == self.heading:
@@ -179,8 +259,13 @@ class _Sections(HTMLParser):
             self.buf.append("\n")
 
     def handle_data(self, data):
+        if self.formula:
+            return self.formula.data(data)
         if self.skip:
             return
+        if self.after_space and not self.pre:
+            data = data.lstrip()
+        self.after_space = self.after_space and not data
         if self.in_title:
             self.title += data
         else:
@@ -196,6 +281,28 @@ def html_sections(html: str | None, heading: str = "h3") -> list[tuple[str, str]
     return p.out
 
 
+# Headings of the parts of a statement.
+SECTION_KEYS = {
+    "problem statement": "description", "problem": "description", "story": "description", "問題文": "description", "constraints": "constraints",
+    "constraint": "constraints", "制約": "constraints", "入力": "input_format", "input": "input_format", "input format": "input_format",
+    "出力": "output_format", "output": "output_format", "output format": "output_format",
+}
+
+
+def section_key(title: Column) -> Column:
+    """What part of a statement a heading begins, in English or Japanese; samples by their kind; null: none."""
+    t = F.lower(F.trim(title))
+    keys = F.create_map(*(F.lit(x) for kv in SECTION_KEYS.items() for x in kv))
+    kind = F.regexp_extract(t, r"^sample\s+(input|output)\s+\d+$", 1)
+    return F.when(kind != "", F.concat(F.lit("sample_"), kind)).when(t.rlike(r"^sample\s+\d+$"), "sample").otherwise(F.try_element_at(keys, t))
+
+
+def english_part(html: Column) -> Column:
+    """The English part of a statement in two languages, up to the Japanese one; the whole if it has none."""
+    en, ja = F.lit('<span class="lang-en">'), F.lit('<span class="lang-ja">')
+    return F.when(F.contains(html, en), F.split_part(F.split_part(html, en, F.lit(2)), ja, F.lit(1))).otherwise(html)
+
+
 def html_markdown(html: str | None) -> str | None:
     return None if html is None else "\n\n".join(f"### {t}\n{x}" if t else x for t, x in html_sections(html))
 

@@ -300,6 +300,30 @@ def t12(spark, d):
     return _statements(spark, d).select("id", F.explode(scraped.html_sections_col(F.col("html"))).alias("s")).select("id", "s.title", "s.text")
 
 
+@query("t11_statement_parts", "T-11", """WITH p AS (SELECT *, CASE id % 3 WHEN 0 THEN ['問題文', '入力', 'Sample 1'] ELSE ['Problem Statement', 'Input', 'Sample Input 1'] END AS h FROM problems)
+SELECT id, h[k] AS title, CASE k WHEN 1 THEN 'description' WHEN 2 THEN 'input_format' ELSE CASE id % 3 WHEN 0 THEN 'sample' ELSE 'sample_input' END END AS part, CASE k WHEN 1 THEN lang WHEN 2 THEN source ELSE CAST(id AS VARCHAR) END AS text FROM p, (VALUES (1), (2), (3)) n(k)""")
+def t11_parts(spark, d):
+    """Statements in one language, and in two in either order, of which the English one is read."""
+    body = lambda *h: F.concat(*(x for t, c in zip(h, (F.col("lang"), F.col("source"), F.col("id").cast("string")), strict=True) for x in (F.lit(f"<h3>{t}</h3><p>"), c, F.lit("</p>"))))
+    ja = F.concat(F.lit('<span class="lang-ja">'), body("問題文", "入力", "Sample 1"), F.lit("</span>"))
+    en = F.concat(F.lit('<span class="lang-en">'), body("Problem Statement", "Input", "Sample Input 1"), F.lit("</span>"))
+    kind = F.col("id") % 3
+    html = F.when(kind == 0, ja).when(kind == 1, F.concat(ja, en)).otherwise(F.concat(en, ja))
+    parts = C.problems(spark, d).select("id", F.explode(scraped.html_sections_col(scraped.english_part(html))).alias("s"))
+    return parts.select("id", "s.title", scraped.section_key(F.col("s.title")).alias("part"), "s.text")
+
+
+@query("t13_rendered_formulas", "T-12 T-13", r"""SELECT id, CASE id % 4 WHEN 0 THEN 'let $x_' || id || '$ be ' || lang WHEN 1 THEN 'let $a^{\ast} \le ' || id || '$ be ' || lang WHEN 2 THEN 'let n' || id || ' be ' || lang ELSE 'let be ' || lang END AS markdown FROM problems""")
+def t13_formulas(spark, d):
+    """Formulas that a page holds two or three times."""
+    n = F.col("id").cast("string")
+    katex = lambda tex: F.concat(F.lit('<span class="katex"><span class="katex-mathml"><math><mi>x</mi><annotation>'), tex, F.lit('</annotation></math></span><span class="katex-html"><span>x</span></span></span>'))
+    mathjax = lambda shown: F.concat(F.lit('<span class="MathJax_Preview">x</span><span class="MathJax"><nobr><span>'), shown, F.lit('</span></nobr></span><script type="math/tex">x</script>'))
+    kind = F.col("id") % 4
+    formula = F.when(kind == 0, katex(F.concat(F.lit("\\hspace{3pt} x_"), n))).when(kind == 1, mathjax(F.concat(F.lit("a^{\\text{*}} \\le "), n))).when(kind == 2, mathjax(F.concat(F.lit("n"), n))).otherwise(katex(F.lit("\\hspace{3pt}")))
+    return C.problems(spark, d).select("id", scraped.html_markdown_col(F.concat(F.lit("<p>let "), formula, F.lit(" be "), "lang", F.lit("</p>"))).alias("markdown"))
+
+
 @query("t13_statement_markdown", "T-13", f"SELECT id, string_agg('### ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS markdown FROM {_SECTIONS} GROUP BY id")
 def t13_statements(spark, d):
     return _statements(spark, d).select("id", scraped.html_markdown_col(F.col("html")).alias("markdown"))

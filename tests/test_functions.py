@@ -131,3 +131,22 @@ def test_rolling_hash(spark):
     for s in ("hello", "动态规划 DP", "x" * 500, "a"):
         assert one(spark, rolling_hash(F.lit(s)))[0] == want(s)
     assert math.isfinite(want("x"))
+
+
+def test_rendered_formulas():
+    katex = '<span class="katex"><span class="katex-mathml"><math><mi>x</mi>{}</math></span><span class="katex-html">x</span></span>'
+    mathjax = '<span class="MathJax_Preview">x</span><span class="MathJax">{}</span><script type="math/tex">x</script>'
+    one = lambda formula: scraped.html_markdown(f"<p>let {formula} be</p>")
+    assert one(katex.format("<annotation>\\hspace{3pt} x_1</annotation>")) == "let $x_1$ be"
+    assert one(katex.format("<annotation>\\hspace{3pt}</annotation>")) == "let be"
+    assert one(katex.format("")) == "let x be"
+    assert one(mathjax.format("<nobr>a^{\\text{*}} \\le <b>1</b></nobr>")) == "let $a^{\\ast} \\le1$ be"
+    assert one(mathjax.format("<nobr>n</nobr><script type='math/tex'>m</script>")) == "let n be"
+    assert one(mathjax.format("<script type='math/tex'>p_{\\text{i}}</script>")) == "let $p_{i}$ be"
+    assert one('<span class="katex">never closed') == "let"
+    assert scraped.html_sections('<h3>Size <span class="MathJax"><nobr>n</nobr></span></h3><p>a</p>') == [("Size n", "a")]
+
+
+def test_section_keys(spark):
+    df = spark.createDataFrame([(t,) for t in ("Problem Statement", " 制約 ", "Sample Input 12", "Sample 1", "Notes", None)], "t string")
+    assert [r.k for r in df.select(scraped.section_key(F.col("t")).alias("k")).collect()] == ["description", "constraints", "sample_input", "sample", None, None]
