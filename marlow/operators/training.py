@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,32 +138,39 @@ def arrange_all(candidates: DataFrame, plans: DataFrame, daily_target: int = 5)
     return same.join(weeks.withColumnRenamed("user_id", "lead"), "lead").drop("lead")
 
 
-#: Consecutive positions that are folded as one.
+#: Consecutive positions whose reviews are one row.
 FOLD = 256
 
 
 def review_states(reviews: DataFrame, key: str, at: str, quality: str) -> DataFrame:
-    """``key, ease, interval``: each key's reviews replayed in the order of ``at`` (whole numbers), then of quality.
+    """``key, ease, interval``: each key's reviews replayed in the order of ``at`` (whole numbers, nulls last), then of quality.
 
-    A review takes the ease x to max(c, x + a), and such steps make steps of the same form; it doubles the interval, or
-    sets it to 1. So runs of FOLD positions are folded apart, each to four numbers, and then a key's runs: however
-    long a history is, no row holds all of it. Positions that repeat are in one run.
+    The ease is a sum of doubles, whose last digits depend on the order of the additions; so steps are taken one by one, as
+    the loop takes them. The qualities of FOLD positions are one row, and a key's rows come to one task in order, which keeps
+    the state of one key only: however long a history is, nothing holds all of it. Positions that repeat are in one row.
     """
-    q = F.col(quality)
-    good = q >= 3
-    step = F.struct(F.when(good, 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)).otherwise(-0.15).alias("a"), F.lit(1.3).alias("c"), (~good).alias("reset"), F.when(good, 1).otherwise(0).cast("long").alias("doubled"))
-    none = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("c"), F.lit(False).alias("reset"), F.lit(0).cast("long").alias("doubled"))
-
-    def then(x: Column, y: Column) -> Column:
-        return F.struct(
-            (x["a"] + y["a"]).alias("a"), F.greatest(y["c"], x["c"] + y["a"]).alias("c"), (x["reset"] | y["reset"]).alias("reset"),
-            F.when(y["reset"], y["doubled"]).otherwise(x["doubled"] + y["doubled"]).alias("doubled"),
-        )
-
-    def folded(rows: Column) -> Column:
-        return F.aggregate(F.sort_array(F.collect_list(rows)), none, lambda acc, r: then(acc, r["step"]))
+    kind = reviews.schema[key].dataType.simpleString()
+    said = reviews.where(F.col(quality).isNotNull()).select(key, F.floor(F.col(at) / FOLD).alias("run"), at, F.col(quality).cast("double").alias("__q"))
+    runs = said.groupBy(key, "run").agg(F.transform(F.sort_array(F.collect_list(F.struct(at, "__q"))), lambda r: r["__q"]).alias("qualities"))
+    runs = runs.repartition(key).sortWithinPartitions(F.col(key), F.col("run").asc_nulls_last()).select(key, "qualities")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ease, doubled, begun = None, 2.5, 0, False
+        for batch in batches:
+            keys, eases, days = [], [], []
+            for k, qualities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or k != last:
+                    if begun:
+                        keys.append(last), eases.append(ease), days.append(doubled)
+                    last, ease, doubled, begun = k, 2.5, 0, True
+                for q in qualities:
+                    if q >= 3:
+                        ease, doubled = max(1.3, ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)), min(doubled + 1, 20)
+                    else:
+                        ease, doubled = max(1.3, ease - 0.15), 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(eases, pa.float64()), pa.array(days, pa.int32())], names=[key, "ease", "doubled"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([last], batch.schema.field(0).type), pa.array([ease], pa.float64()), pa.array([doubled], pa.int32())], names=[key, "ease", "doubled"])
 
-    runs = reviews.where(q.isNotNull()).groupBy(key, F.floor(F.col(at) / FOLD).alias("run")).agg(folded(F.struct(at, quality, step.alias("step"))).alias("step"))
     # an interval of 1 is doubled once for each success since the last failure, up to the cap of a year
-    done = runs.groupBy(key).agg(folded(F.struct("run", "step")).alias("s"))
-    return done.select(key, F.greatest(F.col("s.c"), 2.5 + F.col("s.a")).alias("ease"), F.least(F.lit(365), F.pow(F.lit(2), F.least(F.col("s.doubled"), F.lit(20))).cast("int")).alias("interval"))
+    return runs.mapInArrow(replay, f"`{key}` {kind}, ease double, doubled int").select(key, "ease", F.least(F.lit(365), F.pow(F.lit(2), F.col("doubled")).cast("int")).alias("interval"))
