@@ -29,9 +29,12 @@ def user_stats(records: DataFrame) -> DataFrame:
 
 
 def by_pattern(df: DataFrame, text: str, pattern: str, id_col: str) -> DataFrame:
-    """``key, n, first, last``: rows by what the pattern's group finds; rows in which it finds nothing are left out."""
+    """``key, n, first, last, ids``: rows by what the pattern's group finds, with the ids of a group in order; rows in which it
+    finds nothing are left out."""
     key = F.regexp_extract(text, pattern, 1)
-    return df.where(key != "").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(id_col).alias("first"), F.max(id_col).alias("last"))
+    return df.where(key != "").groupBy(key.alias("key")).agg(
+        F.count("*").alias("n"), F.min(id_col).alias("first"), F.max(id_col).alias("last"), F.sort_array(F.collect_list(id_col)).alias("ids"),
+    )
 
 
 def chunks(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:

@@ -398,11 +398,11 @@ def a26(spark, d):
     return job_summary(C.practice_records(spark, d), "2024-01-30 00:00:00")
 
 
-@query("a27_regex_groups", "A-27", "SELECT regexp_extract(url, '/([0-9]+)', 1) AS contest, count(*) AS n, min(page_id) AS first, max(page_id) AS last FROM pages WHERE regexp_extract(url, '/([0-9]+)', 1) <> '' GROUP BY contest")
+@query("a27_regex_groups", "A-27", "SELECT regexp_extract(url, '/([0-9]+)', 1) AS contest, count(*) AS n, min(page_id) AS first, max(page_id) AS last, list(page_id ORDER BY page_id) AS pages FROM pages WHERE regexp_extract(url, '/([0-9]+)', 1) <> '' GROUP BY contest")
 def a27(spark, d):
     from marlow.operators.reports import by_pattern
 
-    return by_pattern(C.read_table(spark, d, "pages"), "url", "/([0-9]+)", "page_id").withColumnRenamed("key", "contest")
+    return by_pattern(C.read_table(spark, d, "pages"), "url", "/([0-9]+)", "page_id").withColumnsRenamed({"key": "contest", "ids": "pages"})
 
 
 @query("a28_heat_map", "A-28", """SELECT CAST(date_trunc('week', day) AS DATE) AS week, day, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n * 4 <= m THEN 1 WHEN n * 4 <= 2 * m THEN 2 WHEN n * 4 <= 3 * m THEN 3 ELSE 4 END AS shade
