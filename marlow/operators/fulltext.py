@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,19 +29,42 @@ def words_of(term: str) -> list[str]:
     return [w for w in re.findall(r"[^\W]+", term.lower())]
 
 
-def bucket_of(word: Column, buckets: int) -> Column:
-    return (F.crc32(word.cast("binary")) % buckets).cast("int")
+def bucket_of(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode()) % buckets
+
+
+#: Texts whose words are put in order at a time.
+TEXTS = 1000
 
 
 def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``bucket, word, id, length, positions`` of ``docs`` (id, text): a row for each word of a text.
 
     ``length`` is the text's in characters. A null text has no words; rows of one id are one text each, and must
-    not repeat for positions to be those of one text.
+    not repeat for positions to be those of one text. A text's words are put in order where the text is, so nothing is sent.
     """
-    said = docs.select("id", F.length("text").alias("length"), F.posexplode(words(F.col("text"))).alias("position", "word"))
-    found = said.groupBy("id", "length", "word").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return found.select(bucket_of(F.col("word"), buckets).alias("bucket"), "word", "id", "length", "positions")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                said = b.column(2)
+                flat, ends = said.flatten().dictionary_encode(), np.cumsum(np.r_[0, said.value_lengths().to_numpy(zero_copy_only=False)])
+                row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+                place = (np.arange(len(row)) - ends[row]).astype(np.int32)
+                # by word, then by text; the sort is stable, so places stay in order
+                key = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * b.num_rows + row
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], np.int64)
+                word, text = np.divmod(key[first], b.num_rows)
+                bucket = np.array([bucket_of(w, buckets) for w in flat.dictionary.to_pylist()], np.int32)
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(place[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[word]), flat.dictionary.take(pa.array(word)), b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), positions], names=["bucket", "word", "id", "length", "positions"])
+
+    said = docs.select("id", F.length("text").alias("length"), words(F.col("text")).alias("words"))
+    return said.mapInArrow(gather, f"bucket int, word string, id {kind}, length int, positions array<int>")
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -57,7 +83,7 @@ def matches(index: DataFrame, terms: list[str], buckets: int = BUCKETS) -> DataF
     if not asked:
         return index.select("id", "length", F.lit(0).cast("long").alias("tf")).where(F.lit(False))
     known = sorted({w for term in asked for w in term})
-    places = sorted({zlib.crc32(w.encode()) % buckets for w in known})
+    places = sorted({bucket_of(w, buckets) for w in known})
     rows = index.where(F.col("bucket").isin(places) & F.col("word").isin(known))
     # one aggregate: a phrase is where its words' positions, each less its place in the phrase, meet
     at = {w: f"__w{i}" for i, w in enumerate(known)}
