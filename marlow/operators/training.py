@@ -106,9 +106,11 @@ def pools(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> Dat
     a list of tags are among the first of each of its tags. So the best are found for each tag and target that any
     plan has, and users meet those alone: no user meets all problems.
 
-    Best rows are cut in two steps, first by score (ties of the last one stay), then by distance to each target; both are
-    ranks under a constant, which Spark applies to each partition before rows are sent. A common tag sends that many rows
-    a partition, not all of its own.
+    Best rows are cut in two steps, first by score (ties of the last one stay), then by distance to each target. The first
+    counts rows by tag and score and keeps the last score that counts; the second is a rank under a constant, which Spark
+    applies to each partition before rows are sent. So candidates stay in the task that reads them, also those of a tag that
+    all have, or of a score that many share: a partition sends as many a tag and target as a week uses. Tags and targets are
+    those of plans, a bounded list.
     """
     none = F.array().cast("array<string>")
     tags = lambda c: F.coalesce(F.col(c), none)
@@ -118,9 +120,15 @@ def pools(candidates: DataFrame, plans: DataFrame, daily_target: int = 5) -> Dat
     most = (plans.agg(F.max(F.size("curve"))).first()[0] or 0) * max(daily_target, 5)
     tagged = candidates.withColumn("tag", F.explode(F.array_union(F.coalesce("tags", none), F.array(F.lit(ANY)))))
     tagged = tagged.withColumn("by", F.when(F.col("tag") == ANY, 0.0).otherwise(-F.coalesce("score", F.lit(0.0))))
-    tagged = tagged.join(asked.select("tag").distinct(), "tag", "left_semi")
-    tagged = tagged.withColumn("k", F.rank().over(Window.partitionBy("tag").orderBy("by"))).where(F.col("k") <= most).drop("k")
-    aimed = tagged.join(asked.select("tag", "target").distinct(), "tag")
+    # rows for each score of a tag; the last score that a week can reach, a row a tag, is all that the candidates meet
+    wanted = asked.select("tag").distinct()
+    w = Window.partitionBy("tag").orderBy("by")
+    scores = tagged.join(F.broadcast(wanted), "tag", "left_semi").groupBy("tag", "by").agg(F.count("*").alias("n"))
+    scores = scores.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = scores.withColumn("before", before).where(F.col("before") < most).groupBy("tag").agg(F.max("by").alias("last"))
+    tagged = tagged.join(F.broadcast(last), "tag").where(F.col("by") <= F.col("last")).drop("last")
+    aimed = tagged.join(F.broadcast(asked.select("tag", "target").distinct()), "tag")
     near = F.row_number().over(Window.partitionBy("tag", "target").orderBy("by", F.abs(F.col("difficulty") - F.col("target")), "problem_id"))
     best = aimed.withColumn("k", near).where(F.col("k") <= most)
     return asked.join(best.drop("k", "by"), ["tag", "target"]).select("user_id", *candidates.columns).dropDuplicates(["user_id", "problem_id"])
