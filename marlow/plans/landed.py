@@ -173,7 +173,7 @@ def _pages_of(spark, df, html, *keep):
 
 @query("s16_submission_table", "S-16", "SELECT event_id AS submission_id, event_type AS verdict_raw FROM events")
 def s16(spark, d):
-    return _submissions(spark, C.read_table(spark, d, "events"))
+    return _submissions(spark, C.spread_rows(C.read_table(spark, d, "events").select("event_id", "event_type")))
 
 
 def _submission_page():
