@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Entities that are decoded, in this order.
@@ -174,17 +174,26 @@ def once(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, r"\n\n([a-zA-Z0-9]{1,3})\n\n\1\n\n\1(\n|\z)", "\n$1$2"), F.lit("\n\n\n"), F.lit("\n\n"))
 
 
-def rebuild_content(platform: Column, raw: Column) -> Column:
-    """``build_content`` from a problem's stored raw detail (JSON); null where that is no JSON."""
-    x = F.from_json(raw, RAW_DETAIL)
+def rebuild_content(df: DataFrame, platform: str, raw: str, name: str = "body") -> DataFrame:
+    """``df`` with ``build_content`` from a problem's stored raw detail (JSON) as ``name``; null where that is no JSON.
+
+    The JSON and each of its parts are columns of a select of their own: each stands in several places of what follows,
+    which would otherwise read the JSON anew for every one of them.
+    """
+    df = df.withColumn("__x", F.from_json(raw, RAW_DETAIL))
+    x = F.col("__x")
     full = lambda *names: F.coalesce(*(F.nullif(x[n], F.lit("")) for n in names))
-    r = {k: once(full(k)) for k in ("background", "description", "constraints", "hint")}
-    r |= {"content": full("content"), "input_format": once(full("input_format", "inputSpec")), "output_format": once(full("output_format", "outputSpec"))}
-    r |= {k: full(k) for k in ("note", "time_limit", "memory_limit")}
-    clean = F.transform(F.filter(x["samples"], lambda s: F.size(s) >= 2), lambda s: F.transform(s, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+\z", "")))
-    bare = (platform == "leetcode") & (F.coalesce(F.size(clean), F.lit(0)) <= 0) & F.coalesce(full("sampleTestCase"), full("exampleTestcases")).isNotNull()
-    r["samples"] = F.when(bare, F.array(F.array(x["sampleTestCase"], x["exampleTestcases"]))).otherwise(clean)
-    return F.when(x.isNotNull(), build_content(platform, r))
+    r = {k: full(k) for k in ("background", "description", "constraints", "hint", "content", "note", "time_limit", "memory_limit")}
+    r |= {"input_format": full("input_format", "inputSpec"), "output_format": full("output_format", "outputSpec"), "example": full("sampleTestCase", "exampleTestcases")}
+    r["samples"] = F.transform(F.filter(x["samples"], lambda s: F.size(s) >= 2), lambda s: F.transform(s, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+\z", "")))
+    df = df.withColumns({f"__{k}": c for k, c in r.items()})
+    at = {k: F.col(f"__{k}") for k in r}
+    bare = (F.col(platform) == "leetcode") & (F.coalesce(F.size(at["samples"]), F.lit(0)) <= 0) & at["example"].isNotNull()
+    short = {f"__{k}": once(at[k]) for k in ("background", "description", "constraints", "hint", "input_format", "output_format")}
+    df = df.withColumns(short | {"__samples": F.when(bare, F.array(F.array(x["sampleTestCase"], x["exampleTestcases"]))).otherwise(at["samples"])})
+    at.pop("example")
+    df = df.withColumn(name, F.when(x.isNotNull(), build_content(F.col(platform), at)))
+    return df.drop("__x", *(f"__{k}" for k in r))
 
 
 def format_summary(r: dict[str, Column]) -> Column:
