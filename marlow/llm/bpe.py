@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from marlow.llm.common import slices
+
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -146,11 +148,9 @@ def bpe_map(docs: DataFrame, tokenizer: str, derive: Callable[[ByteBPE, list[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [bpe.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *derive(bpe, ids)], [id_col, *(x.split()[0] for x in schema.split(", "))])
+        for b in slices(batches, 500):
+            ids = [bpe.encode(t) if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *derive(bpe, ids)], [id_col, *(x.split()[0] for x in schema.split(", "))])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {schema}")
 

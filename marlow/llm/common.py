@@ -100,11 +100,20 @@ def record(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in cols.items()], schema=schema)
 
 
+def give_back() -> None:
+    """Hands memory that Arrow has freed but keeps for later back to the system: a worker lives on from task to task, and
+    would hold what its batches took besides what its executor holds."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time. See ``give_back``."""
+    give_back()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.common import Mapped, bucket_path, buckets_for, by_bucket, fresh, local_path, scratch, slices, utf8, write_file, written
+from marlow.llm.common import Mapped, bucket_path, buckets_for, by_bucket, fresh, give_back, local_path, scratch, slices, utf8, write_file, written
 from marlow.llm.components import connected_components, hub_anti, hub_join, hub_semi
 
 WORDS, SIMILAR = 5, 0.8
@@ -134,6 +134,7 @@ def profile(docs: DataFrame, trees: int) -> DataFrame:
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from batches in which the rows of a group lie together."""
     held: pa.Table | None = None
+    give_back()
     for b in batches:
         t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
         if not t.num_rows:
@@ -144,6 +145,8 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         if last:
             yield t.slice(0, last)
         held = t.slice(last).combine_chunks()
+        del b, t, k
+        give_back()
     if held is not None and held.num_rows:
         yield held
 
